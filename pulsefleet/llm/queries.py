@@ -6,9 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_path, table
+from .packing import pack_documents
 from .tokenfile import token_file_digest, write_token_files
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "token-files")
     manifest = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2, folder)
@@ -16,6 +21,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
 }
 
