@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_path, table
 from .packing import pack_documents
+from .simhash import simhash_components
 from .tokenfile import token_file_digest, write_token_files
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), shingle=4, budget=4)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
@@ -21,6 +26,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
 }
