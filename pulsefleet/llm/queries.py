@@ -9,12 +9,18 @@ from .common import shared_path, table
 from .packing import pack_documents
 from .simhash import simhash_components
 from .tokenfile import token_file_digest, write_token_files
+from .topk import top_inner_products
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle=4, budget=4)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return top_inner_products(rows.filter("vec_id % 20 = 0"), rows, k=20, scale=64.0)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
@@ -27,8 +33,22 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_exact_topk": op4_exact_topk,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_topk": """
+with usable as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+  from usable q, usable c where q.vec_id % 20 = 0 and c.vec_id <> q.vec_id
+)
+select query_id, rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
+) where rank <= 20""",
+}
