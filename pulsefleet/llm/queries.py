@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_path, table
+from .decontam import contaminated
 from .packing import pack_documents
 from .simhash import simhash_components
 from .tokenfile import token_file_digest, write_token_files
@@ -31,11 +32,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(manifest, folder)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
@@ -51,4 +57,26 @@ with usable as (
 select query_id, rank, vec_id, score from (
   select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored
 ) where rank <= 20""",
+    "op10_decontamination": r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from documents),
+i as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') as w from benchmark),
+dp as (select doc_id, w, unnest(range(1, len(w) - 6)) as p from d where len(w) >= 8),
+ip as (select item_id, unnest(range(1, len(w) - 6)) as p, w from i where len(w) >= 8),
+ds as (
+  select doc_id, p, 0 as m, w[p] || ' ' || w[p+1] || ' ' || w[p+2] || ' ' || w[p+3] || ' ' || w[p+6] || ' ' || w[p+7] as k from dp
+  union all select doc_id, p, 1, w[p] || ' ' || w[p+1] || ' ' || w[p+3] || ' ' || w[p+5] || ' ' || w[p+6] || ' ' || w[p+7] from dp),
+iss as (
+  select item_id, p, 0 as m, w[p] || ' ' || w[p+1] || ' ' || w[p+2] || ' ' || w[p+3] || ' ' || w[p+6] || ' ' || w[p+7] as k from ip
+  union all select item_id, p, 1, w[p] || ' ' || w[p+1] || ' ' || w[p+3] || ' ' || w[p+5] || ' ' || w[p+6] || ' ' || w[p+7] from ip),
+near as (select distinct doc_id, item_id, ds.p - iss.p as shift from ds join iss using (m, k)),
+same as (
+  select doc_id, item_id, greatest(shift, 0) as start, least(len(i.w), 13) as width,
+    case when len(i.w) < 13 then len(i.w) else 11 end as least_,
+    [case when d.w[j + shift] = i.w[j] then 1 else 0 end for j in range(greatest(1, 1 - shift), least(len(i.w), len(d.w) - shift) + 1)] as eq
+  from near join d using (doc_id) join i using (item_id)),
+sums as (
+  select *, [list_sum(eq[j : j + width - 1]) for j in range(1, greatest(len(eq) - width + 2, 1))] as s from same)
+select doc_id, item_id, max(list_sum(eq))::bigint as matched_words, max(list_max(s))::bigint as window_words,
+  min(start + list_position([x >= least_ for x in s], true) - 1)::bigint as first_word
+from sums where list_max(s) >= least_ group by doc_id, item_id""",
 }
