@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import chat_digest, chat_windows
 from .common import shared_path, table
 from .decontam import contaminated
 from .packing import pack_documents
@@ -22,6 +24,14 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(rows.filter("vec_id % 20 = 0"), rows, k=20, scale=64.0)
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
+    return chat_digest(chat_windows(rows.unionByName(more), budget=2048, history=512))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
@@ -39,6 +49,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_exact_topk": op4_exact_topk,
+    "op5_chat_windows": op5_chat_windows,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
@@ -79,4 +90,28 @@ sums as (
 select doc_id, item_id, max(list_sum(eq))::bigint as matched_words, max(list_max(s))::bigint as window_words,
   min(start + list_position([x >= least_ for x in s], true) - 1)::bigint as first_word
 from sums where list_max(s) >= least_ group by doc_id, item_id""",
+    "op5_chat_windows": r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+p as (
+  select *, 4 + length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), ':', '\:')) + 2
+    + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#')) + 9 as size from t),
+e as (
+  select *, (size + 3) // 4 as tokens, sum((size + 3) // 4) over o as stop, row_number() over o as nth, first(role) over o as role1, first(size) over o as size1
+  from p window o as (partition by conv_id order by turn, role, text)),
+c as (select *, stop - tokens as start, (stop - tokens) // 1536 as a, (stop - 1) // 1536 as b from e),
+w as (select *, coalesce(lag(a) over o <> a or lag(b) over o <> b, true) as opens from c window o as (partition by conv_id order by nth)),
+r as (
+  select *, case when role1 = 'system' and nth = 1 then 0 else
+    case when lead(opens, 1) over o and lead(start, 1) over o - start <= 512 then 1 else 0 end
+    + case when lead(opens, 2) over o and lead(start, 2) over o - start <= 512 then 1 else 0 end end as repeats,
+    case when role1 = 'system' and opens and nth > 1 then size1 else 0 end as system
+  from w window o as (partition by conv_id order by nth))
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by nth)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by nth) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(size * (1 + repeats) + system)::bigint as formatted_chars
+from r group by conv_id""",
 }
