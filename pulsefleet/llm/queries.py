@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .chat import chat_digest, chat_windows
 from .common import shared_path, table
+from .contextmix import lm_scores
 from .decontam import contaminated
 from .packing import pack_documents
 from .simhash import simhash_components
@@ -15,6 +16,10 @@ from .tokenfile import token_file_digest, write_token_files
 from .topk import top_inner_products
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"), mod=10)
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle=4, budget=4)
 
@@ -47,6 +52,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_windows": op5_chat_windows,
