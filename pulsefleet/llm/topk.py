@@ -134,9 +134,10 @@ def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int, scale:
                 low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(qi), -np.inf)
                 yield pa.RecordBatch.from_pydict({"block": pa.array([q["block"]], pa.int64()), "floor": pa.array([low.tobytes()], pa.binary())})
 
-    firsts = cand.filter(F.col("block").isin(leading)).select(F.lit(0).alias("lane"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
+    nth = F.when(F.col("block") == (leading[0] if leading else 0), 0).otherwise(1)
+    firsts = cand.filter(F.col("block").isin(leading)).select(nth.alias("lane"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
     # Two blocks of a fixed size: small enough to send to every task that holds queries.
-    seeds = ask.withColumn("lane", F.lit(0)).join(F.broadcast(firsts), "lane").select("block", "ids", "vectors", "c_ids", "c_vectors").mapInArrow(floors, "block long, floor binary")
+    seeds = ask.withColumn("lane", F.explode(F.array(F.lit(0), F.lit(1)))).join(F.broadcast(firsts), "lane").select("block", "ids", "vectors", "c_ids", "c_vectors").mapInArrow(floors, "block long, floor binary")
     known = materialize(ask.join(seeds.groupBy("block").agg(F.collect_list("floor").alias("floors")), "block", "left"), "query-floors")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
