@@ -11,6 +11,7 @@ from .common import shared_path, table
 from .contextmix import lm_scores
 from .decontam import contaminated
 from .packing import pack_documents
+from .quality import quality_scores
 from .simhash import simhash_components
 from .tokenfile import token_file_digest, write_token_files
 from .topk import top_inner_products
@@ -37,6 +38,10 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(chat_windows(rows.unionByName(more), budget=2048, history=512))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, 4096)
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_windows": op5_chat_windows,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
