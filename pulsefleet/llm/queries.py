@@ -10,6 +10,7 @@ from .chat import chat_digest, chat_windows
 from .common import shared_path, table
 from .contextmix import lm_scores
 from .decontam import contaminated
+from .htmltext import extract
 from .packing import pack_documents
 from .quality import quality_scores
 from .simhash import simhash_components
@@ -38,6 +39,10 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(chat_windows(rows.unionByName(more), budget=2048, history=512))
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_windows": op5_chat_windows,
+    "op6_main_text": op6_main_text,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
