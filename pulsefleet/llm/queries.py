@@ -10,6 +10,7 @@ from .chat import chat_digest, chat_windows
 from .common import shared_path, table
 from .contextmix import lm_scores
 from .decontam import contaminated
+from .editcount import apply_edits, token_trees
 from .htmltext import extract
 from .packing import pack_documents
 from .quality import quality_scores
@@ -22,6 +23,20 @@ def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"), mod=10)
 
 
+def op2_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under three edits derived from it: an insertion, a deletion and a replacement."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    trees = token_trees(table(spark, sf_dir, "documents"), path)
+    at = lambda n: F.pmod(F.xxhash64("doc_id", F.lit(n)), F.length("text") + 1).cast("int").alias("start")
+    edits = F.array(
+        F.struct(at(1), F.lit(0).alias("length"), F.concat(F.lit(" revised, see 2024-"), F.col("doc_id").cast("string")).alias("text")),
+        F.struct(at(2), F.lit(12).alias("length"), F.lit("").alias("text")),
+        F.struct(at(3), F.lit(30).alias("length"), F.substring("text", 1, 30).alias("text")),
+    )
+    done = apply_edits(trees.withColumn("edits", edits), path)
+    return done.select("doc_id", "n_tokens_before", "n_tokens", F.length("text").cast("long").alias("n_chars"), F.size("leaf_chars").cast("long").alias("n_leaves"), "reencoded_chars")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle=4, budget=4)
 
@@ -63,6 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_context_mixing": op1_context_mixing,
+    "op2_edit_counts": op2_edit_counts,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_exact_topk": op4_exact_topk,
     "op5_chat_windows": op5_chat_windows,
