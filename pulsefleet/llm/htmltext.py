@@ -77,6 +77,23 @@ def role_of(attributes: str) -> str:
     return ""
 
 
+def implied_end(stack: list[tuple], name: str) -> int | None:
+    """Where the stack ends before a new block: at an open p with nothing but inline elements in it, or
+    at the open li of the same list."""
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i][0] == "p":
+            return i
+        if stack[i][0] not in INLINE:
+            break
+    if name == "li":
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] == "li":
+                return i
+            if stack[i][0] in ("ul", "ol", "menu"):
+                break
+    return None
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
     """(what, kind, text, outside, inside) in page order; what: word run, block break, tag.
 
@@ -101,9 +118,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
             yield ("inline" if name in INLINE else "tag"), f"tag:/{name if name in KINDS or name in OUTSIDE else 'other'}", "", outside, inside
             continue
         role = role_of(m[4]) if m[4] else ""
-        if name == "p" or name == "li":  # implied ends
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at is not None and not any(s[0] in ("ul", "ol", "table", "div", "article") for s in stack[at + 1 :]):
+        if name not in INLINE:  # a block ends an open paragraph, an item the item before it
+            at = implied_end(stack, name)
+            if at is not None:
                 del stack[at:]
                 outside, inside, context = stack[-1][1:] if stack else (False, False, "body")
         away = role not in ("", "content") or (name in OUTSIDE and not (name in HEADED and inside and not role))
@@ -156,7 +173,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """The text of the page's best contiguous region."""
     found = list(tokens(page or ""))
     best, total, begin, region = 0.0, 0.0, 0, (0, 0)
-    for n, (what, kind, text, away, within) in enumerate(found):
+    for n, (what, kind, text, away, _) in enumerate(found):
         weight = weights.get(kind)
         if weight is None:
             weight = start_weight(kind)
@@ -167,8 +184,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             score = k * (-abs(weight) if away and weight > 0 else weight)
         else:
             score = weight
-        if away and within:  # left out of the text in any case: it should not part the content around it
-            score *= 0.02
+        if away:  # left out of the text in any case: it should hardly part the content around it
+            score *= 0.05
         if total <= 0:
             total, begin = 0.0, n
         total += score
