@@ -209,3 +209,9 @@ def test_streaming_ingest_equals_rebuild_and_is_idempotent(spark, tmp_path):
     for name in ("daily_wellness", "sleep", "hrv", "training_status"):
         assert tables[name].drop("fetched_at").collect() == want[name].drop("fetched_at").collect()
     assert tables["activities"].count() == 2
+    # A list of the next month with an activity of this one must keep this month's others.
+    late = [{"activityId": 77, "startTimeLocal": "2026-06-30 23:50:00"}, {"activityId": 78, "startTimeLocal": "2026-07-01 08:00:00"}]
+    raw(spark, ("activities", late, date(2026, 7, 1))).write.mode("append").parquet(incoming)
+    ingest(spark, incoming, rawf, out, cp).awaitTermination()
+    got = {r["activity_id"]: r["date"] for r in read_tables(spark, out)["activities"].collect()}
+    assert got == {90000000001: D, 2: D, 77: date(2026, 6, 30), 78: date(2026, 7, 1)}
