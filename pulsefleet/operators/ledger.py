@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsefleet.functions.calendar import check_range, days_between
+from pulsefleet.functions.calendar import check_range
 from pulsefleet.sources.schemas import ENDPOINTS
 
 STATUSES = ("ok", "empty", "error")
@@ -74,4 +74,4 @@ def errors_in_range(ledger: DataFrame, start: str | Date | None = None, end: str
     return rows.select("user_id", "date", "endpoint", "last_error")
 
 
-__all__ = ["coverage", "days_between", "errors_in_range", "fold_attempts", "recent_errors", "sync_plan", "sync_report", "sync_state_summary"]
+__all__ = ["coverage", "errors_in_range", "fold_attempts", "recent_errors", "sync_plan", "sync_report", "sync_state_summary"]

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsefleet.functions.calendar import check_range, days_between, parse_day
+from pulsefleet.functions.calendar import check_range, parse_day
 from pulsefleet.sources.schemas import DAILY
 
 from .series import Warehouse, in_range
@@ -106,4 +106,4 @@ def gaps_by_user_range(warehouse: Warehouse, ledger: DataFrame, end: str | Date,
     return wanted.join(have, ["user_id", "table", "date"], "left_anti").select("user_id", "table", "date")
 
 
-__all__ = ["day_views", "days_between", "gaps", "gaps_by_user_range", "get_activities", "get_activity", "list_activities"]
+__all__ = ["day_views", "gaps", "gaps_by_user_range", "get_activities", "get_activity", "list_activities"]

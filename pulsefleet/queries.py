@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefleet.functions import calendar
 from pulsefleet.functions.rounding import half_even
 from pulsefleet.operators import anomaly, baseline, correlate, device, ledger, merge, parse, series, views
 from pulsefleet.plans import rebuild
 from pulsefleet.sources import snapshots
-from pulsefleet.sources.schemas import TABLES, columns
+from pulsefleet.sources.schemas import columns
 
 START, END = "2024-01-03", "2024-01-28"
 
@@ -389,4 +388,4 @@ PLAIN = {
 
 QUERIES = {name: iso(query) for name, query in PLAIN.items()}
 
-__all__ = ["QUERIES", "TABLES", "calendar", "warehouse"]
+__all__ = ["QUERIES", "warehouse"]
