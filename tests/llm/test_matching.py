@@ -9,6 +9,7 @@ import xxhash
 from pulsefleet.llm import simhash
 from pulsefleet.llm.components import connected_components
 from pulsefleet.llm.decontam import MASKS, contaminated, decontaminate
+from pulsefleet.llm.nearcopy import near_copies
 from pulsefleet.llm.simhash import simhash_components
 from pulsefleet.llm.topk import top_inner_products
 
@@ -80,6 +81,37 @@ def test_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(6):  # a group's texts differ in a few words: five-word similarities lie around 0.8, fingerprints far apart
+        base = [f"g{g}w{rng.randrange(400)}" for _ in range(200)]
+        for _ in range(12):
+            t = base[:]
+            for _ in range(rng.randrange(1, 5)):
+                t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(t)))
+    rows += [(len(rows), None), (len(rows) + 1, " "), (len(rows) + 2, rows[0][1].upper() + "  "), (len(rows) + 3, "a b"), (len(rows) + 4, "a c")]
+
+    def parts(t):
+        w = (t or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    sets = [parts(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    df = spark.createDataFrame([*rows, (None, "a b")], "doc_id long, text string").selectExpr("*", "1 as node", "2 as component_id")
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(df).collect()}
+    assert got == dict(enumerate(root))
+    by_bits = {r["doc_id"]: r["component_id"] for r in simhash_components(df).collect()}
+    assert sum(d != c for d, c in got.items()) > sum(d != c for d, c in by_bits.items())
+    assert near_copies(df.limit(0)).count() == 0
+
+
 def test_top_inner_products_equal_brute_force(spark):
     rng = random.Random(4)
     vecs = [[round(rng.uniform(-1, 1), 2) * rng.choice([0.1, 1, 5]) for _ in range(6)] for _ in range(120)]
