@@ -3,7 +3,9 @@
 A page is read as a sequence of words and tags. A word scores by the element it stands in (its nearest
 structural ancestor), a tag by its name; the best contiguous region of the page is the one with the
 largest sum, found by one linear scan. Boilerplate elements that lie inside the region (forms,
-adverts, menus, comments, ...) are left out of its text.
+adverts, menus, comments, ...) are left out of its text. A name or name part marks an element only as
+far as its contents agree: the mark goes if the element holds all of the page's article, main or content
+elements, if only a name part says it and prose outweighs the rest, or if most of the page is prose in it.
 
 Weights come from labelled pages: pages that mark their content themselves, with an ``article`` or
 ``main`` element, say for each kind of token how often it stood inside and outside. The counts over all
@@ -63,18 +65,42 @@ KINDS = frozenset("p li a td th h1 h2 h3 h4 h5 h6 div span section article main
 WORD = re.compile(r"\S+")
 
 
-def role_of(attributes: str) -> str:
-    """The first role that class, id or role attributes name; "" if none does."""
+#: Words of a text run from which it counts as prose.
+PROSE = 12
+
+
+def role_of(attributes: str) -> tuple[str, bool]:
+    """The first role that class, id or role attributes name, "" if none does; and if a whole name says so."""
     for m in NAMED.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().replace("_", "-").split():
             if name in ROLE_OF:
-                return ROLE_OF[name]
+                return ROLE_OF[name], True
             if name in CONTENT_ROLES:
-                return "content"
+                return "content", True
             for part in name.split("-"):
                 if part in ROLE_OF:
-                    return ROLE_OF[part]
-    return ""
+                    return ROLE_OF[part], False
+    return "", True
+
+
+class Mark:
+    """What stands in an element that its name, or a name part, marks as something else than the article."""
+
+    def __init__(self, at: int, role: str, whole: bool, around: int, own: bool):
+        self.at, self.role, self.whole, self.around = at, role, whole, around
+        self.prose = self.other = 0
+        self.contents = int(own)
+
+    def refuted(self, words: int, contents: int) -> bool:
+        """If the contents speak against the mark. words, contents: of the page; around: content elements
+        that the marked element stands in."""
+        if self.role == "reply":
+            return False
+        if self.contents and self.contents + self.around >= contents and not (self.whole and self.around):
+            return True
+        if not self.role or self.prose <= self.other:
+            return False
+        return not self.whole or (2 * (self.prose + self.other) > words and contents <= self.contents + self.around)
 
 
 def implied_end(stack: list[tuple], name: str) -> int | None:
@@ -94,17 +120,36 @@ def implied_end(stack: list[tuple], name: str) -> int | None:
     return None
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
     """(what, kind, text, outside, inside) in page order; what: word run, block break, tag.
 
     kind is what weights are learned for; outside: within boilerplate; inside: within article or main.
+    A mark that the element's contents refute is dropped; what stands in it is then read as unmarked.
     """
-    stack: list[tuple[str, bool, bool, str]] = []  # name, outside, inside, context for words
+    marks: list[Mark] = []
+    page_words = [0, 0]
+    found = list(walk(page, frozenset(), marks, page_words))
+    refuted = frozenset(m.at for m in marks if m.refuted(*page_words))
+    return list(walk(page, refuted, [], [0, 0])) if refuted else found
+
+
+def walk(page: str, refuted: frozenset[int], marks: list[Mark], seen: list[int]) -> Iterator[tuple[str, str, str, bool, bool]]:
+    """tokens() without the marks at ``refuted``; fills marks and seen (words, content elements)."""
+    stack: list[tuple[str, bool, bool, str, tuple[Mark, ...], bool, int]] = []  # name, outside, inside, context for words, marks, in a link or item, content elements
+    top = (False, False, "body", (), False, 0)
     for m in PIECE.finditer(page):
         piece = m[0]
-        outside, inside, context = stack[-1][1:] if stack else (False, False, "body")
+        outside, inside, context, within, linked, around = stack[-1][1:] if stack else top
         if piece[0] != "<" or piece == "<":
-            yield "text", f"word:{context}", html.unescape(piece), outside, inside
+            text = html.unescape(piece)
+            k = len(text.split())
+            seen[0] += k
+            for mark in within:
+                if k >= PROSE and not linked:
+                    mark.prose += k
+                else:
+                    mark.other += k
+            yield "text", f"word:{context}", text, outside, inside
             continue
         name = (m[3] or "").lower()
         if not name:  # comment, declaration, raw element
@@ -117,21 +162,32 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
                 del stack[at:]
             yield ("inline" if name in INLINE else "tag"), f"tag:/{name if name in KINDS or name in OUTSIDE else 'other'}", "", outside, inside
             continue
-        role = role_of(m[4]) if m[4] else ""
+        role, whole = role_of(m[4]) if m[4] else ("", True)
+        if role != "content" and (name in ("html", "body") or m.start() in refuted):
+            role = ""
         if name not in INLINE:  # a block ends an open paragraph, an item the item before it
             at = implied_end(stack, name)
             if at is not None:
                 del stack[at:]
-                outside, inside, context = stack[-1][1:] if stack else (False, False, "body")
-        away = role not in ("", "content") or (name in OUTSIDE and not (name in HEADED and inside and not role))
+                outside, inside, context, within, linked, around = stack[-1][1:] if stack else top
+        away = role not in ("", "content") or (name in OUTSIDE and m.start() not in refuted and not (name in HEADED and inside and not role))
         own = name in CONTENT or role == "content"
         if away or own or name in ("td", "li", "body"):
-            context = role or (name if name in KINDS or name in OUTSIDE else "other")
+            context = role or (name if name in KINDS or name in OUTSIDE and away else "other")
         kind = f"tag:{role or (name if name in KINDS or name in OUTSIDE else 'other')}"
         yield ("inline" if name in INLINE and not role else "tag"), kind, "", outside or away, inside or own
+        if own:
+            seen[1] += 1
+            for mark in within:
+                mark.contents += 1
         if name not in VOID and not m[4].endswith("/"):
+            if away:
+                # An element's own kind is refuted by the content elements in it alone; a form also by prose.
+                says = role or ("form" if name == "form" else "")
+                marks.append(Mark(m.start(), says if name not in OUTSIDE or name == "form" else "", whole or name == "form", around, own))
+                within = (*within, marks[-1])
             # Formatting that is never closed ends with its block.
-            stack.append((name, outside or away, inside or own, context))
+            stack.append((name, outside or away, inside or own, context, within, linked or name in ("a", "li"), around + own))
 
 
 def start_weight(kind: str) -> float:

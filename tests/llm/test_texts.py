@@ -134,6 +134,28 @@ def test_main_text(spark):
     assert extract(df.limit(0)).count() == 0 and page_weights(df.limit(0)) == {}
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="single has-sidebar">{}</body>',
+        '<html class="no-sidebar"><body>{}</body></html>',
+        '<body><div class="content-sidebar-wrap"><article>{}</article></div></body>',
+        '<body><main><div class="content-sidebar-wrap"><article>{}</article></div></main></body>',
+        '<body><div id="page-header-wrap"><div class="post">{}</div></div></body>',
+        '<body><article class="legal">{}</article></body>',
+        '<body><article><section class="popular-science">{}</section></article></body>',
+        '<body><form id="aspnetForm"><div>{}</div></form></body>',
+    ],
+)
+def test_a_name_does_not_drop_the_article(page):
+    text = " ".join(f"word{i}" for i in range(40))
+    both = f"<p>{text}</p><p>{text}</p>"
+    rest = '<div class="related-posts"><a href="x">More of this</a></div><div class="ad">Buy</div>'
+    assert main_text(page.format(both + rest), {}) == f"{text} {text}"
+    comments = f'<div class="comments"><article class="comment"><p>{text} said</p></article></div>'
+    assert "said" not in main_text(f"<body><main><p>{text}</p><p>{text}</p>{comments}</main></body>", {})
+
+
 def quality_rows(n):
     rng = random.Random(11)
     rows = [(i, prose(rng, 60) if i % 3 else prose(rng, 60).replace(" ", "### ")) for i in range(n)]
