@@ -156,6 +156,15 @@ def test_a_name_does_not_drop_the_article(page):
     assert "said" not in main_text(f"<body><main><p>{text}</p><p>{text}</p>{comments}</main></body>", {})
 
 
+@pytest.mark.parametrize("tag", ['<svg viewBox="0 0 1 1"/>', "<svg/>", "<math/>", "<title-bar></title-bar>", "<object-view>", "<svg><text>no</text></svg>"])
+def test_a_raw_element_ends_where_it_ends(tag):
+    assert main_text(f"<body><p>one two three four</p>{tag}<p>five six seven</p></body>", {}) == "one two three four five six seven"
+
+
+def test_formulas_are_kept():
+    assert main_text("<p>so that <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds here</p>", {}) == "so that x=2 holds here"
+
+
 def quality_rows(n):
     rng = random.Random(11)
     rows = [(i, prose(rng, 60) if i % 3 else prose(rng, 60).replace(" ", "### ")) for i in range(n)]
