@@ -13,6 +13,8 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
+from functools import lru_cache, partial
 
 import numpy as np
 
@@ -25,6 +27,7 @@ BYTE_PIECES = re.compile(
     f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 )
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+#: Rows of a cache's two halves together; a worker process keeps its caches from task to task.
 CACHE_ROWS = 800_000
 
 
@@ -36,6 +39,32 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in keep} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class Cache:
+    """A dictionary in two halves: when the young one is full, it becomes the old one, whose rows last until asked for again."""
+
+    def __init__(self, rows: int):
+        self.half = max(1, rows // 2)
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def get(self, key: str, make: Callable[[str], bytes | None]) -> bytes | None:
+        try:
+            return self.young[key]
+        except KeyError:
+            pass
+        got = self.old[key] if key in self.old else make(key)
+        if len(self.young) >= self.half:
+            self.old, self.young = self.young, {}
+        self.young[key] = got
+        return got
+
+
+@lru_cache(maxsize=2)
+def worker_bpe(path: str, words: bool) -> CachedBpe:
+    """The worker process's own CachedBpe: Spark reuses processes, so later tasks find it warm."""
+    return CachedBpe(path, words)
+
+
 class CachedBpe:
     """ids(text): little-endian unsigned 32-bit ids as bytes, as ``encode(add_special_tokens=False)`` gives."""
 
@@ -47,38 +76,30 @@ class CachedBpe:
         self.model = self.tokenizer.model
         self.words = words
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
-        self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes | None] = {}
-        self.line: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {}
+        self.pieces, self.first, self.line, self.rest = Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def merged(self, text: str) -> bytes:
+        """The ids of one piece."""
+        if text.isascii() and text.isprintable():
+            mapped = text.replace(" ", "Ġ")
+        else:
+            mapped = text.encode().decode("latin-1").translate(self.table)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def piece(self, text: str) -> bytes:
-        got = self.pieces.get(text)
-        if got is None:
-            if text.isascii() and text.isprintable():
-                mapped = text.replace(" ", "Ġ")
-            else:
-                mapped = text.encode().decode("latin-1").translate(self.table)
-            got = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-            if len(self.pieces) >= CACHE_ROWS:
-                self.pieces.clear()
-            self.pieces[text] = got
-        return got
+        return self.pieces.get(text, self.merged)
 
-    def joined(self, cache: dict[str, bytes | None], keys: list[str], prefix: str) -> bytes | None:
+    def joined(self, cache: Cache, keys: list[str], prefix: str) -> bytes | None:
         """The ids of prefix + key for each key; None if one of them is no independent piece."""
         try:
-            return b"".join(map(cache.__getitem__, keys))
+            return b"".join(map(cache.young.__getitem__, keys))
         except (KeyError, TypeError):
             pass
-        if len(cache) >= CACHE_ROWS:
-            cache.clear()
-        for key in set(keys).difference(cache):
-            cache[key] = self.chunk(key, prefix)
-        got = list(map(cache.__getitem__, keys))
+        make = partial(self.chunk, prefix=prefix)
+        got = [cache.get(key, make) for key in keys]
         return None if None in got else b"".join(got)
 
     def chunk(self, key: str, prefix: str) -> bytes | None:
@@ -89,7 +110,9 @@ class CachedBpe:
             return None
         if self.words:
             low = key.lower() if key.isascii() else unicodedata.normalize("NFC", key).lower()
-            return b"".join(map(self.piece, WORD_PIECES.findall(low)))
+            return self.merged(low) if low.isalpha() else b"".join(map(self.piece, WORD_PIECES.findall(low)))
+        if key.isalpha():  # one piece, with a space or line start before it as a piece of its own kind
+            return self.merged(prefix + key) if prefix != "\n" else self.piece("\n") + self.merged(key)
         if not key or key[0].isspace() or key[-1].isspace():
             return None
         return b"".join(map(self.piece, BYTE_PIECES.findall(prefix + key)))

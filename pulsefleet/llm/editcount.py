@@ -20,6 +20,7 @@ own; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,12 @@ LOOK = 2
 TREE = "doc_id {key}, text string, leaf_chars array<int>, leaf_tokens array<int>, sums array<long>"
 
 
+@lru_cache(maxsize=1)
+def worker_counter(path: str) -> Counter:
+    """The worker process's own Counter, warm for later tasks."""
+    return Counter(path)
+
+
 class Counter:
     """Token counts of pre-tokens, cached; pre-tokens of a text from any of their starts on."""
 
@@ -51,7 +58,7 @@ class Counter:
     def count(self, piece: str) -> int:
         got = self.counts.get(piece)
         if got is None:
-            if len(self.counts) >= 1_000_000:
+            if len(self.counts) >= 400_000:
                 self.counts.clear()
             mapped = piece.replace(" ", "Ġ") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.bpe.table)
             got = self.counts[piece] = len(self.bpe.model.tokenize(mapped))
@@ -146,7 +153,7 @@ def token_trees(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = worker_counter(tokenizer)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             trees = [Tree(*counter.leaves(counter.pattern(t).findall(t))).lists() for t in texts]
@@ -167,7 +174,7 @@ def apply_edits(trees: DataFrame, tokenizer: str, edits: str = "edits") -> DataF
     kind = dict(trees.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer)
+        counter = worker_counter(tokenizer)
         for batch in batches:
             texts, out, before, now, work = [], [], [], [], []
             for text, chars, tokens, sums, changes in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):

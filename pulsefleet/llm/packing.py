@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import CachedBpe
+from .bpe import worker_bpe
 from .common import materialize
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end, width = CachedBpe(tokenizer, True), struct.pack("<I", end_id), 4 * capacity
+        bpe, end, width = worker_bpe(tokenizer, True), struct.pack("<I", end_id), 4 * capacity
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             out: list[tuple] = []

@@ -9,7 +9,7 @@ import pyarrow.fs as pafs
 import pytest
 from tokenizers import Tokenizer
 
-from pulsefleet.llm.bpe import CachedBpe
+from pulsefleet.llm.bpe import Cache, CachedBpe
 from pulsefleet.llm.editcount import Counter, Tree, apply_edits, edited, token_trees
 from pulsefleet.llm.packing import pack_documents, plan_packing
 from pulsefleet.llm.tokenfile import FrameReader, read_token_files, token_file_digest, write_token_files
@@ -26,6 +26,13 @@ def test_cached_ids_equal_the_library(path, words):
         assert bpe.ids(text) == bpe.whole(text), text[:80]
 
 
+def test_a_full_cache_forgets_the_oldest_half():
+    cache, made = Cache(4), []
+    for key in "abcabdea":
+        assert cache.get(key, lambda k: made.append(k) or k.encode()) == key.encode()
+    assert made == list("abcdea") and len(cache.young) <= 2 and len(cache.old) <= 2
+
+
 def docs(spark, texts, extra=False):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     return rows.selectExpr("*", "'x' as shard", "1 as length", "2L as key", "0 as nth", "0 as part") if extra else rows
@@ -48,6 +55,11 @@ def test_token_files_round_trip(spark, tmp_path):
     assert got == want
     some = {r["doc_id"]: bytes(r["ids"]) for r in read_token_files(manifest, folder, keys=[7, 3]).collect()}
     assert some == {k: ids(BYTE, texts[k], 2) for k in (3, 7)}
+    unkeyed = spark.createDataFrame([(None, "b"), (5, "z"), (5, "a"), (None, None)], "doc_id long, text string")
+    manifest = write_token_files(unkeyed, BYTE, 2, f"file://{tmp_path}/unkeyed", n_files=2)
+    got = [tuple(r) for r in token_file_digest(manifest, f"file://{tmp_path}/unkeyed").select("doc_id", "ids_crc32").orderBy("start").collect()]
+    assert got == [(k, zlib.crc32(ids(BYTE, t, 2))) for k, t in ((None, ""), (None, "b"), (5, "a"), (5, "z"))]
+    assert [r["doc_id"] for r in read_token_files(manifest, f"file://{tmp_path}/unkeyed", keys=[5, 0]).collect()] == [5, 5]
     assert write_token_files(docs(spark, []), BYTE, 2, f"file://{tmp_path}/none").count() == 0
 
 
