@@ -1,26 +1,45 @@
-"""Half-even rounding at the output edge.
+"""Half-even rounding of doubles at the output edge, as the double itself says.
 
-Values go through ``decimal(38,6)`` first, so that a tie is a tie of the decimal number (12.345) and
-not of its nearest double. A binary tie that decimals see otherwise may differ by one unit of the last digit
-from rounding the double itself; averages of whole numbers over up to 31 days never do.
+A double is rounded by its exact binary value: 2.675 lies just below its decimal form, so it rounds
+to 2.67. Scaling by a power of ten decides all but near ties; these few go through DecimalFormat,
+which looks at the binary value. Means are sums over ``decimal(38,6)`` divided once, so they do not
+depend on the order in which tasks add up.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
+def column(value: Column | str) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
 def half_even(value: Column | str, digits: int = 2) -> Column:
-    col = F.col(value) if isinstance(value, str) else value
-    return F.bround(col.cast("decimal(38,6)"), digits).cast("double")
+    """Rounded double; null stays null, what no double can hold is null too."""
+    col = column(value).try_cast("double")
+    if digits == 0:
+        return F.rint(col)
+    scaled = col * 10.0**digits
+    tie = F.abs(F.abs(scaled - F.rint(scaled)) - 0.5) <= F.abs(scaled) * 1e-12 + 1e-9
+    exact = F.call_function("format_number", col, F.lit("0." + "0" * digits)).try_cast("double")
+    return F.when(tie, exact).otherwise(F.rint(scaled) / 10.0**digits)
 
 
 def whole(value: Column | str) -> Column:
-    """Nearest int, ties to even; null stays null."""
-    return half_even(value, 0).cast("int")
+    """Nearest int, ties to even; null stays null, and what no int can hold is null."""
+    return half_even(value, 0).try_cast("int")
 
 
 def minutes(seconds: Column | str) -> Column:
-    col = F.col(seconds) if isinstance(seconds, str) else seconds
-    return whole(col.cast("double") / 60)
+    return whole(column(seconds).try_cast("double") / 60)
+
+
+def mean(value: Column | str, over: WindowSpec | None = None) -> Column:
+    """Mean over the group or the window, summed exactly to six decimals."""
+    col = column(value)
+    total, n = F.try_sum(col.try_cast("decimal(38,6)")), F.count(col)
+    if over is not None:
+        total, n = total.over(over), n.over(over)
+    return F.try_divide(total.cast("double"), n)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.calendar import check_range
-from pulsefleet.functions.rounding import half_even
+from pulsefleet.functions.rounding import half_even, mean
 from pulsefleet.plans.registry import DEFAULT_METRICS, resolve
 
 from .series import Warehouse, metric_values
@@ -22,7 +22,7 @@ def against_mean(warehouse: Warehouse, metrics: Sequence[str] | None, start: str
     found = resolve(metrics or DEFAULT_METRICS, "anomaly search", numeric=True)
     first, last = check_range(start, end)
     own = Window.partitionBy("user_id", "metric")
-    return metric_values(warehouse, found, first, last).select("user_id", "metric", "date", "value").withColumns({"mean": F.avg("value").over(own), "sd": F.stddev_pop("value").over(own), "least": F.min("value").over(own), "most": F.max("value").over(own)})
+    return metric_values(warehouse, found, first, last).select("user_id", "metric", "date", "value").withColumns({"mean": mean("value", own), "sd": F.stddev_pop("value").over(own), "least": F.min("value").over(own), "most": F.max("value").over(own)})
 
 
 def anomalies(warehouse: Warehouse, metrics: Sequence[str] | None, start: str | Date, end: str | Date, z: float = 2.0) -> DataFrame:

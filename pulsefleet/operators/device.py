@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.calendar import day_in_name, device_seconds
-from pulsefleet.functions.rounding import half_even, whole
+from pulsefleet.functions.rounding import half_even, mean, whole
 
 KEY = ["user_id", "bundle"]
 # Fixed values of the message format.
@@ -58,10 +58,10 @@ def totals(messages: DataFrame) -> DataFrame:
     offset = named("timestamp_correlation", whole(F.expr("timestampdiff(SECOND, ts, local_ts)") / 60))
     return ordered(messages).groupBy(*KEY).agg(
         F.min(hr).alias("hr_min"),
-        whole(F.avg(hr)).alias("hr_avg"),
+        whole(mean(hr)).alias("hr_avg"),
         F.max(hr).alias("hr_max"),
         F.count(hr).alias("hr_samples"),
-        whole(F.avg(stress)).alias("stress_avg"),
+        whole(mean(stress)).alias("stress_avg"),
         F.max(stress).alias("stress_max"),
         F.min(F.when(marker & begins, F.col("ts"))).alias("sleep_start"),
         F.max(F.when(marker & ~begins, F.col("ts"))).alias("sleep_stop"),

@@ -22,7 +22,7 @@ def fold_attempts(attempts: DataFrame) -> DataFrame:
     A status outside STATUSES raises; an attempt that is not an error clears the error.
     """
     known = F.when(F.col("status").isin(*STATUSES), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("no status: "), F.coalesce("status", F.lit("null")))))
-    last = F.max_by(F.struct(known.alias("status"), F.when(F.col("status") == "error", F.col("error")).alias("error")), "seq")
+    last = F.max_by(F.struct(known.alias("status"), F.when(F.col("status") == "error", F.col("error")).alias("error")), F.struct("seq", "at", "status", "error"))
     return attempts.groupBy("user_id", "endpoint", "date").agg(last.alias("last"), F.count(F.lit(1)).alias("attempts"), F.max("at").alias("updated_at")).select("user_id", "endpoint", "date", "last.status", "attempts", F.col("last.error").alias("last_error"), "updated_at")
 
 

@@ -6,11 +6,11 @@ from collections.abc import Mapping, Sequence
 from datetime import date as Date
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.calendar import BUCKETS, bucket_label, check_range
-from pulsefleet.functions.rounding import half_even
+from pulsefleet.functions.rounding import half_even, mean
 from pulsefleet.plans.registry import Metric, resolve
 
 Warehouse = Mapping[str, DataFrame]
@@ -48,7 +48,7 @@ def bucketed(values: DataFrame, metrics: Sequence[Metric], bucket: str) -> DataF
     if bucket == "daily":
         return labelled.drop("date")
     added = [m.name for m in metrics if m.additive]
-    value = F.when(F.col("metric").isin(added), F.sum("value")).otherwise(F.avg("value")) if added else F.avg("value")
+    value = F.when(F.col("metric").isin(added), F.sum("value")).otherwise(mean("value")) if added else mean("value")
     return labelled.groupBy("user_id", "label", "metric").agg(half_even(value).alias("value"), F.lit(None).cast("string").alias("category"))
 
 
@@ -59,12 +59,33 @@ def checked(metrics: Sequence[str], aggregate: str) -> list[Metric]:
 
 
 def query_metrics(warehouse: Warehouse, metrics: Sequence[str], start: str | Date, end: str | Date, aggregate: str = "daily") -> DataFrame:
-    """user_id, date (bucket label), one column per metric; a label exists if any metric has a value there."""
+    """user_id, date (bucket label), one column per metric; a label exists if any metric has a value there.
+
+    One aggregation per table; only several tables meet in a second, small one.
+    """
     found = checked(metrics, aggregate)
     first, last = check_range(start, end)
-    long = bucketed(metric_values(warehouse, found, first, last), found, aggregate)
-    cells = [F.max(F.when(F.col("metric") == m.name, F.col("value" if m.numeric else "category"))).alias(m.name) for m in found]
-    return long.groupBy("user_id", F.col("label").alias("date")).agg(*cells)
+    parts = []
+    for table in dict.fromkeys(m.table for m in found):
+        own = [m for m in found if m.table == table]
+        rows = in_range(warehouse[table], first, last).filter(F.col("date").isNotNull())
+        if table == "activities" and (aggregate == "daily" or not all(m.additive for m in own)):
+            rows = rows.groupBy("user_id", "date").agg(*[m.expr().alias(m.name) for m in own])
+            cells = {m.name: F.col(m.name) for m in own}
+        else:  # what adds up over days adds up over the bucket at once
+            cells = {m.name: m.expr() for m in own}
+        label = bucket_label(F.col("date"), aggregate).alias("label")
+        if aggregate != "daily":
+            direct = table == "activities" and all(m.additive for m in own)
+            value = lambda m: cells[m.name] if direct else (F.sum if m.additive else mean)(cells[m.name])
+            rows = rows.groupBy("user_id", label).agg(*[half_even(value(m)).alias(m.name) for m in own])
+        else:
+            rows = rows.select("user_id", label, *[cells[m.name].cast("double" if m.numeric else "string").alias(m.name) for m in own])
+        parts.append(rows.filter(reduce(Column.__or__, [F.col(m.name).isNotNull() for m in own])))
+    wide = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).withColumnRenamed("label", "date")
+    if len(parts) == 1:
+        return wide.select("user_id", "date", *metrics)
+    return wide.groupBy("user_id", "date").agg(*[F.max(m).alias(m) for m in metrics])
 
 
 def metric_stats(warehouse: Warehouse, metrics: Sequence[str], start: str | Date, end: str | Date, aggregate: str = "daily") -> DataFrame:
@@ -74,6 +95,6 @@ def metric_stats(warehouse: Warehouse, metrics: Sequence[str], start: str | Date
     values = metric_values(warehouse, found, first, last)
     numeric = [m.name for m in found if m.numeric]
     long = bucketed(values, found, aggregate).filter(F.col("metric").isin(numeric))
-    stats = long.groupBy("user_id", "metric").agg(half_even(F.avg("value")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), half_even(F.stddev_pop("value")).alias("sd"))
+    stats = long.groupBy("user_id", "metric").agg(half_even(mean("value")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), half_even(F.stddev_pop("value")).alias("sd"))
     users = values.select("user_id").distinct().withColumn("metric", F.explode(F.array(*map(F.lit, numeric))))
     return users.join(stats, ["user_id", "metric"], "left")

@@ -6,12 +6,16 @@ START, END = "2024-01-03", "2024-01-28"
 
 
 def h(x: str, digits: int = 2) -> str:
-    """Half-even rounding over decimal(38,6), as the library rounds."""
-    return f"round_even(({x})::decimal(38,6), {digits})::double"
+    """Half-even rounding of the double's binary value, as the library rounds."""
+    return f"format('{{:.{digits}f}}', ({x})::double)::double"
 
 
 def whole(x: str) -> str:
-    return f"round_even(({x})::decimal(38,6), 0)::int"
+    return f"round_even(({x})::double, 0)::int"
+
+
+def mean(x: str, over: str = "") -> str:
+    return f"(sum(({x})::decimal(38,6)){over}::double / nullif(count({x}){over}, 0))"
 
 
 MONEY = "value::decimal(18,2)"
@@ -46,7 +50,7 @@ TREND = {"resting_hr": ("wellness", "resting_hr"), "distance_m": ("wellness", "d
 
 def labelled(bucket: str) -> str:
     label = {"weekly": "strftime(date_trunc('week', date), '%Y-%m-%d')", "monthly": "strftime(date, '%Y-%m')"}[bucket]
-    return f"bucketed as (select user_id, {label} as label, metric, {h("case when starts_with(metric, 'activity_') then sum(v) else avg(v) end")} as v from mv group by 1, 2, 3)"
+    return f"bucketed as (select user_id, {label} as label, metric, {h("case when starts_with(metric, 'activity_') then sum(v) else " + mean("v") + " end")} as v from mv group by 1, 2, 3)"
 
 
 def trend(bucket: str) -> str:
@@ -59,7 +63,7 @@ def trend(bucket: str) -> str:
 
 STATS = f"""with {WELLNESS}, {SLEEP}, {EVENT_ACTS}, {long(TREND)}, {labelled("weekly")},
 users as (select distinct user_id, unnest({list(TREND)}) as metric from mv)
-select user_id, metric, {h("avg(v)")} as mean, min(v) as min, max(v) as max, {h("stddev_pop(v)")} as sd
+select user_id, metric, {h(mean("v"))} as mean, min(v) as min, max(v) as max, {h("stddev_pop(v)")} as sd
 from users left join bucketed using (user_id, metric) group by 1, 2"""
 
 CATEGORICAL = f"""with {HRV} select user_id, strftime(date, '%Y-%m-%d') as date, last_night_avg::double as hrv, status as hrv_status from hrv where {IN}"""
@@ -95,7 +99,7 @@ def baselines(days: int, end: str | None) -> str:
     last = "max(date)" if end is None else f"date '{end}'"
     return f"""with {WELLNESS}, {SLEEP}, {HRV}, {long(VITALS, "true")},
 ends as (select user_id, {last} as e from (select user_id, date from wellness union all select user_id, date from sleep union all select user_id, date from hrv) group by 1),
-b as (select user_id, metric, avg(v) as m, stddev_pop(v) as s, arg_max(v, date) as current, count(*) as n from mv join ends using (user_id) where date between e - {days - 1} and e group by 1, 2),
+b as (select user_id, metric, {mean('v')} as m, stddev_pop(v) as s, arg_max(v, date) as current, count(*) as n from mv join ends using (user_id) where date between e - {days - 1} and e group by 1, 2),
 w as (select user_id, e, unnest(['resting_hr', 'hrv', 'sleep_score', 'skin_temp_dev_c', 'stress_avg', 'steps']) as metric from ends),
 c as (select *, {h("m - s")} as band_low, {h("m + s")} as band_high from w left join b using (user_id, metric))
 select user_id, (e - {days - 1})::date as start, e::date as "end", metric, {h("m")} as mean, {h("s")} as sd, band_low, band_high, current,
@@ -103,11 +107,11 @@ case when current < band_low then 'below' when current > band_high then 'above'
 
 
 ANOMALIES = f"""with {WELLNESS}, {SLEEP}, {HRV}, {long({"distance_m": ("wellness", "distance_m"), "sleep_duration_min": ("sleep", "duration_min"), "hrv": ("hrv", "last_night_avg")})},
-z as (select *, (v - avg(v) over g) / nullif(stddev_pop(v) over g, 0) as z0, min(v) over g as lo, max(v) over g as hi from mv window g as (partition by user_id, metric))
+z as (select *, (v - {mean("v", " over g")}) / nullif(stddev_pop(v) over g, 0) as z0, min(v) over g as lo, max(v) over g as hi from mv window g as (partition by user_id, metric))
 select user_id, date, metric, v as value, {h("z0")} as z, case when z0 > 0 then 'high' else 'low' end as direction from z where lo < hi and abs(z0) >= 2"""
 
 STREAKS = f"""with {WELLNESS}, {SLEEP}, {TRAINING}, {long({"distance_m": ("wellness", "distance_m"), "sleep_duration_min": ("sleep", "duration_min"), "stress_avg": ("wellness", "stress_avg"), "steps": ("wellness", "steps"), "acute_load": ("training", "acute_load")})},
-k as (select *, avg(v) over g as m, min(v) over g as lo, max(v) over g as hi from mv window g as (partition by user_id, metric)),
+k as (select *, {mean("v", " over g")} as m, min(v) over g as lo, max(v) over g as hi from mv window g as (partition by user_id, metric)),
 s as (select user_id, metric, date, case when v > m then 'above_mean' when v < m then 'below_mean' end as kind from k where lo < hi),
 i as (select *, date - row_number() over (partition by user_id, metric, kind order by date)::int as island from s where kind is not null)
 select user_id, metric, kind, min(date) as start, max(date) as "end", count(*)::bigint as len from i group by user_id, metric, kind, island having count(*) >= 5"""
@@ -173,8 +177,8 @@ stages as (select user_id, bundle, (coalesce(sum(held) filter (stage = 3), 0) //
 votes as (select user_id, bundle, k, case when k = 9 then v % 7 else v % 150 end as x, count(*) as n, min(event_id) as seen from m where k = 9 or (k = 6 and v % 150 between 30 and 120) group by 1, 2, 3, 4),
 modes as (select user_id, bundle, arg_min(x, (-n, seen)) filter (k = 9) as sleep_score, arg_min(x, (-n, seen)) filter (k = 6) as rhr_on_device from votes group by 1, 2),
 naps as (select user_id, bundle, count(*)::bigint as naps, ({whole("1830 / 60")} * count(*))::int as nap_min, min(v) as v1 from m where k = 8 group by 1, 2),
-tot as (select user_id, bundle, min(date) as date, min(v) filter (k in (0, 1) and v > 0) as hr_min, {whole("avg(v) filter (k in (0, 1) and v > 0)")} as hr_avg, max(v) filter (k in (0, 1) and v > 0) as hr_max, count(*) filter (k in (0, 1) and v > 0)::bigint as hr_samples,
-  {whole("avg(v) filter (k = 2 and v between 0 and 100)")} as stress_avg, max(v) filter (k = 2 and v between 0 and 100) as stress_max,
+tot as (select user_id, bundle, min(date) as date, min(v) filter (k in (0, 1) and v > 0) as hr_min, {whole(mean("v", " filter (k in (0, 1) and v > 0)"))} as hr_avg, max(v) filter (k in (0, 1) and v > 0) as hr_max, count(*) filter (k in (0, 1) and v > 0)::bigint as hr_samples,
+  {whole(mean("v", " filter (k = 2 and v between 0 and 100)"))} as stress_avg, max(v) filter (k = 2 and v between 0 and 100) as stress_max,
   min(ts) filter (k = 3 and event_type = 'view') as a, max(ts) filter (k = 3 and event_type <> 'view') as b,
   arg_max(v, event_id) filter (k = 7) as hv from m group by 1, 2),
 dec as (select tot.*, steps, distance_m, case when b > a then {whole("date_sub('second', a, b) / 60")} end as sleep_min, {whole("hv * 64 / 128")} as last_night_avg, {whole("hv * 100 / 128")} as weekly_avg,

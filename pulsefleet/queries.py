@@ -133,8 +133,8 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = F.struct(F.struct(device_map.alias("latestTrainingStatusData")).alias("mostRecentTrainingStatus"), F.struct(F.struct(F.col("n").cast("double").alias("vo2MaxPreciseValue")).alias("generic")).alias("mostRecentVO2Max"))
     kinds = {"usersummary": summary, "sleep": sleep, "hrv": hrv, "training_status": training}
     rows = acts.select("user_id", "date", "endpoint", "content")
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("endpoint"), F.to_json(v).alias("content")) for k, v in kinds.items()]))
-    rows = rows.unionByName(days.withColumn("x", each).select("user_id", "date", "x.endpoint", "x.content"))
+    for k, v in kinds.items():  # a branch each: a filter on the endpoint drops the others
+        rows = rows.unionByName(days.select("user_id", "date", F.lit(k).alias("endpoint"), F.to_json(v).alias("content")))
     return rows.select("user_id", snapshots.daily_path(F.col("date"), F.col("endpoint")).alias("path"), "date", "endpoint", F.col("date").cast("timestamp").alias("fetched_at"), "content")
 
 

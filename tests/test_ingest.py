@@ -2,13 +2,15 @@ import json
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from pulsefleet.functions.rounding import half_even, whole
 from pulsefleet.operators import device, merge, parse
 from pulsefleet.plans import rebuild
 from pulsefleet.sources import snapshots
 from pulsefleet.sources.schemas import DEVICE, RAW
 from pulsefleet.sources.tables import read_tables, write_table
-from pulsefleet.streaming.ingest import ingest
+from pulsefleet.streaming.ingest import index, ingest, ingest_batch, ledger
 
 D = date(2026, 6, 1)
 T = datetime(2026, 6, 2, 4)
@@ -30,7 +32,7 @@ def raw(spark, *rows):
     for endpoint, payload, *day in rows:
         d = (day or [D])[0]
         path = f"activities/{payload['activityId']}.json" if endpoint == "activity" else f"daily/{d:%Y}/{d}/{endpoint}.json"
-        out.append((1, path, None if endpoint == "activity" else d, endpoint, T, payload if isinstance(payload, str) else json.dumps(payload)))
+        out.append((1, path, None if endpoint == "activity" else d, endpoint, T, payload if payload is None or isinstance(payload, str) else json.dumps(payload)))
     return spark.createDataFrame(out, RAW)
 
 
@@ -197,21 +199,78 @@ def test_table_sink_replaces_touched_months_only(spark, tmp_path):
     assert got == {D: 62, date(2026, 7, 1): 1}
 
 
+def same_tables(spark, root, want):
+    got = read_tables(spark, f"{root}/tables")
+    for name, rows in want.items():
+        columns = [c for c in rows.columns if c != "fetched_at"]
+        assert sorted(map(str, got[name].select(*columns).collect())) == sorted(map(str, rows.select(*columns).collect())), name
+
+
 def test_streaming_ingest_equals_rebuild_and_is_idempotent(spark, tmp_path):
-    incoming, rawf, out, cp = (f"{tmp_path}/{x}" for x in ("in", "raw", "out", "cp"))
+    incoming, root, cp = (f"{tmp_path}/{x}" for x in ("in", "root", "cp"))
     first, second = raw(spark, *ALL[:3]), raw(spark, *ALL[3:5], ("hrv", {"hrvSummary": {"lastNightAvg": 5}}))
     for part in (first, second):
         part.write.mode("append").parquet(incoming)
-        ingest(spark, incoming, rawf, out, cp).awaitTermination()
-    ingest(spark, incoming, rawf, out, f"{tmp_path}/cp2").awaitTermination()  # a replay of everything
-    tables = read_tables(spark, out)
-    want = rebuild.rebuild(raw(spark, *ALL[:5]))
-    for name in ("daily_wellness", "sleep", "hrv", "training_status"):
-        assert tables[name].drop("fetched_at").collect() == want[name].drop("fetched_at").collect()
-    assert tables["activities"].count() == 2
-    # A list of the next month with an activity of this one must keep this month's others.
-    late = [{"activityId": 77, "startTimeLocal": "2026-06-30 23:50:00"}, {"activityId": 78, "startTimeLocal": "2026-07-01 08:00:00"}]
-    raw(spark, ("activities", late, date(2026, 7, 1))).write.mode("append").parquet(incoming)
-    ingest(spark, incoming, rawf, out, cp).awaitTermination()
-    got = {r["activity_id"]: r["date"] for r in read_tables(spark, out)["activities"].collect()}
-    assert got == {90000000001: D, 2: D, 77: date(2026, 6, 30), 78: date(2026, 7, 1)}
+        ingest(spark, incoming, root, cp).awaitTermination()
+    ingest(spark, incoming, root, f"{tmp_path}/cp2").awaitTermination()  # a replay of everything
+    same_tables(spark, root, rebuild.rebuild(raw(spark, *ALL[:5])))
+    want = {("usersummary", "ok"), ("sleep", "ok"), ("hrv", "ok"), ("training_status", "ok"), ("activities", "ok")}
+    assert {(r["endpoint"], r["status"]) for r in ledger(spark, root).collect()} == want
+    assert {r["attempts"] for r in ledger(spark, root).collect()} == {1}
+    assert index(spark, root).count() == 7 == spark.read.parquet(f"{root}/raw").count()
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_activities_months_away_from_their_lists(spark, tmp_path, turn):
+    """A list of May holds an activity of January; another batch touches January, in both orders and after a replay."""
+    may = [{"activityId": 1, "startTimeLocal": "2024-01-12 08:00:00"}, {"activityId": 3, "startTimeLocal": "2024-05-09 08:00:00"}]
+    january = [{"activityId": 2, "startTimeLocal": "2024-01-20 08:00:00"}]
+    lists = [("activities", may, date(2024, 5, 10)), ("activities", january, date(2024, 1, 21)), ("activity", {"activityId": 2, "activityName": "own"})]
+    incoming, root = f"{tmp_path}/in", f"{tmp_path}/root"
+    for part in lists[::turn]:
+        raw(spark, part).write.mode("append").parquet(incoming)
+        ingest(spark, incoming, root, f"{tmp_path}/cp").awaitTermination()
+    held = read_tables(spark, f"{root}/tables")["activities"]
+    assert sorted(r["activity_id"] for r in held.collect()) == [1, 2, 3]
+    ingest(spark, incoming, root, f"{tmp_path}/cp2").awaitTermination()
+    stored = spark.read.schema(RAW).parquet(f"{root}/raw")
+    same_tables(spark, root, {"activities": rebuild.rebuild(stored)["activities"]})
+
+
+def test_forced_snapshots_move_an_activity(spark, tmp_path):
+    root = str(tmp_path)
+    ingest_batch(raw(spark, ("activities", [{"activityId": 1, "startTimeLocal": "2024-01-12 08:00:00"}], date(2024, 1, 13)), ("hrv", None, D)), root)
+    later = raw(spark, ("activities", [{"activityId": 1, "startTimeLocal": "2024-03-02 08:00:00"}], date(2024, 1, 13)), ("hrv", HRV, D)).withColumn("fetched_at", F.timestamp_add("day", F.lit(1), "fetched_at"))
+    ingest_batch(later, root)  # the path is taken
+    assert one(read_tables(spark, f"{root}/tables")["activities"])["date"] == date(2024, 1, 12)
+    ingest_batch(later, root, force=True)
+    ingest_batch(later, root, force=True)
+    assert one(read_tables(spark, f"{root}/tables")["activities"])["date"] == date(2024, 3, 2)
+    states = {r["endpoint"]: (r["status"], r["attempts"], r["last_error"]) for r in ledger(spark, root).collect()}
+    assert states == {"activities": ("ok", 2, None), "hrv": ("ok", 2, None)}
+    assert spark.read.parquet(f"{root}/raw").filter("endpoint = 'activities'").count() == 2
+
+
+def test_a_batch_reads_the_parts_it_touches(spark, tmp_path):
+    from pulsefleet.streaming.ingest import PARTS, stored, within
+
+    root = str(tmp_path)
+    ingest_batch(raw(spark, ("hrv", HRV), ("hrv", HRV, date(2026, 7, 1)), ("sleep", SLEEP)), root)
+    rows = within(stored(spark, f"{root}/raw", RAW + ", part string"), PARTS, [("hrv", "2026-06")])
+    plan = rows._jdf.queryExecution().toString()
+    assert len(rows.collect()) == 1 and len(rows.inputFiles()) == 3
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_a_bad_number_is_null_in_its_cell_only(spark):
+    rows = raw(spark, ("usersummary", {"totalSteps": 1e12, "restingHeartRate": 50}), ("usersummary", {"totalSteps": 1e40, "minHeartRate": 40}, date(2026, 6, 2)), ("usersummary", {"totalSteps": 7}, date(2026, 6, 3)))
+    got = {r["date"]: (r["steps"], r["resting_hr"], r["min_hr"]) for r in parse.parse_usersummary(rows).collect()}
+    assert got == {D: (None, 50, None), date(2026, 6, 2): (None, None, 40), date(2026, 6, 3): (7, None, None)}
+
+
+def test_rounding_follows_the_binary_value(spark):
+    cases = [2.675, 1.005, 0.125, -2.675, 2.5, 3.5, 1e22, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, x double")
+    got = df.select("i", half_even("x").alias("a"), whole("x").alias("b")).orderBy("i").collect()
+    assert [r["a"] for r in got] == [None if x is None else round(x, 2) for x in cases]
+    assert [r["b"] for r in got] == [3, 1, 0, -3, 2, 4, None, None]
