@@ -14,6 +14,7 @@ from pulsefleet.sources.schemas import DAILY
 
 from .series import Warehouse, in_range
 
+# The columns that lists and day views show.
 LISTED = ("activity_id", "date", "name", "type", "duration_s", "distance_m", "elevation_gain_m", "avg_hr")
 IN_DAY = ("activity_id", "name", "type", "duration_s", "distance_m", "avg_hr")
 
