@@ -1,40 +1,57 @@
 """Operator 4: exact top-k inner products over norm-sorted blocks.
 
-Candidates are sorted by descending length (norm) and cut into blocks; all vectors are rotated by
-the eigenvectors of the candidates' Gram matrix (their right singular vectors), so that the first
-coordinates carry most of an inner product. A query has a floor: the k-th best of its scores in one
-of the leading blocks. A block goes whole when |q| times its longest vector is below the
-floor (Cauchy-Schwarz); inside a block, partial sums over the first coordinates plus the product of
-the residual lengths bound each score, coordinate group after coordinate group, and only candidates
-that still reach the floor get their exact integer score.
-
-Queries, too, are cut into blocks; a block of queries meets every block of candidates through an
-equi-join on lanes, so nothing whole passes one task or the driver. Only the Gram matrix (dimension
-squared) and one row per partition come to the driver.
+Candidates are sorted by descending length (norm) and cut into blocks, numbered in that order; all
+vectors are rotated by the eigenvectors of the candidates' Gram matrix (their right singular vectors),
+so that the first coordinates carry most of an inner product.
+
+Rounds visit the blocks in descending order, twice as many in each round. A query's floor is the k-th
+best of its scores so far; it rises from round to round. A query takes part in a round only as far as
+its length times a block's longest vector reaches its floor (Cauchy-Schwarz): queries of like cutoffs
+(floor over length) are packed together, the blocks of a round form at most ``STEPS`` steps of equal
+size, and packed queries meet, by an equi-join on the step, only the steps that they can still gain from. So pairs of blocks
+that cannot matter are never formed. When no query reaches the next round's longest vector, the
+search ends. Within a pair, partial sums over the first coordinates plus the product of the residual
+lengths bound each score, coordinate group after coordinate group, and only candidates that still
+reach the floor get their integer score.
+
+Scores are exact: where lengths allow sums beyond 2^53 they are added as Python integers, and one beyond the range of a
+long raises. Only the Gram matrix (dimension squared), a count per partition and the steps' longest
+vectors come to the driver.
 
 Edge cases: vectors that are null or hold null or non-finite components take no part, as query or
 candidate; shorter vectors count as padded with zeros; rows without an id take no part; a query never
-gets rows with its own id; repeated ids are candidates each; equal scores go to the smaller id; fewer
-than k candidates give them all; extra columns are ignored; empty tables give no rows.
+gets rows with its own id; repeated ids are candidates each, repeated query ids one query; equal scores
+go to the smaller id; fewer than k candidates give them all; extra columns are ignored; empty tables
+give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
 
-BLOCK = "block long, top double, ids binary, vectors binary"
+BLOCK = "part int, at int, top double, ids binary, vectors binary, turned binary"
+ASKED = "cutoff double, ids binary, vectors binary, floors binary"
+#: Steps of a round, and blocks of a step that share a join key.
+STEPS, LANE = 64, 8
+#: Integers up to here are exact as doubles.
+EXACT = float(1 << 53)
+
+
+def floored(x: Column) -> Column:
+    return F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x)
 
 
 def integer_vectors(df: DataFrame, key: str, vector: str, scale: float) -> DataFrame:
     """(id, v): v holds floor(scale * x) of every component, as doubles; usable vectors only."""
-    v = F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
+    v = F.transform(vector, lambda x: floored(F.lit(float(scale)) * x.cast("double")))
     usable = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return df.filter(F.col(vector).isNotNull() & F.col(key).isNotNull()).filter(usable).select(F.col(key).cast("long").alias("id"), v.alias("v"))
 
@@ -69,33 +86,47 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     return vectors[:, ::-1].copy()
 
 
-def blocks(rows: DataFrame, dim: int, size: int, n: int) -> DataFrame:
-    """Packed blocks of up to ``size`` rows of (norm, id, v), in descending norm within each range of norms."""
+def packed(size: int, pack: Callable[[int, list[np.ndarray]], pa.RecordBatch], read: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Callable:
+    """For mapInArrow: rows gathered to blocks of ``size``, numbered within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = 0, []
+        for batch in batches:
+            held.append(read(batch))
+            while sum(len(x[0]) for x in held) >= size:
+                whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+                yield pack(at, [x[:size] for x in whole])
+                at, held = at + 1, [[x[size:] for x in whole]]
+        if sum(len(x[0]) for x in held):
+            yield pack(at, [np.concatenate(x) for x in zip(*held, strict=True)])
+
+    return run
+
+
+def candidate_blocks(rows: DataFrame, dim: int, turn: np.ndarray, size: int, n: int) -> DataFrame:
+    """Blocks of up to ``size`` rows of (id, v, norm); all norms fall from block to block, by (part, at)."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(at: int, columns: list[np.ndarray]) -> pa.RecordBatch:
         from pyspark import TaskContext
 
-        at, ids, vs = 0, [], []
-        part = TaskContext.get().partitionId()
+        ids, m = columns
+        top = float(np.sqrt((m * m).sum(1)).max())
+        return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "at": pa.array([at], pa.int32()), "top": [top], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([m.tobytes()], pa.binary()), "turned": pa.array([(m @ turn).tobytes()], pa.binary())})
 
-        def block(i: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
-            top = float(np.sqrt((m * m).sum(1)).max())
-            return pa.RecordBatch.from_pydict({"block": pa.array([part * (1 << 32) + at], pa.int64()), "top": [top], "ids": pa.array([i.tobytes()], pa.binary()), "vectors": pa.array([m.tobytes()], pa.binary())})
+    ordered = rows.repartitionByRange(n, F.col("norm").desc(), "id").sortWithinPartitions(F.col("norm").desc(), "id")
+    return ordered.select("id", "v").mapInArrow(packed(size, pack, lambda b: [b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), dim)]), BLOCK)
 
-        for batch in batches:
-            ids.append(batch.column(0).to_numpy(zero_copy_only=False))
-            vs.append(matrix(batch.column(1), dim))
-            while sum(map(len, ids)) >= size:
-                i, m = np.concatenate(ids), np.concatenate(vs)
-                yield block(i[:size], m[:size])
-                at += 1
-                ids, vs = [i[size:]], [m[size:]]
-        if sum(map(len, ids)):
-            yield block(np.concatenate(ids), np.concatenate(vs))
 
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    ordered = rows.withColumn("norm", norm).repartitionByRange(n, F.col("norm").desc(), "id").sortWithinPartitions(F.col("norm").desc(), "id")
-    return ordered.select("id", "v").mapInArrow(pack, BLOCK)
+def query_blocks(rows: DataFrame, dim: int, size: int, n: int) -> DataFrame:
+    """Blocks of (id, v, floor, cutoff), of like cutoffs; cutoff: the least of the block."""
+
+    def pack(_: int, columns: list[np.ndarray]) -> pa.RecordBatch:
+        ids, m, floors, cutoffs = columns
+        return pa.RecordBatch.from_pydict({"cutoff": [float(cutoffs.min())], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([m.tobytes()], pa.binary()), "floors": pa.array([floors.tobytes()], pa.binary())})
+
+    ordered = rows.repartitionByRange(n, "cutoff", "id").sortWithinPartitions("cutoff", "id")
+    plain = lambda c: c.to_numpy(zero_copy_only=False)
+    return ordered.select("id", "v", "floor", "cutoff").mapInArrow(packed(size, pack, lambda b: [plain(b.column(0)), matrix(b.column(1), dim), plain(b.column(2)), plain(b.column(3))]), ASKED)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -108,75 +139,90 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def unpack(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, dim)
-
-
-def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding", block: int = 4096, query_block: int = 512, steps: tuple[int, ...] = (8, 24)) -> DataFrame:
-    """(query_id, rank, vec_id, score): every query's k best candidates but those of its own id."""
+def exact_scores(m: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
+    """Inner products as integers; ``bound``: the product of the lengths."""
+    if bound < EXACT:
+        return (m @ q).astype(np.int64)
+    own = [int(x) for x in q]
+    sums = [sum(int(a) * b for a, b in zip(row, own, strict=True)) for row in m]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in sums):
+        raise ValueError("an inner product lies beyond the range of a long")
+    return np.array(sums, np.int64)
+
+
+def pair_scores(pair: dict, dim: int, turn: np.ndarray, k: int, steps: tuple[int, ...]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query ids, candidate ids, scores) of a block of queries in a block of candidates, up to k each."""
+    rows = lambda x: np.frombuffer(x, np.float64).reshape(-1, dim)
+    qi, qv, floor = np.frombuffer(pair["ids"], np.int64), rows(pair["vectors"]), np.frombuffer(pair["floors"])
+    ci, cv, cr = np.frombuffer(pair["c_ids"], np.int64), rows(pair["c_vectors"]), rows(pair["c_turned"])
+    bound = np.sqrt((qv * qv).sum(1)) * pair["c_top"]
+    floor = floor - 1e-9 * bound - 1e-9
+    alive = np.flatnonzero(bound >= floor)
+    qr = qv[alive] @ turn
+    partial, open_ = np.zeros((len(alive), len(ci))), np.ones((len(alive), len(ci)), bool)
+    lo = 0
+    for hi in (s for s in steps if s < dim and len(alive)):
+        partial += qr[:, lo:hi] @ cr[:, lo:hi].T
+        rest = np.sqrt((qr[:, hi:] ** 2).sum(1))[:, None] * np.sqrt((cr[:, hi:] ** 2).sum(1))[None, :]
+        open_ &= partial + rest >= floor[alive, None]
+        lo = hi
+    for row, a in enumerate(alive):
+        at = np.flatnonzero(open_[row] & (ci != qi[a]))
+        if len(at):
+            scores = exact_scores(cv[at], qv[a], bound[a])
+            keep = np.flatnonzero(scores >= floor[a])
+            top = keep[best(scores[keep], ci[at[keep]], k)]
+            yield np.full(len(top), qi[a]), ci[at[top]], scores[top]
+
+
+def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding", block: int = 2048, query_block: int = 256, steps: tuple[int, ...] = (8, 24), pairs_read: Accumulator | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): every query's k best candidates but those of its own id. pairs_read counts pairs of blocks."""
     spark = candidates.sparkSession
     n = partitions(spark)
-    rows, asked = integer_vectors(candidates, key, vector, scale), integer_vectors(queries, key, vector, scale)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    rows, asked = (integer_vectors(df, key, vector, scale).withColumn("norm", norm) for df in (candidates, queries))
     dim = max((df.agg(F.max(F.size("v"))).first()[0] or 1) for df in (rows, asked))
     turn = rotation(rows, dim)
-    cand = materialize(blocks(rows, dim, block, n), "candidate-blocks")
-    ask = materialize(blocks(asked, dim, query_block, n), "query-blocks")
-    # The blocks with the longest vectors, a fixed number: they set the queries' floors.
-    lead = cand.orderBy(F.col("top").desc(), "block").limit(2).select("block").collect()
-    leading = [r["block"] for r in lead]
-
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for q in batch.to_pylist():
-                qi, qv = unpack(q["ids"], q["vectors"], dim)
-                ci, cv = unpack(q["c_ids"], q["c_vectors"], dim)
-                s = np.where(qi[:, None] == ci[None, :], -np.inf, qv @ cv.T)
-                low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(qi), -np.inf)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([q["block"]], pa.int64()), "floor": pa.array([low.tobytes()], pa.binary())})
-
-    nth = F.when(F.col("block") == (leading[0] if leading else 0), 0).otherwise(1)
-    firsts = cand.filter(F.col("block").isin(leading)).select(nth.alias("lane"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-    # Two blocks of a fixed size: small enough to send to every task that holds queries.
-    seeds = ask.withColumn("lane", F.explode(F.array(F.lit(0), F.lit(1)))).join(F.broadcast(firsts), "lane").select("block", "ids", "vectors", "c_ids", "c_vectors").mapInArrow(floors, "block long, floor binary")
-    known = materialize(ask.join(seeds.groupBy("block").agg(F.collect_list("floor").alias("floors")), "block", "left"), "query-floors")
+    ask = materialize(asked, "queries")
+    cand = materialize(candidate_blocks(rows, dim, turn, block, n), "candidate-blocks")
+    # Blocks are numbered over all partitions from a count for each of them.
+    counts = {r["part"]: r["count"] for r in cand.groupBy("part").count().collect()}
+    before = np.cumsum([0, *(counts.get(p, 0) for p in range(n))])
+    base = F.element_at(F.lit([int(x) for x in before[:-1]] or [0]), F.col("part") + 1)
+    cand = cand.withColumn("nth", base + F.col("at"))
+    total, kind = int(before[-1]), "query_id long, vec_id long, score long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pair in batch.to_pylist():
-                qi, qv = unpack(pair["ids"], pair["vectors"], dim)
-                ci, cv = unpack(pair["c_ids"], pair["c_vectors"], dim)
-                floor = np.max([np.frombuffer(x) for x in pair["floors"] or []] or [np.full(len(qi), -np.inf)], axis=0)
-                q_norm = np.sqrt((qv * qv).sum(1))
-                slack = 1e-9 * q_norm * pair["c_top"] + 1e-9
-                alive = np.flatnonzero(q_norm * pair["c_top"] + slack >= floor)
-                if not len(alive):
-                    continue
-                qr, cr = qv[alive] @ turn, cv @ turn
-                partial, open_ = np.zeros((len(alive), len(ci))), np.ones((len(alive), len(ci)), bool)
-                lo = 0
-                for hi in (s for s in steps if s < dim):
-                    partial += qr[:, lo:hi] @ cr[:, lo:hi].T
-                    rest = np.sqrt((qr[:, hi:] ** 2).sum(1))[:, None] * np.sqrt((cr[:, hi:] ** 2).sum(1))[None, :]
-                    open_ &= partial + rest + slack[alive, None] >= floor[alive, None]
-                    lo = hi
-                out: list[tuple[np.ndarray, ...]] = []
-                for row, a in enumerate(alive):
-                    at = np.flatnonzero(open_[row] & (ci != qi[a]))
-                    if not len(at):
-                        continue
-                    scores = cv[at] @ qv[a]
-                    keep = scores >= floor[a]
-                    at, scores = at[keep], scores[keep]
-                    top = best(scores, ci[at], k)
-                    out.append((np.full(len(top), qi[a]), ci[at[top]], scores[top].astype(np.int64)))
+                if pairs_read is not None:
+                    pairs_read.add(1)
+                out = list(pair_scores(pair, dim, turn, k, steps))
                 if out:
                     q, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": c, "score": s})
 
-    lanes = n
-    c_side = cand.select(F.pmod(F.xxhash64("block"), F.lit(lanes)).alias("lane"), F.col("top").alias("c_top"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-    lane_ids = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long")))
-    q_side = known.withColumn("lane", lane_ids).select("lane", "ids", "vectors", "floors")
-    found = q_side.join(c_side, "lane").select("ids", "vectors", "floors", "c_ids", "c_vectors", "c_top").mapInArrow(scan, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = spark.createDataFrame([], kind)
+    lo, hi = 0, min(2, total)
+    while lo < hi:
+        width = -(-(hi - lo) // STEPS)  # blocks in a step
+        now = cand.filter((F.col("nth") >= lo) & (F.col("nth") < hi)).withColumn("step", F.floor((F.col("nth") - lo) / width))
+        tops = [r["top"] for r in now.groupBy("step").agg(F.max("top").alias("top")).orderBy("step").collect()]
+        floors = held.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count(F.lit(1)).alias("found")).filter(F.col("found") >= k)
+        open_ = ask.join(floors.select(F.col("query_id").alias("id"), "floor"), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        cutoff = F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).when(F.col("floor") <= 0, float("-inf")).otherwise(float("inf"))
+        open_ = open_.withColumn("cutoff", cutoff - F.lit(1e-9) * F.abs(cutoff) - 1e-9).filter(F.col("cutoff") <= tops[0])
+        blocks = materialize(query_blocks(open_, dim, query_block, n), "query-blocks")
+        if lo and blocks.isEmpty():
+            break  # all later vectors are shorter
+        reach = F.size(F.filter(F.lit(tops), lambda t: t >= F.col("cutoff")))
+        q_side = blocks.filter(reach > 0).withColumn("step", F.explode(F.sequence(F.lit(0), reach - 1)))
+        lanes = -(-width // LANE)
+        q_side = q_side.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select("step", "lane", "ids", "vectors", "floors")
+        c_side = now.select(F.col("step").cast("int").alias("step"), (F.col("nth") % lanes).cast("int").alias("lane"), F.col("top").alias("c_top"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), F.col("turned").alias("c_turned"))
+        found = q_side.join(c_side, ["step", "lane"]).drop("step", "lane").mapInArrow(scan, kind)
+        best_now = held.unionByName(found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        held = materialize(best_now.select("query_id", "vec_id", "score"), "top-so-far")
+        lo, hi = hi, min(2 * hi, total)
+    return held.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")

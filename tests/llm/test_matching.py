@@ -129,6 +129,34 @@ def test_top_inner_products_equal_brute_force(spark):
     assert top_inner_products(df.limit(0), df, 5).count() == 0 and top_inner_products(few, df.limit(0), 5).count() == 0
 
 
+def test_short_vectors_are_never_met(spark):
+    """Norms that fall fast: later blocks cannot hold a best candidate, so their pairs are not formed."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 100 / (1 + i)]) for i in range(320)]
+    df = spark.createDataFrame([*rows, (None, [1.0] * 4)], "vec_id long, embedding array<double>")
+    read = spark.sparkContext.accumulator(0)
+    queries = df.filter("vec_id % 20 = 0")
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in top_inner_products(queries, df, 3, block=10, query_block=4, steps=(2,), pairs_read=read).collect()}
+    whole = {i: np.floor(64 * np.array(v)) for i, v in rows}
+    for q in [i for i in whole if i % 20 == 0]:
+        order = sorted(((-int(whole[q] @ whole[c]), c) for c in whole if c != q))[:3]
+        assert [got[q, n + 1] for n in range(3)] == [c for _, c in order]
+    all_pairs = -(-320 // 10) * -(-16 // 4)
+    assert 0 < read.value < all_pairs / 3
+
+
+def test_large_components_are_summed_exactly(spark):
+    big = float(1 << 24)
+    rows = [(0, [big, big, 1.0]), (1, [big, big, 3.0]), (2, [big, big, 2.0]), (3, [big, big, 0.0]), (4, [-big, 0.0, 1 / 64])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in top_inner_products(df.filter("vec_id = 0"), df, 9).orderBy("rank").collect()]
+    whole = {i: [int(64 * x) for x in v] for i, v in rows}
+    assert got == sorted(((c, sum(a * b for a, b in zip(whole[0], whole[c]))) for c in (1, 2, 3, 4)), key=lambda x: -x[1])
+    far = spark.createDataFrame([(0, [1e18]), (1, [1e18])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="range of a long"):
+        top_inner_products(far, far, 1).collect()
+
+
 def test_masks_keep_every_window_with_two_substitutions():
     for a in range(13):
         for b in range(13):
