@@ -8,9 +8,10 @@ Windows: prefix sums of turn tokens (characters over four, rounded up, markers i
 conversation on a line that is cut every ``stride`` tokens. The turns that lie wholly between two
 cuts are one window, a turn across a cut is a window of its own; so a window's new turns come in
 order, are never cut, and stay within the stride unless one turn alone exceeds it. The stride is
-what the budget leaves beside the history. Every later window starts with the system turn (the first turn, if
-its role is ``system``) and up to two turns before its first, as far as they fit the history's
-tokens. The loss mask holds the texts of the window's new assistant turns: repeated turns are left out
+what the budget leaves beside the history and the conversation's system turn (the first turn, if its role is
+``system``). Every later window starts with the system turn and all turns before its first whose tokens, by the prefix sums,
+fit the history. So a window of several new turns never exceeds the budget; one of a single new turn does only
+if this turn (with the system turn) leaves no other way. The loss mask holds the texts of the window's new assistant turns: repeated turns are left out
 of it, so each target counts once over all windows.
 
 Output, one row per window: conv_id, window (from 0), n_turns (new ones), text, new_start (code
@@ -47,27 +48,27 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history: int = 512, key:
     """One shuffle, on the conversation: both groupings below reuse it."""
     if not 0 <= history < budget:
         raise ValueError("history must be less than the budget")
-    stride = budget - history
     rows = turns.select(F.col(key).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     body = escaped(F.col("text"))
     rows = rows.withColumn("piece", turn_text(F.col("role"), F.col("text"))).withColumn("length", F.length(body))
     rows = rows.withColumn("tokens", F.ceil(F.length("piece") / 4))
-    rows = rows.withColumns({"end": F.sum("tokens").over(order), "nth": F.row_number().over(order), "first": F.first(F.struct("role", "piece")).over(order)})
+    rows = rows.withColumns({"end": F.sum("tokens").over(order), "nth": F.row_number().over(order), "first": F.first(F.struct("role", "piece", "tokens")).over(order)})
     rows = rows.withColumn("start", F.col("end") - F.col("tokens"))
     # (cut before the start, cut before the end): equal for a turn between two cuts.
+    stride = F.greatest(F.lit(budget - history) - F.when(F.col("first.role") == "system", F.col("first.tokens")).otherwise(0), F.lit(1))
     cut = F.struct(F.floor(F.col("start") / stride).alias("a"), F.floor((F.col("end") - 1) / stride).alias("b"))
     rows = rows.withColumn("cut", cut)
     opens = F.coalesce(F.lag("cut").over(order) != F.col("cut"), F.lit(True))
     rows = rows.withColumn("opens", opens)
     rows = rows.withColumn("window", F.sum(F.col("opens").cast("long")).over(order) - 1)
-    # A window that one of the next two turns opens repeats this turn, if the turns from here to there fit.
-    ahead = [F.struct((F.col("nth") + i).alias("nth"), F.lead("opens", i).over(order).alias("opens"), F.lead("window", i).over(order).alias("window"), F.lead("start", i).over(order).alias("start")) for i in (1, 2)]
-    rows = rows.withColumn("ahead", F.array(*ahead))
+    # The windows that open within the history's tokens behind this turn's start repeat it.
+    ahead = Window.partitionBy("conv_id").orderBy("start").rangeBetween(1, max(history, 1))
+    rows = rows.withColumn("ahead", F.collect_list(F.when(F.col("opens"), F.col("window"))).over(ahead) if history else F.array().cast("array<long>"))
     is_system = F.col("first.role") == "system"
-    repeats = F.filter("ahead", lambda a: a.opens & (a.start - F.col("start") <= history) & ~(is_system & (F.col("nth") == 1)))
+    repeats = F.when(is_system & (F.col("nth") == 1), F.array().cast("array<long>")).otherwise(F.col("ahead"))
     own = F.struct(F.col("window"), F.lit(1).alias("kind"), F.col("nth").cast("long").alias("nth"), F.col("piece"))
-    again = F.transform(repeats, lambda a: F.struct(a.window.alias("window"), F.lit(0).alias("kind"), F.col("nth").cast("long").alias("nth"), F.col("piece").alias("piece")))
+    again = F.transform(repeats, lambda a: F.struct(a.alias("window"), F.lit(0).alias("kind"), F.col("nth").cast("long").alias("nth"), F.col("piece").alias("piece")))
     system = F.when(is_system & F.col("opens") & (F.col("nth") > 1), F.array(F.struct(F.col("window"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("nth"), F.col("first.piece").alias("piece")))).otherwise(F.array())
     entries = rows.select("conv_id", "role", "length", F.explode(F.concat(F.array(own), again, system)).alias("x"))
     entries = entries.select("conv_id", "x.window", F.struct("x.kind", "x.nth", "x.piece", "role", "length").alias("x"))

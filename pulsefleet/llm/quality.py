@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +109,8 @@ def word_vectors(docs: DataFrame, buckets: int, dim: int, seed: int, text: str =
     return vectors, (seen @ vectors / max(seen.sum(), 1)).astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors, buckets: int, prior: float, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, x): the mean vector of every text's tokens and markers."""
+def pooled(docs: DataFrame, vectors, buckets: int, prior: float, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, x, carry...): the mean vector of every text's tokens and markers."""
 
     def features(tokens: Tokens, text_: str | None) -> np.ndarray:
         (w, mean), ids = vectors.value, tokens(text_)
@@ -128,10 +128,12 @@ def pooled(docs: DataFrame, vectors, buckets: int, prior: float, key: str = "doc
         tokens = Tokens(buckets)
         for batch in batches:
             x = [features(tokens, t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "x"])
+            more = [batch.column(2 + i) for i in range(len(carry))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32())), *more], names=["doc_id", "x", *carry])
 
-    kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, x array<float>")
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([f"doc_id {kinds[key]}", "x array<float>", *(f"{c} {kinds[c]}" for c in carry)])
+    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), *carry).mapInArrow(run, schema)
 
 
 class Network:
@@ -187,11 +189,11 @@ def rows_of(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 5, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "quality", buckets: int = 8192, dim: int = 32, hidden: int = 24, epochs: int = 40, max_rows: int = 30_000, prior: float = 4.0, seed: int = 17) -> DataFrame:
-    """doc_id, held_out, score (probability of label 1), predicted (1 if score >= threshold)."""
+def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 5, threshold: float = 0.3, key: str = "doc_id", text: str = "text", label: str = "quality", buckets: int = 8192, dim: int = 32, hidden: int = 24, epochs: int = 40, max_rows: int = 30_000, prior: float = 4.0, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, held_out, score (probability of label 1), predicted (1 if score >= threshold), carry: further columns as they are."""
     sc = docs.sparkSession.sparkContext
     vectors = sc.broadcast(word_vectors(docs, buckets, dim, seed, text))
-    features = materialize(pooled(docs, vectors, buckets, prior, key, text), "quality-features")
+    features = materialize(pooled(docs, vectors, buckets, prior, key, text, carry), "quality-features")
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     sample = features.filter(crc_mod("doc_id", mod) != 0).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x", "y").toArrow()
     x = rows_of(sample["x"].combine_chunks(), dim) if sample.num_rows else np.zeros((0, dim))
@@ -201,8 +203,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, mod: int = 5, threshold:
         for batch in batches:
             if batch.num_rows:
                 score = network.value.score(rows_of(batch.column(1), dim))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), *(batch.column(2 + i) for i in range(len(carry)))], names=["doc_id", "score", *carry])
 
-    kind = dict(features.dtypes)["doc_id"]
-    scored = features.mapInArrow(run, f"doc_id {kind}, score double")
-    return scored.select("doc_id", (crc_mod("doc_id", mod) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    kinds = dict(features.dtypes)
+    scored = features.mapInArrow(run, ", ".join([f"doc_id {kinds['doc_id']}", "score double", *(f"{c} {kinds[c]}" for c in carry)]))
+    return scored.select("doc_id", (crc_mod("doc_id", mod) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carry)

@@ -113,10 +113,17 @@ ds as (
 iss as (
   select item_id, p, 0 as m, w[p] || ' ' || w[p+1] || ' ' || w[p+2] || ' ' || w[p+3] || ' ' || w[p+6] || ' ' || w[p+7] as k from ip
   union all select item_id, p, 1, w[p] || ' ' || w[p+1] || ' ' || w[p+3] || ' ' || w[p+5] || ' ' || w[p+6] || ' ' || w[p+7] from ip),
-near as (select distinct doc_id, item_id, ds.p - iss.p as shift from ds join iss using (m, k)),
+need as (select distinct case when len(w) < 8 then len(w) else 4 end as n from i where len(w) between 1 and 12),
+dr as (select doc_id, p, 10 + n as m, array_to_string(w[p : p + n - 1], ' ') as k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from d, need where len(w) >= n)),
+ir as (
+  select item_id, 1 as p, 10 + len(w) as m, array_to_string(w, ' ') as k from i where len(w) between 1 and 7
+  union all select item_id, p, 14, array_to_string(w[p : p + 3], ' ') from (select item_id, w, unnest([1, len(w) - 3]) as p from i where len(w) between 8 and 12)),
+near as (
+  select distinct doc_id, item_id, ds.p - iss.p as shift from ds join iss using (m, k)
+  union select doc_id, item_id, dr.p - ir.p from dr join ir using (m, k)),
 same as (
   select doc_id, item_id, greatest(shift, 0) as start, least(len(i.w), 13) as width,
-    case when len(i.w) < 13 then len(i.w) else 11 end as least_,
+    case when len(i.w) < 8 then len(i.w) when len(i.w) < 13 then len(i.w) - 1 else 11 end as least_,
     [case when d.w[j + shift] = i.w[j] then 1 else 0 end for j in range(greatest(1, 1 - shift), least(len(i.w), len(d.w) - shift) + 1)] as eq
   from near join d using (doc_id) join i using (item_id)),
 sums as (
@@ -132,14 +139,14 @@ p as (
   select *, 4 + length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#'), ':', '\:')) + 2
     + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '##', '#\#')) + 9 as size from t),
 e as (
-  select *, (size + 3) // 4 as tokens, sum((size + 3) // 4) over o as stop, row_number() over o as nth, first(role) over o as role1, first(size) over o as size1
+  select *, (size + 3) // 4 as tokens, sum((size + 3) // 4) over o as stop, row_number() over o as nth, first(role) over o as role1, first(size) over o as size1,
+    greatest(1536 - case when first(role) over o = 'system' then (first(size) over o + 3) // 4 else 0 end, 1) as stride
   from p window o as (partition by conv_id order by turn, role, text)),
-c as (select *, stop - tokens as start, (stop - tokens) // 1536 as a, (stop - 1) // 1536 as b from e),
+c as (select *, stop - tokens as start, (stop - tokens) // stride as a, (stop - 1) // stride as b from e),
 w as (select *, coalesce(lag(a) over o <> a or lag(b) over o <> b, true) as opens from c window o as (partition by conv_id order by nth)),
 r as (
   select *, case when role1 = 'system' and nth = 1 then 0 else
-    case when lead(opens, 1) over o and lead(start, 1) over o - start <= 512 then 1 else 0 end
-    + case when lead(opens, 2) over o and lead(start, 2) over o - start <= 512 then 1 else 0 end end as repeats,
+    coalesce(sum(opens::int) over (partition by conv_id order by start range between 1 following and 512 following), 0) end as repeats,
     case when role1 = 'system' and opens and nth > 1 then size1 else 0 end as system
   from w window o as (partition by conv_id order by nth))
 select conv_id, count(*)::bigint as n_turns,

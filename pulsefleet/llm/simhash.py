@@ -12,9 +12,9 @@ size, and at most one link per fingerprint and band comes out. Bands with very m
 split again by a second band of the remaining bits. No link is lost.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; texts with fewer
-words than a shingle are hashed whole; documents without a key are left out; repeated keys with
-different texts give one row each, and the key's component is that of any of them; extra columns are
-ignored; an empty table gives no rows.
+words than a shingle are hashed whole; documents without a key have rows and link others, but never
+name a component (it is null if no member has a key); texts of a repeated key hang together through it and give one row
+each; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.filter("doc_id is not null").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
 def hang_together(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,40 +148,40 @@ def bands(width: int, n: int) -> list[tuple[int, int]]:
 
 
 def near_links(nodes: DataFrame, budget: int) -> DataFrame:
-    """(u, v): links that connect all (node, fp) rows within ``budget`` bits; fp is unique, v a representative."""
+    """(u, v): links that connect all fingerprints ``fp`` within ``budget`` bits; fp is unique."""
     top = bands(BITS, budget + 1)
 
     def value(lo: int, bits: int):
         return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << bits) - 1))
 
-    keyed = nodes.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), value(*b).alias("top")) for i, b in enumerate(top)])).alias("k")).select("node", "fp", "k.band", "k.top")
+    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("band"), value(*b).alias("top")) for i, b in enumerate(top)])).alias("k")).select("fp", "k.band", "k.top")
     hot = keyed.groupBy("band", "top").count().filter(F.col("count") > HOT).select("band", "top", F.lit(True).alias("hot"))
     split = keyed.join(hot, ["band", "top"], "left")
     # A second band of the bits outside the first: of the band's own list of remaining bands.
     second = F.array(*[F.struct(F.lit(i).alias("sub"), value(lo, bits).alias("under")) for i, (lo, bits) in enumerate(bands(BITS, 2 * budget + 2))])
     inside = (F.floor(F.col("x.sub") / 2) == F.col("band")).cast("boolean")
     rows = split.withColumn("x", F.explode(F.when(F.col("hot"), second).otherwise(F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("under")))))).filter(~inside)
-    rows = rows.select(F.xxhash64("band", "top", "x.sub", "x.under").alias("k"), "node", "fp")
+    rows = rows.select(F.xxhash64("band", "top", "x.sub", "x.under").alias("k"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
-        def links(k: np.ndarray, node: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        def links(k: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             bits = fp.view(np.uint64)
             order = np.lexsort((bits, k))
             label = trie_links(k[order], bits[order], budget)
-            ids = node[order]
+            ids = fp[order]
             far = np.flatnonzero(label != np.arange(len(label)))
             return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[label[far]])], names=["u", "v"])
 
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)))
             if sum(len(x[0]) for x in held) >= BATCH:
-                k, node, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+                k, fp = (np.concatenate(x) for x in zip(*held, strict=True))
                 whole = np.searchsorted(k, k[-1])  # the last key may go on in the next batch
-                held = [(k[whole:], node[whole:], fp[whole:])]
+                held = [(k[whole:], fp[whole:])]
                 if whole:
-                    yield links(k[:whole], node[:whole], fp[:whole])
+                    yield links(k[:whole], fp[:whole])
         if held:
             yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -192,8 +192,13 @@ def near_links(nodes: DataFrame, budget: int) -> DataFrame:
 def simhash_components(docs: DataFrame, shingle: int = 4, budget: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     prints = materialize(fingerprints(docs, shingle, key, text), "fingerprints")
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "fingerprint-nodes")
-    components = connected_components(near_links(nodes, budget))
-    own = nodes.join(components, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    # A key with several fingerprints ties them together.
+    tied = prints.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
+    tied = prints.join(tied, "doc_id").filter("fp <> lo").select(F.col("fp").alias("u"), F.col("lo").alias("v"))
+    components = connected_components(near_links(nodes, budget).unionByName(tied))
+    own = nodes.join(components.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    names = own.groupBy("group").agg(F.min("least").alias("component_id"))
+    own = own.join(names, "group").select("fp", "component_id")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return prints.join(own, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")

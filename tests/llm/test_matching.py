@@ -62,6 +62,13 @@ def test_simhash_components_equal_brute_force(spark, monkeypatch, hot):
     assert simhash_components(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_keys(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, a), (7, b), (9, b), (3, a), (None, a), (None, "alone c d e f"), (5, "other g h i j k")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(7, 3), (7, 3), (9, 3), (3, 3), (None, 3), (None, None), (5, 5)], key=str)
+
+
 def test_trie_links_dense_group():
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 1 << 63, dtype=np.uint64)
@@ -172,8 +179,8 @@ def brute_overlaps(docs, items):
         dw = words(t)
         for i, u in items:
             iw = words(u)
-            width, least = min(13, len(iw)), 11 if len(iw) >= 13 else len(iw)
-            if len(iw) < 8:
+            width, least = min(13, len(iw)), 11 if len(iw) >= 13 else len(iw) - 1 if len(iw) >= 8 else len(iw)
+            if not iw:
                 continue
             for shift in range(-len(iw) + 1, len(dw)):
                 js = range(max(0, -shift), min(len(iw), len(dw) - shift))
@@ -190,12 +197,12 @@ def brute_overlaps(docs, items):
 def test_decontamination_equals_brute_force(spark, broadcast_rows):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([30, 20, 13, 12, 9, 8, 7, 40])] + [(20, None), (21, "a b")]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate([30, 20, 13, 12, 9, 8, 7, 40, 5, 3])] + [(20, None), (21, "a b"), (22, "w7"), (23, "")]
     docs = []
     for d in range(60):
         body = [rng.choice(vocabulary) for _ in range(rng.choice([0, 5, 80]))]
         if d % 2:
-            piece = rng.choice(items[:8])[1].split()
+            piece = rng.choice(items[:10])[1].split()
             lo = rng.randrange(max(1, len(piece) - 12))
             piece = piece[lo : lo + rng.choice([10, 13, 40])]
             for _ in range(rng.randrange(4)):
@@ -210,4 +217,9 @@ def test_decontamination_equals_brute_force(spark, broadcast_rows):
     assert got == brute_overlaps(docs, items) and got
     kept = {r["doc_id"] for r in decontaminate(df, bench).collect()}
     assert kept == {d for d, _ in docs} - {g[0] for g in got}
+    capital = spark.createDataFrame([(None, "What is the capital city of France"), (4, "of")], "item_id long, text string")
+    quoted = spark.createDataFrame([(None, "He asked: what is the capital city of france? Nobody knew."), (1, "what is the capital town of france"), (2, None)], "doc_id long, text string")
+    found = sorted((tuple(r) for r in contaminated(quoted, capital, broadcast_rows=broadcast_rows).collect()), key=str)
+    assert found == [(1, 4, 1, 1, 5), (None, 4, 1, 1, 7), (None, None, 7, 7, 2)]
+    assert [r["doc_id"] for r in decontaminate(quoted, capital).collect()] == [2]
     assert contaminated(df.limit(0), bench).count() == 0 and contaminated(df, bench.limit(0)).count() == 0

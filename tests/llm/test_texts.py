@@ -100,9 +100,10 @@ def test_chat_windows_read_back(spark):
         want = (len(own), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert tuple(got[c][k] for k in ("n_turns", "turns_sha256", "loss_chars", "loss_sha256")) == want
     whole = {r["conv_id"]: r["text"] for r in chat_windows(df, budget=10**6, history=0).collect()}
+    tokens = lambda x: sum(math.ceil((len(p) + 9) / 4) for p in x.split(" </turn>\n")[:-1])
     for r in windows.collect():
         new = r["text"][r["new_start"] :]
-        assert r["n_turns"] == new.count(" </turn>\n") and (r["n_turns"] == 1 or math.ceil(len(new) / 4) <= 120 - 40)
+        assert r["n_turns"] == new.count(" </turn>\n") and (r["n_turns"] == 1 or tokens(r["text"]) <= 120)
         assert all(m["start"] >= r["new_start"] for m in r["mask"])
         if r["conv_id"] % 2 and r["window"]:
             assert r["text"].startswith(whole[r["conv_id"]][: whole[r["conv_id"]].index(" </turn>\n")])  # the system turn stays
@@ -111,6 +112,35 @@ def test_chat_windows_read_back(spark):
         chat_windows(df, budget=10, history=10)
 
 
+@pytest.mark.parametrize("system", [0, 40, 700, 9000])
+def test_no_window_of_several_turns_exceeds_the_budget(spark, system):
+    """Windows made again by hand from prefix sums; long conversations of short turns, any system turn."""
+    rng = random.Random(system)
+    turns = [("system", "s" * system)] * bool(system) + [(("user", "assistant")[k % 2], "x" * rng.choice([3, 8, 30, 200, 2500])) for k in range(150)]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    pieces = [f"### {r}: {t} </turn>\n" for r, t in turns]
+    size = [math.ceil(len(p) / 4) for p in pieces]
+    start = [sum(size[:k]) for k in range(len(size))]
+    stride = max(1, 512 - 128 - (size[0] if system else 0))
+    spans: list[list[int]] = []
+    for k in range(len(size)):
+        here = (start[k] // stride, (start[k] + size[k] - 1) // stride)
+        if spans and last == here:
+            spans[-1].append(k)
+        else:
+            spans.append([k])
+        last = here
+    want = []
+    for span in spans:
+        again = [k for k in range(1 if system else 0, span[0]) if start[span[0]] - start[k] <= 128]
+        want.append("".join(pieces[k] for k in [*([0] if system and span[0] else []), *again, *span]))
+    got = chat_windows(df, budget=512, history=128).orderBy("window").collect()
+    assert [r["text"] for r in got] == want
+    for r, span in zip(got, spans, strict=True):
+        if len(span) > 1:
+            assert sum(math.ceil(len(p + " </turn>\n") / 4) for p in r["text"].split(" </turn>\n")[:-1]) <= 512
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>Home</a></li><li><a>News</a></li></ul></nav><div class="cookie-notice"><p>We use cookies here.</p></div>
 <article><header><h1>Head &amp; line</h1></header><p>First <b>bold</b>ly put\n  text &#233; here, with words.</p><div class="ad-box"><p>Buy now</p></div>
@@ -216,6 +246,17 @@ def test_pipeline_stages(spark, tmp_path):
         at = nxt
     assert {300, 301, 302} <= kept[0] and sum(i in kept[0] for i in range(0, 240, 3)) <= 2 and len(kept[0] & set(good)) >= 158
     assert kept[0] - kept[1] == {300, 301} and kept[1] - kept[2] == {302}
+    # Rows are judged by themselves: keys that are null or repeated, copies under one key, clashing names.
+    odd = [(None, texts[good[5]]), (None, texts[good[5]]), (good[6], texts[good[7]]), (good[6], texts[good[6]]), (good[6], texts[302]), (None, texts[302]), (8, None), (9, "")]
+    odd = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "'k' as words", "1 as component_id", "2 as score", "3 as h")
+    assert corpus_pipeline.quality(spark, odd, str(tmp_path)).columns == odd.columns
+    left = corpus_pipeline.near_duplicates(spark, odd, str(tmp_path))
+    assert left.columns == odd.columns
+    assert sorted(map(str, left.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame([(None, texts[good[5]]), (good[6], texts[good[7]]), (good[6], texts[good[6]]), (good[6], texts[302]), (8, None)], "doc_id long, text string").collect()))
+    left = corpus_pipeline.decontamination(spark, odd, str(tmp_path))
+    assert left.columns == odd.columns and left.count() == 6 and left.filter(F.col("text") == texts[302]).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(out.doc_id) == kept[2] and (out.groupby("sequence_id").length.sum() <= 4096).all()
 
