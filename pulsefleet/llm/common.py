@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more; what the file system can't delete stays."""
+    import pyarrow.fs as pafs
+
+    for path in {p.rpartition("/")[0] for t in tables for p in t.inputFiles()}:
+        try:
+            fs, root = pafs.FileSystem.from_uri(path.replace("file:///", "/", 1) if path.startswith("file:///") else path)
+            fs.delete_dir(root)
+        except (pa.ArrowInvalid, OSError, NotImplementedError):
+            pass
+
+
 def crc_mod(key: str, mod: int) -> Column:
     """crc32 of the key as text, modulo ``mod``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod

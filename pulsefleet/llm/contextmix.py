@@ -1,62 +1,78 @@
 """Operator 1: language-model scores by online logistic context mixing.
 
-A text is coded bit by bit: each token is its lower-cased bytes and a space, the end one line end. Six
-bit predictors look at contexts of the bytes before: the word so far together with the text's
-class, the word so far, and, hashed into tables, the last three, two, and (with the class) one bytes, and
-a word's first bytes with the class. Their
-log-odds are mixed with weights picked by a gate (how much is known of the first two contexts, and
-the place in the word); the weights are learned online, and a last adaptive stage corrects the mix by
-what happened at similar predictions. A text's class is its most frequent letter beyond ASCII, coded
-first by the classes' shares of training texts, so the score is the log10 of a true probability of the
-whole text.
-
-Contexts never cross a word, so a word's cost depends on the word and the class alone. It is
-computed once per distinct (word, class), however often it occurs:
-
-1. count words per class over all texts (partial counts per task, one shuffle by first bytes);
-2. sum the small-context tables over all words (hashed into a fixed number of slots);
-3. learn gated weights online in every task, average them over tasks by their evidence;
-4. cost every word; the most frequent ones, as many as a count threshold keeps at or under ``heavy``,
-   are broadcast, all others are joined to the texts by a shuffle on the word.
-
-Words of the training part are counted without their own occurrence while weights are learned. All
-counts grow with the input; only tables of fixed size (slots, gates, heavy words) are broadcast.
-
-Edge cases: null text counts as empty (the end token alone); a null doc_id counts as the empty
-text in the split and is kept; every row, also of a repeated doc_id, has its own score; extra columns
-are ignored; an empty table gives no rows; without training texts nothing is known and bits cost
-about one bit each.
+A text's tokens are its lower-cased words and one end. Each token is coded after the ones before it, by
+up to four flag bits and what they announce: it comes (1) from what followed the word before, in the
+training texts and earlier in this text, (2) from this text's own words so far, (3) from the words of the
+text's class, (4) from all words, or else (5) it is spelled, bit by bit. Within the first four the token costs its share of
+the counts. All ways to code a token add up, so a token's probability is the mix of five shares with the flags'
+probabilities as weights; a text's score is the log10 of a true probability of the whole text.
+
+Bit predictors: every flag and every bit of a spelled word is predicted from several hashed contexts, whose
+counts give log-odds; these are mixed by weights that a gate picks, and flags pass a last adaptive
+stage that corrects the mix by what happened at similar predictions. Flags look at how often the word before
+was seen, at which of the last tokens the word before foretold (the text's run of hits), at the word before, at the
+class and the place in the text; spelled bits at the one to four bytes before and the word so far. The text's own
+counts and hits are updated token by token, so order counts, repeated phrases get cheap, and no text looks ahead.
+A text's class is its most frequent letter beyond ASCII, coded first.
+
+Training texts are scored without their own occurrences (counts of the text are taken from the totals, its own
+earlier tokens count as in any text), so a text that occurs once is not known by heart, one with a copy is.
+
+Plan: tokens are numbered in chunks of some 500,000 (never cutting a text). Distinct words and pairs of words of a
+chunk travel once, packed, to the bucket of their 64-bit hash, are counted there over all chunks, and the totals go
+back to the chunk. Buckets follow the hash of the whole word or pair and chunks add up before they send,
+so a frequent word, a common beginning or a third of all texts being copies makes no bucket large. Flag and spelling weights
+are fitted over all training tokens and words by sums that Spark adds up (soft counts, one Newton step for the flags and two
+for spelling), so they do not depend on how rows are dealt. Counts grow with the input; only tables of fixed size come to the driver or are broadcast.
+
+Edge cases: null text counts as empty (the end alone); a null doc_id counts as the empty text in the
+split and is kept; every row, also of a repeated doc_id, has its own score; a very long word is spelled in linear time; a text
+stays in one task (some 100 bytes a token); extra columns are ignored; an empty table gives no rows; without training texts all is spelled.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import struct
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
-from itertools import compress, repeat
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import discard, materialize, partitions
 
 CLASSES = 16
-SLOT_BITS = 20
-SLOTS = 1 << SLOT_BITS
-PREDICTORS = 7  # six contexts and a constant
-TABLES = 4
-OPENING = 4  # bytes of a word within which whole-word contexts come from a table summed over all words
-GATES = 7 * 7 * 3
-REFINE = 64  # steps of the last stage over the mixed log-odds from -8 to 8
-CHUNK_ROWS = 100_000
-STEP_ROWS = 2_000
-FLUSH_WORDS = 200_000
-NAMES = ["row", "doc_id", "word", "cls", "k", "n_tokens", "n_known", "base", "score", "n_bytes"]
+CHUNK_TOKENS, CHUNK_BYTES = 500_000, 1 << 26
 BEYOND_ASCII = re.compile("[^\x00-\x7f]")
+U = np.uint64
+#: Odd multipliers of the hashes.
+M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
+#: The "word" before a text's first.
+START = U(0x5851F42D4C957F2D)
+END = b"\n"
+#: Bits of a key that are sent, after those of its bucket.
+KEY_BITS = 40
+#: What this text has said counts so much against the training texts.
+RECENT = 4.0
+FLAGS = 4
+HISTORY, RUN = 3, 16
+#: Slots of each flag's contexts: (word before seen, last hits), word before, (hits in a run, class), (place, word before seen).
+FLAG_SLOTS = (16 * 8, 4096, (RUN + 1) * CLASSES, 16 * 16)
+FLAG_FIRST = (0.3, 0.1, 0.6, 0.6)
+REFINE = 33
+ORDERS, SPELL_BITS = 5, 19
+SPELL_SLOTS = 1 << SPELL_BITS
+SPELL_GATES = 4 * (ORDERS + 1)
+SPELL_BATCH = 1 << 17
+SLICE = 1 << 16
 
 
 def text_class(text: str) -> int:
@@ -68,7 +84,7 @@ def text_class(text: str) -> int:
 
 def tokens_of(text: str) -> list[bytes]:
     words = text.encode().lower().split()
-    words.append(b"\n")
+    words.append(END)
     return words
 
 
@@ -76,439 +92,675 @@ def held_out(key: object, mod: int) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % mod == 0
 
 
-# --- counting -------------------------------------------------------------------------------
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The bits of 64-bit numbers, stirred."""
+    x = (x ^ (x >> U(31))) * M1
+    x = (x ^ (x >> U(29))) * M2
+    return x ^ (x >> U(32))
 
 
-def word_counts(docs: DataFrame, mod: int) -> DataFrame:
-    """(word, cls, n): partial counts of training tokens; words of held-out texts come with n = 0."""
+# --- packed arrays ----------------------------------------------------------------------------
+
+
+def pack(*arrays: np.ndarray | bytes) -> bytes:
+    import zstandard
+
+    raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([struct.pack(f"<{len(raw)}Q", *map(len, raw)), *raw]))
+
+
+def unpack(blob: bytes, *kinds: object) -> list:
+    """The arrays of pack; a kind is a dtype, or bytes."""
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at, out = 8 * len(kinds), []
+    for kind, size in zip(kinds, struct.unpack_from(f"<{len(kinds)}Q", raw), strict=True):
+        part = raw[at : at + size]
+        out.append(part if kind is bytes else np.frombuffer(part, kind))
+        at += size
+    return out
+
+
+def pack_keys(keys: np.ndarray, bits: int) -> bytes:
+    """The KEY_BITS after the first ``bits`` of sorted keys, byte planes apart: the leading ones hardly change."""
+    own = keys << U(bits) >> U(64 - KEY_BITS)
+    return np.ascontiguousarray(own.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].T).tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(KEY_BITS // 8, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : KEY_BITS // 8] = planes.T
+    return out.view(np.uint64).ravel()
+
+
+def vector_sum(df: DataFrame, make: Callable[[Iterator[dict]], np.ndarray], length: int) -> np.ndarray:
+    """The sum over tasks of a vector of fixed length, added up by Spark in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[Counter] = [Counter() for _ in range(CLASSES)]
+        total = make(row for batch in batches for row in batch.to_pylist())
+        for part, lo in enumerate(range(0, length, SLICE)):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": pa.array([pack(total[lo : lo + SLICE])], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r["part"], r["data"]) for batch in batches for r in batch.to_pylist())
+        for part, own in groupby(rows, itemgetter(0)):
+            total = sum(unpack(data, np.float64)[0] for _, data in own)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "data": pa.array([pack(total)], pa.binary())})
+
+    n = min(partitions(df.sparkSession), -(-length // SLICE))
+    rows = df.mapInArrow(run, "part int, data binary").repartition(n, "part").sortWithinPartitions("part").mapInArrow(add, "part int, data binary").toArrow().to_pylist()
+    out = np.zeros(length)
+    for r in rows:
+        out[r["part"] * SLICE : (r["part"] + 1) * SLICE] = unpack(r["data"], np.float64)[0]
+    return out
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for cls, own in enumerate(seen):
-                if own:
-                    words, ns = list(own), list(own.values())
-                    yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.binary()), "cls": pa.array([cls] * len(words), pa.int32()), "n": pa.array(ns, pa.int64())})
-                    own.clear()
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, words = seen[text_class(text)], tokens_of(text)
-                if held_out(key, mod):
-                    for w in words:
-                        if w not in own:
-                            own[w] = 0
-                else:
-                    own.update(words)
-            if sum(map(len, seen)) >= FLUSH_WORDS:
-                yield from flush()
-        yield from flush()
-
-    return docs.mapInArrow(run, "word binary, cls int, n long")
-
-
-def packed_words(counts: DataFrame) -> DataFrame:
-    """Chunks of whole groups of words with the same first four bytes, sorted: what a trie needs together."""
-
-    def pack(words: list[bytes], cls: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        # Equal (word, cls) are next to each other: add them up.
-        new = np.array([True, *((a != b) for a, b in zip(words[1:], words, strict=False))]) | np.r_[True, cls[1:] != cls[:-1]]
-        at = np.flatnonzero(new)
-        n, cls, words = np.add.reduceat(n, at), cls[at], [words[i] for i in at]
-        return pa.RecordBatch.from_pydict({"bytes": pa.array([b"".join(words)], pa.binary()), "lengths": pa.array([np.array(list(map(len, words)), np.int32).tobytes()], pa.binary()), "cls": pa.array([cls.astype(np.int8).tobytes()], pa.binary()), "n": pa.array([n.astype(np.int64).tobytes()], pa.binary())})
+# --- chunks of texts ----------------------------------------------------------------------------
+
+
+class Numbering(dict):
+    """Numbers for new keys, appended to a shared list."""
+
+    def __init__(self, all_: list, tag: object):
+        super().__init__()
+        self.all, self.tag = all_, tag
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self.all)
+        self.all.append((key, self.tag))
+        return n
+
+
+def chunks(docs: DataFrame, mod: int) -> DataFrame:
+    """(chunk, doc_ids, texts, tok, vocab): texts as numbers of (word, class) pairs, which are sorted by the word's hash."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[bytes] = []
-        cls, n = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        import xxhash
+        from pyspark import TaskContext
+
+        part, nth = TaskContext.get().partitionId(), 0
+        words: list[tuple[bytes, int]] = []
+        numbers = [Numbering(words, k) for k in range(CLASSES)]
+        tok, own, keys, size = array("i"), [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal nth, tok, size
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w, _ in words], np.uint64)
+            classes = np.array([k for _, k in words], np.uint8)
+            order = np.lexsort((classes, hashes))
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            ordered = [words[i][0] for i in order]
+            sizes, n_bytes, cls, held = (np.array(x, k) for x, k in zip(zip(*own, strict=True), (np.int64, np.int64, np.uint8, np.uint8), strict=True))
+            row = {
+                "chunk": pa.array([part << 32 | nth], pa.int64()),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.concat_arrays(keys)),
+                "texts": pa.array([pack(sizes, n_bytes, cls, held)], pa.binary()),
+                "tok": pa.array([pack(rank[np.frombuffer(tok, np.int32)])], pa.binary()),
+                "vocab": pa.array([pack(b"".join(ordered), np.array(list(map(len, ordered)), np.int32), classes[order], hashes[order])], pa.binary()),
+            }
+            words.clear()
+            own.clear()
+            keys.clear()
+            for d in numbers:
+                d.clear()
+            nth, tok, size = nth + 1, array("i"), 0
+            return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
+
         for batch in batches:
-            words += batch.column(0).to_pylist()
-            cls.append(batch.column(1).to_numpy(zero_copy_only=False))
-            n.append(batch.column(2).to_numpy(zero_copy_only=False))
-            if len(words) >= CHUNK_ROWS:
-                c, m = np.concatenate(cls), np.concatenate(n)
-                last, cut = words[-1][:4], len(words) - 1
-                while cut and words[cut - 1][:4] == last:
-                    cut -= 1
-                if cut:
-                    yield pack(words[:cut], c[:cut], m[:cut])
-                words, cls, n = words[cut:], [c[cut:]], [m[cut:]]
-        if words:
-            yield pack(words, np.concatenate(cls), np.concatenate(n))
-
-    by = F.substring("word", 1, 4)
-    ordered = counts.repartition(partitions(counts.sparkSession), by).sortWithinPartitions("word", "cls")
-    return ordered.mapInArrow(run, "bytes binary, lengths binary, cls binary, n binary")
-
-
-# --- the trie of a chunk, level by level -------------------------------------------------------
-
-
-class Words:
-    """Words of a chunk in some order, walked byte by byte; a run is a distinct beginning."""
-
-    def __init__(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n: np.ndarray, cls: np.ndarray | None):
-        self.flat, self.starts, self.lengths, self.n = flat, starts, lengths, n
-        self.same = np.ones(len(starts), bool)
-        self.same[:1] = False
-        if cls is not None:
-            self.same[1:] = cls[1:] == cls[:-1]
-        self.parent = np.cumsum(~self.same) - 1
-        self.run = self.parent
-
-    def step(self, j: int) -> np.ndarray:
-        """To beginnings of j + 1 bytes; returns the words that are as long. Sets heads, value, weight, above."""
-        live = self.lengths > j
-        byte = np.full(len(live), -1, np.int16)
-        byte[live] = self.flat[self.starts[live] + j]
-        self.same[1:] &= live[1:] & live[:-1] & (byte[1:] == byte[:-1])
-        at = np.flatnonzero(live)
-        new = ~self.same[at]
-        heads = np.flatnonzero(new)
-        self.heads = at[heads]
-        self.value = byte[self.heads].astype(np.int64)
-        self.weight = np.add.reduceat(self.n[at], heads) if len(heads) else np.zeros(0, np.int64)
-        self.above = self.run[self.heads]
-        run = np.full(len(live), -1)
-        run[at] = np.cumsum(new) - 1
-        self.run = run
-        return at
-
-    def bit_counts(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each bit of the byte: training tokens that went on with 0 and 1 at the run's node."""
-        out = []
-        for b in range(8):
-            node = self.above * 256 + (self.value >> (8 - b))
-            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
-            of = np.cumsum(np.r_[True, node[1:] != node[:-1]]) - 1
-            one = self.value >> (7 - b) & 1
-            all_, ones = np.add.reduceat(self.weight, first), np.add.reduceat(self.weight * one, first)
-            out.append(((all_ - ones)[of], ones[of]))
+            texts, first = batch.column(1).to_pylist(), 0
+            for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
+                cls, found = text_class(text), tokens_of(text)
+                tok.extend(map(numbers[cls].__getitem__, found))
+                own.append((len(found), len(text.encode()), cls, held_out(key, mod)))
+                size += own[-1][1]
+                if len(tok) >= CHUNK_TOKENS or size >= CHUNK_BYTES or i == len(texts) - 1:
+                    keys.append(batch.column(0)[first : i + 1])
+                    first = i + 1
+                if len(tok) >= CHUNK_TOKENS or size >= CHUNK_BYTES:
+                    yield flush()
+        if own:
+            yield flush()
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"chunk long, doc_ids array<{kind}>, texts binary, tok binary, vocab binary")
+
+
+class Texts:
+    """The texts of a chunk: for every token its number, text, word before (its place in ``hashes`` or START)."""
+
+    def __init__(self, row: dict):
+        self.sizes, self.n_bytes, self.cls, self.held = unpack(row["texts"], np.int64, np.int64, np.uint8, np.uint8)
+        (self.tok,) = unpack(row["tok"], np.int32)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.text = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.place = np.arange(len(self.tok)) - np.repeat(self.starts, self.sizes)
+        self.train = (self.held == 0)[self.text]
+
+    def before(self, values: np.ndarray, first: object) -> np.ndarray:
+        """Per token, the value of the token before it in its text."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.starts] = first
         return out
 
+    def pair_keys(self, hashes: np.ndarray) -> np.ndarray:
+        own = hashes[self.tok]
+        return mixed(self.before(own, START) * M3 + own)
 
-LOGS = np.log(np.arange(1 << 14) + 0.35).astype(np.float32)
 
+def occurrences(keys: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, heads, own, earlier): keys in order and where each key begins there; per token, how often its
+    text has its key, and how often before it."""
+    order = np.argsort(keys, kind="stable")
+    k, t = keys[order], text[order]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, bool)
+    run = new.copy()
+    run[1:] |= t[1:] != t[:-1]
+    begins = np.flatnonzero(run)
+    lengths = np.diff(np.r_[begins, len(k)])
+    own, earlier = np.empty(len(k), np.int32), np.empty(len(k), np.int32)
+    own[order] = np.repeat(lengths, lengths)
+    earlier[order] = np.arange(len(k)) - np.repeat(begins, lengths)
+    return order, np.flatnonzero(new), own, earlier
 
-def log_count(n: np.ndarray) -> np.ndarray:
-    return np.where(n < len(LOGS), LOGS[np.minimum(n, len(LOGS) - 1)], np.log(np.maximum(n, 1) + 0.35)).astype(np.float32)
 
+# --- counting in buckets ----------------------------------------------------------------------------
 
-def known(total: np.ndarray) -> np.ndarray:
-    return np.minimum(np.ceil(np.log2(total + 1)), 6).astype(np.int64)
 
+REQUEST = "bucket int, chunk long, data binary"
+ANSWER = "chunk long, kind int, bucket int, data binary"
 
-def slots(cls: np.ndarray, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Slots of the hashed contexts (class and one byte; two bytes; three bytes; class and the word's
-    first bytes, whose bytes before the word are 0) at a bit node."""
-    mask = SLOTS - 1
-    two = ((c2 << 8 | c1) * 0x9E3779B1 + node * 0x85EBCA6B) >> 7 & mask
-    three = ((c3 << 16 | c2 << 8 | c1) * 0xC2B2AE35 + node * 0x27D4EB2F) >> 9 & mask
-    first = ((c3 << 16 | c2 << 8 | c1) * 0x165667B1 + (cls << 8 | node) * 0x9E3779B1) >> 8 & mask
-    return (cls << 16 | c1 << 8 | node) & mask, two, three, first
 
+def in_buckets(hashes: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of sorted 64-bit hashes by their first bits."""
+    cuts = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << U(64 - bits))
+    ends = np.r_[cuts[1:], len(hashes)]
+    for b in np.flatnonzero(ends > cuts):
+        yield int(b), int(cuts[b]), int(ends[b])
 
-class Chunk:
-    """A packed chunk: for every byte place and bit, the contexts of its distinct (class, beginning)s."""
 
-    def __init__(self, row: dict):
-        lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
-        self.cls = np.frombuffer(row["cls"], np.int8).astype(np.int64)
-        self.n = np.frombuffer(row["n"], np.int64)
-        raw, ends = row["bytes"], np.cumsum(lengths)
-        self.words = [raw[e - k : e] for e, k in zip(ends, lengths, strict=True)]
-        # A space ends every word; the end token needs none.
-        closed = [w if w == b"\n" else w + b" " for w in self.words]
-        self.flat = np.frombuffer(b"".join(closed), np.uint8)
-        self.lengths = np.array(list(map(len, closed)), np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        # Input is sorted by word, then class: the first of equal words stands for all classes.
-        first = np.array([True, *(a != b for a, b in zip(self.words[1:], self.words, strict=False))])
-        self.word = np.cumsum(first) - 1
-        self.total = np.bincount(self.word, weights=self.n).astype(np.int64)
-        self.first = np.flatnonzero(first)
-        # A space sorts below all other bytes of a word, so closed words keep the order of words.
-        self.order = np.argsort(self.cls, kind="stable")
-
-    def levels(self, counts: bool = True) -> Iterator[tuple]:
-        """(place, live, run, bits): words (in class order) as long as this place, their runs, and for each
-        bit (y, weight, n0, n1 of the class's beginnings, n0, n1 of all beginnings, slots)."""
-        o = self.order
-        own = Words(self.flat, self.starts[o], self.lengths[o], self.n[o], self.cls[o])
-        every = Words(self.flat, self.starts[self.first], self.lengths[self.first], self.total, None)
-        for j in range(int(self.lengths.max(initial=0))):
-            live = own.step(j)
-            every.step(j)
-            head = own.heads
-            at = self.starts[o][head] + j
-            back = [self.flat[at - k].astype(np.int64) if j >= k else np.zeros(len(at), np.int64) for k in (1, 2, 3)]
-            cls = self.cls[o][head]
-            there = every.run[self.word[o][head]]
-            mine, all_ = (own.bit_counts(), every.bit_counts()) if counts else (None, None)
-            bits = []
-            for b in range(8):
-                node = 1 << b | own.value >> (8 - b)
-                known_ = (*mine[b], *(x[there] for x in all_[b])) if counts else (None,) * 4
-                bits.append((own.value >> (7 - b) & 1, own.weight, *known_, slots(cls, *back, node)))
-            yield j, live, own.run, bits
-
-
-def inputs(bit: tuple, tables: tuple[np.ndarray, np.ndarray], j: int, leave: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of the predictors (rows) and the gate. leave: without one occurrence of the word itself.
-
-    In a word's first bytes a chunk does not see all words that begin alike, so the whole-word
-    contexts are taken from the table of first bytes; from then on the chunk's own counts are complete.
-    """
-    y, weight, a0, a1, b0, b1, at = bit
-    x = np.zeros((PREDICTORS, len(y)), np.float32)
-    odds, opening = tables
-    for i in range(3):
-        x[2 + i] = odds[i][at[i]]
-    x[6] = 0.3
-    own1 = leave * ((weight > 0) & (y == 1))
-    own0 = leave * ((weight > 0) & (y == 0))
-    if j < OPENING:
-        zeros, ones = np.maximum(opening[0][at[3]] - own0, 0), np.maximum(opening[1][at[3]] - own1, 0)
-        x[5] = np.log((ones + 0.35) / (zeros + 0.35))
-        return x, known(zeros + ones) * 21 + (0 if j == 0 else 1)
-    a0, a1, b0, b1 = a0 - own0, a1 - own1, b0 - own0, b1 - own1
-    x[0] = log_count(a1) - log_count(a0)
-    x[1] = log_count(b1) - log_count(b0)
-    return x, (known(a0 + a1) * 7 + known(b0 + b1)) * 3 + 2
-
-
-def place_of(j: int) -> int:
-    return 0 if j == 0 else 1 if j < OPENING else 2
-
-
-def mixed(w: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
-    out = w[:, 0][gate] * x[0]
-    for i in range(1, PREDICTORS):
-        out += w[:, i][gate] * x[i]
-    return out
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    names, kinds = zip(*(c.strip().split(" ") for c in schema.split(",")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], names=list(names))
 
 
-def first_weights() -> np.ndarray:
-    """Before learning: trust the longest context that knows something."""
-    w = np.zeros((GATES, PREDICTORS), np.float32)
-    gate = np.arange(GATES)
-    a, b = gate // 21, gate // 3 % 7
-    w[:, 0] = np.where(a > 0, np.minimum(0.35 + 0.13 * a, 1), 0)
-    w[:, 1] = np.where(b > 0, (1 - w[:, 0]) * np.minimum(0.35 + 0.13 * b, 1), 0)
-    w[:, 2:5] = 0.3 * (1 - w[:, :1] - w[:, 1:2])
-    opening = gate % 3 < 2
-    w[opening, 5] = np.maximum(w[opening, 0], 0.3)
-    w[opening, :2] = 0
-    return w
+def asked_words(chunk_rows: DataFrame, bits: int) -> DataFrame:
+    """Per chunk and bucket: its (word, class) pairs and their training tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            texts = Texts(row)
+            joined, lengths, classes, hashes = unpack(row["vocab"], bytes, np.int32, np.uint8, np.uint64)
+            n = np.bincount(texts.tok, weights=texts.train, minlength=len(lengths)).astype(np.int64)
+            ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+            yield batch_of([(b, row["chunk"], pack(joined[ends[lo] : ends[hi]], lengths[lo:hi], classes[lo:hi], n[lo:hi])) for b, lo, hi in in_buckets(hashes, bits)], REQUEST)
 
-def refined(mix: np.ndarray, table: np.ndarray | None, place: int) -> np.ndarray:
-    """Probability of a one: the mix averaged with what happened at similar mixes."""
-    p = 1 / (1 + np.exp(-mix))
-    if table is not None:
-        pos = (np.clip(mix, -7.99, 7.99) + 8) * (REFINE / 16)
-        lo = pos.astype(np.int64)
-        part = pos - lo
-        p = 0.5 * p + 0.5 * (table[place, lo] * (1 - part) + table[place, lo + 1] * part)
-    return np.clip(p, 1e-7, 1 - 1e-7)
+    return chunk_rows.mapInArrow(run, REQUEST)
 
 
-# --- passes over chunks ----------------------------------------------------------------------------
+def asked_pairs(chunk_rows: DataFrame, bits: int) -> DataFrame:
+    """Per chunk and bucket: its pairs of successive words and their training tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            texts = Texts(row)
+            keys = texts.pair_keys(unpack(row["vocab"], bytes, np.int32, np.uint8, np.uint64)[3])
+            order, heads, _, _ = occurrences(keys, texts.text)
+            found = keys[order[heads]]
+            n = np.add.reduceat(texts.train[order].astype(np.int32), heads, dtype=np.int32)
+            yield batch_of([(b, row["chunk"], pack(pack_keys(found[lo:hi], bits), n[lo:hi])) for b, lo, hi in in_buckets(found, bits)], REQUEST)
 
-def small_tables(chunks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of the three short hashed contexts, and zeros and ones of a word's first bytes, over all
-    words; at most TABLES * SLOTS rows come back."""
+    return chunk_rows.mapInArrow(run, REQUEST)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, all_ = np.zeros((TABLES, SLOTS)), np.zeros((TABLES, SLOTS))
 
-        def add(i: int, bits: list[tuple]) -> None:
-            if bits:
-                at, weight = np.concatenate([b[6][i] for b in bits]), np.concatenate([b[1] for b in bits])
-                up = weight * np.concatenate([b[0] for b in bits])
-                all_[i] += np.bincount(at, weights=weight, minlength=SLOTS)
-                ones[i] += np.bincount(at, weights=up, minlength=SLOTS)
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    rows = ((r["bucket"], r["chunk"], r["data"]) for batch in batches for r in batch.to_pylist())
+    for bucket, own in groupby(rows, itemgetter(0)):
+        yield bucket, [(chunk, data) for _, chunk, data in own]
+
+
+def dealt(requests: DataFrame) -> DataFrame:
+    return requests.repartition(partitions(requests.sparkSession), "bucket").sortWithinPartitions("bucket", "chunk")
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = [(j, bit) for j, _, _, bits in Chunk(row).levels(counts=False) for bit in bits]
-                for i in range(3):
-                    add(i, [bit for _, bit in found])
-                add(3, [bit for j, bit in found if j < OPENING])
-        at = np.flatnonzero(all_.ravel())
-        yield pa.RecordBatch.from_pydict({"slot": pa.array(at, pa.int32()), "n1": ones.ravel()[at], "n": all_.ravel()[at]})
 
-    rows = chunks.mapInArrow(run, "slot int, n1 double, n double").groupBy("slot").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n")).toArrow()
-    out = np.zeros((2, TABLES * SLOTS), np.float32)
-    n1, n = rows["n1"].to_numpy(), rows["n"].to_numpy()
-    out[:, rows["slot"].to_numpy()] = n - n1, n1
-    zeros, ones = out.reshape(2, TABLES, SLOTS)
-    return np.log((ones[:3] + 0.35) / (zeros[:3] + 0.35)).astype(np.float32), np.stack([zeros[3], ones[3]])
+TYPES = "bucket int, words binary, asked binary, n long, v long, of_class array<long>, ends array<long>"
 
 
-def learned(chunks: DataFrame, tables, weights: np.ndarray, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """One online pass in every task; weights averaged by evidence, and the counts of the last stage."""
+def word_types(requests: DataFrame) -> DataFrame:
+    """Per bucket: its distinct words with training counts, who asked for which, and totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, speed = weights.copy(), np.full((GATES, PREDICTORS), 0.5, np.float32)
-        seen, t = np.zeros(GATES), tables.value
-        hits, total = np.zeros((3, REFINE + 1)), np.zeros((3, REFINE + 1))
-        for batch in batches:
-            for row in batch.to_pylist():
-                for j, _, _, bits in Chunk(row).levels():
-                    for bit in bits:
-                        y, weight = bit[0], bit[1]
-                        if not weight.any():
-                            continue
-                        x, gate = inputs(bit, t, j, True)
-                        # One step for every few thousand beginnings, each spread over the chunk.
-                        mix, steps = np.empty(len(y), np.float32), 1 + len(y) // STEP_ROWS
-                        for at in (slice(k, None, steps) for k in range(steps)):
-                            xs, gs, ws = x[:, at], gate[at], weight[at]
-                            mix[at] = mixed(w, gs, xs)
-                            miss = ws * (y[at] - 1 / (1 + np.exp(-mix[at])))
-                            some = np.maximum(np.bincount(gs, weights=ws, minlength=GATES), 1)
-                            for i in range(PREDICTORS):
-                                g = np.bincount(gs, weights=miss * xs[i], minlength=GATES) / some
-                                speed[:, i] += g * g * 10
-                                w[:, i] += rate * g / np.sqrt(speed[:, i])
-                        evidence = np.bincount(gate, weights=weight, minlength=GATES)
-                        seen += np.sqrt(evidence)
-                        at = np.rint((np.clip(mix, -8, 8) + 8) * (REFINE / 16)).astype(np.int64)
-                        place = place_of(j)
-                        total[place] += np.bincount(at, weights=weight, minlength=REFINE + 1)
-                        hits[place] += np.bincount(at, weights=weight * y, minlength=REFINE + 1)
-        kind = [0] * GATES + [1] * hits.size
-        index = [*range(GATES), *range(hits.size)]
-        values = [*(w * seen[:, None]).astype(float).tolist(), *([a, b] for a, b in zip(hits.ravel(), total.ravel(), strict=True))]
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(kind, pa.int32()), "i": pa.array(index, pa.int32()), "x": pa.array(values, pa.list_(pa.float64())), "n": pa.array([*seen, *([0.0] * hits.size)], pa.float64())})
-
-    rows = chunks.mapInArrow(run, "kind int, i int, x array<double>, n double")
-    sums = [F.sum(F.get("x", F.lit(k))).alias(f"x{k}") for k in range(PREDICTORS)]
-    w, table = weights.copy(), np.zeros((3, REFINE + 1))
-    centre = 1 / (1 + np.exp(-(np.arange(REFINE + 1) * (16 / REFINE) - 8)))
-    hits, total = np.zeros(3 * (REFINE + 1)), np.zeros(3 * (REFINE + 1))
-    for r in rows.groupBy("kind", "i").agg(*sums, F.sum("n").alias("n")).collect():
-        if r["kind"] == 0 and r["n"]:
-            w[r["i"]] = [r[f"x{k}"] / r["n"] for k in range(PREDICTORS)]
-        elif r["kind"] == 1:
-            hits[r["i"]], total[r["i"]] = r["x0"], r["x1"]
-    table = (hits.reshape(table.shape) + 20 * centre) / (total.reshape(table.shape) + 20)
-    return w, table
-
-
-def word_costs(chunks: DataFrame, model) -> DataFrame:
-    """(word, cls, n, c, n_word, log10p): of every distinct (word, class), its training tokens, those of all
-    classes, 1 if it is the word's first class, its score."""
+        for bucket, own in by_bucket(batches):
+            words: list[tuple[bytes, None]] = []
+            number, at, classes, counts, sizes = Numbering(words, None), [], [], [], []
+            for _, data in own:
+                joined, lengths, cls, n = unpack(data, bytes, np.int32, np.uint8, np.int64)
+                ends = np.cumsum(lengths, dtype=np.int64)
+                at.append(np.array([number[joined[e - k : e]] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)], np.int32))
+                classes.append(cls)
+                counts.append(n)
+                sizes.append(len(n))
+            at, classes, counts = np.concatenate(at), np.concatenate(classes).astype(np.int64), np.concatenate(counts)
+            total = np.bincount(at, weights=counts, minlength=len(words)).astype(np.int64)
+            per_class = np.zeros(len(words) * CLASSES, np.int64)
+            np.add.at(per_class, at.astype(np.int64) * CLASSES + classes, counts)
+            ends = per_class.reshape(-1, CLASSES)[number[END]].tolist() if END in number else [0] * CLASSES
+            flat = [w for w, _ in words]
+            asked = pack(np.array([c for c, _ in own], np.int64), np.array(sizes, np.int64), at, per_class[at.astype(np.int64) * CLASSES + classes])
+            yield batch_of([(bucket, pack(b"".join(flat), np.array(list(map(len, flat)), np.int32), total), asked, int(total.sum()), int((total > 0).sum()), np.bincount(classes, weights=counts, minlength=CLASSES).astype(np.int64).tolist(), ends)], TYPES)
+
+    return dealt(requests).mapInArrow(run, TYPES)
+
+
+def pair_answers(requests: DataFrame) -> DataFrame:
+    """Per chunk and bucket: the training tokens of its pairs over all chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, w, table = model.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk(row)
-                cost = np.zeros(len(chunk.words))
-                for j, live, runs, bits in chunk.levels():
-                    log_p = np.zeros(len(bits[0][0]))
-                    for bit in bits:
-                        x, gate = inputs(bit, tables, j, False)
-                        p = refined(mixed(w, gate, x), table, place_of(j))
-                        log_p += np.log10(np.where(bit[0] == 1, p, 1 - p))
-                    cost[live] += log_p[runs[live]]
-                out = np.empty(len(cost))
-                out[chunk.order] = cost
-                yield pa.RecordBatch.from_pydict({"word": pa.array(chunk.words, pa.binary()), "cls": pa.array(chunk.cls, pa.int32()), "n": chunk.n, "c": chunk.total[chunk.word], "n_word": pa.array(np.isin(np.arange(len(cost)), chunk.first).astype(np.int64)), "log10p": out})
-
-    return chunks.mapInArrow(run, "word binary, cls int, n long, c long, n_word long, log10p double")
-
-
-def frequent_words(costs: DataFrame, heavy: int) -> DataFrame:
-    """The rows of costs with the highest n, at most ``heavy``: all from a count on, found from a histogram."""
-    step = F.floor(F.log2("n") * 8)
-    sizes = costs.filter("n > 0").groupBy(step.alias("step")).count().collect()
-    least, total = None, 0
-    for r in sorted(sizes, key=lambda r: -r["step"]):
-        total += r["count"]
-        if total > heavy:
-            break
-        least = r["step"]
-    return costs.filter(F.lit(False) if least is None else (F.col("n") > 0) & (step >= least))
-
-
-def lm_scores(docs: DataFrame, mod: int = 10, heavy: int = 250_000, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
-    sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    chunks = materialize(packed_words(word_counts(rows, mod)), "lm-words")
-    tables = sc.broadcast(small_tables(chunks))
-    weights, table = learned(chunks, tables, first_weights())
-    model = sc.broadcast((tables.value, weights, table))
-    costs = materialize(word_costs(chunks, model), "lm-costs")
-    sums = costs.agg(F.sum("n"), F.sum(F.when(F.col("c") > 0, F.col("n_word")).otherwise(0))).first()
-    n_all, vocabulary = int(sums[0] or 0), int(sums[1] or 0)
-    often = frequent_words(costs, heavy).select("word", "cls", "c", "log10p").toArrow()
-    at: list[dict[bytes, int]] = [{} for _ in range(CLASSES)]
-    for i, (word, cls) in enumerate(zip(often["word"].to_pylist(), often["cls"].to_pylist(), strict=True)):
-        at[cls][word] = i
-    frequent = sc.broadcast((at, often["c"].to_numpy(), often["log10p"].to_numpy()))
-    ends = {r["cls"]: r["n"] for r in costs.filter(F.col("word") == F.lit(b"\n")).select("cls", "n").collect()}
-    shares = [math.log10((ends.get(cls, 0) + 0.5) / (sum(ends.values()) + 0.5 * CLASSES)) for cls in range(CLASSES)]
+        for bucket, own in by_bucket(batches):
+            parts = [unpack(data, bytes, np.int32) for _, data in own]
+            keys, n = np.concatenate([unpack_keys(k) for k, _ in parts]), np.concatenate([n for _, n in parts])
+            order = np.argsort(keys, kind="stable")
+            heads = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]])
+            sums = np.add.reduceat(n[order], heads, dtype=np.int64)
+            total = np.empty(len(keys), np.int64)
+            total[order] = np.repeat(sums, np.diff(np.r_[heads, len(keys)]))
+            ends = np.cumsum([len(x) for _, x in parts])
+            yield batch_of([(chunk, 2, bucket, pack(total[e - len(x) : e])) for (chunk, _), (_, x), e in zip(own, parts, ends, strict=True)], ANSWER)
+
+    return dealt(requests).mapInArrow(run, ANSWER)
+
+
+# --- spelling -------------------------------------------------------------------------------------
+
+
+def spelled_batches(words: bytes, lengths: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(from, to, bytes with word ends) of words, some SPELL_BATCH bytes at a time."""
+    ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+    lo = 0
+    while lo < len(lengths):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SPELL_BATCH)) - 1)
+        own = [words[ends[i] : ends[i + 1]] for i in range(lo, hi)]
+        yield lo, hi, [w if w == END else w + b" " for w in own]
+        lo = hi
+
+
+class Spelled:
+    """Bits of closed words: for each of eight bits of all bytes the outcome and the slots of its contexts."""
+
+    def __init__(self, closed: list[bytes]):
+        self.lengths = np.array(list(map(len, closed)), np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        flat = np.frombuffer(b"".join(closed), np.uint8)
+        self.pos = np.arange(len(flat)) - np.repeat(self.starts, self.lengths)
+        self.byte = flat.astype(np.uint64)
+        back, contexts = np.zeros(len(flat), np.uint64), []
+        for k in range(1, ORDERS):
+            older = np.zeros(len(flat), np.uint64)
+            older[k:] = self.byte[:-k] + U(1)
+            older[self.pos < k] = 0
+            back = back << U(9) | older
+            contexts.append(mixed(back * M3 + U(k)))
+        power = np.multiply.accumulate(np.full(int(self.lengths.max(initial=1)), M1)) * M2
+        term = (self.byte + U(1)) * power[self.pos]
+        so_far = np.cumsum(term) - term
+        contexts.append(mixed(so_far - np.repeat(so_far[self.starts], self.lengths)))
+        self.contexts = contexts
+
+    def bits(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(outcome, slots of every order) for each bit."""
+        for j in range(8):
+            node = U(1 << j) | self.byte >> U(8 - j)
+            at = [(mixed(c + node * M2) >> U(64 - SPELL_BITS)).astype(np.int64) + k * SPELL_SLOTS for k, c in enumerate(self.contexts)]
+            yield (self.byte >> U(7 - j) & U(1)).astype(np.int8), np.array(at)
+
+
+def spell_inputs(y: np.ndarray, at: np.ndarray, pos: np.ndarray, tables: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds (orders and a constant, bits) and gates; leave: 1 for bits of words that are in the tables."""
+    zeros, ones = tables[0][at], tables[1][at]
+    zeros = np.maximum(zeros - leave * (y == 0), 0)
+    ones = np.maximum(ones - leave * (y == 1), 0)
+    known = (zeros + ones > 0).sum(axis=0)
+    x = np.full((ORDERS + 1, len(y)), 0.3, np.float32)
+    x[:ORDERS] = np.log((ones + 0.4) / (zeros + 0.4))
+    return x, np.minimum(pos, 3) * (ORDERS + 1) + known
+
+
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -14, 14)))
+
+
+def newton_sums(x: np.ndarray, gate: np.ndarray, miss: np.ndarray, curve: np.ndarray, gates: int) -> np.ndarray:
+    """Gradient and curvature of every gate's weights, flat."""
+    k = len(x)
+    out = np.zeros((gates, k + k * k))
+    for i in range(k):
+        out[:, i] = np.bincount(gate, weights=miss * x[i], minlength=gates)
+        for j in range(i, k):
+            out[:, k + i * k + j] = out[:, k + j * k + i] = np.bincount(gate, weights=curve * x[i] * x[j], minlength=gates)
+    return out.ravel()
+
+
+def newton_step(w: np.ndarray, sums: np.ndarray, ridge: float = 2.0) -> np.ndarray:
+    gates, k = w.shape
+    sums = sums.reshape(gates, k + k * k)
+    return np.stack([w[g] + np.clip(np.linalg.solve(s[k:].reshape(k, k) + ridge * np.eye(k), s[:k]), -2, 2) for g, s in enumerate(sums)])
+
+
+def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of zeros and ones in every slot over the distinct training words, and the gates' weights."""
+
+    def trained(rows: Iterator[dict]) -> Iterator[Spelled]:
+        for row in rows:
+            joined, lengths, n = unpack(row["words"], bytes, np.int32, np.int64)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            keep = np.flatnonzero(n > 0)
+            own = [joined[ends[i] - lengths[i] : ends[i]] for i in keep.tolist()]
+            for _, _, closed in spelled_batches(b"".join(own), lengths[keep]):
+                yield Spelled(closed)
+
+    def count(rows: Iterator[dict]) -> np.ndarray:
+        out = np.zeros((2, ORDERS * SPELL_SLOTS))
+        for s in trained(rows):
+            for y, at in s.bits():
+                for k in range(2):
+                    np.add.at(out[k], at[:, y == k].ravel(), 1.0)
+        return out.ravel()
+
+    spark = types.sparkSession
+    words = types.select("words")
+    tables = vector_sum(words, count, 2 * ORDERS * SPELL_SLOTS).reshape(2, -1).astype(np.float32)
+    shared = spark.sparkContext.broadcast(tables)
+    weights = np.full((SPELL_GATES, ORDERS + 1), 0.3)
+    weights[:, ORDERS] = 0
+    for _ in range(2):
+
+        def fit(rows: Iterator[dict], w: np.ndarray = weights) -> np.ndarray:
+            out = np.zeros(w.size * (ORDERS + 2))
+            for s in trained(rows):
+                for y, at in s.bits():
+                    x, gate = spell_inputs(y, at, s.pos, shared.value, np.ones(len(y), np.int8))
+                    p = squash((w.T[:, gate] * x).sum(axis=0))
+                    out += newton_sums(x, gate, y - p, p * (1 - p), SPELL_GATES)
+            return out
+
+        weights = newton_step(weights, vector_sum(words, fit, weights.size * (ORDERS + 2)))
+    return tables, weights
+
+
+def spelling_costs(words: bytes, lengths: np.ndarray, trained: np.ndarray, tables: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """log10 probability of each word, spelled."""
+    out = np.zeros(len(lengths))
+    for lo, hi, closed in spelled_batches(words, lengths):
+        s = Spelled(closed)
+        leave = np.repeat(trained[lo:hi].astype(np.int8), s.lengths)
+        cost = np.zeros(len(s.byte))
+        for y, at in s.bits():
+            x, gate = spell_inputs(y, at, s.pos, tables, leave)
+            mix = (w.T[:, gate] * x).sum(axis=0)
+            cost -= np.logaddexp(0, np.clip(np.where(y == 1, -mix, mix), -14, 14))
+        out[lo:hi] = np.add.reduceat(cost, s.starts) / math.log(10)
+    return out
+
+
+def word_answers(types: DataFrame, spelling) -> DataFrame:
+    """Per chunk and bucket: training tokens, those of the class, and spelled cost of its (word, class) pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            joined, lengths, n = unpack(row["words"], bytes, np.int32, np.int64)
+            asking, sizes, at, of_class = unpack(row["asked"], np.int64, np.int64, np.int32, np.int64)
+            cost = spelling_costs(joined, lengths, n > 0, *spelling.value)
+            ends = np.cumsum(sizes)
+            out = []
+            for chunk, lo, hi in zip(asking.tolist(), ends - sizes, ends, strict=True):
+                own = at[lo:hi]
+                out.append((chunk, 1, row["bucket"], pack(n[own], of_class[lo:hi], cost[own].astype(np.float32))))
+            yield batch_of(out, ANSWER)
+
+    return types.select("bucket", "words", "asked").mapInArrow(run, ANSWER)
+
+
+# --- texts with their counts -----------------------------------------------------------------------
 
-        part, nth = TaskContext.get().partitionId(), 0
-        where, c, log_p = frequent.value
-        log_c = np.log10(c + 0.1)
-        for batch in batches:
-            n = batch.num_rows
-            first_row = part << 40 | nth
-            nth += n
-            own: list[tuple] = []
-            classes, words, counts, sizes = [], [], [], []
-            for i, text_ in enumerate(batch.column(1).to_pylist()):
-                cls, found = text_class(text_), Counter(tokens_of(text_))
-                k = np.fromiter(found.values(), np.int64, len(found))
-                known_at = np.fromiter(map(where[cls].get, found, repeat(-1)), np.int64, len(found))
-                hit = known_at >= 0
-                rest = ~hit
-                kh, ah = k[hit], known_at[hit]
-                own.append((int(k.sum()), int(kh[c[ah] > 0].sum()), float(kh @ log_c[ah]), shares[cls] + float(kh @ log_p[ah]), len(text_.encode())))
-                words += compress(found, rest.tolist())
-                counts.append(k[rest])
-                sizes.append(len(counts[-1]))
-                classes.append(cls)
-            # A text's own row has a key that no word can have; then a row for each of its other words.
-            row = np.arange(first_row, first_row + n)
-            many = int(sum(sizes))
-            own_columns = list(zip(*own, strict=True)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(row), batch.column(0), pa.array([b" %d" % r for r in row.tolist()], pa.binary()), pa.array(classes, pa.int32()), pa.array(np.zeros(n, np.int64)), *(pa.array(x, t) for x, t in zip(own_columns, types, strict=True))], names=NAMES)
-            if many:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(row, sizes)), pa.nulls(many, batch.column(0).type), pa.array(words, pa.binary()), pa.array(np.repeat(np.array(classes, np.int32), sizes)), pa.array(np.concatenate(counts)), *(pa.nulls(many, t) for t in types)], names=NAMES)
 
+def counted(chunk_rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """Chunks with what the buckets answered: (doc_ids, texts, tok, words, pairs)."""
+    doc_ids = dict(chunk_rows.dtypes)["doc_ids"]
+    both = chunk_rows.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("data"), "doc_ids", "texts", "tok", "vocab").unionByName(answers, allowMissingColumns=True)
+    ordered = both.repartition(partitions(chunk_rows.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "bucket")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                keys = batch.column("doc_ids")
+                for i, r in enumerate(batch.drop_columns(["doc_ids"]).to_pylist()):
+                    yield r["chunk"], r, keys[i : i + 1] if r["kind"] == 0 else None
+
+        for _, own in groupby(rows(), itemgetter(0)):
+            _, head, keys = next(own)
+            texts, parts = Texts(head), {1: [], 2: []}
+            for _, r, _ in own:
+                parts[r["kind"]].append(r["data"])
+            n, of_class, cost = (np.concatenate(x) for x in zip(*(unpack(d, np.int64, np.int64, np.float32) for d in parts[1]), strict=True))
+            hashes = unpack(head["vocab"], bytes, np.int32, np.uint8, np.uint64)[3]
+            order, heads, own_pair, earlier = occurrences(texts.pair_keys(hashes), texts.text)
+            total = np.concatenate([unpack(d, np.int64)[0] for d in parts[2]])
+            pair = np.empty(len(order), np.int64)
+            pair[order] = np.repeat(total, np.diff(np.r_[heads, len(order)]))
+            columns = [keys, pa.array([head["texts"]], pa.binary()), pa.array([head["tok"]], pa.binary()), pa.array([pack(n, of_class, cost, (hashes >> U(52)).astype(np.uint16))], pa.binary()), pa.array([pack(pair, own_pair, earlier)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_ids", "texts", "tok", "words", "pairs"])
+
+    return ordered.mapInArrow(run, f"doc_ids {doc_ids}, texts binary, tok binary, words binary, pairs binary")
+
+
+def stretch(p: np.ndarray) -> np.ndarray:
+    return np.log(p / (1 - p))
+
+
+def level(x: np.ndarray) -> np.ndarray:
+    """0 for 0, then one step for each doubling, 15 at most."""
+    return np.minimum(np.ceil(np.log2(np.maximum(x, 0) + 1)), 15).astype(np.int64)
+
+
+class Shares:
+    """Per token: its share by each way to code it, and the slots of the flags' contexts."""
+
+    def __init__(self, row: dict, totals: dict):
+        t = self.texts = Texts(row)
+        n, of_class, cost, prefix = unpack(row["words"], np.int64, np.int64, np.float32, np.uint16)
+        pair, own_pair, earlier_pair = unpack(row["pairs"], np.int64, np.int32, np.int32)
+        _, _, own, earlier = occurrences(t.tok, t.text)
+        self.n = n[t.tok]
+        leave = t.train
+        size = np.where(t.held == 0, t.sizes, 0)[t.text]
+        mine = leave * own
+        texts_before = totals["ends"].sum() - leave
+        before = np.where(t.place == 0, texts_before, t.before(self.n - mine, 0))
+        seen = before + RECENT * np.where(t.place == 0, 0, t.before(earlier, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            shares = [
+                (pair - leave * own_pair + RECENT * earlier_pair) / seen,
+                earlier / t.place,
+                (of_class[t.tok] - mine) / (totals["of_class"][t.cls[t.text]] - size),
+                (self.n - mine) / (totals["n"] - size),
+            ]
+        self.p = np.nan_to_num(np.array(shares), nan=0, posinf=0, neginf=0)
+        self.spelled = cost[t.tok].astype(np.float64)
+        # Which tokens the word before foretold better than their class: known once the token is.
+        hit = (self.p[0] > np.maximum(self.p[2], self.p[3])).astype(np.int64)
+        last = hit
+        pattern = np.zeros(len(hit), np.int64)
+        for k in range(HISTORY):
+            last = t.before(last, 0)
+            pattern |= last << k
+        done = np.cumsum(hit) - hit
+        run = done - done[np.maximum(np.arange(len(hit)) - RUN, np.repeat(t.starts, t.sizes))]
+        known, place = level(seen), level(t.place)
+        self.known = known
+        self.slots = [known * 8 + pattern, t.before(prefix[t.tok], 0).astype(np.int64), run * CLASSES + t.cls[t.text], place * 16 + known]
+
+    def weights(self, q: np.ndarray) -> np.ndarray:
+        """How much each way counts, from the flags' probabilities."""
+        left = np.cumprod(np.r_[np.ones((1, q.shape[1])), 1 - q], axis=0)
+        return np.r_[q * left[:-1], left[-1:]]
+
+    def log_p(self, q: np.ndarray) -> np.ndarray:
+        g = self.weights(q)
+        told = (g[:FLAGS] * self.p).sum(axis=0)
+        spelled = self.spelled + np.log10(g[FLAGS])
+        with np.errstate(divide="ignore"):
+            return np.where(told > 0, np.log10(told + 10 ** np.maximum(spelled, -300)), spelled)
+
+    def parts(self, q: np.ndarray) -> np.ndarray:
+        """Each way's part in the token's probability."""
+        g = self.weights(q)
+        out = np.r_[g[:FLAGS] * self.p, g[FLAGS:] * 10 ** np.maximum(self.spelled, -300)]
+        total = out.sum(axis=0)
+        out[FLAGS] += total == 0
+        return out / np.maximum(out.sum(axis=0), 1e-300)
+
+
+OFFSETS = np.cumsum([0, *FLAG_SLOTS])
+N_SLOTS = int(OFFSETS[-1])
+N_INPUTS = len(FLAG_SLOTS) + 1
+
+
+def flag_inputs(shares: Shares, odds: np.ndarray, flag: int) -> np.ndarray:
+    x = np.full((N_INPUTS, len(shares.n)), 0.3)
+    for k, at in enumerate(shares.slots):
+        x[k] = odds[flag, OFFSETS[k] + at]
+    return x
+
+
+def flag_mix(shares: Shares, odds: np.ndarray, w: np.ndarray, flag: int) -> np.ndarray:
+    return (w[flag].T[:, shares.known] * flag_inputs(shares, odds, flag)).sum(axis=0)
+
+
+def refine_at(mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = (np.clip(mix, -7.999, 7.999) + 8) * ((REFINE - 1) / 16)
+    low = at.astype(np.int64)
+    return low, at - low
+
+
+def flag_probabilities(shares: Shares, odds: np.ndarray, w: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+    out = np.empty((FLAGS, len(shares.n)))
+    for flag in range(FLAGS):
+        mix = flag_mix(shares, odds, w, flag)
+        p = squash(mix)
+        if table is not None:
+            low, part = refine_at(mix)
+            p = 0.5 * p + 0.5 * (table[flag, low] * (1 - part) + table[flag, low + 1] * part)
+        out[flag] = np.clip(p, 1e-5, 1 - 1e-5)
+    return out
+
+
+def learned_flags(ready: DataFrame, totals: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-odds of all slots, weights of all gates and the table of the last stage, over all training tokens."""
+    first = np.array(FLAG_FIRST)[:, None]
+
+    def tallies(rows: Iterator[dict]) -> np.ndarray:
+        out = np.zeros((2, FLAGS, N_SLOTS))
+        for row in rows:
+            s = Shares(row, totals)
+            r = s.parts(np.repeat(first, len(s.n), axis=1)) * s.texts.train
+            later = r.sum(axis=0)
+            for flag in range(FLAGS):
+                later = later - r[flag]
+                for k, at in enumerate(s.slots):
+                    own = slice(OFFSETS[k], OFFSETS[k + 1])
+                    out[1, flag, own] += np.bincount(at, weights=r[flag], minlength=FLAG_SLOTS[k])
+                    out[0, flag, own] += np.bincount(at, weights=later, minlength=FLAG_SLOTS[k])
+        return out.ravel()
+
+    zeros, ones = vector_sum(ready, tallies, 2 * FLAGS * N_SLOTS).reshape(2, FLAGS, N_SLOTS)
+    share = ((ones.sum(axis=1) + 1) / (zeros.sum(axis=1) + ones.sum(axis=1) + 2))[:, None]
+    odds = stretch(np.clip((ones + 8 * share) / (zeros + ones + 8), 1e-4, 1 - 1e-4))
+    weights = np.full((FLAGS, 16, N_INPUTS), 1 / len(FLAG_SLOTS))
+    weights[:, :, -1] = 0
+
+    def fit(rows: Iterator[dict]) -> np.ndarray:
+        out = np.zeros((FLAGS, 16 * N_INPUTS * (N_INPUTS + 1)))
+        for row in rows:
+            s = Shares(row, totals)
+            r = s.parts(flag_probabilities(s, odds, weights, None)) * s.texts.train
+            left = r.sum(axis=0)
+            for flag in range(FLAGS):
+                x = flag_inputs(s, odds, flag)
+                q = squash((weights[flag].T[:, s.known] * x).sum(axis=0))
+                out[flag] += newton_sums(x, s.known, r[flag] - left * q, left * q * (1 - q), 16)
+                left = left - r[flag]
+        return out.ravel()
+
+    sums = vector_sum(ready, fit, FLAGS * 16 * N_INPUTS * (N_INPUTS + 1)).reshape(FLAGS, -1)
+    weights = np.stack([newton_step(weights[flag], sums[flag]) for flag in range(FLAGS)])
+
+    def refine(rows: Iterator[dict]) -> np.ndarray:
+        out = np.zeros((2, FLAGS, REFINE))
+        for row in rows:
+            s = Shares(row, totals)
+            r = s.parts(flag_probabilities(s, odds, weights, None)) * s.texts.train
+            left = r.sum(axis=0)
+            for flag in range(FLAGS):
+                low, part = refine_at(flag_mix(s, odds, weights, flag))
+                for at, share_ in ((low, 1 - part), (low + 1, part)):
+                    out[0, flag] += np.bincount(at, weights=left * share_, minlength=REFINE)
+                    out[1, flag] += np.bincount(at, weights=r[flag] * share_, minlength=REFINE)
+                left = left - r[flag]
+        return out.ravel()
+
+    all_, hits = vector_sum(ready, refine, 2 * FLAGS * REFINE).reshape(2, FLAGS, REFINE)
+    centre = squash(np.arange(REFINE) * (16 / (REFINE - 1)) - 8)
+    return odds, weights, (hits + 20 * centre) / (all_ + 20)
+
+
+def class_shares(totals: dict) -> np.ndarray:
+    """log10 probability of every class of texts."""
+    return np.log10((totals["ends"] + 0.5) / (totals["ends"].sum() + 0.5 * CLASSES))
+
+
+def prepared(rows: DataFrame, mod: int) -> tuple[DataFrame, dict, tuple]:
+    """Chunks with their counts, totals over the training texts, and the spelling model."""
+    spark = rows.sparkSession
+    bits = max(4, (4 * partitions(spark) - 1).bit_length())
+    chunk_rows = materialize(chunks(rows, mod), "lm-chunks")
+    types = materialize(word_types(asked_words(chunk_rows, bits)), "lm-types")
+    sums = [F.sum("n"), F.sum("v"), *(F.sum(F.get(c, F.lit(k))) for c in ("of_class", "ends") for k in range(CLASSES))]
+    got = [int(x or 0) for x in types.agg(*sums).first()]
+    totals = {"n": got[0], "v": got[1], "of_class": np.array(got[2 : 2 + CLASSES]), "ends": np.array(got[2 + CLASSES :])}
+    spelling = learned_spelling(types)
+    shared = spark.sparkContext.broadcast(spelling)
+    answers = word_answers(types, shared).unionByName(pair_answers(asked_pairs(chunk_rows, bits)))
+    ready = materialize(counted(chunk_rows, answers), "lm-counted")
+    discard(chunk_rows, types)
+    return ready, totals, spelling
+
+
+def lm_scores(docs: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    words = rows.mapInArrow(run, f"row long, doc_id {kind}, word binary, cls int, k long, n_tokens long, n_known long, base double, score double, n_bytes long")
-    lexicon = costs.select("word", "cls", "c", "log10p")
-    joined = words.join(lexicon, ["word", "cls"], "left")
-    other = F.col("n_tokens").isNull()
-    found = joined.groupBy("row").agg(
-        F.first("doc_id", ignorenulls=True).alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.when(other, F.when(F.col("c") > 0, F.col("k")).otherwise(0)).otherwise(F.col("n_known"))).alias("n_known"),
-        F.sum(F.when(other, F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).otherwise(F.col("base"))).alias("base"),
-        F.sum(F.when(other, F.col("k") * F.col("log10p")).otherwise(F.col("score"))).alias("score"),
-        F.sum("n_bytes").alias("n_bytes"),
-    )
-    denominator = math.log10(n_all + 0.1 * (vocabulary + 1))
-    out = found.select(
-        "doc_id",
-        (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == 0).alias("held_out"),
-        "n_tokens",
-        "n_known",
-        F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * denominator).alias("base_score"),
-        "score",
-        "n_bytes",
-    )
-    return out.withColumn("bits_per_byte", F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes")))
+    ready, totals, _ = prepared(rows, mod)
+    model = docs.sparkSession.sparkContext.broadcast(learned_flags(ready, totals))
+    shares_of_class = class_shares(totals)
+    denominator = math.log10(totals["n"] + 0.1 * (totals["v"] + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("doc_ids")
+            for i, row in enumerate(batch.drop_columns(["doc_ids"]).to_pylist()):
+                s = Shares(row, totals)
+                t = s.texts
+                log_p = s.log_p(flag_probabilities(s, *model.value))
+                score = np.add.reduceat(log_p, t.starts) + shares_of_class[t.cls]
+                base = np.add.reduceat(np.log10(s.n + 0.1), t.starts) - t.sizes * denominator
+                known = np.add.reduceat((s.n > 0).astype(np.int64), t.starts)
+                columns = {"doc_id": keys[i : i + 1].flatten(), "held_out": pa.array(t.held == 1), "n_tokens": t.sizes, "n_known": known, "base_score": base, "score": score, "n_bytes": t.n_bytes}
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+    out = ready.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    bits = F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", bits.alias("bits_per_byte"))

@@ -9,11 +9,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pulsefleet.llm.chat import chat_digest, chat_windows, escaped, unescaped
-from pulsefleet.llm.contextmix import Chunk, Words, lm_scores, packed_words, text_class
+from pulsefleet.llm import contextmix
+from pulsefleet.llm.contextmix import lm_scores, text_class
 from pulsefleet.llm.htmltext import extract, main_text, page_weights
 from pulsefleet.llm.quality import Network, quality_scores
 
@@ -41,37 +43,149 @@ def test_language_model_scores(spark):
     # Words drawn at random from a small list are the base's own case: the mix must come close to it.
     held = [got[i] for i in range(300) if out(i)]
     assert sum(r["score"] for r in held) > 1.02 * sum(r["base_score"] for r in held)
-    few = {r["doc_id"]: r["score"] for r in lm_scores(df, heavy=1).filter("doc_id < 300 and doc_id <> 5").collect()}
-    assert all(few[i] == pytest.approx(got[i]["score"]) for i in few)  # broadcast or joined words: the same
     assert lm_scores(df.limit(0)).count() == 0 and lm_scores(df.filter("doc_id = 302")).count() == 1
 
 
-def test_word_probabilities_sum_to_at_most_one(spark):
-    """All words of up to two letters of a small alphabet, most never seen: a true probability adds up below 1."""
-    letters = [b"a", b"b", b"c", b"d"]
-    words = [b"".join(w) for k in (1, 2) for w in itertools.product(letters, repeat=k)]
-    rng = random.Random(1)
-    train = " ".join(rng.choice(["a", "ab", "abcdab", "abcdac", "dd"]) for _ in range(400))
-    ids = [i for i in range(400) if (zlib.crc32(str(i).encode()) % 10 == 0)][: len(words)]
-    keep = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 10)
-    longer = [f"{w}{x}" for w in ("abcd",) for x in ("a", "b", "c", "ab", "ac")]
-    ids2 = [i for i in range(400, 2000) if zlib.crc32(str(i).encode()) % 10 == 0][: len(longer)]
-    rows = [(keep, train), *((i, w.decode()) for i, w in zip(ids, words)), *zip(ids2, longer)]
-    empty = next(i for i in range(2000, 4000) if zlib.crc32(str(i).encode()) % 10 == 0)
-    got = {r["doc_id"]: r["score"] for r in lm_scores(spark.createDataFrame([*rows, (empty, "")], "doc_id long, text string")).collect()}
-    # A one-word text costs its class, the word and the end; the empty text the class and the end.
-    total = sum(10 ** (got[i] - got[empty]) for i in (*ids, *ids2))
-    assert 0.3 < total < 1 - 10 ** (got[empty] + math.log10(16)) + 1e-6
-
-
-def test_trie_counts():
-    words = [b"ab ", b"abc ", b"b "]
-    flat = np.frombuffer(b"".join(words), np.uint8)
-    trie = Words(flat, np.array([0, 3, 7]), np.array([3, 4, 2]), np.array([5, 2, 1]), None)
-    trie.step(0)
-    zeros, ones = trie.bit_counts()[6]  # the bit in which a and b first differ
-    assert list(zeros) == [0, 0] and list(ones) == [7, 1] or list(zeros + ones) == [8, 8]
-    assert text_class("plain") == 0 and text_class("é") == text_class("ÉéÈé".lower() + "é") != 0
+def scalar_scores(rows, fitted):
+    """Scores made again token by token in plain Python, from the rows and the fitted tables alone."""
+    totals, (tables, spell_w), (odds, w, refine) = fitted
+    out = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
+    texts = [(i, text_class(t or ""), [*(t or "").encode().lower().split(), b"\n"]) for i, t in rows]
+    train = [(k, ws) for i, k, ws in texts if not out(i)]
+    words = Counter(x for _, ws in train for x in ws)
+    classes = Counter((k, x) for k, ws in train for x in ws)
+    pairs = Counter((a, b) for _, ws in train for a, b in zip([None, *ws], ws))
+    n, n_class = sum(words.values()), Counter(k for k, ws in train for _ in ws)
+    squash = lambda x: 1 / (1 + math.exp(-max(-14, min(14, x))))
+    level = lambda x: min(math.ceil(math.log2(max(x, 0) + 1)), 15)
+    costs = {}
+
+    def spelled(word):
+        if word not in costs:
+            s = contextmix.Spelled([word if word == b"\n" else word + b" "])
+            total = 0.0
+            for y, at in s.bits():
+                for i in range(len(y)):
+                    known, mix = 0, 0.0
+                    x = []
+                    for k in range(contextmix.ORDERS):
+                        zeros, ones = (float(tables[j][at[k, i]]) - (word in words and words[word] > 0 and y[i] == j) for j in (0, 1))
+                        zeros, ones = max(zeros, 0), max(ones, 0)
+                        known += zeros + ones > 0
+                        x.append(math.log((ones + 0.4) / (zeros + 0.4)))
+                    gate = min(int(s.pos[i]), 3) * (contextmix.ORDERS + 1) + known
+                    mix = sum(a * b for a, b in zip(spell_w[gate], [*x, 0.3]))
+                    total += math.log10(squash(mix if y[i] else -mix))
+            costs[word] = total
+        return costs[word]
+
+    scores = []
+    for i, k, ws in texts:
+        leave = not out(i)
+        own, own_pairs = Counter(ws), Counter(zip([None, *ws], ws))
+        size = len(ws) if leave else 0
+        done, done_pairs, hits, total = Counter(), Counter(), [], 0.0
+        for t, x in enumerate(ws):
+            prev = ws[t - 1] if t else None
+            before = (len(train) - leave) if t == 0 else words[prev] - leave * own[prev]
+            seen = before + (0 if t == 0 else 4 * (done[prev] - 1))
+            share = lambda a, b: a / b if b > 0 else 0.0
+            p = [
+                share(pairs[prev, x] - leave * own_pairs[prev, x] + 4 * done_pairs[prev, x], seen),
+                share(done[x], t),
+                share(classes[k, x] - leave * own[x], n_class[k] - size),
+                share(words[x] - leave * own[x], n - size),
+            ]
+            pattern = sum(hits[-1 - j] << j for j in range(3) if j < len(hits))
+            prefix = xxhash.xxh64_intdigest(prev) >> 52 if t else 0
+            slots = [level(seen) * 8 + pattern, prefix, sum(hits[-16:]) * 16 + k, level(t) * 16 + level(seen)]
+            told, left = 0.0, 1.0
+            for flag in range(4):
+                inputs = [*(odds[flag][contextmix.OFFSETS[j] + at] for j, at in enumerate(slots)), 0.3]
+                mix = sum(a * b for a, b in zip(w[flag][level(seen)], inputs))
+                at = (max(-7.999, min(7.999, mix)) + 8) * 2
+                low = int(at)
+                q = 0.5 * squash(mix) + 0.5 * (refine[flag][low] * (1 - at + low) + refine[flag][low + 1] * (at - low))
+                q = max(1e-5, min(1 - 1e-5, q))
+                told += left * q * p[flag]
+                left *= 1 - q
+            last = spelled(x) + math.log10(left)
+            total += math.log10(told + 10**last) if told else last
+            hits.append(int(p[0] > max(p[2], p[3])))
+            done[x] += 1
+            done_pairs[prev, x] += 1
+        scores.append((i, total + float(contextmix.class_shares(totals)[k])))
+    return scores
+
+
+def lm_rows():
+    rng = random.Random(2)
+    lines = [prose(rng, 8) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice([prose(rng, 5), rng.choice(lines)]) for _ in range(rng.randrange(8)))) for i in range(60)]
+    return [*rows, (60, None), (61, rows[3][1]), (62, "Only Here-x \u00e9\u00e9 " * 3), (3, "a repeated id"), (None, "no id at all")]
+
+
+def test_scores_equal_a_token_by_token_model(spark):
+    rows = lm_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    ready, totals, spelling = contextmix.prepared(df, 10)
+    model = contextmix.learned_flags(ready, totals)
+    want = sorted(scalar_scores(rows, (totals, spelling, model)), key=str)
+    got = sorted(((r["doc_id"], r["score"]) for r in lm_scores(df).collect()), key=str)
+    assert [g[0] for g in got] == [x[0] for x in want]
+    assert [g[1] for g in got] == pytest.approx([x[1] for x in want], rel=1e-5)
+
+
+def test_scores_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
+    df = spark.createDataFrame(lm_rows(), "doc_id long, text string")
+    one_way = {(r["doc_id"], r["n_bytes"]): r["score"] for r in lm_scores(df.repartition(1)).collect()}
+    run = contextmix.chunks
+    monkeypatch.setattr(contextmix, "chunks", lambda rows, mod: run(rows.repartition(7), mod))
+    other = {(r["doc_id"], r["n_bytes"]): r["score"] for r in lm_scores(df).collect()}
+    assert other == {k: pytest.approx(v, rel=1e-6) for k, v in one_way.items()}
+
+
+def test_order_and_copies_count(spark):
+    rng = random.Random(4)
+    phrases = [prose(rng, 6) for _ in range(40)]
+    text = lambda: " ".join(rng.choice(phrases) for _ in range(20))
+    rows = [(i, text()) for i in range(200)]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    shuffled = [(1000 + i, dict(rows)[i].split()) for i in range(200)]
+    for _, words in shuffled:
+        rng.shuffle(words)
+    more = [(i, " ".join(x)) for i, x in shuffled if zlib.crc32(str(i).encode()) % 10 == 0]
+    alone = [(3000 + i, prose(rng, 60)) for i in range(30)]
+    twice = [(4000 + i, t) for i, (_, t) in enumerate(alone[:5])]
+    got = {r["doc_id"]: r for r in lm_scores(spark.createDataFrame([*rows, *more, *alone, *twice], "doc_id long, text string")).collect()}
+    for i, _ in more:
+        assert got[i]["score"] < 1.3 * got[i - 1000]["score"]  # the same words in another order
+    assert sum(got[i]["score"] for i in held) > 0.5 * sum(got[i]["base_score"] for i in held)
+    once = [got[i]["bits_per_byte"] for i, _ in alone[5:] if not got[i]["held_out"]]
+    again = [got[i]["bits_per_byte"] for i, _ in alone[:5] if not got[i]["held_out"] and not got[i + 1000]["held_out"]]
+    assert max(again, default=0) < 0.7 * min(once)
+
+
+def test_a_very_long_word_takes_linear_time():
+    import time
+
+    tables, w = np.zeros((2, contextmix.ORDERS * contextmix.SPELL_SLOTS), np.float32), np.full((contextmix.SPELL_GATES, contextmix.ORDERS + 1), 0.2)
+    began = time.process_time()
+    cost = contextmix.spelling_costs(b"x" * 1_000_000, np.array([1_000_000]), np.array([False]), tables, w)
+    assert math.isfinite(cost[0]) and time.process_time() - began < 30
+
+
+def test_spelled_words_are_a_probability():
+    """All words of up to three letters of a small alphabet: with their ends they add up to less than 1."""
+    rng = np.random.default_rng(3)
+    tables = rng.integers(0, 9, (2, contextmix.ORDERS * contextmix.SPELL_SLOTS)).astype(np.float32)
+    w = rng.normal(0.2, 0.1, (contextmix.SPELL_GATES, contextmix.ORDERS + 1))
+    first = [bytes([b]) for b in range(256) if b not in b" \t\n\v\f\r"] + [b"\n"]
+    flat, sizes = b"".join(first), np.array([1] * len(first))
+    one = spelled_total = (10 ** contextmix.spelling_costs(flat, sizes, np.zeros(len(sizes), bool), tables, w)).sum()
+    two = [a + b for a in first[:-1] for b in first[:-1]]
+    spelled_total += (10 ** contextmix.spelling_costs(b"".join(two), np.array([2] * len(two)), np.zeros(len(two), bool), tables, w)).sum()
+    assert 0 < one < spelled_total < 1
 
 
 ROLES = ["system", "user", "assistant", "tool: x", "a\\b", ""]
@@ -259,12 +373,3 @@ def test_pipeline_stages(spark, tmp_path):
         assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(out.doc_id) == kept[2] and (out.groupby("sequence_id").length.sum() <= 4096).all()
-
-
-def test_chunks_hold_whole_groups(spark):
-    words = [(w.encode(), c, 1) for w in ("then", "there", "thereby", "the", "tide") for c in (0, 3) for _ in range(2)]
-    rows = packed_words(spark.createDataFrame(words, "word binary, cls int, n long")).collect()
-    for r in rows:
-        chunk = Chunk(r.asDict())
-        assert (chunk.n == 2).all() and (chunk.total == 4).all()
-    assert sum(len(Chunk(r.asDict()).words) for r in rows) == 10
