@@ -9,7 +9,7 @@ probabilities as weights; a text's score is the log10 of a true probability of t
 
 Bit predictors: every flag and every bit of a spelled word is predicted from several hashed contexts, whose
 counts give log-odds; these are mixed by weights that a gate picks, and flags pass a last adaptive
-stage that corrects the mix by what happened at similar predictions. Flags look at how often the word before
+stage that averages the mix with what happened at similar predictions. Flags look at how often the word before
 was seen, at which of the last tokens the word before foretold (the text's run of hits), at the word before, at the
 class and the place in the text; spelled bits at the one to four bytes before and the word so far. The text's own
 counts and hits are updated token by token, so order counts, repeated phrases get cheap, and no text looks ahead.
@@ -414,19 +414,31 @@ class Spelled:
         """(outcome, slots of every order) for each bit."""
         for j in range(8):
             node = U(1 << j) | self.byte >> U(8 - j)
-            at = [(mixed(c + node * M2) >> U(64 - SPELL_BITS)).astype(np.int64) + k * SPELL_SLOTS for k, c in enumerate(self.contexts)]
-            yield (self.byte >> U(7 - j) & U(1)).astype(np.int8), np.array(at)
+            step = node * M2
+            at = [((c + step) * M1 >> U(64 - SPELL_BITS)).astype(np.int32) + np.int32(k * SPELL_SLOTS) for k, c in enumerate(self.contexts)]
+            yield (self.byte >> U(7 - j) & U(1)).astype(bool), np.array(at)
 
 
 def spell_inputs(y: np.ndarray, at: np.ndarray, pos: np.ndarray, tables: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds (orders and a constant, bits) and gates; leave: 1 for bits of words that are in the tables."""
-    zeros, ones = tables[0][at], tables[1][at]
-    zeros = np.maximum(zeros - leave * (y == 0), 0)
-    ones = np.maximum(ones - leave * (y == 1), 0)
-    known = (zeros + ones > 0).sum(axis=0)
+    """Log-odds (orders and a constant, bits) and gates. tables: zeros and ones as the parts of complex numbers, so that
+    both are fetched at once; leave: for bits of words that are in the tables, without their own occurrence."""
     x = np.full((ORDERS + 1, len(y)), 0.3, np.float32)
-    x[:ORDERS] = np.log((ones + 0.4) / (zeros + 0.4))
-    return x, np.minimum(pos, 3) * (ORDERS + 1) + known
+    gate = np.minimum(pos, 3).astype(np.int16) * np.int16(ORDERS + 1)
+    own1, own0 = (leave & y).astype(np.float32), (leave & ~y).astype(np.float32)
+    for k in range(ORDERS):
+        found = tables[at[k]]
+        ones, zeros = np.maximum(found.imag - own1, 0), np.maximum(found.real - own0, 0)
+        gate += ones + zeros > 0
+        x[k] = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+    return x, gate
+
+
+def mix_of(w: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Weighted sum of the inputs, weights picked by the gate."""
+    out = w[:, 0][gate] * x[0]
+    for k in range(1, len(x)):
+        out += w[:, k][gate] * x[k]
+    return out
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -437,10 +449,14 @@ def newton_sums(x: np.ndarray, gate: np.ndarray, miss: np.ndarray, curve: np.nda
     """Gradient and curvature of every gate's weights, flat."""
     k = len(x)
     out = np.zeros((gates, k + k * k))
-    for i in range(k):
-        out[:, i] = np.bincount(gate, weights=miss * x[i], minlength=gates)
-        for j in range(i, k):
-            out[:, k + i * k + j] = out[:, k + j * k + i] = np.bincount(gate, weights=curve * x[i] * x[j], minlength=gates)
+    order = np.argsort(gate.astype(np.uint8), kind="stable")
+    x, miss, curve, sizes = x[:, order], miss[order], curve[order], np.bincount(gate, minlength=gates)
+    ends = np.cumsum(sizes)
+    for g in np.flatnonzero(sizes):
+        own = x[:, ends[g] - sizes[g] : ends[g]].astype(np.float64)
+        at = slice(ends[g] - sizes[g], ends[g])
+        out[g, :k] = own @ miss[at]
+        out[g, k:] = ((own * curve[at]) @ own.T).ravel()
     return out.ravel()
 
 
@@ -451,13 +467,14 @@ def newton_step(w: np.ndarray, sums: np.ndarray, ridge: float = 2.0) -> np.ndarr
 
 
 def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of zeros and ones in every slot over the distinct training words, and the gates' weights."""
+    """Counts of zeros and ones (as parts of complex numbers) in every slot over the distinct training words; the gates' weights, fitted
+    to all words that occur once, as the words that will have to be spelled are most like these."""
 
-    def trained(rows: Iterator[dict]) -> Iterator[Spelled]:
+    def trained(rows: Iterator[dict], most: int = 1 << 62) -> Iterator[Spelled]:
         for row in rows:
             joined, lengths, n = unpack(row["words"], bytes, np.int32, np.int64)
             ends = np.cumsum(lengths, dtype=np.int64)
-            keep = np.flatnonzero(n > 0)
+            keep = np.flatnonzero((n > 0) & (n <= most))
             own = [joined[ends[i] - lengths[i] : ends[i]] for i in keep.tolist()]
             for _, _, closed in spelled_batches(b"".join(own), lengths[keep]):
                 yield Spelled(closed)
@@ -466,13 +483,14 @@ def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros((2, ORDERS * SPELL_SLOTS))
         for s in trained(rows):
             for y, at in s.bits():
-                for k in range(2):
-                    np.add.at(out[k], at[:, y == k].ravel(), 1.0)
+                np.add.at(out[1], at[:, y].ravel(), 1.0)
+                np.add.at(out[0], at[:, ~y].ravel(), 1.0)
         return out.ravel()
 
     spark = types.sparkSession
     words = types.select("words")
-    tables = vector_sum(words, count, 2 * ORDERS * SPELL_SLOTS).reshape(2, -1).astype(np.float32)
+    tables = vector_sum(words, count, 2 * ORDERS * SPELL_SLOTS).reshape(2, -1)
+    tables = (tables[0] + 1j * tables[1]).astype(np.complex64)
     shared = spark.sparkContext.broadcast(tables)
     weights = np.full((SPELL_GATES, ORDERS + 1), 0.3)
     weights[:, ORDERS] = 0
@@ -480,10 +498,10 @@ def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         def fit(rows: Iterator[dict], w: np.ndarray = weights) -> np.ndarray:
             out = np.zeros(w.size * (ORDERS + 2))
-            for s in trained(rows):
+            for s in trained(rows, 1):
                 for y, at in s.bits():
-                    x, gate = spell_inputs(y, at, s.pos, shared.value, np.ones(len(y), np.int8))
-                    p = squash((w.T[:, gate] * x).sum(axis=0))
+                    x, gate = spell_inputs(y, at, s.pos, shared.value, np.ones(len(y), bool))
+                    p = squash(mix_of(w, gate, x))
                     out += newton_sums(x, gate, y - p, p * (1 - p), SPELL_GATES)
             return out
 
@@ -496,13 +514,13 @@ def spelling_costs(words: bytes, lengths: np.ndarray, trained: np.ndarray, table
     out = np.zeros(len(lengths))
     for lo, hi, closed in spelled_batches(words, lengths):
         s = Spelled(closed)
-        leave = np.repeat(trained[lo:hi].astype(np.int8), s.lengths)
-        cost = np.zeros(len(s.byte))
+        leave = np.repeat(trained[lo:hi].astype(bool), s.lengths)
+        p = np.ones(len(s.byte))
         for y, at in s.bits():
             x, gate = spell_inputs(y, at, s.pos, tables, leave)
-            mix = (w.T[:, gate] * x).sum(axis=0)
-            cost -= np.logaddexp(0, np.clip(np.where(y == 1, -mix, mix), -14, 14))
-        out[lo:hi] = np.add.reduceat(cost, s.starts) / math.log(10)
+            mix = mix_of(w, gate, x)
+            p *= squash(np.where(y, mix, -mix))
+        out[lo:hi] = np.add.reduceat(np.log10(p), s.starts)
     return out
 
 
@@ -630,30 +648,25 @@ N_INPUTS = len(FLAG_SLOTS) + 1
 
 
 def flag_inputs(shares: Shares, odds: np.ndarray, flag: int) -> np.ndarray:
-    x = np.full((N_INPUTS, len(shares.n)), 0.3)
+    x = np.full((N_INPUTS, len(shares.n)), 0.3, np.float32)
     for k, at in enumerate(shares.slots):
         x[k] = odds[flag, OFFSETS[k] + at]
     return x
 
 
-def flag_mix(shares: Shares, odds: np.ndarray, w: np.ndarray, flag: int) -> np.ndarray:
-    return (w[flag].T[:, shares.known] * flag_inputs(shares, odds, flag)).sum(axis=0)
-
-
 def refine_at(mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = (np.clip(mix, -7.999, 7.999) + 8) * ((REFINE - 1) / 16)
     low = at.astype(np.int64)
     return low, at - low
 
 
-def flag_probabilities(shares: Shares, odds: np.ndarray, w: np.ndarray, table: np.ndarray | None) -> np.ndarray:
+def flag_probabilities(shares: Shares, odds: np.ndarray, w: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The mix by the gates' weights, averaged with what happened where the plain mean of the inputs was alike."""
     out = np.empty((FLAGS, len(shares.n)))
     for flag in range(FLAGS):
-        mix = flag_mix(shares, odds, w, flag)
-        p = squash(mix)
-        if table is not None:
-            low, part = refine_at(mix)
-            p = 0.5 * p + 0.5 * (table[flag, low] * (1 - part) + table[flag, low + 1] * part)
+        x = flag_inputs(shares, odds, flag)
+        low, part = refine_at(x[:-1].mean(axis=0))
+        p = 0.5 * squash(mix_of(w[flag], shares.known, x)) + 0.5 * (table[flag, low] * (1 - part) + table[flag, low + 1] * part)
         out[flag] = np.clip(p, 1e-5, 1 - 1e-5)
     return out
 
@@ -681,38 +694,29 @@ def learned_flags(ready: DataFrame, totals: dict) -> tuple[np.ndarray, np.ndarra
     odds = stretch(np.clip((ones + 8 * share) / (zeros + ones + 8), 1e-4, 1 - 1e-4))
     weights = np.full((FLAGS, 16, N_INPUTS), 1 / len(FLAG_SLOTS))
     weights[:, :, -1] = 0
+    n_fit = 16 * N_INPUTS * (N_INPUTS + 1)
 
     def fit(rows: Iterator[dict]) -> np.ndarray:
-        out = np.zeros((FLAGS, 16 * N_INPUTS * (N_INPUTS + 1)))
-        for row in rows:
-            s = Shares(row, totals)
-            r = s.parts(flag_probabilities(s, odds, weights, None)) * s.texts.train
-            left = r.sum(axis=0)
-            for flag in range(FLAGS):
-                x = flag_inputs(s, odds, flag)
-                q = squash((weights[flag].T[:, s.known] * x).sum(axis=0))
-                out[flag] += newton_sums(x, s.known, r[flag] - left * q, left * q * (1 - q), 16)
-                left = left - r[flag]
-        return out.ravel()
-
-    sums = vector_sum(ready, fit, FLAGS * 16 * N_INPUTS * (N_INPUTS + 1)).reshape(FLAGS, -1)
-    weights = np.stack([newton_step(weights[flag], sums[flag]) for flag in range(FLAGS)])
-
-    def refine(rows: Iterator[dict]) -> np.ndarray:
-        out = np.zeros((2, FLAGS, REFINE))
+        out = np.zeros((FLAGS, n_fit + 2 * REFINE))
         for row in rows:
             s = Shares(row, totals)
-            r = s.parts(flag_probabilities(s, odds, weights, None)) * s.texts.train
+            inputs = [flag_inputs(s, odds, flag) for flag in range(FLAGS)]
+            means = [x[:-1].mean(axis=0) for x in inputs]
+            q = np.clip(squash(np.array(means)), 1e-5, 1 - 1e-5)
+            r = s.parts(q) * s.texts.train
             left = r.sum(axis=0)
             for flag in range(FLAGS):
-                low, part = refine_at(flag_mix(s, odds, weights, flag))
+                out[flag, :n_fit] += newton_sums(inputs[flag], s.known, r[flag] - left * q[flag], left * q[flag] * (1 - q[flag]), 16)
+                low, part = refine_at(means[flag])
                 for at, share_ in ((low, 1 - part), (low + 1, part)):
-                    out[0, flag] += np.bincount(at, weights=left * share_, minlength=REFINE)
-                    out[1, flag] += np.bincount(at, weights=r[flag] * share_, minlength=REFINE)
+                    out[flag, n_fit : n_fit + REFINE] += np.bincount(at, weights=left * share_, minlength=REFINE)
+                    out[flag, n_fit + REFINE :] += np.bincount(at, weights=r[flag] * share_, minlength=REFINE)
                 left = left - r[flag]
         return out.ravel()
 
-    all_, hits = vector_sum(ready, refine, 2 * FLAGS * REFINE).reshape(2, FLAGS, REFINE)
+    sums = vector_sum(ready, fit, FLAGS * (n_fit + 2 * REFINE)).reshape(FLAGS, -1)
+    weights = np.stack([newton_step(weights[flag], sums[flag, :n_fit]) for flag in range(FLAGS)])
+    all_, hits = sums[:, n_fit : n_fit + REFINE], sums[:, n_fit + REFINE :]
     centre = squash(np.arange(REFINE) * (16 / (REFINE - 1)) - 8)
     return odds, weights, (hits + 20 * centre) / (all_ + 20)
 

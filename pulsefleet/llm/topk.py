@@ -35,7 +35,7 @@ from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import discard, materialize, partitions
 
 BLOCK = "part int, at int, top double, ids binary, vectors binary, turned binary"
 ASKED = "cutoff double, ids binary, vectors binary, floors binary"
@@ -223,6 +223,8 @@ def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int, scale:
         c_side = now.select(F.col("step").cast("int").alias("step"), (F.col("nth") % lanes).cast("int").alias("lane"), F.col("top").alias("c_top"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), F.col("turned").alias("c_turned"))
         found = q_side.join(c_side, ["step", "lane"]).drop("step", "lane").mapInArrow(scan, kind)
         best_now = held.unionByName(found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-        held = materialize(best_now.select("query_id", "vec_id", "score"), "top-so-far")
+        last, held = held, materialize(best_now.select("query_id", "vec_id", "score"), "top-so-far")
+        discard(last, blocks)
         lo, hi = hi, min(2 * hi, total)
+    discard(ask, cand)
     return held.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "vec_id", "score")
