@@ -1,7 +1,7 @@
 """Device bundles: decoded messages aggregated to one row per bundle, flags, and rows for the tables.
 
 Messages: see ``schemas.DEVICE``; ``u`` holds the numbered fields. Message order is (file, seq). All
-plain totals come from one conditional aggregation, so the per-minute samples shrink before the shuffle.
+totals come from one aggregation in two levels, so the per-minute samples shrink before the shuffle.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.calendar import day_in_name, device_seconds
-from pulsefleet.functions.rounding import half_even, mean, whole
+from pulsefleet.functions.rounding import half_even, whole
 
 KEY = ["user_id", "bundle"]
 # Fixed values of the message format.
@@ -39,7 +39,7 @@ def named(name: str, value: Column) -> Column:
 
 def first_seen_mode(messages: DataFrame, name: str, value: Column, low: int, high: int, out: str) -> DataFrame:
     """(bundle, out): the most frequent whole value of the range, the one seen first among equals."""
-    votes = messages.filter(F.col("name") == name).select(*KEY, "order", value.cast("int").alias("v")).filter(F.col("v").between(low, high))
+    votes = messages.filter(F.col("name") == name).select(*KEY, "order", value.try_cast("int").alias("v")).filter(F.col("v").between(low, high))
     counted = votes.groupBy(*KEY, "v").agg(F.count(F.lit(1)).alias("n"), F.min("order").alias("seen"))
     # Later first sightings sort lower: compare (n, -file rank) through min_by on (-n, seen).
     return counted.groupBy(*KEY).agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), F.col("seen"))).alias(out))
@@ -49,38 +49,58 @@ def ordered(messages: DataFrame) -> DataFrame:
     return messages.withColumn("order", F.struct("file", "seq"))
 
 
-def totals(messages: DataFrame) -> DataFrame:
-    """Heart rate, stress, sleep window, time-zone offset, last HRV and skin message, last sample: one pass."""
+def summary(messages: DataFrame) -> DataFrame:
+    """Heart rate, stress, counters, sleep window, offset, last HRV and skin message, modes, last sample: one pass.
+
+    Messages are added up per activity type and per vote first, where tasks shrink them, then per bundle.
+    """
     hr = named("monitoring", F.when(F.col("heart_rate") > 0, F.col("heart_rate")))
     stress = named("stress_level", F.when(F.col("stress_level_value").between(0, 100), F.col("stress_level_value")))
     marker = (F.col("name") == "event") & (F.col("event") == SLEEP_EVENT) & F.col("ts").isNotNull()
     begins = F.coalesce(F.col("event_type") == "start", F.lit(False))
     offset = named("timestamp_correlation", whole(F.expr("timestampdiff(SECOND, ts, local_ts)") / 60))
-    return ordered(messages).groupBy(*KEY).agg(
-        F.min(hr).alias("hr_min"),
-        whole(mean(hr)).alias("hr_avg"),
-        F.max(hr).alias("hr_max"),
-        F.count(hr).alias("hr_samples"),
-        whole(mean(stress)).alias("stress_avg"),
-        F.max(stress).alias("stress_max"),
-        F.min(F.when(marker & begins, F.col("ts"))).alias("sleep_start"),
-        F.max(F.when(marker & ~begins, F.col("ts"))).alias("sleep_stop"),
-        F.coalesce(F.min_by(offset, F.when(offset.isNotNull(), F.col("order"))), F.lit(0)).alias("offset_min"),
+    score, rate = named("unknown_521", field(1).try_cast("int")), named("unknown_281", field(9).try_cast("int"))
+    vote = F.coalesce(F.when(score.between(0, 100), score), F.when(rate.between(*PLAUSIBLE_HR), rate))
+    at = F.col("order")
+    hrv, skin = (F.when(F.col("name") == n, at) for n in ("unknown_370", "unknown_398"))
+    kind = F.col("name").isin("monitoring", "unknown_521", "unknown_281")
+    parts = ordered(messages).withColumns({"kind": F.when(kind, F.col("name")), "type": named("monitoring", F.col("activity_type")), "vote": vote}).groupBy(*KEY, "kind", "type", "vote").agg(
+        F.min(hr).alias("hr_min"), F.max(hr).alias("hr_max"), F.sum(hr).alias("hr_sum"), F.count(hr).alias("hr_n"),
+        F.sum(stress).alias("stress_sum"), F.count(stress).alias("stress_n"), F.max(stress).alias("stress_max"),
+        F.max("steps").alias("steps"), F.max("distance").alias("distance"),
+        F.min(F.when(marker & begins, F.col("ts"))).alias("sleep_start"), F.max(F.when(marker & ~begins, F.col("ts"))).alias("sleep_stop"),
+        F.min(F.when(offset.isNotNull(), F.struct(at.alias("at"), offset.alias("offset")))).alias("offset"),
         F.max(named("monitoring", F.col("ts"))).alias("last_seen"),
-        F.max_by("u", F.when(F.col("name") == "unknown_370", F.col("order"))).alias("hrv"),
-        F.max_by("u", F.when(F.col("name") == "unknown_398", F.col("order"))).alias("skin"),
+        F.max(hrv).alias("hrv_at"), F.max_by("u", hrv).alias("hrv"), F.max(skin).alias("skin_at"), F.max_by("u", skin).alias("skin"),
+        F.count(F.lit(1)).alias("n"), F.min("order").alias("seen"),
+    )
+    of = lambda name, column: F.when(F.col("kind") == name, F.col(column))
+    counter = lambda column, zero: F.sum(F.greatest(of("monitoring", column), F.when(of("monitoring", column).isNotNull(), zero)))
+    # The most frequent vote, the one seen first among equals.
+    mode = lambda name: F.min_by("vote", F.when((F.col("kind") == name) & F.col("vote").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("seen"))))
+    return parts.groupBy(*KEY).agg(
+        F.min("hr_min").alias("hr_min"),
+        whole(F.try_divide(F.sum("hr_sum"), F.sum("hr_n"))).alias("hr_avg"),
+        F.max("hr_max").alias("hr_max"),
+        F.sum("hr_n").alias("hr_samples"),
+        counter("steps", F.lit(0).cast("long")).alias("steps"),
+        half_even(counter("distance", F.lit(0.0)), 1).alias("distance_m"),
+        whole(F.try_divide(F.sum("stress_sum"), F.sum("stress_n"))).alias("stress_avg"),
+        F.max("stress_max").alias("stress_max"),
+        F.min("sleep_start").alias("sleep_start"),
+        F.max("sleep_stop").alias("sleep_stop"),
+        F.coalesce(F.min("offset")["offset"], F.lit(0)).alias("offset_min"),
+        F.max("last_seen").alias("last_seen"),
+        F.max_by("hrv", "hrv_at").alias("hrv"),
+        F.max_by("skin", "skin_at").alias("skin"),
+        mode("unknown_521").alias("sleep_score"),
+        mode("unknown_281").alias("rhr_on_device"),
     )
-
-
-def counters(messages: DataFrame) -> DataFrame:
-    """Steps and distance: each activity type's largest counter (not below 0), added up; an unnamed type is one too."""
-    per_type = messages.filter("name = 'monitoring'").groupBy(*KEY, "activity_type").agg(F.greatest(F.max("steps"), F.lit(0).cast("long")).alias("s"), F.greatest(F.max("distance"), F.lit(0.0)).alias("d"), F.count("steps").alias("ns"), F.count("distance").alias("nd"))
-    return per_type.groupBy(*KEY).agg(F.sum(F.when(F.col("ns") > 0, F.col("s"))).alias("steps"), half_even(F.sum(F.when(F.col("nd") > 0, F.col("d"))), 1).alias("distance_m"))
 
 
 def stages(messages: DataFrame) -> DataFrame:
     """Minutes per sleep stage and the largest logging gap; a record holds until the next one; two records at least."""
-    rows = messages.filter("name = 'unknown_275'").select(*KEY, field(253).cast("long").alias("at"), field(0).cast("int").alias("stage")).filter("at is not null and stage is not null")
+    rows = messages.filter("name = 'unknown_275'").select(*KEY, field(253).try_cast("long").alias("at"), field(0).try_cast("int").alias("stage")).filter("at is not null and stage is not null")
     until = F.lead("at").over(Window.partitionBy(*KEY).orderBy("at", "stage"))
     held = rows.withColumn("held", until - F.col("at")).filter("held is not null")
     name = F.coalesce(lookup(F.col("stage"), SLEEP_STAGES), F.lit("other"))
@@ -88,28 +108,30 @@ def stages(messages: DataFrame) -> DataFrame:
     return held.groupBy(*KEY).agg(*minutes, whole(F.max("held") / 60).alias("max_logging_gap_min"))
 
 
-def naps(messages: DataFrame, offsets: DataFrame) -> DataFrame:
-    """(bundle, naps, nap_min): naps in order, in the nap's own or else the bundle's offset."""
-    rows = messages.filter("name = 'unknown_412'").select(*KEY, field(0).cast("long").alias("a"), field(2).cast("long").alias("b"), field(1).cast("long").alias("own")).filter("b > a")
-    rows = rows.join(offsets.select(*KEY, "offset_min"), KEY)
-    shift = F.coalesce(F.col("own"), F.col("offset_min")) * 60
-    nap = F.struct(F.col("a"), F.col("b"), F.col("own"), device_seconds(F.col("a") + shift).alias("start"), device_seconds(F.col("b") + shift).alias("end"), whole((F.col("b") - F.col("a")) / 60).alias("duration_min"))
-    per = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(nap)).alias("xs"), F.sum(whole((F.col("b") - F.col("a")) / 60)).cast("int").alias("nap_min"))
-    return per.select(*KEY, F.transform("xs", lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.duration_min.alias("duration_min"))).alias("naps"), "nap_min")
+def naps(messages: DataFrame) -> DataFrame:
+    """(bundle, recorded, nap_min): naps in order, start and end in device seconds, the nap's own offset."""
+    rows = messages.filter("name = 'unknown_412'").select(*KEY, field(0).try_cast("long").alias("a"), field(2).try_cast("long").alias("b"), field(1).try_cast("long").alias("own")).filter("b > a")
+    return rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("a", "b", "own"))).alias("recorded"), F.sum(whole((F.col("b") - F.col("a")) / 60)).cast("int").alias("nap_min"))
+
+
+def local_naps(recorded: str, offset: str) -> Column:
+    """Naps by the wall clock, in the nap's own or else the bundle's offset; an empty list without any."""
+    at = lambda seconds, own: device_seconds(seconds + F.coalesce(own, F.col(offset)) * 60)
+    nap = lambda x: F.struct(at(x.a, x.own).alias("start"), at(x.b, x.own).alias("end"), whole((x.b - x.a) / 60).alias("duration_min"))
+    return F.coalesce(F.transform(recorded, nap), F.array().cast("array<struct<start:timestamp_ntz,end:timestamp_ntz,duration_min:int>>"))
 
 
 def decode_bundles(messages: DataFrame) -> DataFrame:
-    """One row per bundle with all sections; what has no data is null, naps are an empty list."""
-    base = totals(messages)
-    seen = ordered(messages)
+    """One row per bundle with all sections; what has no data is null, naps are an empty list.
+
+    Three aggregations of the messages (all totals, stages, naps), joined where they already lie by bundle.
+    """
     local = lambda c: F.col(c) + F.make_dt_interval(mins=F.col("offset_min"))
     asleep = F.col("sleep_stop") > F.col("sleep_start")
     part = lambda n: F.try_element_at("hrv", F.lit(f"unknown_{n}"))
     heat = lambda n: F.try_element_at("skin", F.lit(f"unknown_{n}"))
     status = part(6)
-    joined = base
-    for more in (counters(messages), stages(messages), first_seen_mode(seen, "unknown_521", field(1), 0, 100, "sleep_score"), first_seen_mode(seen, "unknown_281", field(9), *PLAUSIBLE_HR, "rhr_on_device"), naps(messages, base)):
-        joined = joined.join(more, KEY, "left")
+    joined = summary(messages).join(stages(messages), KEY, "left").join(naps(messages), KEY, "left")
     out = joined.select(
         *KEY, "hr_min", "hr_avg", "hr_max", "hr_samples", "steps", "distance_m", "stress_avg", "stress_max",
         F.when(asleep, local("sleep_start")).alias("sleep_start"),
@@ -119,14 +141,14 @@ def decode_bundles(messages: DataFrame) -> DataFrame:
         whole(part(1) / 128).alias("last_night_avg"),
         whole(part(0) / 128).alias("weekly_avg"),
         whole(part(2) / 128).alias("high_5min"),
-        F.coalesce(lookup(status.cast("int"), HRV_STATUS), status.cast("bigint").cast("string")).alias("hrv_status"),
+        F.coalesce(lookup(status.try_cast("int"), HRV_STATUS), status.try_cast("bigint").cast("string")).alias("hrv_status"),
         whole(part(4) / 128).alias("baseline_low"),
         whole(part(5) / 128).alias("baseline_high"),
         half_even(heat(4), 1).alias("skin_nightly_c"),
         half_even(heat(1), 2).alias("skin_deviation_c"),
         half_even(heat(2), 3).alias("skin_avg_dev_7d"),
         "rhr_on_device",
-        F.coalesce("naps", F.array().cast("array<struct<start:timestamp_ntz,end:timestamp_ntz,duration_min:int>>")).alias("naps"),
+        local_naps("recorded", "offset_min").alias("naps"),
         "nap_min",
         local("last_seen").alias("last_local"),
     )

@@ -170,18 +170,20 @@ select path, source as endpoint, octet_length(encode(text))::bigint as bytes, do
 EVENT_DAY = f"days as (select user_id, ts::date as date, count(*) as n, sum({MONEY})::double as s, min({MONEY})::double as lo, max({MONEY})::double as hi from events where user_id is not null group by 1, 2)"
 
 # Messages of devices: kind number k, whole value v.
-DEVICE = f"""m as (select user_id, 'night-' || strftime(ts, '%Y-%m-%d') as bundle, ts::date as date, event_id, event_id % 10 as k, floor(value)::int as v, value, event_type, ts from events where user_id is not null),
+DEVICE = f"""m as (select user_id, case when user_id % 3 = 0 then 'export ' || strftime(ts, '%Y%m%d') else 'night-' || strftime(ts, '%Y-%m-%d') end as bundle, ts::date as day, event_id, case when event_id % 20 = 11 then 10 else event_id % 10 end as k, floor(value)::int as v, value, event_type, ts from events where user_id is not null),
 steps as (select user_id, bundle, sum(greatest(s, 0))::bigint as steps, {h("sum(greatest(d, 0))", 1)} as distance_m from (select user_id, bundle, event_type, max(v) as s, max(value) as d from m where k in (0, 1) group by 1, 2, 3) group by 1, 2),
 held as (select user_id, bundle, v % 5 as stage, lead(secs) over (partition by user_id, bundle order by secs, v % 5) - secs as held from (select *, floor(epoch(ts))::bigint as secs from m where k = 5)),
 stages as (select user_id, bundle, (coalesce(sum(held) filter (stage = 3), 0) // 60)::int as deep_min, (coalesce(sum(held) filter (stage = 2), 0) // 60)::int as light_min, (coalesce(sum(held) filter (stage = 4), 0) // 60)::int as rem_min, (coalesce(sum(held) filter (stage = 1), 0) // 60)::int as awake_min, {whole("max(held) / 60")} as max_logging_gap_min from held where held is not null group by 1, 2),
 votes as (select user_id, bundle, k, case when k = 9 then v % 7 else v % 150 end as x, count(*) as n, min(event_id) as seen from m where k = 9 or (k = 6 and v % 150 between 30 and 120) group by 1, 2, 3, 4),
 modes as (select user_id, bundle, arg_min(x, (-n, seen)) filter (k = 9) as sleep_score, arg_min(x, (-n, seen)) filter (k = 6) as rhr_on_device from votes group by 1, 2),
 naps as (select user_id, bundle, count(*)::bigint as naps, ({whole("1830 / 60")} * count(*))::int as nap_min, min(v) as v1 from m where k = 8 group by 1, 2),
-tot as (select user_id, bundle, min(date) as date, min(v) filter (k in (0, 1) and v > 0) as hr_min, {whole(mean("v", " filter (k in (0, 1) and v > 0)"))} as hr_avg, max(v) filter (k in (0, 1) and v > 0) as hr_max, count(*) filter (k in (0, 1) and v > 0)::bigint as hr_samples,
+tot as (select user_id, bundle, min(day) as day, coalesce(arg_min(event_id % 7 * 90, event_id) filter (k = 4), 0)::int as off, max(ts) filter (k in (0, 1)) as last_ts, min(v) filter (k in (0, 1) and v > 0) as hr_min, {whole(mean("v", " filter (k in (0, 1) and v > 0)"))} as hr_avg, max(v) filter (k in (0, 1) and v > 0) as hr_max, count(*) filter (k in (0, 1) and v > 0)::bigint as hr_samples,
   {whole(mean("v", " filter (k = 2 and v between 0 and 100)"))} as stress_avg, max(v) filter (k = 2 and v between 0 and 100) as stress_max,
   min(ts) filter (k = 3 and event_type = 'view') as a, max(ts) filter (k = 3 and event_type <> 'view') as b,
-  arg_max(v, event_id) filter (k = 7) as hv from m group by 1, 2),
-dec as (select tot.*, steps, distance_m, case when b > a then {whole("date_sub('second', a, b) / 60")} end as sleep_min, {whole("hv * 64 / 128")} as last_night_avg, {whole("hv * 100 / 128")} as weekly_avg,
+  arg_max(v, event_id) filter (k = 7) as hv, arg_max(v, event_id) filter (k = 10) as sv from m group by 1, 2),
+dec as (select tot.*, case when user_id % 3 <> 0 then day else coalesce(case when b > a then (b + to_minutes(off))::date end, (last_ts + to_minutes(off))::date) end as date,
+  case when b > a then strftime(a + to_minutes(off), '%Y-%m-%d %H:%M:%S') end as start_ts, case when b > a then strftime(b + to_minutes(off), '%Y-%m-%d %H:%M:%S') end as end_ts,
+  {h("30 + sv / 256", 1)} as skin_nightly_c, {h("sv / 1000 - 0.25")} as skin_deviation_c, {h("sv / 10000", 3)} as skin_avg_dev_7d, steps, distance_m, case when b > a then {whole("date_sub('second', a, b) / 60")} end as sleep_min, {whole("hv * 64 / 128")} as last_night_avg, {whole("hv * 100 / 128")} as weekly_avg,
   case hv % 6 when 0 then 'none' when 1 then 'poor' when 2 then 'low' when 3 then 'unbalanced' when 4 then 'balanced' when 5 then '5' end as hrv_status,
   deep_min, light_min, rem_min, awake_min, sleep_score, rhr_on_device, nap_min, coalesce(rhr_on_device > hr_min + 10, false) as far, coalesce(max_logging_gap_min >= 45, false) as sparse
   from tot left join steps using (user_id, bundle) left join stages using (user_id, bundle) left join modes using (user_id, bundle) left join naps using (user_id, bundle))"""
@@ -189,9 +191,9 @@ FLAGS = "concat_ws(',', case when far then 'rhr_far_above_hr_floor' end, case wh
 
 IMPORT = f"""with {DEVICE}, {SLEEP},
 r as (
-  select user_id, bundle, date, 'sleep' as t, {FLAGS} as f, exists (select 1 from sleep s where s.user_id = dec.user_id and s.date = dec.date) as blocked from dec where coalesce(sleep_score, sleep_min, deep_min, nap_min) is not null or far or sparse
-  union all select user_id, bundle, date, 'hrv', '', false from dec where hv is not null
-  union all select user_id, bundle, date, 'daily_wellness', '', false from dec where coalesce(case when not far then rhr_on_device end, hr_min, stress_avg, steps) is not null)
+  select user_id, bundle, date, 'sleep' as t, {FLAGS} as f, exists (select 1 from sleep s where s.user_id = dec.user_id and s.date = dec.date) as blocked from dec where date is not null and (coalesce(sleep_score, sleep_min, deep_min, nap_min) is not null or far or sparse)
+  union all select user_id, bundle, date, 'hrv', '', false from dec where hv is not null and date is not null
+  union all select user_id, bundle, date, 'daily_wellness', '', false from dec where coalesce(case when not far then rhr_on_device end, hr_min, stress_avg, steps, skin_deviation_c) is not null and date is not null)
 select user_id, bundle, max(date) as date, coalesce(string_agg(t, ',' order by t) filter (not blocked), '') as imported, coalesce(string_agg(t, ',' order by t) filter (blocked), '') as skipped, max(f) as flags from r group by 1, 2"""
 
 def iso(sql: str, *days: str) -> str:
@@ -206,9 +208,10 @@ DAYS_OF = {
     "baselines_fixed_end": ("start", "end"),
     "streaks": ("start", "end"),
     "coverage": ("first_date", "last_date"),
+    "default_ranges": ("start", "end", "long_start", "long_end"),
 } | {
     name: ("date",)
-    for name in "anomalies day_views list_activities_newest list_activities_filtered get_activities gaps gaps_default_range recent_errors errors_in_range ledger_fold sync_plan partial_upsert source_precedence import_report snapshot_index activity_fan_out parse_usersummary parse_sleep parse_hrv parse_training_status parse_activities device_decode device_rows".split()
+    for name in "anomalies day_views list_activities_newest list_activities_filtered get_activities gaps gaps_default_range recent_errors errors_in_range ledger_fold sync_plan partial_upsert source_precedence import_report snapshot_index activity_fan_out parse_usersummary parse_sleep parse_hrv parse_training_status parse_activities device_decode device_rows device_sleep_rows device_hrv_rows device_import".split()
 }
 
 PLAIN = {
@@ -250,11 +253,20 @@ PLAIN = {
     "parse_activities": f"select o_custkey as user_id, o_orderkey as activity_id, o_orderdate::date as date, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as start_ts, o_orderstatus as name, o_orderpriority as type, o_custkey * 10.0::double as duration_s, o_totalprice as distance_m, {whole('o_custkey % 200 + 0.5')} as avg_hr, {h('o_custkey * 10.0::double / (o_totalprice / 1000)', 4)} as pace, 'activities/' || o_orderkey || '.json' as raw_path from orders",
     "rebuild_counts": f"with {EVENT_DAY} select 'daily_wellness' as \"table\", count(*)::bigint as rows from days union all select 'sleep', count(*) from days union all select 'hrv', count(*) from days where n > 1 union all select 'training_status', count(*) from days union all select 'activities', count(*) from orders",
     "rebuilt_ledger": f"with {EVENT_DAY}, l as (select unnest(['usersummary', 'sleep', 'training_status', 'hrv']) as endpoint, unnest(['ok', 'ok', 'ok', case when n > 1 then 'ok' else 'empty' end]) as status from days union all select 'activities', 'ok' from (select distinct o_custkey, o_orderdate::date from orders)) select endpoint, status, count(*)::bigint as n from l group by 1, 2",
-    "device_decode": f"with {DEVICE} select user_id, bundle, date, hr_min, hr_avg, hr_max, hr_samples, steps, distance_m, stress_avg, stress_max, sleep_min, last_night_avg, weekly_avg, hrv_status, {FLAGS} as flags from dec",
+    "device_decode": f"with {DEVICE} select user_id, bundle, date, hr_min, hr_avg, hr_max, hr_samples, steps, distance_m, stress_avg, stress_max, sleep_min, last_night_avg, weekly_avg, hrv_status, skin_nightly_c, skin_deviation_c, skin_avg_dev_7d, {FLAGS} as flags from dec",
     "device_stages": f"with {DEVICE} select * from stages",
     "device_modes": f"with {DEVICE} select * from modes",
-    "device_naps": f"with {DEVICE} select user_id, bundle, naps, nap_min, strftime(timestamp '1989-12-31' + to_seconds(v1 * 1000 + 3600), '%Y-%m-%d %H:%M:%S') as first_start from naps",
-    "device_rows": f"with {DEVICE} select user_id, date, case when not far then rhr_on_device end as resting_hr, hr_min as min_hr, hr_max as max_hr, steps::int as steps, distance_m, stress_avg, 'fit' as source from dec where coalesce(case when not far then rhr_on_device end, hr_min, stress_avg, steps) is not null",
+    "device_naps": f"with {DEVICE} select user_id, bundle, naps, nap_min, strftime(timestamp '1989-12-31' + to_seconds(v1 * 1000 + 60 * case when v1 % 2 = 0 then 60 else off end), '%Y-%m-%d %H:%M:%S') as first_start from naps join tot using (user_id, bundle)",
+    "device_rows": f"with {DEVICE} select user_id, bundle, date, case when not far then rhr_on_device end as resting_hr, hr_min as min_hr, hr_max as max_hr, steps::int as steps, distance_m, stress_avg, skin_deviation_c as skin_temp_dev_c, 'fit' as source from dec where coalesce(case when not far then rhr_on_device end, hr_min, stress_avg, steps, skin_deviation_c) is not null and date is not null",
+    "device_sleep_rows": f"with {DEVICE} select user_id, bundle, date, sleep_score as score, sleep_min::double as duration_min, deep_min, light_min, rem_min, awake_min, start_ts, end_ts, nap_min, case when far or sparse then {FLAGS} end as quality_flags, 'fit' as source from dec where date is not null and (coalesce(sleep_score, sleep_min, deep_min, nap_min) is not null or far or sparse)",
+    "device_hrv_rows": f"with {DEVICE} select user_id, bundle, date, last_night_avg, weekly_avg, null::int as high_5min, hrv_status as status, null::int as baseline_low, null::int as baseline_high, 'fit' as source from dec where hv is not null and date is not null",
+    "device_import": f"""with {DEVICE}, {SLEEP},
+f as (select user_id, date, bundle, sleep_score, sleep_min::double as duration_min, deep_min, nap_min from dec where date is not null and (coalesce(sleep_score, sleep_min, deep_min, nap_min) is not null or far or sparse)),
+c as (select user_id, ts::date as date, count(*)::int as deep_min from events where event_type = 'purchase' and user_id is not null group by all)
+select user_id, date, score, duration_min, deep_min, null::int as nap_min, 'api' as source from sleep join c using (user_id, date)
+union all select user_id, date, sleep_score, duration_min, deep_min, nap_min, 'fit' from (select user_id, date, arg_max({{'s': sleep_score, 'd': duration_min, 'p': deep_min, 'n': nap_min}}, bundle) as x from f anti join sleep using (user_id, date) group by 1, 2), lateral (select x.s as sleep_score, x.d as duration_min, x.p as deep_min, x.n as nap_min)""",
+    "series_in_order": f"with {WELLNESS}, {SLEEP}, {EVENT_ACTS}, {long({n: TREND[n] for n in list(TREND)[:3]})}, {labelled('weekly')}, w as (select user_id, label as date, max(v) filter (metric = 'resting_hr') as resting_hr, max(v) filter (metric = 'distance_m') as distance_m, max(v) filter (metric = 'sleep_duration_min') as sleep_duration_min, row_number() over (partition by user_id order by label desc) as back from bucketed group by user_id, label) select * exclude (back), row_number() over (partition by user_id order by date)::int as position from w where back <= 3",
+    "default_ranges": "with s as (select user_id, (timezone('Asia/Tokyo', timezone('UTC', max(ts)))::date - 1) as e1, (timezone('America/Los_Angeles', timezone('UTC', max(ts)))::date - 1) as e2 from events where user_id is not null group by 1) select user_id, e1 - 6 as start, e1 as \"end\", e2 - 29 as long_start, e2 as long_end from s",
 }
 
 ORACLES = {name: iso(sql, *DAYS_OF[name]) if name in DAYS_OF else sql for name, sql in PLAIN.items()}

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.rounding import half_even
-from pulsefleet.operators import anomaly, baseline, correlate, device, ledger, merge, parse, series, views
+from pulsefleet.operators import anomaly, baseline, correlate, device, ledger, merge, parse, readout, series, views
+from pulsefleet.plans import device_import as device_import_plan
 from pulsefleet.plans import rebuild
 from pulsefleet.sources import snapshots
 from pulsefleet.sources.schemas import columns
@@ -82,25 +83,31 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Device messages: each event gives one of the ten kinds, by its number; a bundle is a user's day."""
+    """Device messages: each event gives one of the eleven kinds, by its number; a bundle is a user's day.
+
+    Folders of every third user have no date in their names. The clocks' offset changes from message to message.
+    """
     e = read(spark, sf_dir, "events").filter("user_id is not null")
-    k = F.col("event_id") % 10
-    name = F.element_at(F.array(*map(F.lit, ("monitoring", "monitoring", "stress_level", "event", "timestamp_correlation", "unknown_275", "unknown_281", "unknown_370", "unknown_412", "unknown_521"))), (k + 1).cast("int"))
+    kinds = ("monitoring", "monitoring", "stress_level", "event", "timestamp_correlation", "unknown_275", "unknown_281", "unknown_370", "unknown_412", "unknown_521")
+    name = F.when(F.col("event_id") % 20 == 11, "unknown_398").otherwise(F.element_at(F.array(*map(F.lit, kinds)), (F.col("event_id") % 10 + 1).cast("int")))
     v = F.floor("value").cast("int")
     secs = F.unix_timestamp(F.col("ts").cast("timestamp"))
     u = F.when(name == "unknown_275", F.create_map(F.lit("unknown_253"), secs.cast("double"), F.lit("unknown_0"), (v % 5).cast("double")))
     u = u.when(name == "unknown_281", F.create_map(F.lit("unknown_9"), (v % 150).cast("double")))
     u = u.when(name == "unknown_370", F.create_map(F.lit("unknown_0"), (v * 100).cast("double"), F.lit("unknown_1"), (v * 64).cast("double"), F.lit("unknown_6"), (v % 6).cast("double")))
-    u = u.when(name == "unknown_412", F.create_map(F.lit("unknown_0"), (v * 1000).cast("double"), F.lit("unknown_2"), (v * 1000 + 1830).cast("double"), F.lit("unknown_1"), F.lit(60.0)))
+    u = u.when(name == "unknown_398", F.create_map(F.lit("unknown_1"), v / 1000 - 0.25, F.lit("unknown_2"), v / 10000, F.lit("unknown_4"), 30 + v / 256))
+    u = u.when(name == "unknown_412", F.create_map(F.lit("unknown_0"), (v * 1000).cast("double"), F.lit("unknown_2"), (v * 1000 + 1830).cast("double"), F.lit("unknown_1"), F.when(v % 2 == 0, 60.0)))
     u = u.when(name == "unknown_521", F.create_map(F.lit("unknown_1"), (v % 7).cast("double")))
+    day = F.date_format("ts", "yyyy-MM-dd")
+    bundle = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("export "), F.replace(day, F.lit("-"), F.lit("")))).otherwise(F.concat(F.lit("night-"), day))
     return e.select(
         "user_id",
-        F.concat(F.lit("night-"), F.date_format("ts", "yyyy-MM-dd")).alias("bundle"),
+        bundle.alias("bundle"),
         F.lit("a.fit").alias("file"),
         F.col("event_id").alias("seq"),
         name.alias("name"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
-        (F.col("ts").cast("timestamp_ntz") + F.expr("interval 90 minutes")).alias("local_ts"),
+        (F.col("ts").cast("timestamp_ntz") + F.make_dt_interval(mins=(F.col("event_id") % 7 * 90).cast("int"))).alias("local_ts"),
         v.alias("heart_rate"),
         F.col("event_type").alias("activity_type"),
         v.cast("bigint").alias("steps"),
@@ -179,16 +186,7 @@ def source_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Device bundles imported on top of api sleep rows: what came in, what was skipped."""
-    decoded = device.decode_bundles(messages(spark, sf_dir))
-    api = warehouse(spark, sf_dir)["sleep"].select("user_id", "date").withColumns({"bundle": F.lit(None).cast("string"), "source": F.lit("api"), "quality_flags": F.lit(None).cast("array<string>"), "write_seq": F.lit(0), "table": F.lit("sleep")})
-    parts = []
-    for table, rows in device.device_rows(decoded).items():
-        flags = F.col("quality_flags") if table == "sleep" else F.lit(None).cast("array<string>")
-        own = rows.select("user_id", "date", "bundle", "source", flags.alias("quality_flags"), F.lit(1).alias("write_seq"), F.lit(table).alias("table"))
-        own = own.unionByName(api) if table == "sleep" else own
-        parts.append(merge.admit(own, table).filter("source = 'fit'"))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumnRenamed("quality_flags", "flags")
-    report = merge.import_report(rows)
+    report = device_import_plan.import_bundles(messages(spark, sf_dir), {"sleep": warehouse(spark, sf_dir)["sleep"]}).report
     return report.select("user_id", "bundle", "date", F.array_join("imported", ",").alias("imported"), F.array_join("skipped", ",").alias("skipped"), F.array_join("flags", ",").alias("flags"))
 
 
@@ -252,7 +250,7 @@ def get_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def device_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = device.decode_bundles(messages(spark, sf_dir))
-    return d.select("user_id", "bundle", "date", "hr_min", "hr_avg", "hr_max", "hr_samples", "steps", "distance_m", "stress_avg", "stress_max", "sleep_min", "last_night_avg", "weekly_avg", "hrv_status", F.array_join("flags", ",").alias("flags"))
+    return d.select("user_id", "bundle", "date", "hr_min", "hr_avg", "hr_max", "hr_samples", "steps", "distance_m", "stress_avg", "stress_max", "sleep_min", "last_night_avg", "weekly_avg", "hrv_status", "skin_nightly_c", "skin_deviation_c", "skin_avg_dev_7d", F.array_join("flags", ",").alias("flags"))
 
 
 def device_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,14 +265,34 @@ def device_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def device_naps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir)
-    n = device.naps(m, device.totals(m))
+    n = device.decode_bundles(messages(spark, sf_dir)).filter(F.size("naps") > 0)
     return n.select("user_id", "bundle", F.size("naps").cast("long").alias("naps"), "nap_min", F.date_format(F.col("naps")[0]["start"], "yyyy-MM-dd HH:mm:ss").alias("first_start"))
 
 
 def device_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = device.device_rows(device.decode_bundles(messages(spark, sf_dir)))["daily_wellness"]
-    return w.select("user_id", "date", "resting_hr", "min_hr", "max_hr", "steps", "distance_m", "stress_avg", "source")
+    return w.select("user_id", "bundle", "date", "resting_hr", "min_hr", "max_hr", "steps", "distance_m", "stress_avg", "skin_temp_dev_c", "source")
+
+
+def clock(column: str):
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
+
+
+def device_sleep_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = device.device_rows(device.decode_bundles(messages(spark, sf_dir)))["sleep"]
+    return w.select("user_id", "bundle", "date", "score", "duration_min", "deep_min", "light_min", "rem_min", "awake_min", clock("start_ts"), clock("end_ts"), "nap_min", F.array_join("quality_flags", ",").alias("quality_flags"), "source")
+
+
+def device_hrv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = device.device_rows(device.decode_bundles(messages(spark, sf_dir)))["hrv"]
+    return w.select("user_id", "bundle", "date", "last_night_avg", "weekly_avg", "high_5min", "status", "baseline_low", "baseline_high", "source")
+
+
+def device_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sleep table after an import of all bundles on top of what the vendor gave."""
+    api = warehouse(spark, sf_dir)["sleep"]
+    done = device_import_plan.import_bundles(messages(spark, sf_dir), {"sleep": api})
+    return done.tables["sleep"].select("user_id", "date", "score", "duration_min", "deep_min", "nap_min", "source")
 
 
 def unknown_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +348,19 @@ def rebuilt_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("endpoint", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def series_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last three weeks, numbered in the order they are shown in."""
+    weeks = series.query_metrics(wellness_activities(spark, sf_dir), TREND[:3], START, END, "weekly")
+    return readout.read_out(weeks, "series", last=3)
+
+
+def default_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, from the instant of the last event: yesterday in two zones and the ranges of a job that names none."""
+    seen = read(spark, sf_dir, "events").filter("user_id is not null").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("now"))
+    a, b = readout.default_range(F.col("now"), "Asia/Tokyo", 7), readout.default_range(F.col("now"), "America/Los_Angeles", 30)
+    return seen.select("user_id", a.start.alias("start"), a.end.alias("end"), b.start.alias("long_start"), b.end.alias("long_end"))
+
+
 def iso(query):
     """The query with its days as YYYY-MM-DD text, the form all engines print alike."""
 
@@ -384,6 +415,11 @@ PLAIN = {
     "device_modes": device_modes,
     "device_naps": device_naps,
     "device_rows": device_rows,
+    "device_sleep_rows": device_sleep_rows,
+    "device_hrv_rows": device_hrv_rows,
+    "device_import": device_import,
+    "series_in_order": series_in_order,
+    "default_ranges": default_ranges,
 }
 
 QUERIES = {name: iso(query) for name, query in PLAIN.items()}

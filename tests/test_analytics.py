@@ -3,8 +3,9 @@ from datetime import date
 from statistics import fmean, pstdev
 
 import pytest
+from pyspark.sql import functions as F
 
-from pulsefleet.operators import anomaly, baseline, correlate, ledger, series, views
+from pulsefleet.operators import anomaly, baseline, correlate, ledger, readout, series, views
 
 from . import planted
 from .planted import ACTS, CALM, DAYS, FIRST, LAST, MISSING, N, PEAK, day
@@ -211,6 +212,23 @@ def test_ledger(spark):
         ledger.fold_attempts(log.replace("ok", "fine", ["status"])).collect()
 
 
+def test_results_in_order(wh):
+    weeks = series.query_metrics(wh, ["steps"], FIRST, LAST, "weekly")
+    got = rows(readout.read_out(weeks, "series"), 11, "position")
+    assert [r["position"] for r in got] == [1, 2, 3, 4, 5] and [r["date"] for r in got] == sorted(r["date"] for r in got)
+    assert [r["date"] for r in rows(readout.read_out(weeks, "series", last=2), 11, "position")] == [got[3]["date"], got[4]["date"]]
+    assert [r["date"] for r in rows(readout.read_out(weeks, "series", first=2), 11, "position")] == [got[0]["date"], got[1]["date"]]
+    with pytest.raises(ValueError):
+        readout.read_out(weeks, "series", first=0)
+
+
+def test_yesterday_depends_on_the_zone(spark):
+    df = spark.sql("select timestamp '2024-03-01 02:00:00' as now")
+    tokyo, la = readout.default_range(F.col("now"), "Asia/Tokyo", 7), readout.default_range(F.col("now"), "America/Los_Angeles", 30)
+    got = df.select(tokyo.start, tokyo.end, la.start, la.end).first()
+    assert list(got) == [date(2024, 2, 23), date(2024, 2, 29), date(2024, 1, 30), date(2024, 2, 28)]
+
+
 def test_pushdown_reaches_the_scan(spark, wh, tmp_path):
     wh["daily_wellness"].write.parquet(f"{tmp_path}/w")
     read = dict(wh) | {"daily_wellness": spark.read.parquet(f"{tmp_path}/w")}

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pulsefleet.functions.rounding import half_even, whole
 from pulsefleet.operators import device, merge, parse
 from pulsefleet.plans import rebuild
+from pulsefleet.plans.device_import import import_bundles, write_import
+from pulsefleet.queries import typed
 from pulsefleet.sources import snapshots
 from pulsefleet.sources.schemas import DEVICE, RAW
-from pulsefleet.sources.tables import read_tables, write_table
+from pulsefleet.sources.tables import device_messages, read_tables, write_table
 from pulsefleet.streaming.ingest import index, ingest, ingest_batch, ledger
 
 D = date(2026, 6, 1)
@@ -190,6 +192,46 @@ def test_snapshot_files(spark, tmp_path):
     assert got["daily/2026/2026-06-01/hrv.json"]["date"] == D and got["activities/5.json"]["endpoint"] == "activity"
 
 
+def test_users_come_from_the_folders_of_a_fleet(spark, tmp_path):
+    for path in ("user=3/daily/2026/2026-06-01/hrv.json", "user=41/activities/5.json", "daily/2026/2026-06-01/hrv.json"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("{}")
+    got = {(r["user_id"], r["path"]) for r in snapshots.read_snapshot_files(spark, str(tmp_path)).collect()}
+    assert got == {(3, "daily/2026/2026-06-01/hrv.json"), (41, "activities/5.json")}
+
+
+def test_device_source_skips_what_it_cannot_read(spark, tmp_path):
+    bundle(spark, ("monitoring", {"heart_rate": 50}), ("stress_level", {"stress": 9})).write.parquet(f"{tmp_path}/m")
+    (tmp_path / "m" / "broken.parquet").write_bytes(b"no parquet at all")
+    rows = device_messages(spark, f"{tmp_path}/m")
+    assert rows.count() == 2 and one(device.decode_bundles(rows))["hr_min"] == 50
+
+
+def test_import_of_bundles(spark, tmp_path):
+    one_day = bundle(spark, ("monitoring", {"heart_rate": 48}), ("unknown_521", {"u": {1: 70}}))
+    lost = bundle(spark, ("stress_level", {"stress": 5}), name="export")
+    held = typed(spark.createDataFrame([(1, D, 81, "api"), (1, date(2026, 5, 1), 60, "api")], "user_id long, date date, score int, source string"), "sleep")
+    done = import_bundles(one_day.unionByName(lost), {"sleep": held})
+    assert {(r["date"], r["score"], r["source"]) for r in done.tables["sleep"].collect()} == {(D, 81, "api"), (date(2026, 5, 1), 60, "api")}
+    assert one(done.tables["daily_wellness"])["min_hr"] == 48 and one(done.rejected)["bundle"] == "export"
+    report = one(done.report)
+    assert (report["imported"], report["skipped"], report["date"]) == (["daily_wellness"], ["sleep"], D)
+    forced = import_bundles(one_day, {"sleep": held}, force=True)
+    assert {(r["date"], r["score"], r["source"]) for r in forced.tables["sleep"].collect()} == {(D, 70, "fit"), (date(2026, 5, 1), 60, "api")}
+    write_import(forced, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/sleep").count() == 2 and one(import_bundles(one_day, {"sleep": forced.tables["sleep"]}).report)["skipped"] == []
+
+
+def test_days_of_bundles_and_first_offset(spark):
+    late = datetime(2026, 6, 1, 23, 30)
+    clock = ("timestamp_correlation", {"ts": late, "local_ts": datetime(2026, 6, 2, 1, 30)})
+    other = ("timestamp_correlation", {"ts": late, "local_ts": late})
+    assert one(device.decode_bundles(bundle(spark, clock, other, ("monitoring", {"ts": late}), name="export")))["date"] == date(2026, 6, 2)
+    assert one(device.decode_bundles(bundle(spark, other, clock, ("monitoring", {"ts": late}), name="export")))["date"] == D
+    slept = [("event", {"event": 74, "event_type": "start", "ts": datetime(2026, 6, 3, 20)}), ("event", {"event": 74, "event_type": "stop", "ts": datetime(2026, 6, 4, 4)})]
+    assert one(device.decode_bundles(bundle(spark, ("monitoring", {"ts": late}), *slept, name="export")))["date"] == date(2026, 6, 4)
+
+
 def test_table_sink_replaces_touched_months_only(spark, tmp_path):
     tables = rebuild.rebuild(raw(spark, ("hrv", HRV), ("hrv", HRV, date(2026, 7, 1))))
     write_table(tables["hrv"], "hrv", str(tmp_path))
