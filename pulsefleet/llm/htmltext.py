@@ -44,7 +44,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTENT = frozenset(("article", "main"))
 #: Elements whose text is never content.
-OUTSIDE = frozenset("nav footer aside form button menu dialog header head fieldset figcaption".split())
+OUTSIDE = frozenset("nav footer aside form button menu dialog header head fieldset".split())
 #: Name parts (of class, id, role) that mark an element as something else than the article.
 ROLES = {
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc tabs topbar toolbar",
@@ -59,7 +59,7 @@ ROLES = {
 }
 ROLE_OF = {name: role for role, names in ROLES.items() for name in names.split()}
 CONTENT_ROLES = frozenset("article main content post entry story body articlebody entry-content post-content article-body maincontent".split())
-#: Header elements inside an article hold its headline, so they count as part of it.
+#: Headers inside an article hold its headline, so they count as part of it.
 HEADED = frozenset(("header",))
 KINDS = frozenset("p li a td th h1 h2 h3 h4 h5 h6 div span section article main ul ol dl table tr blockquote pre br hr img figure b i em strong body html".split())
 WORD = re.compile(r"\S+")
@@ -170,6 +170,8 @@ def walk(page: str, refuted: frozenset[int], marks: list[Mark], seen: list[int])
             if at is not None:
                 del stack[at:]
                 outside, inside, context, within, linked, around = stack[-1][1:] if stack else top
+        if role == "head" and inside:
+            role, whole = "", True
         away = role not in ("", "content") or (name in OUTSIDE and m.start() not in refuted and not (name in HEADED and inside and not role))
         own = name in CONTENT or role == "content"
         if away or own or name in ("td", "li", "body"):
@@ -225,28 +227,38 @@ def page_weights(pages: DataFrame, text: str = "html", strength: float = 0.5) ->
     return out
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    """The text of the page's best contiguous region."""
-    found = list(tokens(page or ""))
-    best, total, begin, region = 0.0, 0.0, 0, (0, 0)
-    for n, (what, kind, text, away, _) in enumerate(found):
+def token_scores(found: list[tuple[str, str, str, bool, bool]], weights: dict[str, float]) -> list[float]:
+    """What every token adds to a region that holds it; 0 for text without words."""
+    out = []
+    for what, kind, text, away, _ in found:
         weight = weights.get(kind)
         if weight is None:
             weight = start_weight(kind)
         if what == "text":
-            k = len(text.split())
-            if not k:
-                continue
-            score = k * (-abs(weight) if away and weight > 0 else weight)
+            score = len(text.split()) * (-abs(weight) if away and weight > 0 else weight)
         else:
             score = weight
-        if away:  # left out of the text in any case: it should hardly part the content around it
-            score *= 0.05
+        # Left out of the text in any case: it should hardly part the content around it.
+        out.append(score * 0.05 if away else score)
+    return out
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(from, to) of the contiguous run with the largest positive sum, the first of equals; (0, 0) if there is none."""
+    best, total, begin, region = 0.0, 0.0, 0, (0, 0)
+    for n, score in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, n
         total += score
         if total > best:
             best, region = total, (begin, n + 1)
+    return region
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    """The text of the page's best contiguous region."""
+    found = list(tokens(page or ""))
+    region = best_region(token_scores(found, weights))
     parts: list[str] = []
     for what, _, text, away, _ in found[region[0] : region[1]]:
         if what == "text":

@@ -5,7 +5,7 @@ length; the driver plans over this histogram of at most ``capacity`` counters, w
 and every task looks up its pieces' places in the plan by length and rank.
 
 The plan (exact-complement hashing): open a sequence with the longest length left; if one, two or
-three lengths left sum exactly to its gap (hash indexes over single lengths and pair sums, checked
+three lengths left sum exactly to its gap (indexes from sums to single lengths, pairs and triples, checked
 against the counts still available), take them and repeat the whole pattern while the counts last.
 Else add the longest length that fits (best fit) and look for the complement of the smaller gap.
 
@@ -58,37 +58,72 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
     return rows.mapInArrow(cut, PIECES)
 
 
-def pair_of(total: int, left: np.ndarray) -> tuple[int, int] | None:
-    """Two lengths still available with this sum, the larger as long as possible."""
-    small = np.arange(1, total // 2 + 1)
-    ok = (left[small] > 0) & (left[total - small] > 0)
-    if total % 2 == 0 and len(small):
-        ok[-1] &= left[total // 2] > 1
-    at = int(ok.argmax()) if len(ok) else 0
-    return (total - int(small[at]), int(small[at])) if len(ok) and ok[at] else None
+class Sums:
+    """Lengths still available, with indexes from a sum to a pair or triple of them that makes it.
 
-
-def complement(gap: int, left: np.ndarray) -> tuple[int, ...]:
-    """One, two or three lengths still available that sum exactly to the gap; () if there are none.
-
-    ``left`` is a direct-address hash of single lengths. The index of pair sums is the
-    self-convolution of what is available; it says at once which third lengths are worth a look.
+    An index entry names one member; it is checked against the counts left when it is used, and looked for anew if
+    it ran out. Counts only fall, so a sum without an entry never gets one again.
     """
-    if left[gap]:
-        return (gap,)
-    if pair := pair_of(gap, left):
-        return pair
-    have = (left[:gap] > 0).astype(float)
-    size = 1 << (2 * gap).bit_length()
-    sums = np.fft.irfft(np.fft.rfft(have, size) ** 2, size)[:gap] > 0.5
-    thirds = np.flatnonzero(have[1:] * sums[:0:-1]) + 1
-    for c in thirds[::-1]:
-        left[c] -= 1
-        pair = pair_of(gap - int(c), left)
-        left[c] += 1
-        if pair:
-            return (int(c), *pair)
-    return ()
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            self.left[length] += n
+        #: Per sum: the larger member of a pair; the longest member of a triple, -1 before the first look.
+        self.pair, self.triple = np.zeros(capacity + 1, np.int64), np.full(capacity + 1, -1, np.int64)
+        lengths = np.flatnonzero(self.left)
+        for n, length in enumerate(lengths):
+            small = lengths[: n + (self.left[length] > 1)]
+            self.pair[length + small[small <= capacity - length]] = length
+
+    def take(self, length: int, n: int = 1) -> None:
+        self.left[length] -= n
+
+    def has(self, a: int, b: int) -> bool:
+        return bool(self.left[a] > 0 and self.left[b] > (a == b))
+
+    def pair_of(self, total: int) -> tuple[int, int] | None:
+        """Two lengths with this sum, the larger as long as possible when it was looked for."""
+        a = int(self.pair[total])
+        if a and not self.has(a, total - a):
+            small = np.arange(1, total // 2 + 1)
+            ok = (self.left[small] > 0) & (self.left[total - small] > (small == total - small))
+            a = int(total - small[ok.argmax()]) if ok.any() else 0
+            self.pair[total] = a
+        return (a, total - a) if a else None
+
+    def triple_of(self, total: int) -> tuple[int, int, int] | None:
+        if self.triple[total] > 0 and (found := self.with_third(total, int(self.triple[total]))):
+            return found
+        if self.triple[total]:
+            # Thirds whose rest has a pair in the index, longest first.
+            thirds = np.flatnonzero((self.left[:total] > 0) & (self.pair[total:0:-1] > 0))
+            for c in thirds[::-1].tolist():
+                if found := self.with_third(total, c):
+                    self.triple[total] = c
+                    return found
+            self.triple[total] = 0
+        return None
+
+    def with_third(self, total: int, c: int) -> tuple[int, int, int] | None:
+        if self.left[c] <= 0:
+            return None
+        self.left[c] -= 1
+        a = int(self.pair[total - c])
+        pair = (a, total - c - a) if a and self.has(a, total - c - a) else None
+        if pair is None and a:
+            # The pair in the index may just lack the third taken here: look on without forgetting it.
+            small = np.arange(1, (total - c) // 2 + 1)
+            ok = (self.left[small] > 0) & (self.left[total - c - small] > (small == total - c - small))
+            pair = (int(total - c - small[ok.argmax()]), int(small[ok.argmax()])) if ok.any() else None
+        self.left[c] += 1
+        return (c, *pair) if pair else None
+
+    def complement(self, gap: int) -> tuple[int, ...]:
+        """One, two or three lengths that sum exactly to the gap; () if there are none."""
+        if self.left[gap] > 0:
+            return (gap,)
+        return self.pair_of(gap) or self.triple_of(gap) or ()
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -97,34 +132,32 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     Every pattern is repeated until one of its lengths runs out (or has fewer left than the pattern
     needs), so the number of patterns follows the number of different lengths, not of pieces.
     """
-    left = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        left[length] += n
+    sums = Sums(counts, capacity)
     patterns: list[tuple[tuple[int, ...], int]] = []
     longest = capacity
     while longest:
-        if not left[longest]:
+        if sums.left[longest] <= 0:
             longest -= 1
             continue
-        pattern, gap, exact = [longest], capacity - longest, ()
-        left[longest] -= 1
+        pattern, gap = [longest], capacity - longest
+        sums.take(longest)
         while gap:
-            if exact := complement(gap, left):
+            if exact := sums.complement(gap):
+                for x in exact:
+                    sums.take(x)
                 pattern += exact
                 break
-            fits = np.flatnonzero(left[: gap + 1])
+            fits = np.flatnonzero(sums.left[: gap + 1] > 0)
             if not len(fits):
                 break
             pattern.append(int(fits[-1]))
-            left[fits[-1]] -= 1
-            gap -= int(fits[-1])
-        for x in pattern[: len(pattern) - len(exact)]:
-            left[x] += 1
+            sums.take(pattern[-1])
+            gap -= pattern[-1]
         use = {x: pattern.count(x) for x in dict.fromkeys(pattern)}
-        times = min(int(left[x]) // n for x, n in use.items())
+        more = min(int(sums.left[x]) // n for x, n in use.items())
         for x, n in use.items():
-            left[x] -= n * times
-        patterns.append((tuple(pattern), times))
+            sums.take(x, n * more)
+        patterns.append((tuple(pattern), 1 + more))
     return patterns
 
 

@@ -16,7 +16,7 @@ import corpus_pipeline
 from pulsefleet.llm.chat import chat_digest, chat_windows, escaped, unescaped
 from pulsefleet.llm import contextmix
 from pulsefleet.llm.contextmix import lm_scores, text_class
-from pulsefleet.llm.htmltext import extract, main_text, page_weights
+from pulsefleet.llm.htmltext import best_region, extract, main_text, page_weights, token_scores, tokens
 from pulsefleet.llm.quality import Network, quality_scores
 
 SYLLABLES = ["ti", "de", "por", "ta", "lis", "gu", "ro", "pe", "mas", "é"]
@@ -301,6 +301,25 @@ def test_a_name_does_not_drop_the_article(page):
     assert "said" not in main_text(f"<body><main><p>{text}</p><p>{text}</p>{comments}</main></body>", {})
 
 
+@pytest.mark.parametrize("top", ['<header class="entry-header"><h1>The headline</h1></header>', '<div class="post-header"><h1>The headline</h1></div>', "<header><h1>The headline</h1></header>", "<h1>The headline</h1>"])
+def test_headlines_and_captions_stay(top):
+    text = " ".join(f"word{i}" for i in range(40))
+    caption = "<figure><img src=x><figcaption>What it shows</figcaption></figure>"
+    page = f'<body><header class="site-header"><p>Site name</p></header><div class="post">{top}<p>{text}</p>{caption}<p>{text}</p></div><footer>foot</footer></body>'
+    assert main_text(page, {}) == f"The headline {text} What it shows {text}"
+
+
+def test_the_region_equals_brute_force():
+    rng = random.Random(8)
+    for _ in range(400):
+        scores = [rng.choice([-3, -1, -0.5, 0, 1, 2, 5]) for _ in range(rng.randrange(25))]
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        lo, hi = best_region(scores)
+        assert sum(scores[lo:hi]) == max([0, *sums.values()])
+    found = list(tokens(PAGE))
+    assert len(token_scores(found, {})) == len(found)
+
+
 @pytest.mark.parametrize("tag", ['<svg viewBox="0 0 1 1"/>', "<svg/>", "<math/>", "<title-bar></title-bar>", "<object-view>", "<svg><text>no</text></svg>"])
 def test_a_raw_element_ends_where_it_ends(tag):
     assert main_text(f"<body><p>one two three four</p>{tag}<p>five six seven</p></body>", {}) == "one two three four five six seven"

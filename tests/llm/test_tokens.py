@@ -1,5 +1,6 @@
 """Tokenizing operators: op2 edit counts, op8 packing, op9 token files."""
 
+import itertools
 import random
 import zlib
 
@@ -11,7 +12,7 @@ from tokenizers import Tokenizer
 
 from pulsefleet.llm.bpe import Cache, CachedBpe
 from pulsefleet.llm.editcount import Counter, Tree, apply_edits, edited, token_trees
-from pulsefleet.llm.packing import pack_documents, plan_packing
+from pulsefleet.llm.packing import Sums, pack_documents, plan_packing
 from pulsefleet.llm.tokenfile import FrameReader, read_token_files, token_file_digest, write_token_files
 
 BYTE, WORD = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
@@ -87,6 +88,22 @@ def test_packing_plan_fills_and_uses_each_piece_once(seed):
     assert sum(n for _, n in plan) <= -(-sum(lengths) // 100) * 1.1 + 1
 
 
+def test_complements_equal_brute_force():
+    """Whatever was taken before: a complement of up to three lengths is found exactly if there is one."""
+    rng = random.Random(12)
+    for _ in range(60):
+        counts = {rng.randrange(1, 60): rng.randrange(1, 4) for _ in range(rng.choice([2, 6, 20]))}
+        sums = Sums(counts, 60)
+        for _ in range(40):
+            gap = rng.randrange(1, 61)
+            have = {x: int(n) for x, n in enumerate(sums.left) if n > 0}
+            possible = any(sum(c) == gap and all(c.count(x) <= have[x] for x in c) for k in (1, 2, 3) for c in itertools.combinations_with_replacement(have, k))
+            found = sums.complement(gap)
+            assert bool(found) == possible and (not found or sum(found) == gap and all(found.count(x) <= have.get(x, 0) for x in found))
+            for x in found if rng.random() < 0.5 else ():
+                sums.take(x)
+
+
 def test_exact_complements_are_found():
     assert sorted(plan_packing({70: 1, 50: 1, 30: 1, 25: 2}, 100)) == sorted([((70, 30), 1), ((50, 25, 25), 1)])
     assert plan_packing({60: 2, 15: 2, 14: 2, 11: 2}, 100) == [((60, 15, 14, 11), 2)]
@@ -94,6 +111,12 @@ def test_exact_complements_are_found():
     assert plan_packing({}, 100) == []
 
 
+def test_packing_keeps_rows_without_and_with_repeated_keys(spark):
+    rows = spark.createDataFrame([(None, "the tide"), (None, None), (4, "of"), (4, "of"), (4, "a station")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["ids_crc32"]) for r in pack_documents(rows, WORD, 1, 16).collect()), key=str)
+    assert got == sorted(((k, zlib.crc32(ids(WORD, t, 1))) for k, t in ((None, "the tide"), (None, ""), (4, "of"), (4, "of"), (4, "a station"))), key=str)
+
+
 def test_packed_documents(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "tidal", "station", "of", "x"]) for _ in range(rng.randrange(60))) for _ in range(200)] + [None, "", "word " * 300]
