@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,21 +34,24 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, rows_per_file: int = 0) -> DataFrame:
     """Write to shared storage and read again: lineage ends there and lost executors cost nothing."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path of a location as Spark names it (file:/... included)."""
+    return pafs.FileSystem.from_uri("/" + uri[len("file:") :].lstrip("/") if uri.startswith("file:") else uri)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more; what the file system can't delete stays."""
-    import pyarrow.fs as pafs
-
     for path in {p.rpartition("/")[0] for t in tables for p in t.inputFiles()}:
         try:
-            fs, root = pafs.FileSystem.from_uri(path.replace("file:///", "/", 1) if path.startswith("file:///") else path)
+            fs, root = file_system(path)
             fs.delete_dir(root)
         except (pa.ArrowInvalid, OSError, NotImplementedError):
             pass

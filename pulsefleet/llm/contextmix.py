@@ -11,19 +11,18 @@ Bit predictors: every flag and every bit of a spelled word is predicted from sev
 counts give log-odds; these are mixed by weights that a gate picks, and flags pass a last adaptive
 stage that averages the mix with what happened at similar predictions. Flags look at how often the word before
 was seen, at which of the last tokens the word before foretold (the text's run of hits), at the word before, at the
-class and the place in the text; spelled bits at the one to four bytes before and the word so far. The text's own
+class and the place in the text; spelled bits at the two to four bytes before and the word so far. The text's own
 counts and hits are updated token by token, so order counts, repeated phrases get cheap, and no text looks ahead.
 A text's class is its most frequent letter beyond ASCII, coded first.
 
 Training texts are scored without their own occurrences (counts of the text are taken from the totals, its own
 earlier tokens count as in any text), so a text that occurs once is not known by heart, one with a copy is.
 
-Plan: tokens are numbered in chunks of some 500,000 (never cutting a text). Distinct words and pairs of words of a
+Plan: tokens are numbered in chunks of some two million (never cutting a text). Distinct words and pairs of words of a
 chunk travel once, packed, to the bucket of their 64-bit hash, are counted there over all chunks, and the totals go
 back to the chunk. Buckets follow the hash of the whole word or pair and chunks add up before they send,
 so a frequent word, a common beginning or a third of all texts being copies makes no bucket large. Flag and spelling weights
-are fitted over all training tokens and words by sums that Spark adds up (soft counts, one Newton step for the flags and two
-for spelling), so they do not depend on how rows are dealt. Counts grow with the input; only tables of fixed size come to the driver or are broadcast.
+are fitted over all training tokens and words by sums that Spark adds up (soft counts and a Newton step), so they do not depend on how rows are dealt. Counts grow with the input; only tables of fixed size come to the driver or are broadcast.
 
 Edge cases: null text counts as empty (the end alone); a null doc_id counts as the empty text in the
 split and is kept; every row, also of a repeated doc_id, has its own score; a very long word is spelled in linear time; a text
@@ -39,6 +38,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from copy import copy
 from itertools import groupby
 from operator import itemgetter
 
@@ -47,10 +47,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions
+from .common import discard, file_system, materialize, partitions
 
 CLASSES = 16
-CHUNK_TOKENS, CHUNK_BYTES = 500_000, 1 << 26
+CHUNK_TOKENS, CHUNK_BYTES = 2_000_000, 1 << 26
+#: Tokens that are scored at once, whole texts.
+GROUP_TOKENS = 200_000
 BEYOND_ASCII = re.compile("[^\x00-\x7f]")
 U = np.uint64
 #: Odd multipliers of the hashes.
@@ -68,7 +70,8 @@ HISTORY, RUN = 3, 16
 FLAG_SLOTS = (16 * 8, 4096, (RUN + 1) * CLASSES, 16 * 16)
 FLAG_FIRST = (0.3, 0.1, 0.6, 0.6)
 REFINE = 33
-ORDERS, SPELL_BITS = 5, 19
+#: Contexts of a spelled bit: the last two, three and four bytes, and all of the word so far.
+ORDERS, SPELL_BITS = 4, 18
 SPELL_SLOTS = 1 << SPELL_BITS
 SPELL_GATES = 4 * (ORDERS + 1)
 SPELL_BATCH = 1 << 17
@@ -106,7 +109,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
     import zstandard
 
     raw = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([struct.pack(f"<{len(raw)}Q", *map(len, raw)), *raw]))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([struct.pack(f"<{len(raw)}Q", *map(len, raw)), *raw]))
 
 
 def unpack(blob: bytes, *kinds: object) -> list:
@@ -122,6 +125,22 @@ def unpack(blob: bytes, *kinds: object) -> list:
     return out
 
 
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, byte planes apart: the high ones are mostly zero."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+
+
+def word_hashes(joined: bytes, lengths: np.ndarray) -> np.ndarray:
+    import xxhash
+
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return np.array([xxhash.xxh64_intdigest(joined[e - k : e]) for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)], np.uint64)
+
+
 def pack_keys(keys: np.ndarray, bits: int) -> bytes:
     """The KEY_BITS after the first ``bits`` of sorted keys, byte planes apart: the leading ones hardly change."""
     own = keys << U(bits) >> U(64 - KEY_BITS)
@@ -199,8 +218,8 @@ def chunks(docs: DataFrame, mod: int) -> DataFrame:
                 "chunk": pa.array([part << 32 | nth], pa.int64()),
                 "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.concat_arrays(keys)),
                 "texts": pa.array([pack(sizes, n_bytes, cls, held)], pa.binary()),
-                "tok": pa.array([pack(rank[np.frombuffer(tok, np.int32)])], pa.binary()),
-                "vocab": pa.array([pack(b"".join(ordered), np.array(list(map(len, ordered)), np.int32), classes[order], hashes[order])], pa.binary()),
+                "tok": pa.array([pack(planes(rank[np.frombuffer(tok, np.int32)]))], pa.binary()),
+                "vocab": pa.array([pack(b"".join(ordered), np.array(list(map(len, ordered)), np.int32), classes[order])], pa.binary()),
             }
             words.clear()
             own.clear()
@@ -233,12 +252,29 @@ class Texts:
 
     def __init__(self, row: dict):
         self.sizes, self.n_bytes, self.cls, self.held = unpack(row["texts"], np.int64, np.int64, np.uint8, np.uint8)
-        (self.tok,) = unpack(row["tok"], np.int32)
+        self.tok = from_planes(unpack(row["tok"], np.uint8)[0])
+        self.lay_out()
+
+    def lay_out(self) -> None:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.text = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.place = np.arange(len(self.tok)) - np.repeat(self.starts, self.sizes)
         self.train = (self.held == 0)[self.text]
 
+    def groups(self) -> Iterator[tuple[Texts, slice]]:
+        """Successive texts, some GROUP_TOKENS tokens at a time, with their tokens' places."""
+        ends, lo = np.cumsum(self.sizes), 0
+        while lo < len(ends):
+            first = int(ends[lo] - self.sizes[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, first + GROUP_TOKENS, side="right")))
+            own, part = copy(self), slice(lo, hi)
+            own.sizes, own.n_bytes, own.cls, own.held = self.sizes[part], self.n_bytes[part], self.cls[part], self.held[part]
+            at = slice(first, int(ends[hi - 1]))
+            own.tok = self.tok[at]
+            own.lay_out()
+            yield own, at
+            lo = hi
+
     def before(self, values: np.ndarray, first: object) -> np.ndarray:
         """Per token, the value of the token before it in its text."""
         out = np.empty_like(values)
@@ -294,7 +330,8 @@ def asked_words(chunk_rows: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             texts = Texts(row)
-            joined, lengths, classes, hashes = unpack(row["vocab"], bytes, np.int32, np.uint8, np.uint64)
+            joined, lengths, classes = unpack(row["vocab"], bytes, np.int32, np.uint8)
+            hashes = word_hashes(joined, lengths)
             n = np.bincount(texts.tok, weights=texts.train, minlength=len(lengths)).astype(np.int64)
             ends = np.r_[0, np.cumsum(lengths, dtype=np.int64)]
             yield batch_of([(b, row["chunk"], pack(joined[ends[lo] : ends[hi]], lengths[lo:hi], classes[lo:hi], n[lo:hi])) for b, lo, hi in in_buckets(hashes, bits)], REQUEST)
@@ -308,7 +345,7 @@ def asked_pairs(chunk_rows: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in (r for batch in batches for r in batch.to_pylist()):
             texts = Texts(row)
-            keys = texts.pair_keys(unpack(row["vocab"], bytes, np.int32, np.uint8, np.uint64)[3])
+            keys = texts.pair_keys(word_hashes(*unpack(row["vocab"], bytes, np.int32, np.uint8)[:2]))
             order, heads, _, _ = occurrences(keys, texts.text)
             found = keys[order[heads]]
             n = np.add.reduceat(texts.train[order].astype(np.int32), heads, dtype=np.int32)
@@ -398,12 +435,13 @@ class Spelled:
         self.pos = np.arange(len(flat)) - np.repeat(self.starts, self.lengths)
         self.byte = flat.astype(np.uint64)
         back, contexts = np.zeros(len(flat), np.uint64), []
-        for k in range(1, ORDERS):
+        for k in range(1, ORDERS + 1):
             older = np.zeros(len(flat), np.uint64)
             older[k:] = self.byte[:-k] + U(1)
             older[self.pos < k] = 0
             back = back << U(9) | older
-            contexts.append(mixed(back * M3 + U(k)))
+            if k > 1:
+                contexts.append(mixed(back * M3 + U(k)))
         power = np.multiply.accumulate(np.full(int(self.lengths.max(initial=1)), M1)) * M2
         term = (self.byte + U(1)) * power[self.pos]
         so_far = np.cumsum(term) - term
@@ -494,19 +532,17 @@ def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     shared = spark.sparkContext.broadcast(tables)
     weights = np.full((SPELL_GATES, ORDERS + 1), 0.3)
     weights[:, ORDERS] = 0
-    for _ in range(2):
 
-        def fit(rows: Iterator[dict], w: np.ndarray = weights) -> np.ndarray:
-            out = np.zeros(w.size * (ORDERS + 2))
-            for s in trained(rows, 1):
-                for y, at in s.bits():
-                    x, gate = spell_inputs(y, at, s.pos, shared.value, np.ones(len(y), bool))
-                    p = squash(mix_of(w, gate, x))
-                    out += newton_sums(x, gate, y - p, p * (1 - p), SPELL_GATES)
-            return out
+    def fit(rows: Iterator[dict]) -> np.ndarray:
+        out = np.zeros(weights.size * (ORDERS + 2))
+        for s in trained(rows, 1):
+            for y, at in s.bits():
+                x, gate = spell_inputs(y, at, s.pos, shared.value, np.ones(len(y), bool))
+                p = squash(mix_of(weights, gate, x))
+                out += newton_sums(x, gate, y - p, p * (1 - p), SPELL_GATES)
+        return out
 
-        weights = newton_step(weights, vector_sum(words, fit, weights.size * (ORDERS + 2)))
-    return tables, weights
+    return tables, newton_step(weights, vector_sum(words, fit, weights.size * (ORDERS + 2)))
 
 
 def spelling_costs(words: bytes, lengths: np.ndarray, trained: np.ndarray, tables: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -546,30 +582,34 @@ def word_answers(types: DataFrame, spelling) -> DataFrame:
 
 
 def counted(chunk_rows: DataFrame, answers: DataFrame) -> DataFrame:
-    """Chunks with what the buckets answered: (doc_ids, texts, tok, words, pairs)."""
+    """Chunks with what the buckets answered: (doc_ids, texts, tok, words, pairs).
+
+    Only the answers are shuffled; a chunk, alone in its file, is read where its answers arrive.
+    """
     doc_ids = dict(chunk_rows.dtypes)["doc_ids"]
-    both = chunk_rows.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("data"), "doc_ids", "texts", "tok", "vocab").unionByName(answers, allowMissingColumns=True)
+    files = chunk_rows.select("chunk", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("data"), F.col("_metadata.file_path").alias("path"))
+    both = files.unionByName(answers, allowMissingColumns=True)
     ordered = both.repartition(partitions(chunk_rows.sparkSession), "chunk").sortWithinPartitions("chunk", "kind", "bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                keys = batch.column("doc_ids")
-                for i, r in enumerate(batch.drop_columns(["doc_ids"]).to_pylist()):
-                    yield r["chunk"], r, keys[i : i + 1] if r["kind"] == 0 else None
-
-        for _, own in groupby(rows(), itemgetter(0)):
-            _, head, keys = next(own)
+        import pyarrow.parquet as pq
+
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for chunk, own in groupby(rows, itemgetter("chunk")):
+            fs, path = file_system(next(own)["path"])
+            stored = pq.read_table(path, filesystem=fs)
+            at = stored["chunk"].to_pylist().index(chunk)
+            head = {c: stored[c][at].as_py() for c in ("texts", "tok", "vocab")}
             texts, parts = Texts(head), {1: [], 2: []}
-            for _, r, _ in own:
+            for r in own:
                 parts[r["kind"]].append(r["data"])
             n, of_class, cost = (np.concatenate(x) for x in zip(*(unpack(d, np.int64, np.int64, np.float32) for d in parts[1]), strict=True))
-            hashes = unpack(head["vocab"], bytes, np.int32, np.uint8, np.uint64)[3]
+            hashes = word_hashes(*unpack(head["vocab"], bytes, np.int32, np.uint8)[:2])
             order, heads, own_pair, earlier = occurrences(texts.pair_keys(hashes), texts.text)
             total = np.concatenate([unpack(d, np.int64)[0] for d in parts[2]])
             pair = np.empty(len(order), np.int64)
             pair[order] = np.repeat(total, np.diff(np.r_[heads, len(order)]))
-            columns = [keys, pa.array([head["texts"]], pa.binary()), pa.array([head["tok"]], pa.binary()), pa.array([pack(n, of_class, cost, (hashes >> U(52)).astype(np.uint16))], pa.binary()), pa.array([pack(pair, own_pair, earlier)], pa.binary())]
+            columns = [stored["doc_ids"].combine_chunks()[at : at + 1], pa.array([head["texts"]], pa.binary()), pa.array([head["tok"]], pa.binary()), pa.array([pack(n, of_class, cost, (hashes >> U(52)).astype(np.uint16))], pa.binary()), pa.array([pack(pair, own_pair, earlier)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_ids", "texts", "tok", "words", "pairs"])
 
     return ordered.mapInArrow(run, f"doc_ids {doc_ids}, texts binary, tok binary, words binary, pairs binary")
@@ -587,10 +627,10 @@ def level(x: np.ndarray) -> np.ndarray:
 class Shares:
     """Per token: its share by each way to code it, and the slots of the flags' contexts."""
 
-    def __init__(self, row: dict, totals: dict):
-        t = self.texts = Texts(row)
-        n, of_class, cost, prefix = unpack(row["words"], np.int64, np.int64, np.float32, np.uint16)
-        pair, own_pair, earlier_pair = unpack(row["pairs"], np.int64, np.int32, np.int32)
+    def __init__(self, t: Texts, words: list[np.ndarray], pairs: list[np.ndarray], totals: dict):
+        self.texts = t
+        n, of_class, cost, prefix = words
+        pair, own_pair, earlier_pair = pairs
         _, _, own, earlier = occurrences(t.tok, t.text)
         self.n = n[t.tok]
         leave = t.train
@@ -642,6 +682,15 @@ class Shares:
         return out / np.maximum(out.sum(axis=0), 1e-300)
 
 
+def shares_of(rows: Iterator[dict], totals: dict) -> Iterator[Shares]:
+    """The shares of chunks' tokens, a group of texts at a time."""
+    for row in rows:
+        words = unpack(row["words"], np.int64, np.int64, np.float32, np.uint16)
+        pairs = unpack(row["pairs"], np.int64, np.int32, np.int32)
+        for texts, at in Texts(row).groups():
+            yield Shares(texts, words, [x[at] for x in pairs], totals)
+
+
 OFFSETS = np.cumsum([0, *FLAG_SLOTS])
 N_SLOTS = int(OFFSETS[-1])
 N_INPUTS = len(FLAG_SLOTS) + 1
@@ -677,8 +726,7 @@ def learned_flags(ready: DataFrame, totals: dict) -> tuple[np.ndarray, np.ndarra
 
     def tallies(rows: Iterator[dict]) -> np.ndarray:
         out = np.zeros((2, FLAGS, N_SLOTS))
-        for row in rows:
-            s = Shares(row, totals)
+        for s in shares_of(rows, totals):
             r = s.parts(np.repeat(first, len(s.n), axis=1)) * s.texts.train
             later = r.sum(axis=0)
             for flag in range(FLAGS):
@@ -698,8 +746,7 @@ def learned_flags(ready: DataFrame, totals: dict) -> tuple[np.ndarray, np.ndarra
 
     def fit(rows: Iterator[dict]) -> np.ndarray:
         out = np.zeros((FLAGS, n_fit + 2 * REFINE))
-        for row in rows:
-            s = Shares(row, totals)
+        for s in shares_of(rows, totals):
             inputs = [flag_inputs(s, odds, flag) for flag in range(FLAGS)]
             means = [x[:-1].mean(axis=0) for x in inputs]
             q = np.clip(squash(np.array(means)), 1e-5, 1 - 1e-5)
@@ -730,7 +777,7 @@ def prepared(rows: DataFrame, mod: int) -> tuple[DataFrame, dict, tuple]:
     """Chunks with their counts, totals over the training texts, and the spelling model."""
     spark = rows.sparkSession
     bits = max(4, (4 * partitions(spark) - 1).bit_length())
-    chunk_rows = materialize(chunks(rows, mod), "lm-chunks")
+    chunk_rows = materialize(chunks(rows, mod), "lm-chunks", rows_per_file=1)
     types = materialize(word_types(asked_words(chunk_rows, bits)), "lm-types")
     sums = [F.sum("n"), F.sum("v"), *(F.sum(F.get(c, F.lit(k))) for c in ("of_class", "ends") for k in range(CLASSES))]
     got = [int(x or 0) for x in types.agg(*sums).first()]
@@ -754,16 +801,16 @@ def lm_scores(docs: DataFrame, mod: int = 10, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("doc_ids")
-            for i, row in enumerate(batch.drop_columns(["doc_ids"]).to_pylist()):
-                s = Shares(row, totals)
+            keys, at = batch.column("doc_ids").flatten(), 0
+            for s in shares_of(iter(batch.drop_columns(["doc_ids"]).to_pylist()), totals):
                 t = s.texts
                 log_p = s.log_p(flag_probabilities(s, *model.value))
                 score = np.add.reduceat(log_p, t.starts) + shares_of_class[t.cls]
                 base = np.add.reduceat(np.log10(s.n + 0.1), t.starts) - t.sizes * denominator
                 known = np.add.reduceat((s.n > 0).astype(np.int64), t.starts)
-                columns = {"doc_id": keys[i : i + 1].flatten(), "held_out": pa.array(t.held == 1), "n_tokens": t.sizes, "n_known": known, "base_score": base, "score": score, "n_bytes": t.n_bytes}
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+                columns = {"doc_id": keys[at : at + len(t.sizes)], "held_out": pa.array(t.held == 1), "n_tokens": t.sizes, "n_known": known, "base_score": base, "score": score, "n_bytes": t.n_bytes}
+                at += len(t.sizes)
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
 
     out = ready.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = F.when(F.col("n_bytes") > 0, -F.col("score") * math.log2(10) / F.col("n_bytes"))

@@ -145,6 +145,17 @@ def test_scores_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
     assert other == {k: pytest.approx(v, rel=1e-6) for k, v in one_way.items()}
 
 
+def test_groups_of_texts_are_scored_as_the_whole_chunk(spark, monkeypatch):
+    df = spark.createDataFrame(lm_rows(), "doc_id long, text string").coalesce(1)
+    ready, totals, _ = contextmix.prepared(df, 10)
+    model = contextmix.learned_flags(ready, totals)
+    rows = [r.asDict() for r in ready.select("texts", "tok", "words", "pairs").collect()]
+    whole = np.concatenate([s.log_p(contextmix.flag_probabilities(s, *model)) for s in contextmix.shares_of(iter(rows), totals)])
+    monkeypatch.setattr(contextmix, "GROUP_TOKENS", 30)
+    parts = [s.log_p(contextmix.flag_probabilities(s, *model)) for s in contextmix.shares_of(iter(rows), totals)]
+    assert len(parts) > 5 and np.allclose(np.concatenate(parts), whole)
+
+
 def test_order_and_copies_count(spark):
     rng = random.Random(4)
     phrases = [prose(rng, 6) for _ in range(40)]
