@@ -211,7 +211,7 @@ DAYS_OF = {
     "default_ranges": ("start", "end", "long_start", "long_end"),
 } | {
     name: ("date",)
-    for name in "anomalies day_views list_activities_newest list_activities_filtered get_activities gaps gaps_default_range recent_errors errors_in_range ledger_fold sync_plan partial_upsert source_precedence import_report snapshot_index activity_fan_out parse_usersummary parse_sleep parse_hrv parse_training_status parse_activities device_decode device_rows device_sleep_rows device_hrv_rows device_import".split()
+    for name in "anomalies day_views list_activities_newest list_activities_filtered get_activities gaps gaps_default_range recent_errors errors_in_range ledger_fold sync_plan partial_upsert source_precedence import_report snapshot_index activity_fan_out parse_usersummary parse_sleep parse_hrv parse_training_status parse_activities device_decode device_rows device_sleep_rows device_hrv_rows device_import table_sink ingested_activities".split()
 }
 
 PLAIN = {
@@ -265,8 +265,12 @@ f as (select user_id, date, bundle, sleep_score, sleep_min::double as duration_m
 c as (select user_id, ts::date as date, count(*)::int as deep_min from events where event_type = 'purchase' and user_id is not null group by all)
 select user_id, date, score, duration_min, deep_min, null::int as nap_min, 'api' as source from sleep join c using (user_id, date)
 union all select user_id, date, sleep_score, duration_min, deep_min, nap_min, 'fit' from (select user_id, date, arg_max({{'s': sleep_score, 'd': duration_min, 'p': deep_min, 'n': nap_min}}, bundle) as x from f anti join sleep using (user_id, date) group by 1, 2), lateral (select x.s as sleep_score, x.d as duration_min, x.p as deep_min, x.n as nap_min)""",
+    "table_sink": f"with {SLEEP} select user_id, date, score, duration_min, 'api' as source from sleep",
+    "device_source": f"with {DEVICE}, k as (select *, ['monitoring', 'monitoring', 'stress_level', 'event', 'timestamp_correlation', 'unknown_275', 'unknown_281', 'unknown_370', 'unknown_412', 'unknown_521', 'unknown_398'][k + 1] as name from m) select bundle, name, count(*)::bigint as n, sum(v)::bigint as heart_rate, min(event_id) as first_seq from k group by 1, 2",
     "series_in_order": f"with {WELLNESS}, {SLEEP}, {EVENT_ACTS}, {long({n: TREND[n] for n in list(TREND)[:3]})}, {labelled('weekly')}, w as (select user_id, label as date, max(v) filter (metric = 'resting_hr') as resting_hr, max(v) filter (metric = 'distance_m') as distance_m, max(v) filter (metric = 'sleep_duration_min') as sleep_duration_min, row_number() over (partition by user_id order by label desc) as back from bucketed group by user_id, label) select * exclude (back), row_number() over (partition by user_id order by date)::int as position from w where back <= 3",
     "default_ranges": "with s as (select user_id, (timezone('Asia/Tokyo', timezone('UTC', max(ts)))::date - 1) as e1, (timezone('America/Los_Angeles', timezone('UTC', max(ts)))::date - 1) as e2 from events where user_id is not null group by 1) select user_id, e1 - 6 as start, e1 as \"end\", e2 - 29 as long_start, e2 as long_end from s",
 }
 
+PLAIN["ingested_activities"] = PLAIN["parse_activities"]
+
 ORACLES = {name: iso(sql, *DAYS_OF[name]) if name in DAYS_OF else sql for name, sql in PLAIN.items()}

@@ -14,8 +14,9 @@ from pulsefleet.functions.rounding import half_even
 from pulsefleet.operators import anomaly, baseline, correlate, device, ledger, merge, parse, readout, series, views
 from pulsefleet.plans import device_import as device_import_plan
 from pulsefleet.plans import rebuild
-from pulsefleet.sources import snapshots
+from pulsefleet.sources import snapshots, tables
 from pulsefleet.sources.schemas import columns
+from pulsefleet.streaming import ingest
 
 START, END = "2024-01-03", "2024-01-28"
 
@@ -348,6 +349,31 @@ def rebuilt_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("endpoint", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def table_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sleep table after a first write and a second one that replaces its months."""
+    folder, rows = tables.scratch_folder(spark, "sink"), warehouse(spark, sf_dir)["sleep"]
+    tables.write_table(rows.withColumn("score", F.lit(0)).filter("user_id % 2 = 0"), "sleep", folder)
+    tables.write_table(rows, "sleep", folder)
+    held = spark.read.parquet(f"{folder}/sleep")
+    return held.select("user_id", "date", "score", "duration_min", "source")
+
+
+def device_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages written as a source holds them, and read again."""
+    folder = tables.scratch_folder(spark, "messages")
+    messages(spark, sf_dir).write.parquet(folder)
+    return tables.device_messages(spark, folder).groupBy("bundle", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("heart_rate").alias("heart_rate"), F.min("seq").alias("first_seq"))
+
+
+def ingested_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All payloads taken in by ingest in two batches, even users first."""
+    root, rows = tables.scratch_folder(spark, "ingest"), payloads(spark, sf_dir)
+    for turn in (0, 1):
+        ingest.ingest_batch(rows.filter(F.col("user_id") % 2 == turn), root)
+    held = tables.read_tables(spark, f"{root}/tables")["activities"]
+    return held.select("user_id", "activity_id", "date", clock("start_ts"), "name", "type", "duration_s", "distance_m", "avg_hr", half_even("avg_pace_s_per_km", 4).alias("pace"), "raw_path")
+
+
 def series_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last three weeks, numbered in the order they are shown in."""
     weeks = series.query_metrics(wellness_activities(spark, sf_dir), TREND[:3], START, END, "weekly")
@@ -418,6 +444,9 @@ PLAIN = {
     "device_sleep_rows": device_sleep_rows,
     "device_hrv_rows": device_hrv_rows,
     "device_import": device_import,
+    "table_sink": table_sink,
+    "device_source": device_source,
+    "ingested_activities": ingested_activities,
     "series_in_order": series_in_order,
     "default_ranges": default_ranges,
 }
