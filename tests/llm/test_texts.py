@@ -267,6 +267,14 @@ def test_no_window_of_several_turns_exceeds_the_budget(spark, system):
             assert sum(math.ceil(len(p + " </turn>\n") / 4) for p in r["text"].split(" </turn>\n")[:-1]) <= 512
 
 
+def test_chat_without_keys_and_with_a_very_long_text(spark):
+    long = "word " * 200_000
+    df = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (5, 0, "user", long), (5, 1, "assistant", long), (5, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat_digest(chat_windows(df)).collect()}
+    assert (got[None]["n_turns"], got[None]["loss_chars"], got[5]["n_turns"], got[5]["loss_chars"]) == (2, 1, 3, len(long))
+    assert got[5]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href=x>Home</a></li><li><a>News</a></li></ul></nav><div class="cookie-notice"><p>We use cookies here.</p></div>
 <article><header><h1>Head &amp; line</h1></header><p>First <b>bold</b>ly put\n  text &#233; here, with words.</p><div class="ad-box"><p>Buy now</p></div>
@@ -359,6 +367,19 @@ def test_quality_on_held_out_rows(spark):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_quality_of_repeated_keys_and_several_labels(spark):
+    rows, labels = quality_rows(120)
+    df = spark.createDataFrame([*rows, (0, rows[1][1]), (1, rows[0][1])], "doc_id long, text string").withColumn("row", F.monotonically_increasing_id())
+    # Three labels of a key count by their mean.
+    marks = spark.createDataFrame([*labels, *((i, y, 0) for i, y, _ in labels), *((i, 1 - y, 0) for i, y, _ in labels)], "doc_id long, quality int, toxic int")
+    got = quality_scores(df, marks, carry=["row"]).collect()
+    assert len(got) == 122 and len({r["row"] for r in got}) == 122
+    scores = {}
+    for r in got:
+        scores.setdefault(r["doc_id"], []).append(r["predicted"])
+    assert sorted(scores[0]) == [0, 1] == sorted(scores[1])
+
+
 def test_temperature_calibrates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))

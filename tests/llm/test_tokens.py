@@ -169,3 +169,12 @@ def test_edit_rows(spark):
     # Trees can be taken up again.
     again = apply_edits(spark.createDataFrame([got[0]]).selectExpr("doc_id", "text", "cast(leaf_chars as array<int>) leaf_chars", "cast(leaf_tokens as array<int>) leaf_tokens", "sums", "array(named_struct('start', 0, 'length', 3, 'text', 'six')) as edits"), BYTE).first()
     assert (again["text"], again["n_tokens"], again["n_tokens_before"]) == ("six 2 three", 3, 3)
+
+
+def test_edit_rows_of_odd_tables(spark):
+    """Empty tables, names that clash with the operator's own, keys that are null or repeated."""
+    rows = spark.createDataFrame([(None, "a b"), (3, "x"), (3, "x"), (None, None)], "doc_id long, text string").selectExpr("*", "1 as sums", "2 as leaf_chars", "3 as n_tokens")
+    trees = token_trees(rows, BYTE)
+    done = apply_edits(trees.selectExpr("*", "array(named_struct('start', 0, 'length', 0, 'text', 'so ')) as edits"), BYTE).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in done), key=str) == sorted([(None, "so a b"), (3, "so x"), (3, "so x"), (None, "so ")], key=str)
+    assert token_trees(rows.limit(0), BYTE).count() == 0
