@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import discard, materialize, partitions
 from .components import connected_components
 
 #: Bits a band takes from the 64.
@@ -189,6 +189,18 @@ def near_links(nodes: DataFrame, budget: int) -> DataFrame:
     return rows.repartition(n, "k").sortWithinPartitions("k").mapInArrow(run, "u long, v long")
 
 
+def simhash_links(docs: DataFrame, shingle: int = 4, budget: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(u, v): links between keys that connect all documents with a key as far as their fingerprints do."""
+    prints = materialize(fingerprints(docs, shingle, key, text).filter("doc_id is not null"), "fingerprints")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-nodes")
+    same = prints.join(nodes, "fp").filter("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    found = near_links(nodes, budget).withColumnRenamed("v", "w")
+    found = found.join(nodes.select(F.col("fp").alias("u"), F.col("least").alias("a")), "u").join(nodes.select(F.col("fp").alias("w"), F.col("least").alias("b")), "w")
+    links = materialize(same.unionByName(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "fingerprint-links")
+    discard(prints, nodes)
+    return links
+
+
 def simhash_components(docs: DataFrame, shingle: int = 4, budget: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links)."""
     prints = materialize(fingerprints(docs, shingle, key, text), "fingerprints")

@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 import xxhash
 
-from pulsefleet.llm import simhash
+from pulsefleet.llm import nearcopy, simhash
 from pulsefleet.llm.components import connected_components
 from pulsefleet.llm.decontam import MASKS, contaminated, decontaminate
-from pulsefleet.llm.nearcopy import near_copies
+from pulsefleet.llm.nearcopy import common_shingles, near_copies
 from pulsefleet.llm.simhash import simhash_components
 from pulsefleet.llm.topk import top_inner_products
 
@@ -88,7 +88,16 @@ def test_components(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
-def test_near_copies_equal_brute_force(spark):
+def test_common_shingles_equal_set_intersections():
+    rng = np.random.default_rng(6)
+    a, b = ([np.unique(rng.integers(0, 30_000, n).astype(np.uint64)) for n in sizes] for sizes in ((5, 9000, 1), (7000, 40)))
+    assert (common_shingles(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
+@pytest.mark.parametrize("rounds", [2, 1])
+def test_near_copies_equal_brute_force(spark, monkeypatch, rounds):
+    monkeypatch.setattr(nearcopy, "ROUNDS", rounds)
+    monkeypatch.setattr(nearcopy, "BLOCK", 20_000 if rounds == 2 else 500)  # few comparisons before, several blocks after
     rng = random.Random(3)
     rows = []
     for g in range(6):  # a group's texts differ in a few words: five-word similarities lie around 0.8, fingerprints far apart
