@@ -18,7 +18,7 @@ A text's class is its most frequent letter beyond ASCII, coded first.
 Training texts are scored without their own occurrences (counts of the text are taken from the totals, its own
 earlier tokens count as in any text), so a text that occurs once is not known by heart, one with a copy is.
 
-Plan: tokens are numbered in chunks of some two million (never cutting a text). Distinct words and pairs of words of a
+Plan: tokens are numbered in chunks of some 1.5 million (never cutting a text). Distinct words and pairs of words of a
 chunk travel once, packed, to the bucket of their 64-bit hash, are counted there over all chunks, and the totals go
 back to the chunk. Buckets follow the hash of the whole word or pair and chunks add up before they send,
 so a frequent word, a common beginning or a third of all texts being copies makes no bucket large. Flag and spelling weights
@@ -50,9 +50,9 @@ from pyspark.sql import functions as F
 from .common import discard, file_system, materialize, partitions
 
 CLASSES = 16
-CHUNK_TOKENS, CHUNK_BYTES = 2_000_000, 1 << 26
+CHUNK_TOKENS, CHUNK_BYTES = 1_500_000, 1 << 26
 #: Tokens that are scored at once, whole texts.
-GROUP_TOKENS = 200_000
+GROUP_TOKENS = 100_000
 BEYOND_ASCII = re.compile("[^\x00-\x7f]")
 U = np.uint64
 #: Odd multipliers of the hashes.
@@ -76,6 +76,7 @@ SPELL_SLOTS = 1 << SPELL_BITS
 SPELL_GATES = 4 * (ORDERS + 1)
 SPELL_BATCH = 1 << 17
 SLICE = 1 << 16
+LN10 = np.float32(math.log(10))
 
 
 def text_class(text: str) -> int:
@@ -480,21 +481,24 @@ def mix_of(w: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -14, 14)))
+    return 1 / (1 + np.exp(np.clip(-x, -14, 14)))
 
 
 def newton_sums(x: np.ndarray, gate: np.ndarray, miss: np.ndarray, curve: np.ndarray, gates: int) -> np.ndarray:
     """Gradient and curvature of every gate's weights, flat."""
-    k = len(x)
-    out = np.zeros((gates, k + k * k))
     order = np.argsort(gate.astype(np.uint8), kind="stable")
-    x, miss, curve, sizes = x[:, order], miss[order], curve[order], np.bincount(gate, minlength=gates)
-    ends = np.cumsum(sizes)
-    for g in np.flatnonzero(sizes):
-        own = x[:, ends[g] - sizes[g] : ends[g]].astype(np.float64)
-        at = slice(ends[g] - sizes[g], ends[g])
-        out[g, :k] = own @ miss[at]
-        out[g, k:] = ((own * curve[at]) @ own.T).ravel()
+    return sorted_sums(x[:, order], gate[order], miss[order], curve[order], gates)
+
+
+def sorted_sums(x: np.ndarray, gate: np.ndarray, miss: np.ndarray, curve: np.ndarray, gates: int) -> np.ndarray:
+    """newton_sums of rows in order of their gates."""
+    k, cuts = len(x), np.searchsorted(gate, np.arange(gates + 1))
+    out = np.zeros((gates, k + k * k))
+    for g in np.flatnonzero(np.diff(cuts)):
+        at = slice(cuts[g], cuts[g + 1])
+        own = x[:, at]
+        out[g, :k] = own @ miss[at].astype(np.float32)
+        out[g, k:] = ((own * curve[at].astype(np.float32)) @ own.T).ravel()
     return out.ravel()
 
 
@@ -530,7 +534,7 @@ def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     tables = vector_sum(words, count, 2 * ORDERS * SPELL_SLOTS).reshape(2, -1)
     tables = (tables[0] + 1j * tables[1]).astype(np.complex64)
     shared = spark.sparkContext.broadcast(tables)
-    weights = np.full((SPELL_GATES, ORDERS + 1), 0.3)
+    weights = np.full((SPELL_GATES, ORDERS + 1), 0.3, np.float32)
     weights[:, ORDERS] = 0
 
     def fit(rows: Iterator[dict]) -> np.ndarray:
@@ -542,7 +546,7 @@ def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 out += newton_sums(x, gate, y - p, p * (1 - p), SPELL_GATES)
         return out
 
-    return tables, newton_step(weights, vector_sum(words, fit, weights.size * (ORDERS + 2)))
+    return tables, newton_step(weights, vector_sum(words, fit, weights.size * (ORDERS + 2))).astype(np.float32)
 
 
 def spelling_costs(words: bytes, lengths: np.ndarray, trained: np.ndarray, tables: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -609,7 +613,8 @@ def counted(chunk_rows: DataFrame, answers: DataFrame) -> DataFrame:
             total = np.concatenate([unpack(d, np.int64)[0] for d in parts[2]])
             pair = np.empty(len(order), np.int64)
             pair[order] = np.repeat(total, np.diff(np.r_[heads, len(order)]))
-            columns = [stored["doc_ids"].combine_chunks()[at : at + 1], pa.array([head["texts"]], pa.binary()), pa.array([head["tok"]], pa.binary()), pa.array([pack(n, of_class, cost, (hashes >> U(52)).astype(np.uint16))], pa.binary()), pa.array([pack(pair, own_pair, earlier)], pa.binary())]
+            _, _, own_word, earlier_word = occurrences(texts.tok, texts.text)
+            columns = [stored["doc_ids"].combine_chunks()[at : at + 1], pa.array([head["texts"]], pa.binary()), pa.array([head["tok"]], pa.binary()), pa.array([pack(n, of_class, cost, (hashes >> U(52)).astype(np.uint16))], pa.binary()), pa.array([pack(pair, own_pair, earlier, own_word, earlier_word)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_ids", "texts", "tok", "words", "pairs"])
 
     return ordered.mapInArrow(run, f"doc_ids {doc_ids}, texts binary, tok binary, words binary, pairs binary")
@@ -630,8 +635,7 @@ class Shares:
     def __init__(self, t: Texts, words: list[np.ndarray], pairs: list[np.ndarray], totals: dict):
         self.texts = t
         n, of_class, cost, prefix = words
-        pair, own_pair, earlier_pair = pairs
-        _, _, own, earlier = occurrences(t.tok, t.text)
+        pair, own_pair, earlier_pair, own, earlier = pairs
         self.n = n[t.tok]
         leave = t.train
         size = np.where(t.held == 0, t.sizes, 0)[t.text]
@@ -646,8 +650,8 @@ class Shares:
                 (of_class[t.tok] - mine) / (totals["of_class"][t.cls[t.text]] - size),
                 (self.n - mine) / (totals["n"] - size),
             ]
-        self.p = np.nan_to_num(np.array(shares), nan=0, posinf=0, neginf=0)
-        self.spelled = cost[t.tok].astype(np.float64)
+        self.p = np.nan_to_num(np.array(shares, np.float32), nan=0, posinf=0, neginf=0)
+        self.spelled = cost[t.tok]
         # Which tokens the word before foretold better than their class: known once the token is.
         hit = (self.p[0] > np.maximum(self.p[2], self.p[3])).astype(np.int64)
         last = hit
@@ -663,30 +667,37 @@ class Shares:
 
     def weights(self, q: np.ndarray) -> np.ndarray:
         """How much each way counts, from the flags' probabilities."""
-        left = np.cumprod(np.r_[np.ones((1, q.shape[1])), 1 - q], axis=0)
-        return np.r_[q * left[:-1], left[-1:]]
+        out = np.empty((FLAGS + 1, q.shape[1]), np.float32)
+        left = np.ones(q.shape[1], np.float32)
+        for flag in range(FLAGS):
+            out[flag] = q[flag] * left
+            left = left - out[flag]
+        out[FLAGS] = left
+        return out
 
     def log_p(self, q: np.ndarray) -> np.ndarray:
         g = self.weights(q)
-        told = (g[:FLAGS] * self.p).sum(axis=0)
-        spelled = self.spelled + np.log10(g[FLAGS])
+        told = np.einsum("ij,ij->j", g[:FLAGS], self.p)
+        last = np.maximum(g[FLAGS], np.float32(1e-12))
+        spelled = self.spelled * LN10 + np.log(last)
         with np.errstate(divide="ignore"):
-            return np.where(told > 0, np.log10(told + 10 ** np.maximum(spelled, -300)), spelled)
+            return np.where(told > 0, np.log(told + np.exp(np.maximum(spelled, -80))), spelled) / LN10
 
     def parts(self, q: np.ndarray) -> np.ndarray:
         """Each way's part in the token's probability."""
         g = self.weights(q)
-        out = np.r_[g[:FLAGS] * self.p, g[FLAGS:] * 10 ** np.maximum(self.spelled, -300)]
-        total = out.sum(axis=0)
-        out[FLAGS] += total == 0
-        return out / np.maximum(out.sum(axis=0), 1e-300)
+        g[:FLAGS] *= self.p
+        g[FLAGS] *= np.exp(np.maximum(self.spelled * LN10, -80))
+        total = g.sum(axis=0)
+        g[FLAGS] += total == 0
+        return g / (total + (total == 0))
 
 
 def shares_of(rows: Iterator[dict], totals: dict) -> Iterator[Shares]:
     """The shares of chunks' tokens, a group of texts at a time."""
     for row in rows:
         words = unpack(row["words"], np.int64, np.int64, np.float32, np.uint16)
-        pairs = unpack(row["pairs"], np.int64, np.int32, np.int32)
+        pairs = unpack(row["pairs"], np.int64, np.int32, np.int32, np.int32, np.int32)
         for texts, at in Texts(row).groups():
             yield Shares(texts, words, [x[at] for x in pairs], totals)
 
@@ -704,14 +715,14 @@ def flag_inputs(shares: Shares, odds: np.ndarray, flag: int) -> np.ndarray:
 
 
 def refine_at(mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = (np.clip(mix, -7.999, 7.999) + 8) * ((REFINE - 1) / 16)
-    low = at.astype(np.int64)
+    at = (np.clip(mix, -7.999, 7.999) + 8) * np.float32((REFINE - 1) / 16)
+    low = at.astype(np.int32)
     return low, at - low
 
 
 def flag_probabilities(shares: Shares, odds: np.ndarray, w: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The mix by the gates' weights, averaged with what happened where the plain mean of the inputs was alike."""
-    out = np.empty((FLAGS, len(shares.n)))
+    out = np.empty((FLAGS, len(shares.n)), np.float32)
     for flag in range(FLAGS):
         x = flag_inputs(shares, odds, flag)
         low, part = refine_at(x[:-1].mean(axis=0))
@@ -722,24 +733,25 @@ def flag_probabilities(shares: Shares, odds: np.ndarray, w: np.ndarray, table: n
 
 def learned_flags(ready: DataFrame, totals: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log-odds of all slots, weights of all gates and the table of the last stage, over all training tokens."""
-    first = np.array(FLAG_FIRST)[:, None]
+    first = np.array(FLAG_FIRST, np.float32)[:, None]
 
     def tallies(rows: Iterator[dict]) -> np.ndarray:
         out = np.zeros((2, FLAGS, N_SLOTS))
         for s in shares_of(rows, totals):
             r = s.parts(np.repeat(first, len(s.n), axis=1)) * s.texts.train
-            later = r.sum(axis=0)
-            for flag in range(FLAGS):
-                later = later - r[flag]
-                for k, at in enumerate(s.slots):
-                    own = slice(OFFSETS[k], OFFSETS[k + 1])
-                    out[1, flag, own] += np.bincount(at, weights=r[flag], minlength=FLAG_SLOTS[k])
-                    out[0, flag, own] += np.bincount(at, weights=later, minlength=FLAG_SLOTS[k])
+            for k, at in enumerate(s.slots):
+                own = slice(OFFSETS[k], OFFSETS[k + 1])
+                later = np.bincount(at, weights=s.texts.train, minlength=FLAG_SLOTS[k])
+                for flag in range(FLAGS):
+                    ones = np.bincount(at, weights=r[flag], minlength=FLAG_SLOTS[k])
+                    later = later - ones
+                    out[1, flag, own] += ones
+                    out[0, flag, own] += np.maximum(later, 0)
         return out.ravel()
 
     zeros, ones = vector_sum(ready, tallies, 2 * FLAGS * N_SLOTS).reshape(2, FLAGS, N_SLOTS)
     share = ((ones.sum(axis=1) + 1) / (zeros.sum(axis=1) + ones.sum(axis=1) + 2))[:, None]
-    odds = stretch(np.clip((ones + 8 * share) / (zeros + ones + 8), 1e-4, 1 - 1e-4))
+    odds = stretch(np.clip((ones + 8 * share) / (zeros + ones + 8), 1e-4, 1 - 1e-4)).astype(np.float32)
     weights = np.full((FLAGS, 16, N_INPUTS), 1 / len(FLAG_SLOTS))
     weights[:, :, -1] = 0
     n_fit = 16 * N_INPUTS * (N_INPUTS + 1)
@@ -747,17 +759,18 @@ def learned_flags(ready: DataFrame, totals: dict) -> tuple[np.ndarray, np.ndarra
     def fit(rows: Iterator[dict]) -> np.ndarray:
         out = np.zeros((FLAGS, n_fit + 2 * REFINE))
         for s in shares_of(rows, totals):
+            order = np.argsort(s.known.astype(np.uint8), kind="stable")
             inputs = [flag_inputs(s, odds, flag) for flag in range(FLAGS)]
             means = [x[:-1].mean(axis=0) for x in inputs]
             q = np.clip(squash(np.array(means)), 1e-5, 1 - 1e-5)
             r = s.parts(q) * s.texts.train
-            left = r.sum(axis=0)
+            left, known = r.sum(axis=0), s.known[order]
             for flag in range(FLAGS):
-                out[flag, :n_fit] += newton_sums(inputs[flag], s.known, r[flag] - left * q[flag], left * q[flag] * (1 - q[flag]), 16)
-                low, part = refine_at(means[flag])
-                for at, share_ in ((low, 1 - part), (low + 1, part)):
-                    out[flag, n_fit : n_fit + REFINE] += np.bincount(at, weights=left * share_, minlength=REFINE)
-                    out[flag, n_fit + REFINE :] += np.bincount(at, weights=r[flag] * share_, minlength=REFINE)
+                near = np.rint((np.clip(means[flag], -8, 8) + 8) * ((REFINE - 1) / 16)).astype(np.int64)
+                out[flag, n_fit : n_fit + REFINE] += np.bincount(near, weights=left, minlength=REFINE)
+                out[flag, n_fit + REFINE :] += np.bincount(near, weights=r[flag], minlength=REFINE)
+                miss = r[flag] - left * q[flag]
+                out[flag, :n_fit] += sorted_sums(inputs[flag][:, order], known, miss[order], (left * q[flag] * (1 - q[flag]))[order], 16)
                 left = left - r[flag]
         return out.ravel()
 
@@ -765,7 +778,7 @@ def learned_flags(ready: DataFrame, totals: dict) -> tuple[np.ndarray, np.ndarra
     weights = np.stack([newton_step(weights[flag], sums[flag, :n_fit]) for flag in range(FLAGS)])
     all_, hits = sums[:, n_fit : n_fit + REFINE], sums[:, n_fit + REFINE :]
     centre = squash(np.arange(REFINE) * (16 / (REFINE - 1)) - 8)
-    return odds, weights, (hits + 20 * centre) / (all_ + 20)
+    return odds, weights.astype(np.float32), ((hits + 20 * centre) / (all_ + 20)).astype(np.float32)
 
 
 def class_shares(totals: dict) -> np.ndarray:
