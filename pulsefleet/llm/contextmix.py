@@ -458,17 +458,25 @@ class Spelled:
             yield (self.byte >> U(7 - j) & U(1)).astype(bool), np.array(at)
 
 
-def spell_inputs(y: np.ndarray, at: np.ndarray, pos: np.ndarray, tables: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds (orders and a constant, bits) and gates. tables: zeros and ones as the parts of complex numbers, so that
-    both are fetched at once; leave: for bits of words that are in the tables, without their own occurrence."""
+def odds_tables(tables: np.ndarray) -> np.ndarray:
+    """Log-odds of every slot as it is, without a one, and without a zero; 0 where nothing is known."""
+    out = []
+    for less1, less0 in ((0, 0), (1, 0), (0, 1)):
+        zeros, ones = np.maximum(tables[0] - less0, 0), np.maximum(tables[1] - less1, 0)
+        odds = np.log((ones + 0.4) / (zeros + 0.4))
+        out.append(np.where(zeros + ones == 0, 0, np.where(odds == 0, 1e-6, odds)))
+    return np.concatenate(out).astype(np.float32)
+
+
+def spell_inputs(y: np.ndarray, at: np.ndarray, pos: np.ndarray, odds: np.ndarray, leave: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds (orders and a constant, bits) and gates; leave: for bits of words that are in the tables, without their
+    own occurrence."""
     x = np.full((ORDERS + 1, len(y)), 0.3, np.float32)
     gate = np.minimum(pos, 3).astype(np.int16) * np.int16(ORDERS + 1)
-    own1, own0 = (leave & y).astype(np.float32), (leave & ~y).astype(np.float32)
+    variant = np.where(leave, np.where(y, np.int32(1), np.int32(2)), np.int32(0)) * np.int32(ORDERS * SPELL_SLOTS)
     for k in range(ORDERS):
-        found = tables[at[k]]
-        ones, zeros = np.maximum(found.imag - own1, 0), np.maximum(found.real - own0, 0)
-        gate += ones + zeros > 0
-        x[k] = np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4)))
+        x[k] = odds[at[k] + variant]
+        gate += x[k] != 0
     return x, gate
 
 
@@ -509,7 +517,7 @@ def newton_step(w: np.ndarray, sums: np.ndarray, ridge: float = 2.0) -> np.ndarr
 
 
 def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of zeros and ones (as parts of complex numbers) in every slot over the distinct training words; the gates' weights, fitted
+    """Counts of zeros and ones in every slot over the distinct training words; the gates' weights, fitted
     to all words that occur once, as the words that will have to be spelled are most like these."""
 
     def trained(rows: Iterator[dict], most: int = 1 << 62) -> Iterator[Spelled]:
@@ -532,8 +540,7 @@ def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     spark = types.sparkSession
     words = types.select("words")
     tables = vector_sum(words, count, 2 * ORDERS * SPELL_SLOTS).reshape(2, -1)
-    tables = (tables[0] + 1j * tables[1]).astype(np.complex64)
-    shared = spark.sparkContext.broadcast(tables)
+    shared = spark.sparkContext.broadcast(odds_tables(tables))
     weights = np.full((SPELL_GATES, ORDERS + 1), 0.3, np.float32)
     weights[:, ORDERS] = 0
 
@@ -549,7 +556,7 @@ def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tables, newton_step(weights, vector_sum(words, fit, weights.size * (ORDERS + 2))).astype(np.float32)
 
 
-def spelling_costs(words: bytes, lengths: np.ndarray, trained: np.ndarray, tables: np.ndarray, w: np.ndarray) -> np.ndarray:
+def spelling_costs(words: bytes, lengths: np.ndarray, trained: np.ndarray, odds: np.ndarray, w: np.ndarray) -> np.ndarray:
     """log10 probability of each word, spelled."""
     out = np.zeros(len(lengths))
     for lo, hi, closed in spelled_batches(words, lengths):
@@ -557,7 +564,7 @@ def spelling_costs(words: bytes, lengths: np.ndarray, trained: np.ndarray, table
         leave = np.repeat(trained[lo:hi].astype(bool), s.lengths)
         p = np.ones(len(s.byte))
         for y, at in s.bits():
-            x, gate = spell_inputs(y, at, s.pos, tables, leave)
+            x, gate = spell_inputs(y, at, s.pos, odds, leave)
             mix = mix_of(w, gate, x)
             p *= squash(np.where(y, mix, -mix))
         out[lo:hi] = np.add.reduceat(np.log10(p), s.starts)
@@ -614,7 +621,7 @@ def counted(chunk_rows: DataFrame, answers: DataFrame) -> DataFrame:
             pair = np.empty(len(order), np.int64)
             pair[order] = np.repeat(total, np.diff(np.r_[heads, len(order)]))
             _, _, own_word, earlier_word = occurrences(texts.tok, texts.text)
-            columns = [stored["doc_ids"].combine_chunks()[at : at + 1], pa.array([head["texts"]], pa.binary()), pa.array([head["tok"]], pa.binary()), pa.array([pack(n, of_class, cost, (hashes >> U(52)).astype(np.uint16))], pa.binary()), pa.array([pack(pair, own_pair, earlier, own_word, earlier_word)], pa.binary())]
+            columns = [stored["doc_ids"].combine_chunks()[at : at + 1], pa.array([head["texts"]], pa.binary()), pa.array([head["tok"]], pa.binary()), pa.array([pack(n, of_class, cost, (hashes >> U(52)).astype(np.uint16))], pa.binary()), pa.array([pack(pair, own_pair, earlier, planes(own_word), planes(earlier_word))], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_ids", "texts", "tok", "words", "pairs"])
 
     return ordered.mapInArrow(run, f"doc_ids {doc_ids}, texts binary, tok binary, words binary, pairs binary")
@@ -697,7 +704,8 @@ def shares_of(rows: Iterator[dict], totals: dict) -> Iterator[Shares]:
     """The shares of chunks' tokens, a group of texts at a time."""
     for row in rows:
         words = unpack(row["words"], np.int64, np.int64, np.float32, np.uint16)
-        pairs = unpack(row["pairs"], np.int64, np.int32, np.int32, np.int32, np.int32)
+        pairs = unpack(row["pairs"], np.int64, np.int32, np.int32, np.uint8, np.uint8)
+        pairs[3:] = map(from_planes, pairs[3:])
         for texts, at in Texts(row).groups():
             yield Shares(texts, words, [x[at] for x in pairs], totals)
 
@@ -796,7 +804,7 @@ def prepared(rows: DataFrame, mod: int) -> tuple[DataFrame, dict, tuple]:
     got = [int(x or 0) for x in types.agg(*sums).first()]
     totals = {"n": got[0], "v": got[1], "of_class": np.array(got[2 : 2 + CLASSES]), "ends": np.array(got[2 + CLASSES :])}
     spelling = learned_spelling(types)
-    shared = spark.sparkContext.broadcast(spelling)
+    shared = spark.sparkContext.broadcast((odds_tables(spelling[0]), spelling[1]))
     answers = word_answers(types, shared).unionByName(pair_answers(asked_pairs(chunk_rows, bits)))
     ready = materialize(counted(chunk_rows, answers), "lm-counted")
     discard(chunk_rows, types)

@@ -69,7 +69,7 @@ def scalar_scores(rows, fitted):
                     known, mix = 0, 0.0
                     x = []
                     for k in range(contextmix.ORDERS):
-                        zeros, ones = (float((tables[at[k, i]].real, tables[at[k, i]].imag)[j]) - (word in words and words[word] > 0 and y[i] == j) for j in (0, 1))
+                        zeros, ones = (float(tables[j][at[k, i]]) - (word in words and words[word] > 0 and y[i] == j) for j in (0, 1))
                         zeros, ones = max(zeros, 0), max(ones, 0)
                         known += zeros + ones > 0
                         x.append(math.log((ones + 0.4) / (zeros + 0.4)))
@@ -180,7 +180,7 @@ def test_order_and_copies_count(spark):
 def test_a_very_long_word_takes_linear_time():
     import time
 
-    tables, w = np.zeros(contextmix.ORDERS * contextmix.SPELL_SLOTS, np.complex64), np.full((contextmix.SPELL_GATES, contextmix.ORDERS + 1), 0.2)
+    tables, w = contextmix.odds_tables(np.zeros((2, contextmix.ORDERS * contextmix.SPELL_SLOTS))), np.full((contextmix.SPELL_GATES, contextmix.ORDERS + 1), 0.2)
     began = time.process_time()
     cost = contextmix.spelling_costs(b"x" * 1_000_000, np.array([1_000_000]), np.array([False]), tables, w)
     assert math.isfinite(cost[0]) and time.process_time() - began < 30
@@ -190,7 +190,7 @@ def test_spelled_words_are_a_probability():
     """All words of up to three letters of a small alphabet: with their ends they add up to less than 1."""
     rng = np.random.default_rng(3)
     tables = rng.integers(0, 9, (2, contextmix.ORDERS * contextmix.SPELL_SLOTS))
-    tables = (tables[0] + 1j * tables[1]).astype(np.complex64)
+    tables = contextmix.odds_tables(tables)
     w = rng.normal(0.2, 0.1, (contextmix.SPELL_GATES, contextmix.ORDERS + 1))
     first = [bytes([b]) for b in range(256) if b not in b" \t\n\v\f\r"] + [b"\n"]
     flat, sizes = b"".join(first), np.array([1] * len(first))
