@@ -18,7 +18,7 @@ A text's class is its most frequent letter beyond ASCII, coded first.
 Training texts are scored without their own occurrences (counts of the text are taken from the totals, its own
 earlier tokens count as in any text), so a text that occurs once is not known by heart, one with a copy is.
 
-Plan: tokens are numbered in chunks of some 1.5 million (never cutting a text). Distinct words and pairs of words of a
+Plan: tokens are numbered in chunks of some million (never cutting a text). Distinct words and pairs of words of a
 chunk travel once, packed, to the bucket of their 64-bit hash, are counted there over all chunks, and the totals go
 back to the chunk. Buckets follow the hash of the whole word or pair and chunks add up before they send,
 so a frequent word, a common beginning or a third of all texts being copies makes no bucket large. Flag and spelling weights
@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 from .common import discard, file_system, materialize, partitions
 
 CLASSES = 16
-CHUNK_TOKENS, CHUNK_BYTES = 1_500_000, 1 << 26
+CHUNK_TOKENS, CHUNK_BYTES = 1_000_000, 1 << 26
 #: Tokens that are scored at once, whole texts.
 GROUP_TOKENS = 100_000
 BEYOND_ASCII = re.compile("[^\x00-\x7f]")
