@@ -60,19 +60,21 @@ class Cache:
 
 
 @lru_cache(maxsize=2)
-def worker_bpe(path: str, words: bool) -> CachedBpe:
+def worker_bpe(path: str, words: bool, plain: bool = False) -> CachedBpe:
     """The worker process's own CachedBpe: Spark reuses processes, so later tasks find it warm."""
-    return CachedBpe(path, words)
+    return CachedBpe(path, words, plain)
 
 
 class CachedBpe:
     """ids(text): little-endian unsigned 32-bit ids as bytes, as ``encode(add_special_tokens=False)`` gives."""
 
-    def __init__(self, path: str, words: bool):
+    def __init__(self, path: str, words: bool, plain: bool = False):
+        """plain: strings of special tokens inside a text are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.model = self.tokenizer.model
         self.words = words
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
@@ -128,7 +130,8 @@ class CachedBpe:
         out = []
         for n, line in enumerate(text.split("\n")):
             keys = line.split(" ")
-            head = self.joined(self.line if n else self.first, keys[:1], "\n" if n else "")
+            spaced = not n and len(keys) > 1 and not keys[0]  # the text begins with a space, which the next word takes
+            head = b"" if spaced else self.joined(self.line if n else self.first, keys[:1], "\n" if n else "")
             tail = self.joined(self.rest, keys[1:], " ") if head is not None else None
             if tail is None:
                 return self.whole(text)

@@ -8,12 +8,16 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs as pafs
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space bytes; bytes.split() splits on exactly these.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
+#: Files whose numbers may be broadcast, some 200 bytes each.
+FILES = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,6 +61,25 @@ def discard(*tables: DataFrame) -> None:
             pass
 
 
+def row_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a number of its own for every row, the same in every job, however the scan is cut.
+
+    A row of a file is numbered by its file's place among the sorted paths (which the planner of a scan holds on the
+    driver anyway) and its own place in the file: 2**27 files of 2**36 rows. Up to FILES paths are broadcast. Rows that come from no
+    files are written with their numbers.
+    """
+    try:
+        placed = rows.select("*", F.col("_metadata.file_path").alias(f"{name}_file"), F.col("_metadata.row_index").alias(f"{name}_place"))
+    except AnalysisException:
+        return materialize(rows.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    paths = sorted(r[0] for r in placed.select(f"{name}_file").distinct().collect())
+    files = rows.sparkSession.createDataFrame(list(enumerate(paths)), f"{name} long, {name}_file string")
+    if len(paths) <= FILES:
+        files = F.broadcast(files)
+    number = F.shiftleft(name, 36) + F.col(f"{name}_place")
+    return placed.join(files, f"{name}_file").withColumn(name, number).drop(f"{name}_file", f"{name}_place")
+
+
 def crc_mod(key: str, mod: int) -> Column:
     """crc32 of the key as text, modulo ``mod``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod

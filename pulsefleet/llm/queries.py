@@ -6,17 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import alignments
 from .chat import chat_digest, chat_windows
 from .common import shared_path, table
 from .contextmix import lm_scores
 from .decontam import contaminated
 from .editcount import apply_edits, token_trees
 from .htmltext import extract
+from .licenses import license_scan
 from .packing import pack_documents
 from .quality import quality_scores
 from .simhash import simhash_components
 from .tokenfile import token_file_digest, write_token_files
 from .topk import top_inner_products
+from .whitening import whitened
 
 
 def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +79,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"), scale=64.0, shift=1_000_000, top=32)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_context_mixing": op1_context_mixing,
     "op2_edit_counts": op2_edit_counts,
@@ -87,6 +102,9 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_decontamination": op10_decontamination,
+    "op11_license_scan": op11_license_scan,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
