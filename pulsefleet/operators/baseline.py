@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.calendar import parse_day, trailing
-from pulsefleet.functions.rounding import half_even, mean
+from pulsefleet.functions.moments import in_order, mean_and_spread
+from pulsefleet.functions.rounding import half_even
 from pulsefleet.plans.registry import DEFAULT_METRICS, resolve
 
 from .series import Warehouse, metric_values
@@ -39,7 +40,8 @@ def baselines(warehouse: Warehouse, metrics: Sequence[str] | None = None, window
         users = users.withColumn("end", F.lit(last))
     users = users.withColumn("start", trailing(F.col("end"), window_days))
     values = metric_values(warehouse, found, None if last is None else last - timedelta(days=window_days - 1), last).join(users, "user_id").filter(F.col("date").between(F.col("start"), F.col("end")))
-    bands = values.groupBy("user_id", "metric").agg(mean("value").alias("m"), F.stddev_pop("value").alias("s"), F.max_by("value", "date").alias("current"), F.count("value").alias("n"))
+    held = values.groupBy("user_id", "metric").agg(in_order("date", value="value").alias("xs"), F.max_by("value", "date").alias("current"), F.count("value").alias("n"))
+    bands = held.withColumn("stats", mean_and_spread(F.col("xs"))).select("user_id", "metric", F.col("stats.mean").alias("m"), F.col("stats.sd").alias("s"), "current", "n")
     low, high = half_even(F.col("m") - F.col("s")), half_even(F.col("m") + F.col("s"))
     bands = bands.withColumns({"band_low": low, "band_high": high})
     wanted = users.withColumn("metric", F.explode(F.array(*[F.lit(m.name) for m in found])))

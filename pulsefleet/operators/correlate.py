@@ -1,7 +1,8 @@
 """Correlation of two metrics, with a lag and over a range of lags, per user.
 
 All lags come from one window over (user, day): a range frame of the single day at distance k, so no
-join per lag. Rows are dealt by user once; the pairing, the frames and the ranks reuse that.
+join per lag. Rows are dealt by user once; the pairing, the frames and the ranks reuse that. Coefficients
+are taken over a user's pairs in the order of days, so that equal lags stay equal whatever the partitions.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.calendar import check_range
+from pulsefleet.functions.moments import in_order, pearson
 from pulsefleet.functions.rounding import half_even
 from pulsefleet.plans.registry import resolve
 
@@ -22,13 +24,6 @@ MIN_PAIRS = 5
 SCAN = range(-7, 8)
 
 
-def guarded(x: Column, y: Column) -> Column:
-    """Pearson over rows where both are set; null for under MIN_PAIRS pairs or a constant side."""
-    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.when((F.count(F.when(b.isNotNull(), a)) >= MIN_PAIRS) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), r)
-
-
 def average_rank(value: str) -> Column:
     """Rank within the user's pairs; ties share their mean rank."""
     ordered, same = Window.partitionBy("user_id").orderBy(value), Window.partitionBy("user_id", value)
@@ -54,12 +49,20 @@ def correlate(warehouse: Warehouse, metric_a: str, metric_b: str, start: str | D
     paired = numbered.withColumns({f"b_{i}": F.max("b").over(by_day.rangeBetween(k, k)) for i, k in enumerate(lags)})
     main = lags.index(lag_days)
     paired = paired.withColumn("y", F.when(F.col("a").isNotNull(), F.col(f"b_{main}"))).withColumn("x", F.when(F.col("y").isNotNull(), F.col("a")))
-    scan = [F.struct(F.lit(k).alias("lag"), guarded(F.col("a"), F.col(f"b_{i}")).alias("r")) for i, k in enumerate(lags) if scan_lags and k in SCAN]
-    totals = paired.groupBy("user_id").agg(F.count("x").alias("n"), guarded(F.col("x"), F.col("y")).alias("r"), F.array(*scan).alias("scan") if scan else F.array().cast("array<struct<lag:int,r:double>>").alias("scan"))
+    scan = [i for i, k in enumerate(lags) if scan_lags and k in SCAN]
+    held = paired.groupBy("user_id").agg(
+        F.count("x").alias("n"),
+        F.array_sort(F.collect_list(F.when(F.col("a").isNotNull(), F.struct(F.col("day").alias("at"), F.col("a"), F.array(*[F.col(f"b_{i}") for i in range(len(lags))]).alias("b"))))).alias("rows"),
+    )
+    of_lag = lambda i: F.transform(F.filter("rows", lambda r: r["b"][i].isNotNull()), lambda r: F.struct(r["a"].alias("x"), r["b"][i].alias("y")))
+    pairs = held.select("user_id", "n", of_lag(main).alias("main"), F.array(*[F.struct(F.lit(lags[i]).alias("lag"), of_lag(i).alias("pairs")) for i in scan]).alias("lags"))
+    none_found = F.array().cast("array<struct<lag:int,r:double>>")
+    found = F.transform("lags", lambda x: F.struct(x["lag"].alias("lag"), pearson(x["pairs"], MIN_PAIRS).alias("r"))) if scan else none_found
+    totals = pairs.select("user_id", "n", pearson(F.col("main"), MIN_PAIRS).alias("r"), found.alias("scan"))
     none = F.struct(F.lit(None).cast("int").alias("lag"), F.lit(None).cast("double").alias("r"))
     better = lambda best, x: F.when(x.r.isNotNull() & (best.r.isNull() | (F.abs(x.r) > F.abs(best.r))), F.struct(x.lag.alias("lag"), half_even(x.r, 3).alias("r"))).otherwise(best)
     totals = totals.withColumn("best", F.aggregate("scan", none, better))
-    ranked = paired.filter(F.col("x").isNotNull()).select("user_id", average_rank("x").alias("rx"), average_rank("y").alias("ry"))
-    ranks = ranked.groupBy("user_id").agg(guarded(F.col("rx"), F.col("ry")).alias("rho"))
+    ranked = paired.filter(F.col("x").isNotNull()).select("user_id", "day", average_rank("x").alias("rx"), average_rank("y").alias("ry"))
+    ranks = ranked.groupBy("user_id").agg(in_order("day", x="rx", y="ry").alias("pairs")).select("user_id", pearson(F.col("pairs"), MIN_PAIRS).alias("rho"))
     note = F.when(F.col("n") < MIN_PAIRS, F.concat(F.lit("only "), F.col("n").cast("string"), F.lit(f" overlapping days; need at least {MIN_PAIRS}"))).when(F.col("r").isNull(), "one of the series is constant over this range")
     return totals.join(ranks, "user_id", "left").select("user_id", "n", half_even("r", 3).alias("pearson_r"), half_even("rho", 3).alias("spearman_rho"), F.lit(lag_days).alias("lag_days"), F.col("best.lag").alias("best_lag"), F.col("best.r").alias("best_r"), note.alias("note"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.calendar import BUCKETS, bucket_label, check_range
+from pulsefleet.functions.moments import in_order, mean_and_spread
 from pulsefleet.functions.rounding import half_even, mean
 from pulsefleet.plans.registry import Metric, resolve
 
@@ -17,9 +18,15 @@ Warehouse = Mapping[str, DataFrame]
 
 
 def in_range(df: DataFrame, start: Date | None, end: Date | None) -> DataFrame:
+    """Rows of a range; where the table still has its partition column ``month``, only the range's months are read."""
+    whole = "month" in df.columns
     if start is not None:
         df = df.filter(F.col("date") >= F.lit(start))
-    return df if end is None else df.filter(F.col("date") <= F.lit(end))
+        df = df.filter(F.col("month") >= f"{start:%Y-%m}") if whole else df
+    if end is not None:
+        df = df.filter(F.col("date") <= F.lit(end))
+        df = df.filter(F.col("month") <= f"{end:%Y-%m}") if whole else df
+    return df
 
 
 def metric_values(warehouse: Warehouse, metrics: Sequence[Metric], start: Date | None = None, end: Date | None = None) -> DataFrame:
@@ -95,6 +102,7 @@ def metric_stats(warehouse: Warehouse, metrics: Sequence[str], start: str | Date
     values = metric_values(warehouse, found, first, last)
     numeric = [m.name for m in found if m.numeric]
     long = bucketed(values, found, aggregate).filter(F.col("metric").isin(numeric))
-    stats = long.groupBy("user_id", "metric").agg(half_even(mean("value")).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), half_even(F.stddev_pop("value")).alias("sd"))
+    grouped = long.groupBy("user_id", "metric").agg(in_order("label", value="value").alias("xs"), F.min("value").alias("min"), F.max("value").alias("max"))
+    stats = grouped.withColumn("s", mean_and_spread(F.col("xs"))).select("user_id", "metric", half_even("s.mean").alias("mean"), "min", "max", half_even("s.sd").alias("sd"))
     users = values.select("user_id").distinct().withColumn("metric", F.explode(F.array(*map(F.lit, numeric))))
     return users.join(stats, ["user_id", "metric"], "left")

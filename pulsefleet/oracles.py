@@ -61,35 +61,56 @@ def trend(bucket: str) -> str:
     return f"{base} select user_id, label as date, {cells} from bucketed group by 1, 2"
 
 
+def total(xs: str) -> str:
+    """Compensated sum of a list in its order."""
+    add = "{'s': p.s + q.s, 'c': p.c + case when abs(p.s) >= abs(q.s) then (p.s - (p.s + q.s)) + q.s else (q.s - (p.s + q.s)) + p.s end}"
+    folded = f"list_reduce(list_prepend({{'s': 0::double, 'c': 0::double}}, list_transform({xs}, lambda x: {{'s': x::double, 'c': 0::double}})), lambda p, q: {add})"
+    return f"list_transform([{folded}], lambda r: r.s + r.c)[1]"
+
+
+def sd(xs: str, m: str) -> str:
+    return f"sqrt({total(f'list_transform({xs}, lambda v: (v - {m}) * (v - {m}))')} / len({xs}))"
+
+
 STATS = f"""with {WELLNESS}, {SLEEP}, {EVENT_ACTS}, {long(TREND)}, {labelled("weekly")},
-users as (select distinct user_id, unnest({list(TREND)}) as metric from mv)
-select user_id, metric, {h(mean("v"))} as mean, min(v) as min, max(v) as max, {h("stddev_pop(v)")} as sd
-from users left join bucketed using (user_id, metric) group by 1, 2"""
+users as (select distinct user_id, unnest({list(TREND)}) as metric from mv),
+g as (select user_id, metric, list(v order by label) as xs, min(v) as min, max(v) as max from bucketed group by 1, 2),
+m as (select *, {total("xs")} / len(xs) as m from g)
+select user_id, metric, {h("m")} as mean, min, max, {h(sd("xs", "m"))} as sd from users left join m using (user_id, metric)"""
 
 CATEGORICAL = f"""with {HRV} select user_id, strftime(date, '%Y-%m-%d') as date, last_night_avg::double as hrv, status as hrv_status from hrv where {IN}"""
 
 
-def r_of(a: str, b: str) -> str:
-    return f"case when count({b}) >= 5 and min({a}) < max({a}) and min({b}) < max({b}) then covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) end"
+def means(*pairs: str) -> str:
+    return ", ".join(f"{total(x)} / len({x}) as m{x}" for x in pairs)
+
+
+def r_of(xs: str, ys: str) -> str:
+    def both(p: str, q: str) -> str:
+        return total(f"list_transform(range(1, len({p}) + 1), lambda i: ({p}[i] - m{p}) * ({q}[i] - m{q}))")
+
+    varies = " and ".join(f"list_min({x}) < list_max({x})" for x in (xs, ys))
+    return f"case when len({xs}) >= 5 and {varies} then {both(xs, ys)} / sqrt({both(xs, xs)} * {both(ys, ys)}) end"
 
 
 def correlate(scan: bool) -> str:
     low, high = (-7, 7) if scan else (1, 1)
     best = f"""
-scan as (select user_id, l as lag, {r_of("a", "b")} as r from a cross join (select unnest(range(-7, 8)) as l) join b on b.user_id = a.user_id and b.date = a.date + l::int group by a.user_id, l),
+lagged as (select a.user_id as user_id, l, list(a order by a.date) as xs, list(b order by a.date) as ys from a cross join (select unnest(range(-7, 8)) as l) join b on b.user_id = a.user_id and b.date = a.date + l::int group by 1, 2),
+scan as (select user_id, l as lag, {r_of("xs", "ys")} as r from (select *, {means("xs", "ys")} from lagged)),
 best as (select user_id, list_reduce(list_prepend({{'lag': null::int, 'r': null::double}}, list({{'lag': lag::int, 'r': r}} order by lag)),
   lambda x, y: case when y.r is not null and (x.r is null or abs(y.r) > abs(x.r)) then {{'lag': y.lag, 'r': {h("y.r", 3)}}} else x end) as best from scan group by 1),"""
-    best = best.replace("select user_id, l as lag", "select a.user_id as user_id, l as lag")
     return f"""with {WELLNESS}, {SLEEP},
 a as (select user_id, date, distance_m as a from wellness where {IN}),
 b as (select user_id, date, duration_min as b from sleep where date between date '{START}' + {low} and date '{END}' + {high}),
-p as (select a.user_id, a, b from a join b on b.user_id = a.user_id and b.date = a.date + 1),
-k as (select user_id, a, b, rank() over (partition by user_id order by a) + (count(*) over (partition by user_id, a) - 1) / 2 as ra, rank() over (partition by user_id order by b) + (count(*) over (partition by user_id, b) - 1) / 2 as rb from p),
-t as (select user_id, count(*) as n, {r_of("a", "b")} as r, {r_of("ra", "rb")} as rho from k group by 1),{best if scan else ""}
+p as (select a.user_id, a.date, a, b from a join b on b.user_id = a.user_id and b.date = a.date + 1),
+k as (select user_id, date, a, b, rank() over (partition by user_id order by a) + (count(*) over (partition by user_id, a) - 1) / 2 as ra, rank() over (partition by user_id order by b) + (count(*) over (partition by user_id, b) - 1) / 2 as rb from p),
+g as (select user_id, count(*) as n, {", ".join(f"list({x}::double order by date) as {x}s" for x in ("a", "b", "ra", "rb"))} from k group by 1),
+t as (select user_id, n, {r_of("as_", "bs")} as r, {r_of("ras", "rbs")} as rho from (select *, {means("as_", "bs", "ras", "rbs")} from g)),{best if scan else ""}
 users as (select user_id from a union select user_id from b)
 select users.user_id, coalesce(n, 0)::bigint as n, {h("r", 3)} as pearson_r, {h("rho", 3)} as spearman_rho, 1::int as lag_days, {"best.best.lag as best_lag, best.best.r as best_r," if scan else ""}
 case when coalesce(n, 0) < 5 then 'only ' || coalesce(n, 0) || ' overlapping days; need at least 5' when r is null then 'one of the series is constant over this range' end as note
-from users left join t using (user_id){" left join best using (user_id)" if scan else ""}"""
+from users left join t using (user_id){" left join best using (user_id)" if scan else ""}""".replace("as as,", "as as_,")
 
 
 VITALS = {"resting_hr": ("wellness", "resting_hr"), "hrv": ("hrv", "last_night_avg"), "sleep_score": ("sleep", "score"), "stress_avg": ("wellness", "stress_avg"), "steps": ("wellness", "steps")}
@@ -99,7 +120,8 @@ def baselines(days: int, end: str | None) -> str:
     last = "max(date)" if end is None else f"date '{end}'"
     return f"""with {WELLNESS}, {SLEEP}, {HRV}, {long(VITALS, "true")},
 ends as (select user_id, {last} as e from (select user_id, date from wellness union all select user_id, date from sleep union all select user_id, date from hrv) group by 1),
-b as (select user_id, metric, {mean('v')} as m, stddev_pop(v) as s, arg_max(v, date) as current, count(*) as n from mv join ends using (user_id) where date between e - {days - 1} and e group by 1, 2),
+g as (select user_id, metric, list(v order by date) as xs, arg_max(v, date) as current, count(*) as n from mv join ends using (user_id) where date between e - {days - 1} and e group by 1, 2),
+b as (select *, {sd("xs", "m")} as s from (select *, {total("xs")} / n as m from g)),
 w as (select user_id, e, unnest(['resting_hr', 'hrv', 'sleep_score', 'skin_temp_dev_c', 'stress_avg', 'steps']) as metric from ends),
 c as (select *, {h("m - s")} as band_low, {h("m + s")} as band_high from w left join b using (user_id, metric))
 select user_id, (e - {days - 1})::date as start, e::date as "end", metric, {h("m")} as mean, {h("s")} as sd, band_low, band_high, current,
@@ -107,11 +129,14 @@ case when current < band_low then 'below' when current > band_high then 'above'
 
 
 ANOMALIES = f"""with {WELLNESS}, {SLEEP}, {HRV}, {long({"distance_m": ("wellness", "distance_m"), "sleep_duration_min": ("sleep", "duration_min"), "hrv": ("hrv", "last_night_avg")})},
-z as (select *, (v - {mean("v", " over g")}) / nullif(stddev_pop(v) over g, 0) as z0, min(v) over g as lo, max(v) over g as hi from mv window g as (partition by user_id, metric))
+g as (select user_id, metric, list(v order by date) as xs, min(v) as lo, max(v) as hi from mv group by 1, 2),
+m as (select *, {sd("xs", "m")} as s from (select *, {total("xs")} / len(xs) as m from g)),
+z as (select mv.*, lo, hi, (v - m) / nullif(s, 0) as z0 from mv join m using (user_id, metric))
 select user_id, date, metric, v as value, {h("z0")} as z, case when z0 > 0 then 'high' else 'low' end as direction from z where lo < hi and abs(z0) >= 2"""
 
 STREAKS = f"""with {WELLNESS}, {SLEEP}, {TRAINING}, {long({"distance_m": ("wellness", "distance_m"), "sleep_duration_min": ("sleep", "duration_min"), "stress_avg": ("wellness", "stress_avg"), "steps": ("wellness", "steps"), "acute_load": ("training", "acute_load")})},
-k as (select *, {mean("v", " over g")} as m, min(v) over g as lo, max(v) over g as hi from mv window g as (partition by user_id, metric)),
+g as (select user_id, metric, list(v order by date) as xs, min(v) as lo, max(v) as hi from mv group by 1, 2),
+k as (select mv.*, lo, hi, m from mv join (select *, {total("xs")} / len(xs) as m from g) using (user_id, metric)),
 s as (select user_id, metric, date, case when v > m then 'above_mean' when v < m then 'below_mean' end as kind from k where lo < hi),
 i as (select *, date - row_number() over (partition by user_id, metric, kind order by date)::int as island from s where kind is not null)
 select user_id, metric, kind, min(date) as start, max(date) as "end", count(*)::bigint as len from i group by user_id, metric, kind, island having count(*) >= 5"""
