@@ -32,10 +32,10 @@ from .bpe import Cache, byte_alphabet, worker_bpe
 from .common import materialize
 
 #: Tokens in a chunk and bytes of text looked at at once, but for longer documents.
-CHUNK, STEP = 4_000_000, 1 << 20
+CHUNK, STEP = 2_000_000, 1 << 19
 #: Pairs of ids that are spread at once.
 SPREAD = 1 << 20
-CACHE_ROWS = 400_000
+CACHE_ROWS = 200_000
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 OUT = ", ".join(f"{c} string" if c == "groups_sha256" else f"{c} long" for c in COLUMNS)
 
