@@ -11,6 +11,8 @@ Weights come from labelled pages: pages that mark their content themselves, with
 ``main`` element, say for each kind of token how often it stood inside and outside. The counts over all
 pages are summed by Spark (a few hundred kinds at most: kinds are a fixed list of element names and
 roles), and a kind's weight is the log-odds of being content, added to its starting weight: words +1, tags below zero.
+Words of lists and tables are of two kinds, in links and not: menus teach the first only. Within article or
+main no words weigh less than LEAST and tags hardly part, so lists, tables, code and link lists of an article stay.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are
 joined by one space in page order. Inline tags join what they separate; ``br`` and block tags part it.
@@ -62,7 +64,10 @@ CONTENT_ROLES = frozenset("article main content post entry story body articlebod
 #: Headers inside an article hold its headline, so they count as part of it.
 HEADED = frozenset(("header",))
 KINDS = frozenset("p li a td th h1 h2 h3 h4 h5 h6 div span section article main ul ol dl table tr blockquote pre br hr img figure b i em strong body html".split())
-WORD = re.compile(r"\S+")
+#: Elements of lists and tables: what is learned from menus made of them says nothing about an article's own.
+LISTS = frozenset("ul ol li dl table tr td th pre blockquote".split())
+#: Words outside of links in these weigh so much at least, and so do all words within article or main.
+LEAST = 0.5
 
 
 #: Words of a text run from which it counts as prose.
@@ -135,8 +140,8 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
 
 def walk(page: str, refuted: frozenset[int], marks: list[Mark], seen: list[int]) -> Iterator[tuple[str, str, str, bool, bool]]:
     """tokens() without the marks at ``refuted``; fills marks and seen (words, content elements)."""
-    stack: list[tuple[str, bool, bool, str, tuple[Mark, ...], bool, int]] = []  # name, outside, inside, context for words, marks, in a link or item, content elements
-    top = (False, False, "body", (), False, 0)
+    stack: list[tuple[str, bool, bool, str, tuple[Mark, ...], int, int]] = []  # name, outside, inside, context for words, marks, in an item (1) or a link (2), content elements
+    top = (False, False, "body", (), 0, 0)
     for m in PIECE.finditer(page):
         piece = m[0]
         outside, inside, context, within, linked, around = stack[-1][1:] if stack else top
@@ -149,7 +154,7 @@ def walk(page: str, refuted: frozenset[int], marks: list[Mark], seen: list[int])
                     mark.prose += k
                 else:
                     mark.other += k
-            yield "text", f"word:{context}", text, outside, inside
+            yield "text", f"word:{context}{'-link' if linked == 2 and context in LISTS else ''}", text, outside, inside
             continue
         name = (m[3] or "").lower()
         if not name:  # comment, declaration, raw element
@@ -172,6 +177,8 @@ def walk(page: str, refuted: frozenset[int], marks: list[Mark], seen: list[int])
                 outside, inside, context, within, linked, around = stack[-1][1:] if stack else top
         if role == "head" and inside:
             role, whole = "", True
+        if role == "side" and inside and "teaser" in m[4].lower():  # an article's lead, if it is prose
+            whole = False
         away = role not in ("", "content") or (name in OUTSIDE and m.start() not in refuted and not (name in HEADED and inside and not role))
         own = name in CONTENT or role == "content"
         if away or own or name in ("td", "li", "body"):
@@ -189,15 +196,15 @@ def walk(page: str, refuted: frozenset[int], marks: list[Mark], seen: list[int])
                 marks.append(Mark(m.start(), says if name not in OUTSIDE or name == "form" else "", whole or name == "form", around, own))
                 within = (*within, marks[-1])
             # Formatting that is never closed ends with its block.
-            stack.append((name, outside or away, inside or own, context, within, linked or name in ("a", "li"), around + own))
+            stack.append((name, outside or away, inside or own, context, within, max(linked, 2 if name == "a" else int(name == "li")), around + own))
 
 
 def start_weight(kind: str) -> float:
     """Before learning: words count for, tags against, named boilerplate strongly against."""
     what, _, name = kind.partition(":")
     if what == "word":
-        return -1.0 if name in ROLES or name in OUTSIDE else 1.0
-    return -6.0 if name in ROLES or name in OUTSIDE else -0.5
+        return -1.0 if name in ROLES or name in OUTSIDE else -0.5 if name.endswith("-link") else 1.0
+    return -6.0 if name in ROLES or name in OUTSIDE else -0.25 if name.lstrip("/") in LISTS else -0.5
 
 
 def page_weights(pages: DataFrame, text: str = "html", strength: float = 0.5) -> dict[str, float]:
@@ -223,17 +230,23 @@ def page_weights(pages: DataFrame, text: str = "html", strength: float = 0.5) ->
         learned = math.log((r["i"] + 1) / (r["o"] + 1))
         # Evidence moves a weight, within the sign its kind has: words for or against, tags against.
         moved = start + strength * max(-3.0, min(3.0, learned)) * (1 if r["kind"].startswith("word") else 0.5)
-        out[r["kind"]] = moved if r["kind"].startswith("word") else min(moved, -0.05)
+        name = r["kind"].partition(":")[2].lstrip("/")
+        if r["kind"].startswith("word"):
+            out[r["kind"]] = max(moved, LEAST) if name in LISTS else moved
+        else:
+            out[r["kind"]] = min(max(moved, start) if name in LISTS else moved, -0.05)
     return out
 
 
 def token_scores(found: list[tuple[str, str, str, bool, bool]], weights: dict[str, float]) -> list[float]:
     """What every token adds to a region that holds it; 0 for text without words."""
     out = []
-    for what, kind, text, away, _ in found:
+    for what, kind, text, away, inside in found:
         weight = weights.get(kind)
         if weight is None:
             weight = start_weight(kind)
+        if inside and not away:  # the page itself says that this is content
+            weight = max(weight, LEAST) if what == "text" else 0.1 * weight
         if what == "text":
             score = len(text.split()) * (-abs(weight) if away and weight > 0 else weight)
         else:
