@@ -145,6 +145,8 @@ def one_sided_jacobi(factor: np.ndarray) -> np.ndarray:
             half = len(players) // 2
             pairs = [(p, q) for p, q in zip(players[:half], players[:half - 1 : -1], strict=True) if p >= 0 and q >= 0]
             players = [players[0], players[-1], *players[1:-1]]
+            if not pairs:
+                continue
             p, q = (np.array(x) for x in zip(*pairs, strict=True))
             x, y = a[:, p], a[:, q]
             xx, yy, xy = (x * x).sum(axis=0), (y * y).sum(axis=0), (x * y).sum(axis=0)
