@@ -97,6 +97,8 @@ def test_common_shingles_equal_set_intersections():
 @pytest.mark.parametrize("rounds", [2, 1])
 def test_near_copies_equal_brute_force(spark, monkeypatch, rounds):
     monkeypatch.setattr(nearcopy, "ROUNDS", rounds)
+    monkeypatch.setattr(nearcopy, "HOT", 2000 if rounds == 2 else 2)
+    monkeypatch.setattr(nearcopy, "ORDERED", 10_000 if rounds == 2 else 3)
     monkeypatch.setattr(nearcopy, "BLOCK", 20_000 if rounds == 2 else 500)  # few comparisons before, several blocks after
     rng = random.Random(3)
     rows = []
@@ -128,6 +130,28 @@ def test_near_copies_equal_brute_force(spark, monkeypatch, rounds):
     assert near_copies(df.limit(0)).count() == 0
 
 
+def test_a_band_value_that_unlike_texts_share_is_split(spark):
+    """20,000 nodes share one band value; 100 pairs of them share another: only these pairs are left to compare."""
+    n = 20_000
+    hot = spark.range(n).selectExpr("1L as k", "id as node", "200L as size", "id as c")
+    own = spark.range(n).selectExpr("id as node", "if(id < 200, 10 + id div 2, 1000000 + id) as k").unionByName(hot.select("node", "k"))
+    left = nearcopy.split_hot(hot, own)
+    assert left.count() == 200 and left.groupBy("k").count().agg({"count": "max"}).first()[0] == 2
+
+
+def test_near_copies_of_the_given_documents(spark):
+    """All pairs of the smallest table with a five-word similarity from 0.8 lie in one component."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r["text"] or "").lower().split()
+        sets[r["doc_id"]] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(docs).collect()}
+    ids = sorted(sets)
+    alike = [(a, b) for i, a in enumerate(ids) for b in ids[:i] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum(got[a] == got[b] for a, b in alike) >= 0.9 * len(alike)
+
+
 def test_top_inner_products_equal_brute_force(spark):
     rng = random.Random(4)
     vecs = [[round(rng.uniform(-1, 1), 2) * rng.choice([0.1, 1, 5]) for _ in range(6)] for _ in range(120)]
