@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import date as Date
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.calendar import check_range, parse_day
@@ -30,7 +30,7 @@ def day_views(warehouse: Warehouse, start: str | Date, end: str | Date) -> DataF
     parts = []
     for name, table in sections.items():
         rows = in_range(warehouse[table], first, last)
-        shown = [c for c in rows.columns if c not in ("user_id", "date", "fetched_at", "quality_flags")]
+        shown = [c for c in rows.columns if c not in ("user_id", "date", "month", "fetched_at", "quality_flags")]
         flags = F.coalesce("quality_flags", F.array().cast("array<string>")) if "quality_flags" in rows.columns else F.lit(None).cast("array<string>")
         parts.append(rows.select("user_id", "date", F.lit(name).alias("section"), F.to_json(F.struct(*shown)).alias("json"), flags.alias("flags"), F.lit(None).alias("activity")))
     kinds = ", ".join(f"{c}:{dict(warehouse['activities'].dtypes)[c]}" for c in ("start_ts", *IN_DAY))
@@ -82,29 +82,58 @@ def get_activity(warehouse: Warehouse, user_id: int, activity_id: int) -> DataFr
     return row
 
 
-def gaps(warehouse: Warehouse, start: str | Date, end: str | Date, tables: Sequence[str] = DAILY) -> DataFrame:
-    """(user_id, table, date) of days without a row; a row counts whatever its values.
+#: Days whose presence one number holds.
+BITS = 64
+
+
+def block_of(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / BITS)
+
 
-    Days present are gathered per (user, table), at most one entry per day of the range, and taken from the
-    calendar; users are those with a row in any of the tables.
+def present_days(warehouse: Warehouse, tables: Sequence[str], first: Date | None, last: Date) -> DataFrame:
+    """(user_id, held): of every user with any row a map from (table, block of days) to the bits of the days that have rows.
+
+    Tasks shrink their rows to one number per user, table and block before they move; days out of range leave the user alone.
     """
-    first, last = check_range(start, end)
     have = reduce(DataFrame.unionByName, [warehouse[t].select("user_id", F.lit(t).alias("table"), "date") for t in tables])
-    users = have.select("user_id").distinct()
-    present = in_range(have, first, last).groupBy("user_id", "table").agg(F.collect_set("date").alias("have"))
-    wanted = users.withColumn("table", F.explode(F.array(*map(F.lit, tables))))
-    missing = F.array_except(F.sequence(F.lit(first), F.lit(last)), F.coalesce("have", F.array().cast("array<date>")))
-    return wanted.join(present, ["user_id", "table"], "left").select("user_id", "table", F.explode(missing).alias("date"))
+    inside = F.col("date") <= F.lit(last)
+    inside = inside & (F.col("date") >= F.lit(first)) if first is not None else inside
+    own = lambda value, name: F.when(inside, value).alias(name)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.unix_date("date"), F.lit(BITS)))
+    blocks = have.groupBy("user_id", own(F.col("table"), "table"), own(block_of(F.col("date")), "block")).agg(F.bit_or(own(bit, "bits")).alias("bits"))
+    entry = F.when(F.col("block").isNotNull(), F.struct(F.struct("table", "block").alias("key"), F.col("bits").alias("value")))
+    return blocks.groupBy("user_id").agg(F.map_from_entries(F.collect_list(entry)).alias("held"))
+
+
+def missing_days(ranges: DataFrame, tables: Sequence[str]) -> DataFrame:
+    """(user_id, table, date) of the days from first to last that ``held`` (see present_days) lacks: no day is a row before this."""
+    number = lambda c: F.unix_date(c)
+    wanted = ranges.withColumn("table", F.explode(F.array(*map(F.lit, tables))))
+    bits = lambda b: F.coalesce(F.try_element_at("held", F.struct(F.col("table"), b.alias("block"))), F.lit(0).cast("long"))
+    blocks = F.transform(F.sequence(block_of(F.col("first")), block_of(F.col("last"))), lambda b: F.struct(b.alias("block"), bits(b).alias("bits")))
+
+    def lacking(b: Column) -> Column:
+        low, high = F.greatest(number("first"), b["block"] * BITS), F.least(number("last"), b["block"] * BITS + BITS - 1)
+        days = F.filter(F.sequence(low, high), lambda d: F.getbit(b["bits"], F.pmod(d, F.lit(BITS))) == 0)
+        return F.transform(days, lambda d: F.date_from_unix_date(d.cast("int")))
+
+    return wanted.select("user_id", "table", F.explode(F.flatten(F.transform(blocks, lacking))).alias("date"))
+
+
+def gaps(warehouse: Warehouse, start: str | Date, end: str | Date, tables: Sequence[str] = DAILY) -> DataFrame:
+    """(user_id, table, date) of days without a row; a row counts whatever its values. Users are those with a row in any of the tables."""
+    first, last = check_range(start, end)
+    held = present_days(warehouse, tables, first, last)
+    return missing_days(held.withColumns({"first": F.lit(first), "last": F.lit(last)}), tables)
 
 
 def gaps_by_user_range(warehouse: Warehouse, ledger: DataFrame, end: str | Date, tables: Sequence[str] = DAILY) -> DataFrame:
     """As gaps, but each user's range begins on the first day of their ledger."""
     last = parse_day(end, "end")
-    ranges = ledger.groupBy("user_id").agg(F.min("date").alias("first")).filter(F.col("first") <= F.lit(last))
-    days = ranges.select("user_id", F.explode(F.sequence("first", F.lit(last))).alias("date"))
-    wanted = days.withColumn("table", F.explode(F.array(*map(F.lit, tables))))
-    have = reduce(DataFrame.unionByName, [warehouse[t].select("user_id", F.lit(t).alias("table"), "date") for t in tables])
-    return wanted.join(have, ["user_id", "table", "date"], "left_anti").select("user_id", "table", "date")
+    ranges = ledger.groupBy("user_id").agg(F.min("date").alias("first")).filter(F.col("first") <= F.lit(last)).withColumn("last", F.lit(last))
+    none = F.map_from_entries(F.array().cast("array<struct<key:struct<table:string,block:bigint>,value:bigint>>"))
+    held = ranges.join(present_days(warehouse, tables, None, last), "user_id", "left")
+    return missing_days(held.withColumn("held", F.coalesce("held", none)), tables)
 
 
 __all__ = ["day_views", "gaps", "gaps_by_user_range", "get_activities", "get_activity", "list_activities"]

@@ -370,7 +370,7 @@ def ingested_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     root, rows = tables.scratch_folder(spark, "ingest"), payloads(spark, sf_dir)
     for turn in (0, 1):
         ingest.ingest_batch(rows.filter(F.col("user_id") % 2 == turn), root)
-    held = tables.read_tables(spark, f"{root}/tables")["activities"]
+    held = ingest.tables(spark, root)["activities"]
     return held.select("user_id", "activity_id", "date", clock("start_ts"), "name", "type", "duration_s", "distance_m", "avg_hr", half_even("avg_pace_s_per_km", 4).alias("pace"), "raw_path")
 
 

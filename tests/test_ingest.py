@@ -12,7 +12,11 @@ from pulsefleet.queries import typed
 from pulsefleet.sources import snapshots
 from pulsefleet.sources.schemas import DEVICE, RAW
 from pulsefleet.sources.tables import device_messages, read_tables, write_table
-from pulsefleet.streaming.ingest import index, ingest, ingest_batch, ledger
+from pulsefleet.sources import store as store_module
+from pulsefleet.sources.store import Batch, Store
+from pulsefleet.streaming.ingest import RAW_PARTS, index, ingest, ingest_batch, ledger
+from pulsefleet.streaming.ingest import raw as raw_of
+from pulsefleet.streaming.ingest import tables as warehouse_of
 
 D = date(2026, 6, 1)
 T = datetime(2026, 6, 2, 4)
@@ -242,7 +246,7 @@ def test_table_sink_replaces_touched_months_only(spark, tmp_path):
 
 
 def same_tables(spark, root, want):
-    got = read_tables(spark, f"{root}/tables")
+    got = warehouse_of(spark, root)
     for name, rows in want.items():
         columns = [c for c in rows.columns if c != "fetched_at"]
         assert sorted(map(str, got[name].select(*columns).collect())) == sorted(map(str, rows.select(*columns).collect())), name
@@ -259,7 +263,7 @@ def test_streaming_ingest_equals_rebuild_and_is_idempotent(spark, tmp_path):
     want = {("usersummary", "ok"), ("sleep", "ok"), ("hrv", "ok"), ("training_status", "ok"), ("activities", "ok")}
     assert {(r["endpoint"], r["status"]) for r in ledger(spark, root).collect()} == want
     assert {r["attempts"] for r in ledger(spark, root).collect()} == {1}
-    assert index(spark, root).count() == 7 == spark.read.parquet(f"{root}/raw").count()
+    assert index(spark, root).count() == 7 == raw_of(spark, root).count()
 
 
 @pytest.mark.parametrize("turn", [1, -1])
@@ -272,10 +276,10 @@ def test_activities_months_away_from_their_lists(spark, tmp_path, turn):
     for part in lists[::turn]:
         raw(spark, part).write.mode("append").parquet(incoming)
         ingest(spark, incoming, root, f"{tmp_path}/cp").awaitTermination()
-    held = read_tables(spark, f"{root}/tables")["activities"]
+    held = warehouse_of(spark, root)["activities"]
     assert sorted(r["activity_id"] for r in held.collect()) == [1, 2, 3]
     ingest(spark, incoming, root, f"{tmp_path}/cp2").awaitTermination()
-    stored = spark.read.schema(RAW).parquet(f"{root}/raw")
+    stored = raw_of(spark, root)
     same_tables(spark, root, {"activities": rebuild.rebuild(stored)["activities"]})
 
 
@@ -284,24 +288,72 @@ def test_forced_snapshots_move_an_activity(spark, tmp_path):
     ingest_batch(raw(spark, ("activities", [{"activityId": 1, "startTimeLocal": "2024-01-12 08:00:00"}], date(2024, 1, 13)), ("hrv", None, D)), root)
     later = raw(spark, ("activities", [{"activityId": 1, "startTimeLocal": "2024-03-02 08:00:00"}], date(2024, 1, 13)), ("hrv", HRV, D)).withColumn("fetched_at", F.timestamp_add("day", F.lit(1), "fetched_at"))
     ingest_batch(later, root)  # the path is taken
-    assert one(read_tables(spark, f"{root}/tables")["activities"])["date"] == date(2024, 1, 12)
+    assert one(warehouse_of(spark, root)["activities"])["date"] == date(2024, 1, 12)
     ingest_batch(later, root, force=True)
     ingest_batch(later, root, force=True)
-    assert one(read_tables(spark, f"{root}/tables")["activities"])["date"] == date(2024, 3, 2)
+    assert one(warehouse_of(spark, root)["activities"])["date"] == date(2024, 3, 2)
     states = {r["endpoint"]: (r["status"], r["attempts"], r["last_error"]) for r in ledger(spark, root).collect()}
     assert states == {"activities": ("ok", 2, None), "hrv": ("ok", 2, None)}
-    assert spark.read.parquet(f"{root}/raw").filter("endpoint = 'activities'").count() == 2
+    assert raw_of(spark, root).filter("endpoint = 'activities'").count() == 2
 
 
 def test_a_batch_reads_the_parts_it_touches(spark, tmp_path):
-    from pulsefleet.streaming.ingest import PARTS, stored, within
+    root = str(tmp_path)
+    ingest_batch(raw(spark, ("hrv", HRV), ("hrv", HRV, date(2026, 7, 1)), ("sleep", SLEEP)), root)
+    rows = Store(spark, root).read("raw", RAW_PARTS, ["endpoint=hrv/part=2026-06"])
+    assert len(rows.collect()) == 1 and len(rows.inputFiles()) == 1
+
 
+def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A batch that dies between tables leaves the old version readable; its replay publishes the new one."""
+    root = str(tmp_path)
+    ingest_batch(raw(spark, *ALL[:2]), root)
+    before = {t: rows.count() for t, rows in warehouse_of(spark, root).items()}
+    whole, done = Batch.replace, []
+
+    def dies(batch, dataset, *rest, **more):
+        whole(batch, dataset, *rest, **more)
+        done.append(dataset)
+        if len(done) == 3:
+            raise RuntimeError("lost")
+
+    monkeypatch.setattr(Batch, "replace", dies)
+    with pytest.raises(RuntimeError):
+        ingest_batch(raw(spark, *ALL[:5]), root)
+    assert {t: rows.count() for t, rows in warehouse_of(spark, root).items()} == before
+    assert raw_of(spark, root).count() == 2 == index(spark, root).count() == ledger(spark, root).count()
+    monkeypatch.setattr(Batch, "replace", whole)
+    ingest_batch(raw(spark, *ALL[:5]), root)
+    same_tables(spark, root, rebuild.rebuild(raw(spark, *ALL[:5])))
+    assert store_module.vacuum(spark, root, keep=1) > 0
+    same_tables(spark, root, rebuild.rebuild(raw(spark, *ALL[:5])))
+    assert ledger(spark, root).count() == 5
+
+
+def test_folders_of_a_place_stay_bounded_and_buckets_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MOST", 3)
+    monkeypatch.setattr(store_module, "BUCKETS", 1)
+    monkeypatch.setattr(store_module, "BUCKET_ROWS", 4)
+    root, turns = str(tmp_path), 5
+    for i in range(turns):
+        ingest_batch(raw(spark, ("activities", [{"activityId": i, "startTimeLocal": f"2024-01-{10 + i} 08:00:00"}], date(2024, 1, 10 + i))), root)
+        held = Store(spark, root)
+        assert max(len(parts) for d in ("raw", "index", "attempts", "places") for parts in held.places(d).values()) < 3
+    assert held.buckets("places") > 1 and held.buckets("raw") > 1 and held.buckets("index") == held.buckets("raw")
+    assert sorted(r["activity_id"] for r in warehouse_of(spark, root)["activities"].collect()) == list(range(turns))
+    assert raw_of(spark, root).count() == 2 * turns == index(spark, root).count()
+    ingest_batch(raw_of(spark, root), root)  # a replay after the buckets were cut anew
+    assert raw_of(spark, root).count() == 2 * turns
+
+
+def test_the_last_day_is_kept_beside_the_tables(spark, tmp_path):
     root = str(tmp_path)
     ingest_batch(raw(spark, ("hrv", HRV), ("hrv", HRV, date(2026, 7, 1)), ("sleep", SLEEP)), root)
-    rows = within(stored(spark, f"{root}/raw", RAW + ", part string"), PARTS, [("hrv", "2026-06")])
-    plan = rows._jdf.queryExecution().toString()
-    assert len(rows.collect()) == 1 and len(rows.inputFiles()) == 3
-    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+    last = {(r["table"], r["month"]): r["last"] for r in warehouse_of(spark, root)["latest"].collect()}
+    assert last == {("hrv", "2026-06"): D, ("hrv", "2026-07"): date(2026, 7, 1), ("sleep", "2026-06"): D, ("daily_wellness", "2026-06"): D}
+    gone = raw(spark, ("hrv", {}, date(2026, 7, 1))).withColumn("fetched_at", F.timestamp_add("day", F.lit(1), "fetched_at"))
+    ingest_batch(gone, root, force=True)
+    assert not warehouse_of(spark, root)["latest"].filter("table = 'hrv' and month = '2026-07'").count() or warehouse_of(spark, root)["hrv"].filter("month = '2026-07'").count()
 
 
 def test_a_bad_number_is_null_in_its_cell_only(spark):
