@@ -29,8 +29,8 @@ def in_range(df: DataFrame, start: Date | None, end: Date | None) -> DataFrame:
     return df
 
 
-def metric_values(warehouse: Warehouse, metrics: Sequence[Metric], start: Date | None = None, end: Date | None = None) -> DataFrame:
-    """(user_id, date, metric, value, category): one row per observation; nulls are none.
+def metric_values(warehouse: Warehouse, metrics: Sequence[Metric], start: Date | None = None, end: Date | None = None, months: Sequence[str] | None = None) -> DataFrame:
+    """(user_id, date, metric, value, category): one row per observation; nulls are none. ``months``: read no others, where the table is kept by month.
 
     Every source table is scanned once, with its needed columns only. Activities are added up per
     day first; a day without activities has no row.
@@ -39,6 +39,8 @@ def metric_values(warehouse: Warehouse, metrics: Sequence[Metric], start: Date |
     for table in dict.fromkeys(m.table for m in metrics):
         own = [m for m in metrics if m.table == table]
         rows = in_range(warehouse[table], start, end).filter(F.col("date").isNotNull())
+        if months is not None and "month" in rows.columns:
+            rows = rows.filter(F.col("month").isin(list(months)))
         if table == "activities":
             rows = rows.groupBy("user_id", "date").agg(*[m.expr().alias(m.name) for m in own])
         else:

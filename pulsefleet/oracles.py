@@ -231,12 +231,13 @@ def iso(sql: str, *days: str) -> str:
 DAYS_OF = {
     "baselines_latest": ("start", "end"),
     "baselines_fixed_end": ("start", "end"),
+    "stored_baselines": ("start", "end"),
     "streaks": ("start", "end"),
     "coverage": ("first_date", "last_date"),
     "default_ranges": ("start", "end", "long_start", "long_end"),
 } | {
     name: ("date",)
-    for name in "anomalies day_views list_activities_newest list_activities_filtered get_activities gaps gaps_default_range recent_errors errors_in_range ledger_fold sync_plan partial_upsert source_precedence import_report snapshot_index activity_fan_out parse_usersummary parse_sleep parse_hrv parse_training_status parse_activities device_decode device_rows device_sleep_rows device_hrv_rows device_import table_sink ingested_activities".split()
+    for name in "anomalies day_views list_activities_newest list_activities_filtered get_activities gaps gaps_default_range recent_errors errors_in_range ledger_fold sync_plan partial_upsert source_precedence import_report snapshot_index snapshot_files stored_import activity_fan_out parse_usersummary parse_sleep parse_hrv parse_training_status parse_activities device_decode device_rows device_sleep_rows device_hrv_rows device_import table_sink ingested_activities".split()
 }
 
 PLAIN = {
@@ -284,7 +285,7 @@ PLAIN = {
     "device_naps": f"with {DEVICE} select user_id, bundle, naps, nap_min, strftime(timestamp '1989-12-31' + to_seconds(v1 * 1000 + 60 * case when v1 % 2 = 0 then 60 else off end), '%Y-%m-%d %H:%M:%S') as first_start from naps join tot using (user_id, bundle)",
     "device_rows": f"with {DEVICE} select user_id, bundle, date, case when not far then rhr_on_device end as resting_hr, hr_min as min_hr, hr_max as max_hr, steps::int as steps, distance_m, stress_avg, skin_deviation_c as skin_temp_dev_c, 'fit' as source from dec where coalesce(case when not far then rhr_on_device end, hr_min, stress_avg, steps, skin_deviation_c) is not null and date is not null",
     "device_sleep_rows": f"with {DEVICE} select user_id, bundle, date, sleep_score as score, sleep_min::double as duration_min, deep_min, light_min, rem_min, awake_min, start_ts, end_ts, nap_min, case when far or sparse then {FLAGS} end as quality_flags, 'fit' as source from dec where date is not null and (coalesce(sleep_score, sleep_min, deep_min, nap_min) is not null or far or sparse)",
-    "device_hrv_rows": f"with {DEVICE} select user_id, bundle, date, last_night_avg, weekly_avg, null::int as high_5min, hrv_status as status, null::int as baseline_low, null::int as baseline_high, 'fit' as source from dec where hv is not null and date is not null",
+    "device_hrv_rows": f"with {DEVICE} select user_id, bundle, date, last_night_avg, weekly_avg, {whole("hv * 32 / 128")} as high_5min, hrv_status as status, {whole("(hv * 10 + 1) / 128")} as baseline_low, {whole("(hv * 20 + 3) / 128")} as baseline_high, 'fit' as source from dec where hv is not null and date is not null",
     "device_import": f"""with {DEVICE}, {SLEEP},
 f as (select user_id, date, bundle, sleep_score, sleep_min::double as duration_min, deep_min, nap_min from dec where date is not null and (coalesce(sleep_score, sleep_min, deep_min, nap_min) is not null or far or sparse)),
 c as (select user_id, ts::date as date, count(*)::int as deep_min from events where event_type = 'purchase' and user_id is not null group by all)
@@ -297,5 +298,10 @@ union all select user_id, date, sleep_score, duration_min, deep_min, nap_min, 'f
 }
 
 PLAIN["ingested_activities"] = PLAIN["parse_activities"]
+PLAIN["stored_baselines"] = PLAIN["baselines_latest"]
+PLAIN["stored_import"] = PLAIN["device_import"]
+PLAIN["snapshot_files"] = """with d as (select *, (date '2024-01-01' + (doc_id % 30)::int)::date as day from documents where text is not null)
+select doc_id % 7 as user_id, case when doc_id % 4 = 0 then 'activities/' || doc_id || '.json' else 'daily/2024/' || strftime(day, '%Y-%m-%d') || '/' || source || '-' || doc_id || '.json' end as path,
+case when doc_id % 4 <> 0 then day end as date, case when doc_id % 4 = 0 then 'activity' else source || '-' || doc_id end as endpoint, octet_length(encode(text))::bigint as bytes, sha256(text) as sha256 from d"""
 
 ORACLES = {name: iso(sql, *DAYS_OF[name]) if name in DAYS_OF else sql for name, sql in PLAIN.items()}

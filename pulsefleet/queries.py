@@ -14,7 +14,9 @@ from pulsefleet.functions.rounding import half_even
 from pulsefleet.operators import anomaly, baseline, correlate, device, ledger, merge, parse, readout, series, views
 from pulsefleet.plans import device_import as device_import_plan
 from pulsefleet.plans import rebuild
-from pulsefleet.sources import snapshots, tables
+from pulsefleet.sources import snapshots, store, tables
+from pulsefleet.sources import snapshot_files as snapshot_tree
+from pulsefleet.sources import warehouse as stored
 from pulsefleet.sources.schemas import columns
 from pulsefleet.streaming import ingest
 
@@ -95,7 +97,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     secs = F.unix_timestamp(F.col("ts").cast("timestamp"))
     u = F.when(name == "unknown_275", F.create_map(F.lit("unknown_253"), secs.cast("double"), F.lit("unknown_0"), (v % 5).cast("double")))
     u = u.when(name == "unknown_281", F.create_map(F.lit("unknown_9"), (v % 150).cast("double")))
-    u = u.when(name == "unknown_370", F.create_map(F.lit("unknown_0"), (v * 100).cast("double"), F.lit("unknown_1"), (v * 64).cast("double"), F.lit("unknown_6"), (v % 6).cast("double")))
+    u = u.when(name == "unknown_370", F.create_map(F.lit("unknown_0"), (v * 100).cast("double"), F.lit("unknown_1"), (v * 64).cast("double"), F.lit("unknown_2"), (v * 32).cast("double"), F.lit("unknown_4"), v * 10.0 + 1, F.lit("unknown_5"), v * 20.0 + 3, F.lit("unknown_6"), (v % 6).cast("double")))
     u = u.when(name == "unknown_398", F.create_map(F.lit("unknown_1"), v / 1000 - 0.25, F.lit("unknown_2"), v / 10000, F.lit("unknown_4"), 30 + v / 256))
     u = u.when(name == "unknown_412", F.create_map(F.lit("unknown_0"), (v * 1000).cast("double"), F.lit("unknown_2"), (v * 1000 + 1830).cast("double"), F.lit("unknown_1"), F.when(v % 2 == 0, 60.0)))
     u = u.when(name == "unknown_521", F.create_map(F.lit("unknown_1"), (v % 7).cast("double")))
@@ -374,6 +376,39 @@ def ingested_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("user_id", "activity_id", "date", clock("start_ts"), "name", "type", "duration_s", "distance_m", "avg_hr", half_even("avg_pace_s_per_km", 4).alias("pace"), "raw_path")
 
 
+def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as snapshot files (each user's daily ones and single activities), and the tree read by tasks."""
+    root, d = tables.scratch_folder(spark, "snapshots"), read(spark, sf_dir, "documents")
+    day, number = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 30).cast("int")), F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("activities/"), number, F.lit(".json"))).otherwise(snapshots.daily_path(day, F.concat("source", F.lit("-"), number)))
+    snapshot_tree.write_snapshot_tree(d.select((F.col("doc_id") % 7).alias("user_id"), path.alias("path"), F.col("text").alias("content")), root).write.parquet(f"{root}-log")
+    held = snapshot_tree.read_snapshot_tree(spark, root)
+    return snapshots.snapshot_index(held).select("user_id", "path", "date", "endpoint", "bytes", "sha256")
+
+
+def stored_warehouse(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The warehouse written to a store and read from it, with its months and last days."""
+    root = tables.scratch_folder(spark, "warehouse")
+    batch = store.Store(spark, root).begin()
+    stored.write_stored(batch, warehouse(spark, sf_dir))
+    batch.publish()
+    return stored.read_stored(store.Store(spark, root))
+
+
+def stored_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline.baselines(stored_warehouse(spark, sf_dir), VITALS, 14)
+
+
+def stored_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sleep table after an import of all bundles into a store that held the vendor's rows."""
+    root = tables.scratch_folder(spark, "import")
+    batch = store.Store(spark, root).begin()
+    stored.write_stored(batch, {"sleep": warehouse(spark, sf_dir)["sleep"]})
+    batch.publish()
+    device_import_plan.import_into(messages(spark, sf_dir), root)
+    return stored.read_stored(store.Store(spark, root))["sleep"].select("user_id", "date", "score", "duration_min", "deep_min", "nap_min", "source")
+
+
 def series_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's last three weeks, numbered in the order they are shown in."""
     weeks = series.query_metrics(wellness_activities(spark, sf_dir), TREND[:3], START, END, "weekly")
@@ -447,6 +482,9 @@ PLAIN = {
     "table_sink": table_sink,
     "device_source": device_source,
     "ingested_activities": ingested_activities,
+    "snapshot_files": snapshot_files,
+    "stored_baselines": stored_baselines,
+    "stored_import": stored_import,
     "series_in_order": series_in_order,
     "default_ranges": default_ranges,
 }
