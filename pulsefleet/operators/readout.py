@@ -37,10 +37,16 @@ def read_out(rows: DataFrame, kind: str, first: int | None = None, last: int | N
     return out if first is None else out.filter(F.col("position") <= first)
 
 
+def write_in_order(rows: DataFrame, kind: str, folder: str) -> None:
+    """Write a result so that its files, by name, and the rows in them stand in order: users are dealt to files by ranges."""
+    order = ["user_id", *(c for c in ORDERS[kind] if c in rows.columns)]
+    rows.repartitionByRange("user_id").sortWithinPartitions(*order).write.parquet(folder)
+
+
 def default_range(instant: Column, zone: str, days: int) -> Column:
     """(start, end) of the ``days`` days that end yesterday in a zone."""
     end = yesterday(instant, zone)
     return F.struct(trailing(end, days).alias("start"), end.alias("end"))
 
 
-__all__ = ["ORDERS", "default_range", "read_out"]
+__all__ = ["ORDERS", "default_range", "read_out", "write_in_order"]

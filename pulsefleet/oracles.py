@@ -237,7 +237,7 @@ DAYS_OF = {
     "default_ranges": ("start", "end", "long_start", "long_end"),
 } | {
     name: ("date",)
-    for name in "anomalies day_views list_activities_newest list_activities_filtered get_activities gaps gaps_default_range recent_errors errors_in_range ledger_fold sync_plan partial_upsert source_precedence import_report snapshot_index snapshot_files stored_import activity_fan_out parse_usersummary parse_sleep parse_hrv parse_training_status parse_activities device_decode device_rows device_sleep_rows device_hrv_rows device_import table_sink ingested_activities".split()
+    for name in "anomalies day_views list_activities_newest list_activities_filtered get_activities gaps gaps_in_order gaps_default_range recent_errors errors_in_range ledger_fold sync_plan partial_upsert source_precedence import_report snapshot_index snapshot_files stored_import activity_fan_out parse_usersummary parse_sleep parse_hrv parse_training_status parse_activities device_decode device_rows device_sleep_rows device_hrv_rows device_import table_sink ingested_activities".split()
 }
 
 PLAIN = {
@@ -299,6 +299,7 @@ union all select user_id, date, sleep_score, duration_min, deep_min, nap_min, 'f
 
 PLAIN["ingested_activities"] = PLAIN["parse_activities"]
 PLAIN["stored_baselines"] = PLAIN["baselines_latest"]
+PLAIN["gaps_in_order"] = f"""select *, row_number() over (partition by user_id order by "table", date) - 1 as rows_before from ({GAPS})"""
 PLAIN["stored_import"] = PLAIN["device_import"]
 PLAIN["snapshot_files"] = """with d as (select *, (date '2024-01-01' + (doc_id % 30)::int)::date as day from documents where text is not null)
 select doc_id % 7 as user_id, case when doc_id % 4 = 0 then 'activities/' || doc_id || '.json' else 'daily/2024/' || strftime(day, '%Y-%m-%d') || '/' || source || '-' || doc_id || '.json' end as path,

@@ -7,7 +7,7 @@ Binding: ``events`` of the types view, purchase and signup are the days of daily
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.rounding import half_even
@@ -415,6 +415,15 @@ def series_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readout.read_out(weeks, "series", last=3)
 
 
+def gaps_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap report written in order; every row with the number of rows before it in its user's part of the file."""
+    folder = tables.scratch_folder(spark, "report")
+    readout.write_in_order(gaps(spark, sf_dir), "gaps", folder)
+    held = spark.read.parquet(folder).select("*", F.col("_metadata.row_index").alias("at"))
+    first = Window.partitionBy("user_id")  # a user lies in one file
+    return held.select("user_id", "table", "date", (F.col("at") - F.min("at").over(first)).alias("rows_before"))
+
+
 def default_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per user, from the instant of the last event: yesterday in two zones and the ranges of a job that names none."""
     seen = read(spark, sf_dir, "events").filter("user_id is not null").groupBy("user_id").agg(F.max("ts").cast("timestamp").alias("now"))
@@ -486,6 +495,7 @@ PLAIN = {
     "stored_baselines": stored_baselines,
     "stored_import": stored_import,
     "series_in_order": series_in_order,
+    "gaps_in_order": gaps_in_order,
     "default_ranges": default_ranges,
 }
 
