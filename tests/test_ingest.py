@@ -334,7 +334,7 @@ def test_folders_of_a_place_stay_bounded_and_buckets_grow(spark, tmp_path, monke
     monkeypatch.setattr(store_module, "MOST", 3)
     monkeypatch.setattr(store_module, "BUCKETS", 1)
     monkeypatch.setattr(store_module, "BUCKET_ROWS", 4)
-    root, turns = str(tmp_path), 5
+    root, turns = str(tmp_path), 4
     for i in range(turns):
         ingest_batch(raw(spark, ("activities", [{"activityId": i, "startTimeLocal": f"2024-01-{10 + i} 08:00:00"}], date(2024, 1, 10 + i))), root)
         held = Store(spark, root)

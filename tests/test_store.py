@@ -5,6 +5,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from pulsefleet.functions.bloom import filters_of, maybe_held
 from pulsefleet.operators import baseline, device, readout, views
 from pulsefleet.operators.parse import ROUTES, gives_rows, parse_once
 from pulsefleet.plans import device_import
@@ -99,3 +100,13 @@ def test_the_ledger_sees_rows_where_the_parsers_give_them(spark):
         told = {r["path"] for r in parse_once(rows).filter(gives_rows(endpoint)).collect()}
         made = {r["path"] for r in ROUTES[endpoint][0][1](rows, ("path",)).select("path").collect()}
         assert told == made, endpoint
+
+
+def test_filters_tell_new_paths_from_known_ones(spark):
+    held = spark.range(20_000).selectExpr("'hrv' as endpoint", "concat('m', id % 3) as part", "id % 50 as user_id", "concat('p', id) as path")
+    more = spark.range(15_000, 40_000).selectExpr("'hrv' as endpoint", "concat('m', id % 3) as part", "id % 50 as user_id", "concat('p', id) as path", "id", "'x' as block")
+    place, keys = ["endpoint", "part"], ["user_id", "path"]
+    filters = filters_of(held.filter("user_id < 25"), place, keys).unionByName(filters_of(held.filter("user_id >= 25"), place, keys))
+    got = maybe_held(more.drop("block"), filters, place, keys)
+    assert got.filter("id < 20000 and not maybe").count() == 0 and got.filter("id >= 20000 and maybe").count() < 200
+    assert got.count() == 25_000 and maybe_held(more.drop("block"), filters.limit(0), place, keys).filter("maybe").count() == 0
