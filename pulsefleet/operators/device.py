@@ -132,6 +132,7 @@ def decode_bundles(messages: DataFrame) -> DataFrame:
     heat = lambda n: F.try_element_at("skin", F.lit(f"unknown_{n}"))
     status = part(6)
     joined = summary(messages).join(stages(messages), KEY, "left").join(naps(messages), KEY, "left")
+    joined = joined.withColumns({f"heat_{n}": heat(n) for n in (1, 2, 4)})  # looked up once each, however often rounding asks
     out = joined.select(
         *KEY, "hr_min", "hr_avg", "hr_max", "hr_samples", "steps", "distance_m", "stress_avg", "stress_max",
         F.when(asleep, local("sleep_start")).alias("sleep_start"),
@@ -144,9 +145,9 @@ def decode_bundles(messages: DataFrame) -> DataFrame:
         F.coalesce(lookup(status.try_cast("int"), HRV_STATUS), status.try_cast("bigint").cast("string")).alias("hrv_status"),
         whole(part(4) / 128).alias("baseline_low"),
         whole(part(5) / 128).alias("baseline_high"),
-        half_even(heat(4), 1).alias("skin_nightly_c"),
-        half_even(heat(1), 2).alias("skin_deviation_c"),
-        half_even(heat(2), 3).alias("skin_avg_dev_7d"),
+        half_even("heat_4", 1).alias("skin_nightly_c"),
+        half_even("heat_1", 2).alias("skin_deviation_c"),
+        half_even("heat_2", 3).alias("skin_avg_dev_7d"),
         "rhr_on_device",
         local_naps("recorded", "offset_min").alias("naps"),
         "nap_min",
