@@ -333,7 +333,7 @@ def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
 def test_folders_of_a_place_stay_bounded_and_buckets_grow(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store_module, "MOST", 3)
     monkeypatch.setattr(store_module, "BUCKETS", 1)
-    monkeypatch.setattr(store_module, "BUCKET_ROWS", 4)
+    monkeypatch.setattr(store_module, "BUCKET_ROWS", 3)
     root, turns = str(tmp_path), 4
     for i in range(turns):
         ingest_batch(raw(spark, ("activities", [{"activityId": i, "startTimeLocal": f"2024-01-{10 + i} 08:00:00"}], date(2024, 1, 10 + i))), root)
