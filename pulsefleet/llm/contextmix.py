@@ -32,11 +32,8 @@ stays in one task (some 100 bytes a token); extra columns are ignored; an empty
 from __future__ import annotations
 
 import math
-import re
 import struct
 import zlib
-from array import array
-from collections import Counter
 from collections.abc import Callable, Iterator
 from copy import copy
 from itertools import groupby
@@ -51,15 +48,21 @@ from .common import discard, file_system, materialize, partitions
 
 CLASSES = 16
 CHUNK_TOKENS, CHUNK_BYTES = 1_000_000, 1 << 26
+#: Bytes of text that are split into words at once, whole texts.
+STEP_BYTES = 1 << 18
 #: Tokens that are scored at once, whole texts.
 GROUP_TOKENS = 100_000
-BEYOND_ASCII = re.compile("[^\x00-\x7f]")
 U = np.uint64
 #: Odd multipliers of the hashes.
 M1, M2, M3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
 #: The "word" before a text's first.
 START = U(0x5851F42D4C957F2D)
 END = b"\n"
+#: Stands behind a text while its words are looked for; no UTF-8 text holds its middle byte.
+MARK = b" \xff "
+WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: A bucket takes no more than these chunks' worth of words and pairs, however many chunks there are.
+BUCKET_CHUNKS = 16
 #: Bits of a key that are sent, after those of its bucket.
 KEY_BITS = 40
 #: What this text has said counts so much against the training texts.
@@ -82,14 +85,8 @@ LN10 = np.float32(math.log(10))
 def text_class(text: str) -> int:
     if text.isascii():
         return 0
-    found = Counter(BEYOND_ASCII.findall(text))
-    return 1 + ord(min(found, key=lambda c: (-found[c], c))) % (CLASSES - 1)
-
-
-def tokens_of(text: str) -> list[bytes]:
-    words = text.encode().lower().split()
-    words.append(END)
-    return words
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return 1 + int(np.bincount(codes[codes > 127]).argmax()) % (CLASSES - 1)
 
 
 def held_out(key: object, mod: int) -> bool:
@@ -180,17 +177,23 @@ def vector_sum(df: DataFrame, make: Callable[[Iterator[dict]], np.ndarray], leng
 # --- chunks of texts ----------------------------------------------------------------------------
 
 
-class Numbering(dict):
-    """Numbers for new keys, appended to a shared list."""
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all lower-cased words and each text's end, their lengths, tokens per text)."""
+    raw = np.frombuffer(b"".join([t + MARK for t in texts]).lower(), np.uint8)
+    space = WHITE[raw]
+    edge = np.flatnonzero(np.diff(space, prepend=True))  # a word's first byte, then the white space behind it
+    starts, ends = edge[::2], edge[1::2]
+    stops = np.flatnonzero(raw[starts] == MARK[1])
+    joined = raw[~space]
+    joined[joined == MARK[1]] = END[0]
+    return joined, ends - starts, np.diff(stops, prepend=-1)
 
-    def __init__(self, all_: list, tag: object):
-        super().__init__()
-        self.all, self.tag = all_, tag
 
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self.all)
-        self.all.append((key, self.tag))
-        return n
+def numbered(joined: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Each word's number and the distinct words, by number."""
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(joined)]).dictionary_encode()
+    return words.indices.to_numpy(), words.dictionary.to_pylist()
 
 
 def chunks(docs: DataFrame, mod: int) -> DataFrame:
@@ -201,48 +204,48 @@ def chunks(docs: DataFrame, mod: int) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
-        part, nth = TaskContext.get().partitionId(), 0
-        words: list[tuple[bytes, int]] = []
-        numbers = [Numbering(words, k) for k in range(CLASSES)]
-        tok, own, keys, size = array("i"), [], [], 0
+        part, nth, held, tokens, size = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal nth, tok, size
-            hashes = np.array([xxhash.xxh64_intdigest(w) for w, _ in words], np.uint64)
-            classes = np.array([k for _, k in words], np.uint8)
-            order = np.lexsort((classes, hashes))
-            rank = np.empty(len(order), np.int32)
-            rank[order] = np.arange(len(order), dtype=np.int32)
-            ordered = [words[i][0] for i in order]
-            sizes, n_bytes, cls, held = (np.array(x, k) for x, k in zip(zip(*own, strict=True), (np.int64, np.int64, np.uint8, np.uint8), strict=True))
+            nonlocal nth, held, tokens, size
+            keys, joined, lengths, sizes, n_bytes, cls, out = zip(*held, strict=True)
+            sizes, n_bytes, cls, out = (np.concatenate(x) for x in (sizes, n_bytes, cls, out))
+            word, words = numbered(np.concatenate(joined), np.concatenate(lengths))
+            present, own = np.unique(cls, return_inverse=True)
+            pair = word.astype(np.int64) * len(present) + np.repeat(own, sizes)
+            rank = np.zeros(len(words) * len(present), np.int32)
+            rank[pair] = 1
+            found = np.flatnonzero(rank)
+            hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+            found = found[np.lexsort((found % len(present), hashes[found // len(present)]))]
+            rank[found] = np.arange(len(found), dtype=np.int32)
+            ordered = [words[i] for i in (found // len(present)).tolist()]
             row = {
                 "chunk": pa.array([part << 32 | nth], pa.int64()),
-                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.concat_arrays(keys)),
-                "texts": pa.array([pack(sizes, n_bytes, cls, held)], pa.binary()),
-                "tok": pa.array([pack(planes(rank[np.frombuffer(tok, np.int32)]))], pa.binary()),
-                "vocab": pa.array([pack(b"".join(ordered), np.array(list(map(len, ordered)), np.int32), classes[order])], pa.binary()),
+                "doc_ids": pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(keys)),
+                "texts": pa.array([pack(sizes, n_bytes, cls, out)], pa.binary()),
+                "tok": pa.array([pack(planes(rank[pair]))], pa.binary()),
+                "vocab": pa.array([pack(b"".join(ordered), np.array(list(map(len, ordered)), np.int32), present[found % len(present)])], pa.binary()),
             }
-            words.clear()
-            own.clear()
-            keys.clear()
-            for d in numbers:
-                d.clear()
-            nth, tok, size = nth + 1, array("i"), 0
+            nth, held, tokens, size = nth + 1, [], 0, 0
             return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
         for batch in batches:
-            texts, first = batch.column(1).to_pylist(), 0
-            for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), texts, strict=True)):
-                cls, found = text_class(text), tokens_of(text)
-                tok.extend(map(numbers[cls].__getitem__, found))
-                own.append((len(found), len(text.encode()), cls, held_out(key, mod)))
-                size += own[-1][1]
-                if len(tok) >= CHUNK_TOKENS or size >= CHUNK_BYTES or i == len(texts) - 1:
-                    keys.append(batch.column(0)[first : i + 1])
-                    first = i + 1
-                if len(tok) >= CHUNK_TOKENS or size >= CHUNK_BYTES:
-                    yield flush()
-        if own:
+            ids, texts, first, step, some = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, [], 0
+            for i, text in enumerate(texts):
+                step.append(text.encode())
+                some += len(step[-1])
+                if some >= STEP_BYTES or i == len(texts) - 1:
+                    now = slice(first, i + 1)
+                    joined, lengths, sizes = words_of(step)
+                    cls = np.array(list(map(text_class, texts[now])), np.uint8)
+                    out = np.array([held_out(key, mod) for key in ids[now]], np.uint8)
+                    held.append((batch.column(0)[now], joined, lengths, sizes, np.array(list(map(len, step)), np.int64), cls, out))
+                    tokens, size = tokens + len(lengths), size + some
+                    first, step, some = i + 1, [], 0
+                    if tokens >= CHUNK_TOKENS or size >= CHUNK_BYTES:
+                        yield flush()
+        if held:
             yield flush()
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"chunk long, doc_ids array<{kind}>, texts binary, tok binary, vocab binary")
@@ -384,23 +387,16 @@ def word_types(requests: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, own in by_bucket(batches):
-            words: list[tuple[bytes, None]] = []
-            number, at, classes, counts, sizes = Numbering(words, None), [], [], [], []
-            for _, data in own:
-                joined, lengths, cls, n = unpack(data, bytes, np.int32, np.uint8, np.int64)
-                ends = np.cumsum(lengths, dtype=np.int64)
-                at.append(np.array([number[joined[e - k : e]] for e, k in zip(ends.tolist(), lengths.tolist(), strict=True)], np.int32))
-                classes.append(cls)
-                counts.append(n)
-                sizes.append(len(n))
-            at, classes, counts = np.concatenate(at), np.concatenate(classes).astype(np.int64), np.concatenate(counts)
+            joined, lengths, classes, counts = zip(*(unpack(data, bytes, np.int32, np.uint8, np.int64) for _, data in own), strict=True)
+            sizes = list(map(len, lengths))
+            at, words = numbered(np.frombuffer(b"".join(joined), np.uint8), np.concatenate(lengths))
+            classes, counts = np.concatenate(classes).astype(np.int64), np.concatenate(counts)
             total = np.bincount(at, weights=counts, minlength=len(words)).astype(np.int64)
             per_class = np.zeros(len(words) * CLASSES, np.int64)
             np.add.at(per_class, at.astype(np.int64) * CLASSES + classes, counts)
-            ends = per_class.reshape(-1, CLASSES)[number[END]].tolist() if END in number else [0] * CLASSES
-            flat = [w for w, _ in words]
+            ends = per_class.reshape(-1, CLASSES)[words.index(END)].tolist() if END in words else [0] * CLASSES
             asked = pack(np.array([c for c, _ in own], np.int64), np.array(sizes, np.int64), at, per_class[at.astype(np.int64) * CLASSES + classes])
-            yield batch_of([(bucket, pack(b"".join(flat), np.array(list(map(len, flat)), np.int32), total), asked, int(total.sum()), int((total > 0).sum()), np.bincount(classes, weights=counts, minlength=CLASSES).astype(np.int64).tolist(), ends)], TYPES)
+            yield batch_of([(bucket, pack(b"".join(words), np.array(list(map(len, words)), np.int32), total), asked, int(total.sum()), int((total > 0).sum()), np.bincount(classes, weights=counts, minlength=CLASSES).astype(np.int64).tolist(), ends)], TYPES)
 
     return dealt(requests).mapInArrow(run, TYPES)
 
@@ -808,8 +804,8 @@ def class_shares(totals: dict) -> np.ndarray:
 def prepared(rows: DataFrame, mod: int) -> tuple[DataFrame, dict, tuple]:
     """Chunks with their counts, totals over the training texts, and the spelling model."""
     spark = rows.sparkSession
-    bits = max(4, (4 * partitions(spark) - 1).bit_length())
     chunk_rows = materialize(chunks(rows, mod), "lm-chunks", rows_per_file=1)
+    bits = max(4, (4 * partitions(spark) - 1).bit_length(), (chunk_rows.count() // BUCKET_CHUNKS).bit_length())
     types = materialize(word_types(asked_words(chunk_rows, bits)), "lm-types")
     sums = [F.sum("n"), F.sum("v"), *(F.sum(F.get(c, F.lit(k))) for c in ("of_class", "ends") for k in range(CLASSES))]
     got = [int(x or 0) for x in types.agg(*sums).first()]
