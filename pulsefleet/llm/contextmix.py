@@ -123,13 +123,15 @@ def unpack(blob: bytes, *kinds: object) -> list:
     return out
 
 
-def planes(x: np.ndarray) -> bytes:
-    """32-bit numbers, byte planes apart: the high ones are mostly zero."""
-    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def planes(x: np.ndarray, kind: str = "<i4") -> bytes:
+    """Whole numbers, byte planes apart: the high ones are mostly zero."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(x.astype(kind).view(np.uint8).reshape(-1, size).T).tobytes()
 
 
-def from_planes(raw: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+def from_planes(raw: np.ndarray, kind: str = "<i4") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
 def word_hashes(joined: bytes, lengths: np.ndarray) -> np.ndarray:
@@ -414,7 +416,7 @@ def pair_answers(requests: DataFrame) -> DataFrame:
             total = np.empty(len(keys), np.int64)
             total[order] = np.repeat(sums, np.diff(np.r_[heads, len(keys)]))
             ends = np.cumsum([len(x) for _, x in parts])
-            yield batch_of([(chunk, 2, bucket, pack(total[e - len(x) : e])) for (chunk, _), (_, x), e in zip(own, parts, ends, strict=True)], ANSWER)
+            yield batch_of([(chunk, 2, bucket, pack(planes(total[e - len(x) : e], "<i8"))) for (chunk, _), (_, x), e in zip(own, parts, ends, strict=True)], ANSWER)
 
     return dealt(requests).mapInArrow(run, ANSWER)
 
@@ -482,16 +484,17 @@ def spell_inputs(y: np.ndarray, at: np.ndarray, pos: np.ndarray, odds: np.ndarra
     gate = np.minimum(pos, 3).astype(np.int16) * np.int16(ORDERS + 1)
     variant = np.where(leave, np.where(y, np.int32(1), np.int32(2)), np.int32(0)) * np.int32(ORDERS * SPELL_SLOTS)
     for k in range(ORDERS):
-        x[k] = odds[at[k] + variant]
+        np.take(odds, at[k] + variant, out=x[k], mode="clip")
         gate += x[k] != 0
     return x, gate
 
 
 def mix_of(w: np.ndarray, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Weighted sum of the inputs, weights picked by the gate."""
-    out = w[:, 0][gate] * x[0]
+    columns, gate = np.ascontiguousarray(w.T), gate.astype(np.intp, copy=False)
+    out = np.take(columns[0], gate, mode="clip") * x[0]
     for k in range(1, len(x)):
-        out += w[:, k][gate] * x[k]
+        out += np.take(columns[k], gate, mode="clip") * x[k]
     return out
 
 
@@ -537,12 +540,13 @@ def learned_spelling(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield Spelled(closed)
 
     def count(rows: Iterator[dict]) -> np.ndarray:
-        out = np.zeros((2, ORDERS * SPELL_SLOTS))
+        out = np.zeros((ORDERS * SPELL_SLOTS, 2))
         for s in trained(rows):
-            for y, at in s.bits():
-                np.add.at(out[1], at[:, y].ravel(), 1.0)
-                np.add.at(out[0], at[:, ~y].ravel(), 1.0)
-        return out.ravel()
+            seen = np.concatenate([at * 2 + y for y, at in s.bits()], axis=1)
+            for k, own in enumerate(seen):  # an order's slots lie together
+                slots = slice(k * SPELL_SLOTS, (k + 1) * SPELL_SLOTS)
+                out[slots] += np.bincount(own - 2 * slots.start, minlength=2 * SPELL_SLOTS).reshape(-1, 2)
+        return out.T.ravel()
 
     spark = types.sparkSession
     words = types.select("words")
@@ -624,11 +628,11 @@ def counted(chunk_rows: DataFrame, answers: DataFrame) -> DataFrame:
             n, of_class, cost = (np.concatenate(x) for x in zip(*(unpack(d, np.int64, np.int64, np.float32) for d in parts[1]), strict=True))
             hashes = word_hashes(*unpack(head["vocab"], bytes, np.int32, np.uint8)[:2])
             order, heads, own_pair, earlier = occurrences(texts.pair_keys(hashes), texts.text)
-            total = np.concatenate([unpack(d, np.int64)[0] for d in parts[2]])
+            total = np.concatenate([from_planes(unpack(d, np.uint8)[0], "<i8") for d in parts[2]])
             pair = np.empty(len(order), np.int64)
             pair[order] = np.repeat(total, np.diff(np.r_[heads, len(order)]))
             _, _, own_word, earlier_word = occurrences(texts.tok, texts.text)
-            columns = [stored["doc_ids"].combine_chunks()[at : at + 1], pa.array([head["texts"]], pa.binary()), pa.array([head["tok"]], pa.binary()), pa.array([pack(n, of_class, cost, (hashes >> U(52)).astype(np.uint16))], pa.binary()), pa.array([pack(pair, own_pair, earlier, planes(own_word), planes(earlier_word))], pa.binary())]
+            columns = [stored["doc_ids"].combine_chunks()[at : at + 1], pa.array([head["texts"]], pa.binary()), pa.array([head["tok"]], pa.binary()), pa.array([pack(n, of_class, cost, (hashes >> U(52)).astype(np.uint16))], pa.binary()), pa.array([pack(planes(pair, "<i8"), *map(planes, (own_pair, earlier, own_word, earlier_word)))], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_ids", "texts", "tok", "words", "pairs"])
 
     return ordered.mapInArrow(run, f"doc_ids {doc_ids}, texts binary, tok binary, words binary, pairs binary")
@@ -649,9 +653,10 @@ class Shares:
     def __init__(self, t: Texts, words: list[np.ndarray], pairs: list[np.ndarray], totals: dict):
         self.texts = t
         n, of_class, cost, prefix = words
+        tok = t.tok.astype(np.intp)
         pair, own_pair, earlier_pair, own, earlier = pairs
-        self.n = n[t.tok]
-        leave = t.train
+        self.n = n[tok]
+        self.train = leave = t.train
         size = np.where(t.held == 0, t.sizes, 0)[t.text]
         mine = leave * own
         texts_before = totals["ends"].sum() - leave
@@ -661,11 +666,11 @@ class Shares:
             shares = [
                 (pair - leave * own_pair + RECENT * earlier_pair) / seen,
                 earlier / t.place,
-                (of_class[t.tok] - mine) / (totals["of_class"][t.cls[t.text]] - size),
+                (of_class[tok] - mine) / (totals["of_class"][t.cls[t.text]] - size),
                 (self.n - mine) / (totals["n"] - size),
             ]
-        self.p = np.nan_to_num(np.array(shares, np.float32), nan=0, posinf=0, neginf=0)
-        self.spelled = cost[t.tok]
+        self.p = np.nan_to_num(np.array(shares, np.float32), copy=False, nan=0, posinf=0, neginf=0)
+        self.spelled = cost[tok]
         # Which tokens the word before foretold better than their class: known once the token is.
         hit = (self.p[0] > np.maximum(self.p[2], self.p[3])).astype(np.int64)
         last = hit
@@ -677,7 +682,14 @@ class Shares:
         run = done - done[np.maximum(np.arange(len(hit)) - RUN, np.repeat(t.starts, t.sizes))]
         known, place = level(seen), level(t.place)
         self.known = known
-        self.slots = [known * 8 + pattern, t.before(prefix[t.tok], 0).astype(np.int64), run * CLASSES + t.cls[t.text], place * 16 + known]
+        self.slots = [known * 8 + pattern, t.before(prefix[tok], 0).astype(np.int64), run * CLASSES + t.cls[t.text], place * 16 + known]
+
+    def by_gate(self) -> Shares:
+        """The same tokens in order of their gates, as far as the flags are fitted."""
+        order, own = np.argsort(self.known.astype(np.uint8), kind="stable"), copy(self)
+        own.p, own.spelled, own.train, own.known = np.take(self.p, order, axis=1), self.spelled[order], self.train[order], self.known[order]
+        own.slots = [at[order] for at in self.slots]
+        return own
 
     def weights(self, q: np.ndarray) -> np.ndarray:
         """How much each way counts, from the flags' probabilities."""
@@ -711,8 +723,8 @@ def shares_of(rows: Iterator[dict], totals: dict) -> Iterator[Shares]:
     """The shares of chunks' tokens, a group of texts at a time."""
     for row in rows:
         words = unpack(row["words"], np.int64, np.int64, np.float32, np.uint16)
-        pairs = unpack(row["pairs"], np.int64, np.int32, np.int32, np.uint8, np.uint8)
-        pairs[3:] = map(from_planes, pairs[3:])
+        pairs = unpack(row["pairs"], *[np.uint8] * 5)
+        pairs = [from_planes(pairs[0], "<i8"), *map(from_planes, pairs[1:])]
         for texts, at in Texts(row).groups():
             yield Shares(texts, words, [x[at] for x in pairs], totals)
 
@@ -722,26 +734,27 @@ N_SLOTS = int(OFFSETS[-1])
 N_INPUTS = len(FLAG_SLOTS) + 1
 
 
-def flag_inputs(shares: Shares, odds: np.ndarray, flag: int) -> np.ndarray:
-    x = np.full((N_INPUTS, len(shares.n)), 0.3, np.float32)
+def flag_inputs(shares: Shares, odds: np.ndarray) -> np.ndarray:
+    """Every flag's inputs: the log-odds of its contexts and a constant."""
+    x = np.full((FLAGS, N_INPUTS, len(shares.spelled)), 0.3, np.float32)
     for k, at in enumerate(shares.slots):
-        x[k] = odds[flag, OFFSETS[k] + at]
+        for flag in range(FLAGS):
+            np.take(odds[flag, OFFSETS[k] : OFFSETS[k + 1]], at, out=x[flag, k], mode="clip")
     return x
 
 
 def refine_at(mix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = (np.clip(mix, -7.999, 7.999) + 8) * np.float32((REFINE - 1) / 16)
     low = at.astype(np.int32)
-    return low, at - low
+    return low.astype(np.intp), at - low
 
 
 def flag_probabilities(shares: Shares, odds: np.ndarray, w: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The mix by the gates' weights, averaged with what happened where the plain mean of the inputs was alike."""
     out = np.empty((FLAGS, len(shares.n)), np.float32)
-    for flag in range(FLAGS):
-        x = flag_inputs(shares, odds, flag)
+    for flag, x in enumerate(flag_inputs(shares, odds)):
         low, part = refine_at(x[:-1].mean(axis=0))
-        p = 0.5 * squash(mix_of(w[flag], shares.known, x)) + 0.5 * (table[flag, low] * (1 - part) + table[flag, low + 1] * part)
+        p = 0.5 * squash(mix_of(w[flag], shares.known, x)) + 0.5 * (np.take(table[flag], low, mode="clip") * (1 - part) + np.take(table[flag], low + 1, mode="clip") * part)
         out[flag] = np.clip(p, 1e-5, 1 - 1e-5)
     return out
 
@@ -753,10 +766,10 @@ def learned_flags(ready: DataFrame, totals: dict) -> tuple[np.ndarray, np.ndarra
     def tallies(rows: Iterator[dict]) -> np.ndarray:
         out = np.zeros((2, FLAGS, N_SLOTS))
         for s in shares_of(rows, totals):
-            r = s.parts(np.repeat(first, len(s.n), axis=1)) * s.texts.train
+            r = s.parts(np.repeat(first, len(s.n), axis=1)) * s.train
             for k, at in enumerate(s.slots):
                 own = slice(OFFSETS[k], OFFSETS[k + 1])
-                later = np.bincount(at, weights=s.texts.train, minlength=FLAG_SLOTS[k])
+                later = np.bincount(at, weights=s.train, minlength=FLAG_SLOTS[k])
                 for flag in range(FLAGS):
                     ones = np.bincount(at, weights=r[flag], minlength=FLAG_SLOTS[k])
                     later = later - ones
@@ -773,19 +786,18 @@ def learned_flags(ready: DataFrame, totals: dict) -> tuple[np.ndarray, np.ndarra
 
     def fit(rows: Iterator[dict]) -> np.ndarray:
         out = np.zeros((FLAGS, n_fit + 2 * REFINE))
-        for s in shares_of(rows, totals):
-            order = np.argsort(s.known.astype(np.uint8), kind="stable")
-            inputs = [flag_inputs(s, odds, flag) for flag in range(FLAGS)]
-            means = [x[:-1].mean(axis=0) for x in inputs]
-            q = np.clip(squash(np.array(means)), 1e-5, 1 - 1e-5)
-            r = s.parts(q) * s.texts.train
-            left, known = r.sum(axis=0), s.known[order]
+        for s in (x.by_gate() for x in shares_of(rows, totals)):
+            inputs = flag_inputs(s, odds)
+            means = inputs[:, :-1].mean(axis=1)
+            q = np.clip(squash(means), 1e-5, 1 - 1e-5)
+            r = s.parts(q) * s.train
+            left = r.sum(axis=0)
             for flag in range(FLAGS):
                 near = np.rint((np.clip(means[flag], -8, 8) + 8) * ((REFINE - 1) / 16)).astype(np.int64)
                 out[flag, n_fit : n_fit + REFINE] += np.bincount(near, weights=left, minlength=REFINE)
                 out[flag, n_fit + REFINE :] += np.bincount(near, weights=r[flag], minlength=REFINE)
                 miss = r[flag] - left * q[flag]
-                out[flag, :n_fit] += sorted_sums(inputs[flag][:, order], known, miss[order], (left * q[flag] * (1 - q[flag]))[order], 16)
+                out[flag, :n_fit] += sorted_sums(inputs[flag], s.known, miss, left * q[flag] * (1 - q[flag]), 16)
                 left = left - r[flag]
         return out.ravel()
 
