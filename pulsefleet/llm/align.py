@@ -35,7 +35,7 @@ from .common import materialize
 CHUNK, STEP = 2_000_000, 1 << 19
 #: Pairs of ids that are spread at once.
 SPREAD = 1 << 20
-CACHE_ROWS = 200_000
+CACHE_ROWS = 400_000
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 OUT = ", ".join(f"{c} string" if c == "groups_sha256" else f"{c} long" for c in COLUMNS)
 
@@ -67,6 +67,12 @@ class Pieces:
             return b"".join(map(self.cache.young.__getitem__, keys))
         except (KeyError, TypeError):
             pass
+        for key in set(keys).difference(self.cache.young):
+            self.cache.get(key, self.word)
+        try:
+            return b"".join(map(self.cache.young.__getitem__, keys))
+        except (KeyError, TypeError):  # the cache's halves changed meanwhile, or a word does not stand alone
+            pass
         got = [self.cache.get(key, self.word) for key in keys]
         return self.encoded(text) if None in got else b"".join(got)
 
