@@ -12,7 +12,8 @@ in blocks: a band value's nodes, ordered by component, are cut into blocks of up
 that do not lie in one component together meet, and a task counts the common shingles of two blocks by matrix products.
 So no pair of different components goes unseen, and pairs are rows only where they are similar. A band value that more
 than HOT different components still share (texts with a common passage, say) is split first: its nodes meet only
-where they share another band value too. A pair of similarity 0.8 that shares this value shares no other once in 6,700 times.
+where they share one of their rarest shingles. Of a set of n these are n - ceil(0.8 n) + 1: two sets that are similar
+enough have too much in common to differ in all of them, so the split loses no pair.
 
 Edge cases: null and empty texts are copies of each other; a text of fewer words than a shingle is one
 shingle; documents without a key are left out; repeated keys with different texts share a node; extra
@@ -141,16 +142,42 @@ def apart(at: DataFrame) -> DataFrame:
     return at.join(ends.select("k", "n", "groups"), "k")
 
 
+def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, k): each set's rarest shingles k, so many that sets which are similar enough share one; without those of one set only.
+
+    Similar sets have ceil(similarity * n) shingles in common, n being the size of either. If all sets put their
+    shingles in one order, the first n - ceil(similarity * n) + 1 of both can't all be different.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                own = part.column(1).to_pylist()
+                n = np.array([len(x) // 8 for x in own])
+                columns = (np.repeat(part.column(0).to_numpy(), n), np.repeat(n, n), np.frombuffer(b"".join(own), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["node", "n", "k"])
+
+    each = sets.select("node", "own").mapInArrow(run, "node long, n long, k long")
+    often = each.groupBy("k").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
+    # A set's only shingles of its own come first in the order and meet no one.
+    held = each.join(often, "k").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("often", "k"))).alias("xs"))
+    left = F.size("xs") - F.ceil(similarity * F.col("n") - 1e-6) + 1
+    return held.select("node", F.explode(F.slice("xs", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))).alias("x")).select("node", "x.k")
+
+
 def split_hot(at: DataFrame, shared: DataFrame) -> DataFrame:
-    """Rows (k, node, size, c) with each k of more than HOT components replaced by its pairs with the nodes' other band values.
+    """Rows (k, node, size, c) with each k of more than HOT components replaced by the other values that ``shared`` (node, k) gives its nodes.
 
     A value whose nodes hang together but for a few costs its size as it is: blocks of one component do not meet.
+    Of values with the same nodes one is kept.
     """
     rows = apart(at)
-    other = shared.select("node", F.col("k").alias("k2"))
-    pairs = rows.filter(F.col("groups") > HOT).join(other, "node").filter("k <> k2")
-    finer = pairs.select(F.xxhash64(F.least("k", "k2"), F.greatest("k", "k2")).alias("k"), "node", "size", "c").distinct()
-    return rows.filter(F.col("groups") <= HOT).select("k", "node", "size", "c").unionByName(apart(finer).select("k", "node", "size", "c"))
+    hot = rows.filter(F.col("groups") > HOT)
+    finer = hot.select("node", "size", "c").distinct().join(shared.join(hot.select("k").distinct(), "k", "left_anti"), "node").select("k", "node", "size", "c")
+    ends = finer.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    one = ends.filter("lo <> hi").groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k")
+    return rows.filter(F.col("groups") <= HOT).select("k", "node", "size", "c").unionByName(finer.join(one, "k", "left_semi"))
 
 
 def block_links(at: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -210,7 +237,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, key:
             at = shared.join(components, "node", "left").select("k", "node", "size", F.coalesce("component", "node").alias("c"))
         if n == ROUNDS:
             known = components.select(F.col("node").alias("u"), F.col("component").alias("v"))
-            components = connected_components(block_links(materialize(split_hot(at, shared), "apart"), sets, similarity).unionByName(known))
+            at = materialize(apart(at).select("k", "node", "size", "c", "groups"), "apart")
+            hot = at.filter(F.col("groups") > HOT).select("node").distinct()
+            rare = materialize(rare_shingles(sets.join(hot, "node", "left_semi"), similarity), "rare-shingles")
+            components = connected_components(block_links(materialize(split_hot(at.drop("groups"), rare), "split"), sets, similarity).unionByName(known))
+            discard(at, rare)
             break
         # A frequent value's nodes are put in several random orders, as many as they need.
         part = F.pmod(F.xxhash64("node", F.lit(n + ROUNDS)), F.ceil(F.col("n") / ORDERED))

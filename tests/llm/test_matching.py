@@ -139,6 +139,57 @@ def test_a_band_value_that_unlike_texts_share_is_split(spark):
     assert left.count() == 200 and left.groupBy("k").count().agg({"count": "max"}).first()[0] == 2
 
 
+def test_a_frequent_band_value_loses_no_similar_pair(spark, monkeypatch):
+    """Two similar texts share one band value only, which more than HOT unlike texts share too."""
+    monkeypatch.setattr(nearcopy, "HOT", 5)
+    rng = random.Random(5)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    def own(w):
+        return nearcopy.shingles(" ".join(w).encode().split(), 5)
+
+    while True:
+        a = words(154)
+        b = [*a[:136], *words(18)]  # 132 of 168 shingles, 0.786, or more
+        b[136:140] = a[136:140]  # 136 of 164: 0.829
+        same = np.flatnonzero(nearcopy.band_values(own(a)) == nearcopy.band_values(own(b)))
+        if len(same) == 1:
+            break
+    band, x = int(same[0]), own(a)
+    mixed = (x * nearcopy.FACTORS + nearcopy.TERMS)[band * nearcopy.ROWS : (band + 1) * nearcopy.ROWS]
+    least = {int(x[i]) for i in mixed.argmin(axis=1)}
+    passage = [a[i : i + 5] for i in range(150) if int(own(a[i : i + 5])[0]) in least]
+    texts = [a, b]
+    while len(texts) < 40:  # the six shingles that make the value, and words of their own
+        t = [w for five in passage for w in (*five, *words(1))] + words(20)
+        if nearcopy.band_values(own(t))[band] == nearcopy.band_values(x)[band]:
+            texts.append(t)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    both = [set(own(t).tolist()) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if len(both[i] & both[j]) >= 0.8 * len(both[i] | both[j])]
+    assert alike == [(1, 0)]
+    monkeypatch.setattr(nearcopy, "ROUNDS", 1)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i > 1 else 0 for i in range(len(texts))}
+
+
+def test_rare_shingles_of_similar_sets_meet(spark):
+    rng = random.Random(9)
+    sets = []
+    for _ in range(60):
+        base = [rng.randrange(1 << 63) for _ in range(rng.randrange(1, 40))]
+        sets += [set(base), {x for x in base if rng.random() > 0.1} | {rng.randrange(300) for _ in range(rng.randrange(3))}]
+    rows = [(i, np.array(sorted(s), np.uint64).tobytes()) for i, s in enumerate(sets)]
+    kept = {}
+    for r in nearcopy.rare_shingles(spark.createDataFrame(rows, "node long, own binary"), 0.8).collect():
+        kept.setdefault(r["node"], set()).add(r["k"])
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 20 and all(kept[i] & kept[j] for i, j in alike)
+    assert all(len(kept.get(i, ())) <= len(s) - -(-4 * len(s) // 5) + 1 for i, s in enumerate(sets))
+
+
 def test_near_copies_of_the_given_documents(spark):
     """All pairs of the smallest table with a five-word similarity from 0.8 lie in one component."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
