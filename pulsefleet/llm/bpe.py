@@ -78,7 +78,7 @@ class CachedBpe:
         self.model = self.tokenizer.model
         self.words = words
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
-        self.pieces, self.first, self.line, self.rest = Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS)
+        self.pieces, self.first, self.rest = Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -96,15 +96,23 @@ class CachedBpe:
 
     def joined(self, cache: Cache, keys: list[str], prefix: str) -> bytes | None:
         """The ids of prefix + key for each key; None if one of them is no independent piece."""
+        got = list(map(cache.young.get, keys))
         try:
-            return b"".join(map(cache.young.__getitem__, keys))
-        except (KeyError, TypeError):
+            return b"".join(got)
+        except TypeError:
             pass
+        # Only what the young half lacks is asked for one by one.
         make = partial(self.chunk, prefix=prefix)
-        got = [cache.get(key, make) for key in keys]
-        return None if None in got else b"".join(got)
+        for at, (key, ids) in enumerate(zip(keys, got, strict=True)):
+            if ids is None:
+                ids = got[at] = cache.get(key, make)
+                if ids is None:
+                    return None
+        return b"".join(got)
 
     def chunk(self, key: str, prefix: str) -> bytes | None:
+        if key[:1] == "\n":  # a line's first word
+            key, prefix = key[1:], "\n"
         if key.isascii():
             if "<|" in key:
                 return None
@@ -127,13 +135,8 @@ class CachedBpe:
                 return self.whole(text)
             got = self.joined(self.rest, text.split(), "")
             return self.whole(text) if got is None else got
-        out = []
-        for n, line in enumerate(text.split("\n")):
-            keys = line.split(" ")
-            spaced = not n and len(keys) > 1 and not keys[0]  # the text begins with a space, which the next word takes
-            head = b"" if spaced else self.joined(self.line if n else self.first, keys[:1], "\n" if n else "")
-            tail = self.joined(self.rest, keys[1:], " ") if head is not None else None
-            if tail is None:
-                return self.whole(text)
-            out += head, tail
-        return b"".join(out)
+        keys = text.replace("\n", " \n").split(" ")
+        # A text that begins with a space gives it to the next word.
+        head = b"" if text[0] == " " else self.joined(self.first, keys[:1], "")
+        tail = self.joined(self.rest, keys[1:], " ") if head is not None else None
+        return self.whole(text) if tail is None else head + tail

@@ -27,6 +27,15 @@ def test_cached_ids_equal_the_library(path, words):
         assert bpe.ids(text) == bpe.whole(text), text[:80]
 
 
+def test_one_new_word_leaves_the_known_ones_alone(monkeypatch):
+    """Words that the cache holds are looked up once, in one go; only new ones are asked for one by one."""
+    bpe, asked, get = CachedBpe(BYTE, False), [], Cache.get
+    bpe.ids("the house by the river was old")
+    monkeypatch.setattr(Cache, "get", lambda self, key, make: asked.append(key) or get(self, key, make))
+    text = "the house by the quixl was old"
+    assert bpe.ids(text) == bpe.whole(text) and asked.count("quixl") == 1 and not {"house", "by", "was", "old"} & set(asked)
+
+
 def test_a_full_cache_forgets_the_oldest_half():
     cache, made = Cache(4), []
     for key in "abcabdea":
