@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,7 +55,7 @@ class Pieces:
         self.cache = Cache(CACHE_ROWS)
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.model.encode(text), "<u4").tobytes()
+        return array("I", self.model.encode(text)).tobytes()
 
     def word(self, key: str) -> bytes | None:
         return self.encoded(key) if key else None  # the model puts the space before it
@@ -63,18 +64,17 @@ class Pieces:
         if not self.apart:
             return self.encoded(text)
         keys = text.split(" ")
+        got = list(map(self.cache.young.get, keys))
         try:
-            return b"".join(map(self.cache.young.__getitem__, keys))
-        except (KeyError, TypeError):
+            return b"".join(got)
+        except TypeError:
             pass
-        for key in set(keys).difference(self.cache.young):
-            self.cache.get(key, self.word)
-        try:
-            return b"".join(map(self.cache.young.__getitem__, keys))
-        except (KeyError, TypeError):  # the cache's halves changed meanwhile, or a word does not stand alone
-            pass
-        got = [self.cache.get(key, self.word) for key in keys]
-        return self.encoded(text) if None in got else b"".join(got)
+        for at, (key, ids) in enumerate(zip(keys, got, strict=True)):
+            if ids is None:
+                ids = got[at] = self.cache.get(key, self.word)
+                if ids is None:  # a word does not stand alone
+                    return self.encoded(text)
+        return b"".join(got)
 
 
 class Sides:
