@@ -30,6 +30,8 @@ from pulsefleet.llm.quality import quality_scores
 ORACLE_SQL = None
 #: Name of the rows' numbers while a stage runs.
 ROW = "_pipeline_row"
+#: Words that a worker process remembers while it packs: half of operator 8's, for here executors hold other stages' memory too.
+CACHE_ROWS = 400_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096, cache_rows=CACHE_ROWS)
 
 
 STAGES = [

@@ -60,15 +60,20 @@ class Cache:
 
 
 @lru_cache(maxsize=2)
-def worker_bpe(path: str, words: bool, plain: bool = False) -> CachedBpe:
+def worker_bpe(path: str, words: bool, plain: bool = False, rows: int = CACHE_ROWS) -> CachedBpe:
     """The worker process's own CachedBpe: Spark reuses processes, so later tasks find it warm."""
-    return CachedBpe(path, words, plain)
+    return CachedBpe(path, words, plain, rows)
+
+
+def release() -> None:
+    """For tasks that need no tokens: a worker process that tokenized before gives its caches' memory back."""
+    worker_bpe.cache_clear()
 
 
 class CachedBpe:
     """ids(text): little-endian unsigned 32-bit ids as bytes, as ``encode(add_special_tokens=False)`` gives."""
 
-    def __init__(self, path: str, words: bool, plain: bool = False):
+    def __init__(self, path: str, words: bool, plain: bool = False, rows: int = CACHE_ROWS):
         """plain: strings of special tokens inside a text are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -78,7 +83,7 @@ class CachedBpe:
         self.model = self.tokenizer.model
         self.words = words
         self.table = str.maketrans({chr(b): c for b, c in byte_alphabet().items()})
-        self.pieces, self.first, self.rest = Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS // 8), Cache(CACHE_ROWS)
+        self.pieces, self.first, self.rest = Cache(rows // 8), Cache(rows // 8), Cache(rows)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -28,20 +28,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import worker_bpe
-from .common import materialize
+from .bpe import CACHE_ROWS, worker_bpe
+from .common import materialize, parts
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, nth long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece of every document: ids plus end id, cut every ``capacity`` ids; part and nth number them."""
+def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text", cache_rows: int = CACHE_ROWS) -> DataFrame:
+    """One row per piece of every document: ids plus end id, cut every ``capacity`` ids; part and nth number them. cache_rows: words a worker process remembers."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end, width = worker_bpe(tokenizer, True), struct.pack("<I", end_id), 4 * capacity
+        bpe, end, width = worker_bpe(tokenizer, True, rows=cache_rows), struct.pack("<I", end_id), 4 * capacity
         part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
+        for batch in parts(batches):
             out: list[tuple] = []
             for key_, text_ in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = bpe.ids(text_) + end
@@ -212,8 +212,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.select(*columns, "rank").mapInArrow(place, schema)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, key: str = "doc_id", text: str = "text", cache_rows: int = CACHE_ROWS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document."""
-    pieces = materialize(token_pieces(docs, tokenizer, end_id, capacity, key, text), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer, end_id, capacity, key, text, cache_rows), "pieces")
     out = pack(pieces, capacity)
     return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

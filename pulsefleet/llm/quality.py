@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize
+from .bpe import release
+from .common import crc_mod, materialize, parts
 
 TOKEN = re.compile(r"[^\W\d_]+|\d+|(?:[^\w\s]|_)+")
 NONZEROS = 4
@@ -69,6 +70,7 @@ def word_vectors(docs: DataFrame, buckets: int, dim: int, seed: int, text: str =
     """Vectors of all buckets and their mean over the corpus; the corpus sums come back as ``buckets`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         index, tokens = index_vectors(buckets, dim, seed), Tokens(buckets)
         near = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :NONZEROS]
         sign = np.take_along_axis(index, near, 1)
@@ -85,7 +87,7 @@ def word_vectors(docs: DataFrame, buckets: int, dim: int, seed: int, text: str =
                     total[:] += np.bincount(a * dim + near[b, k], weights=sign[b, k], minlength=buckets * dim)
 
         held, size = [], 0
-        for batch in batches:
+        for batch in parts(batches):
             for t in batch.column(0).to_pylist():
                 held.append(tokens(t))
                 size += len(held[-1])
@@ -126,7 +128,7 @@ def pooled(docs: DataFrame, vectors, buckets: int, prior: float, key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(buckets)
-        for batch in batches:
+        for batch in parts(batches):
             x = [features(tokens, t) for t in batch.column(1).to_pylist()]
             more = [batch.column(2 + i) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float32())), *more], names=["doc_id", "x", *carry])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, partitions
+from .common import discard, materialize, partitions, parts
 from .components import connected_components
 
 #: Bits a band takes from the 64.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int, key: str = "doc_id", text: str =
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
