@@ -20,7 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Cache, byte_alphabet, worker_bpe
+from .bpe import CACHE_ROWS as BPE_ROWS
+from .bpe import Cache, CachedBpe, byte_alphabet
 from .common import materialize
 
 #: Tokens in a chunk and bytes of text looked at at once, but for longer documents.
@@ -41,6 +42,57 @@ COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
 OUT = ", ".join(f"{c} string" if c == "groups_sha256" else f"{c} long" for c in COLUMNS)
 
 
+def bytes_of(names: list[bytes], ids: bytes) -> bytes:
+    return b"".join(map(names.__getitem__, array("I", ids)))
+
+
+class Words(Cache):
+    """A cache that is asked for all words of a text at once."""
+
+    def joined(self, keys: list[str], make: Callable[[list[str]], list[bytes | None]]) -> bytes | None:
+        """The joined rows of the keys; None if one of them has none. ``make`` gets the distinct keys that are new."""
+        got = list(map(self.young.get, keys))
+        lacking = [k for k, ids in zip(keys, got, strict=True) if ids is None]
+        if lacking:
+            found = {k: self.old.get(k) for k in lacking}
+            new = [k for k, ids in found.items() if ids is None]
+            found.update(zip(new, make(new), strict=True))
+            if len(self.young) + len(found) > self.half:
+                self.old, self.young = self.young, {}
+            self.young.update(found)
+            got = [found[k] if ids is None else ids for k, ids in zip(keys, got, strict=True)]
+        try:
+            return b"".join(got)
+        except TypeError:
+            return None
+
+
+class Bytes(CachedBpe):
+    """A's ids of space + text."""
+
+    def __init__(self, path: str):
+        super().__init__(path, False, True)
+        back = {c: b for b, c in byte_alphabet().items()}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.bytes = [bytes(back.get(c, 0) for c in n) for n in names]
+        self.rest = Words(BPE_ROWS)
+
+    def encoded(self, text: str) -> bytes:
+        return self.whole(" " + text)
+
+    def made(self, keys: list[str]) -> list[bytes | None]:
+        out = []
+        for key in keys:
+            ids = self.chunk(key, " ")
+            same = ids is not None and bytes_of(self.bytes, ids) == (key if key[:1] == "\n" else " " + key).encode()
+            out.append(ids if same else None)
+        return out
+
+    def sure(self, text: str) -> bytes | None:
+        """The ids if every word stands alone and is given back by its own, so that the text is, too."""
+        return self.rest.joined(text.replace("\n", " \n").split(" "), self.made)
+
+
 class Pieces:
     """B's ids of space + text. No piece holds a space behind another character or a line end, so words stand alone."""
 
@@ -52,40 +104,30 @@ class Pieces:
         whole = [i for i, n in enumerate(names) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i))]
         self.apart = not any("\n" in names[i] or "▁" in names[i].lstrip("▁") for i in whole)
         self.bytes = [bytes([int(n[3:5], 16)]) if self.model.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
-        self.cache = Cache(CACHE_ROWS)
+        self.rest = Words(CACHE_ROWS)
 
     def encoded(self, text: str) -> bytes:
         return array("I", self.model.encode(text)).tobytes()
 
-    def word(self, key: str) -> bytes | None:
-        return self.encoded(key) if key else None  # the model puts the space before it
+    def made(self, keys: list[str]) -> list[bytes | None]:
+        out = []
+        # The model puts the space before a word.
+        for key, ids in zip(keys, self.model.encode(keys, num_threads=1), strict=True):
+            same = key and b"".join(map(self.bytes.__getitem__, ids)) == b" " + key.encode()
+            out.append(array("I", ids).tobytes() if same else None)
+        return out
 
-    def ids(self, text: str) -> bytes:
-        if not self.apart:
-            return self.encoded(text)
-        keys = text.split(" ")
-        got = list(map(self.cache.young.get, keys))
-        try:
-            return b"".join(got)
-        except TypeError:
-            pass
-        for at, (key, ids) in enumerate(zip(keys, got, strict=True)):
-            if ids is None:
-                ids = got[at] = self.cache.get(key, self.word)
-                if ids is None:  # a word does not stand alone
-                    return self.encoded(text)
-        return b"".join(got)
+    def sure(self, text: str) -> bytes | None:
+        """The ids if every word stands alone and is given back by its own, so that the text is, too."""
+        return self.rest.joined(text.split(" "), self.made) if self.apart else None
 
 
 class Sides:
     """Both tokenizers of a worker process with the bytes of their tokens."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = worker_bpe(path_a, False, True), Pieces(path_b)
-        back = {c: b for b, c in byte_alphabet().items()}
-        size = self.a.tokenizer.get_vocab_size()
-        names = [self.a.tokenizer.id_to_token(i) or "" for i in range(size)]
-        self.bytes = [bytes(back.get(c, 0) for c in n) for n in names], self.b.bytes
+        self.a, self.b = Bytes(path_a), Pieces(path_b)
+        self.bytes = self.a.bytes, self.b.bytes
         self.lengths = [np.array(list(map(len, x)), np.int64) for x in self.bytes]
         # An id's text in the digest behind its separator: a group's first A, its first B, any other.
         first = [[f"{mark}{i}" for i in range(len(x))] for mark, x in ((";", self.bytes[0]), ("|", self.bytes[1]))]
@@ -94,12 +136,18 @@ class Sides:
 
     def ids(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides; none if a side does not give space + text back."""
-        if text:
-            want = b" " + text.encode()
-            out = np.frombuffer(self.a.ids(" " + text), "<u4"), np.frombuffer(self.b.ids(text), "<u4")
-            if all(b"".join(map(names.__getitem__, ids.tolist())) == want for names, ids in zip(self.bytes, out, strict=True)):
-                return out
-        return np.zeros(0, "<u4"), np.zeros(0, "<u4")
+        none = np.zeros(0, "<u4"), np.zeros(0, "<u4")
+        if not text:
+            return none
+        out = []
+        for side in (self.a, self.b):
+            ids = side.sure(text)
+            if ids is None:
+                ids = side.encoded(text)
+                if bytes_of(side.bytes, ids) != b" " + text.encode():
+                    return none
+            out.append(np.frombuffer(ids, "<u4"))
+        return out[0], out[1]
 
 
 @lru_cache(maxsize=1)

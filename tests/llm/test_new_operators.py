@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -69,6 +70,24 @@ def test_alignment_against_plain_python(spark, monkeypatch):
     assert align.alignments(spark.createDataFrame([], "doc_id long, text string"), A, B).count() == 0
 
 
+def test_new_words_of_a_text_are_encoded_together(monkeypatch):
+    both, calls = align.Sides(A, B), []
+    model = both.b.model
+    monkeypatch.setattr(both.b, "model", SimpleNamespace(encode=lambda x, **named: calls.append(x) or model.encode(x, **named)))
+    words = [f"word{i} and{i}" for i in range(40)]
+    first = both.ids(" ".join(words) + " some some")
+    assert len(calls) == 1
+    again = both.ids(" ".join(words) + " some some")
+    assert len(calls) == 1 and all((x == y).all() for x, y in zip(first, again, strict=True))
+    assert first[1].tolist() == model.encode(" ".join(words) + " some some")
+    # Words that don't come back as they are, or that don't stand alone, are encoded with their text.
+    for text in ("so \ufb01ne a word", "two  spaces", "a\nline \n\nmore", "it's \u2581x", "\u65e5\u672c \u8a9e"):
+        ids = both.ids(text)
+        want = model.encode(text)
+        assert ids[1].tolist() == (want if b"".join(both.bytes[1][i] for i in want) == b" " + text.encode() else [])
+        assert b"".join(both.bytes[0][i] for i in ids[0]) in (b"", b" " + text.encode()) and bool(len(ids[0])) == bool(len(ids[1]))
+
+
 def test_groups_break_where_a_start_reaches_the_largest_end():
     starts, ends, side = np.array([0, 2, 4, 0, 3, 4]), np.array([2, 4, 6, 3, 4, 6]), np.array([0, 0, 0, 1, 1, 1])
     order, group = align.coalesced(starts, ends, side)
