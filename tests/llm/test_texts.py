@@ -186,6 +186,31 @@ def test_a_very_long_word_takes_linear_time():
     assert math.isfinite(cost[0]) and time.process_time() - began < 30
 
 
+def test_short_words_are_hashed_together(monkeypatch):
+    """Hashes are XXH64's; only words of 32 bytes and more are hashed one by one."""
+    rng, one, asked = random.Random(4), xxhash.xxh64_intdigest, []
+    words = [rng.randbytes(n) for n in [*range(70), *(rng.randrange(70) for _ in range(500))]]
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda w: asked.append(len(w)) or one(w))
+    for own in (words, [], [b""], [b"\xff" * 31], [b"\xff" * 32]):
+        assert contextmix.word_hashes(b"".join(own), np.array(list(map(len, own)), np.int32)).tolist() == list(map(one, own))
+    assert min(asked) == 32
+
+
+@pytest.mark.parametrize(("kind", "values"), [("<i4", [0, 1, 255, 256, 70000, 2**31 - 1]), ("<i4", [-1, 5]), ("<i8", [0, 2**40, 7]), ("<i8", [])])
+def test_byte_planes_come_back(kind, values):
+    x = np.array(values, kind)
+    raw = contextmix.planes(x, kind)
+    assert len(raw) == x.nbytes and contextmix.from_planes(np.frombuffer(raw, np.uint8), kind).tolist() == values
+
+
+def test_all_white_space_parts_words():
+    texts = [b" a\tB\nc\vd\fe\rf ", b"", b"\x08\x0e\x1c \x85\xa0", "wör   ter".encode()]
+    joined, lengths, sizes = contextmix.words_of(texts)
+    ends = np.cumsum(lengths)
+    words = [joined[e - k : e].tobytes() for e, k in zip(ends, lengths, strict=True)]
+    assert words == [w for t in texts for w in [*t.lower().split(), b"\n"]] and sizes.tolist() == [len(t.split()) + 1 for t in texts]
+
+
 def test_spelled_words_are_a_probability():
     """All words of up to three letters of a small alphabet: with their ends they add up to less than 1."""
     rng = np.random.default_rng(3)
