@@ -48,11 +48,12 @@ class Cache:
         self.old: dict[str, bytes | None] = {}
 
     def get(self, key: str, make: Callable[[str], bytes | None]) -> bytes | None:
-        try:
-            return self.young[key]
-        except KeyError:
-            pass
-        got = self.old[key] if key in self.old else make(key)
+        got = self.young.get(key, self)  # itself: no such row
+        if got is not self:
+            return got
+        got = self.old.get(key, self)
+        if got is self:
+            got = make(key)
         if len(self.young) >= self.half:
             self.old, self.young = self.young, {}
         self.young[key] = got
@@ -97,6 +98,10 @@ class CachedBpe:
         return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def piece(self, text: str) -> bytes:
+        if text[0] == " ":  # a word that came alone before, now with something behind it
+            got = self.rest.young.get(text[1:]) or self.rest.old.get(text[1:])
+            if got:
+                return got
         return self.pieces.get(text, self.merged)
 
     def joined(self, cache: Cache, keys: list[str], prefix: str) -> bytes | None:
@@ -108,11 +113,10 @@ class CachedBpe:
             pass
         # Only what the young half lacks is asked for one by one.
         make = partial(self.chunk, prefix=prefix)
-        for at, (key, ids) in enumerate(zip(keys, got, strict=True)):
+        for at in [at for at, ids in enumerate(got) if ids is None]:
+            ids = got[at] = cache.get(keys[at], make)
             if ids is None:
-                ids = got[at] = cache.get(key, make)
-                if ids is None:
-                    return None
+                return None
         return b"".join(got)
 
     def chunk(self, key: str, prefix: str) -> bytes | None:

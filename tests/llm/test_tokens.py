@@ -36,6 +36,15 @@ def test_one_new_word_leaves_the_known_ones_alone(monkeypatch):
     assert bpe.ids(text) == bpe.whole(text) and asked.count("quixl") == 1 and not {"house", "by", "was", "old"} & set(asked)
 
 
+def test_a_known_word_is_not_merged_again_with_something_behind_it(monkeypatch):
+    bpe, asked = CachedBpe(BYTE, False), []
+    bpe.ids("the quixl wöxl was old")
+    merged = bpe.merged
+    monkeypatch.setattr(bpe, "merged", lambda text: asked.append(text) or merged(text))
+    text = "the quixl, quixl. wöxl'll (quixl\nquixl 'quixl wöxl12"
+    assert bpe.ids(text) == bpe.whole(text) and asked and not {" quixl", " wöxl"} & set(asked)
+
+
 def test_a_full_cache_forgets_the_oldest_half():
     cache, made = Cache(4), []
     for key in "abcabdea":
