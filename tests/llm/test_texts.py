@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -145,6 +146,30 @@ def test_scores_do_not_depend_on_partitions_or_chunks(spark, monkeypatch):
     assert other == {k: pytest.approx(v, rel=1e-6) for k, v in one_way.items()}
 
 
+def test_tables_between_jobs_are_few_files_and_a_chunk_is_read_alone(spark, monkeypatch):
+    """Each file that Spark writes to a local disk makes an executor start two processes."""
+    df = spark.createDataFrame(lm_rows(), "doc_id long, text string")
+    want = {(r["doc_id"], r["n_bytes"]): r["score"] for r in lm_scores(df).collect()}
+    files, rows, groups, write = {}, {}, set(), contextmix.materialize
+
+    def seen(df, label, **named):
+        out = write(df, label, **named)
+        files[label], rows[label] = len(out.inputFiles()), out.count()
+        if label == "lm-chunks":
+            for uri in out.inputFiles():
+                file = pq.ParquetFile(uri.removeprefix("file://"))
+                groups.update(file.metadata.row_group(i).num_rows for i in range(file.num_row_groups))
+        return out
+
+    monkeypatch.setattr(contextmix, "materialize", seen)
+    monkeypatch.setattr(contextmix, "CHUNK_TOKENS", 20)
+    monkeypatch.setattr(contextmix, "STEP_BYTES", 50)
+    got = {(r["doc_id"], r["n_bytes"]): r["score"] for r in lm_scores(df.repartition(2)).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-6) for k, v in want.items()}
+    assert rows["lm-chunks"] > 10 and files["lm-chunks"] <= 2 and groups == {1}
+    assert files["lm-types"] == files["lm-counted"] == 1 < int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_groups_of_texts_are_scored_as_the_whole_chunk(spark, monkeypatch):
     df = spark.createDataFrame(lm_rows(), "doc_id long, text string").coalesce(1)
     ready, totals, _ = contextmix.prepared(df, 10)
