@@ -67,7 +67,7 @@ def summary(messages: DataFrame) -> DataFrame:
     parts = ordered(messages).withColumns({"kind": F.when(kind, F.col("name")), "type": named("monitoring", F.col("activity_type")), "vote": vote}).groupBy(*KEY, "kind", "type", "vote").agg(
         F.min(hr).alias("hr_min"), F.max(hr).alias("hr_max"), F.sum(hr).alias("hr_sum"), F.count(hr).alias("hr_n"),
         F.sum(stress).alias("stress_sum"), F.count(stress).alias("stress_n"), F.max(stress).alias("stress_max"),
-        F.max("steps").alias("steps"), F.max("distance").alias("distance"),
+        F.max("steps").alias("steps"), F.max("distance").alias("distance"), F.min(F.when(F.col("distance").isNotNull(), at)).alias("distance_at"),
         F.min(F.when(marker & begins, F.col("ts"))).alias("sleep_start"), F.max(F.when(marker & ~begins, F.col("ts"))).alias("sleep_stop"),
         F.min(F.when(offset.isNotNull(), F.struct(at.alias("at"), offset.alias("offset")))).alias("offset"),
         F.max(named("monitoring", F.col("ts"))).alias("last_seen"),
@@ -75,7 +75,10 @@ def summary(messages: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("order").alias("seen"),
     )
     of = lambda name, column: F.when(F.col("kind") == name, F.col(column))
-    counter = lambda column, zero: F.sum(F.greatest(of("monitoring", column), F.when(of("monitoring", column).isNotNull(), zero)))
+    steps = F.sum(F.greatest(of("monitoring", "steps"), F.when(of("monitoring", "steps").isNotNull(), F.lit(0).cast("long"))))
+    # Types' distances are added up in the order in which the bundle's messages first give them, as rounding depends on it.
+    types = F.when(of("monitoring", "distance").isNotNull(), F.struct(F.col("distance_at").alias("at"), F.greatest("distance", F.lit(0.0)).alias("d")))
+    distance = lambda found: F.when(F.size(found) > 0, F.aggregate(F.array_sort(found), F.lit(0.0), lambda total, x: total + x.d))
     # The most frequent vote, the one seen first among equals.
     mode = lambda name: F.min_by("vote", F.when((F.col("kind") == name) & F.col("vote").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("seen"))))
     return parts.groupBy(*KEY).agg(
@@ -83,8 +86,8 @@ def summary(messages: DataFrame) -> DataFrame:
         whole(F.try_divide(F.sum("hr_sum"), F.sum("hr_n"))).alias("hr_avg"),
         F.max("hr_max").alias("hr_max"),
         F.sum("hr_n").alias("hr_samples"),
-        counter("steps", F.lit(0).cast("long")).alias("steps"),
-        half_even(counter("distance", F.lit(0.0)), 1).alias("distance_m"),
+        steps.alias("steps"),
+        F.collect_list(types).alias("distances"),
         whole(F.try_divide(F.sum("stress_sum"), F.sum("stress_n"))).alias("stress_avg"),
         F.max("stress_max").alias("stress_max"),
         F.min("sleep_start").alias("sleep_start"),
@@ -95,7 +98,7 @@ def summary(messages: DataFrame) -> DataFrame:
         F.max_by("skin", "skin_at").alias("skin"),
         mode("unknown_521").alias("sleep_score"),
         mode("unknown_281").alias("rhr_on_device"),
-    )
+    ).withColumn("distance_sum", distance(F.col("distances"))).withColumn("distance_m", half_even("distance_sum", 1)).drop("distances", "distance_sum")
 
 
 def stages(messages: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 import json
 from datetime import date, datetime
+from functools import reduce
+from itertools import permutations
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.rounding import half_even, whole
@@ -151,6 +154,17 @@ def test_bundle_totals(spark):
     assert one(rows["daily_wellness"])["resting_hr"] == 58 and rows["hrv"].count() == 0
 
 
+def test_distances_are_added_in_the_order_their_types_are_seen(spark):
+    """These three give 162.65 or the double below it, so 162.7 or 162.6, depending on the order of addition."""
+    days = list(permutations([("walk", 30.6), ("run", 58.75), (None, 73.3)]))
+    want = {f"night-{n}": round(day[0][1] + day[1][1] + day[2][1], 1) for n, day in enumerate(days)}
+    seen = [bundle(spark, ("monitoring", {"activity_type": "swim"}), *(("monitoring", {"activity_type": t, "distance": d}) for t, d in day), ("monitoring", {"activity_type": day[2][0], "distance": 1.0}), name=f"night-{n}") for n, day in enumerate(days)]
+    messages = reduce(DataFrame.unionByName, seen)
+    for cut in (messages, messages.orderBy("distance").coalesce(1), messages.repartition(7, "distance")):
+        assert {r["bundle"]: r["distance_m"] for r in device.decode_bundles(cut).collect()} == want
+    assert set(want.values()) == {162.6, 162.7}
+
+
 def test_thresholds(spark):
     def flags(rate, gap):
         return one(device.decode_bundles(bundle(spark, ("monitoring", {"heart_rate": 48}), ("unknown_281", {"u": {9: rate}}), ("unknown_275", {"u": {253: 0, 0: 2}}), ("unknown_275", {"u": {253: gap * 60, 0: 2}}))))["flags"]
