@@ -7,12 +7,17 @@ so that the first coordinates carry most of an inner product.
 Rounds visit the blocks in descending order, twice as many in each round. A query's floor is the k-th
 best of its scores so far; it rises from round to round. A query takes part in a round only as far as
 its length times a block's longest vector reaches its floor (Cauchy-Schwarz): queries of like cutoffs
-(floor over length) are packed together, the blocks of a round form at most ``STEPS`` steps of equal
-size, and packed queries meet, by an equi-join on the step, only the steps that they can still gain from. So pairs of blocks
-that cannot matter are never formed. When no query reaches the next round's longest vector, the
-search ends. Within a pair, partial sums over the first coordinates plus the product of the residual
-lengths bound each score, coordinate group after coordinate group, and only candidates that still
-reach the floor get their integer score.
+(floor over length) are packed together, the blocks of a round form steps of equal size (``STEPS`` at most, until
+a step would hold more than ``WIDTH`` blocks), and packed queries are dealt to the steps only that they can still gain
+from. So pairs of blocks that cannot matter are never formed. When no query reaches the next round's longest vector, the
+search ends.
+
+A task gets one step, or a share of the queries (a lane) where there are fewer steps than tasks. It holds the step's blocks
+and reads the packed queries one after the other, so its memory is bounded by ``WIDTH`` blocks, and nothing but the queries moves
+more than once for each lane. No side is broadcast. Both travel in the fewest bytes that hold their whole numbers.
+Within a pair, partial sums over the first coordinates plus the product of the residual
+lengths bound each score, coordinate group after coordinate group up to the whole vector, until few candidates are left;
+only candidates that still reach the floor, which rises from block to block, get their integer score.
 
 Scores are exact: where lengths allow sums beyond 2^53 they are added as Python integers, and one beyond the range of a
 long raises. Only the Gram matrix (dimension squared), a count per partition and the steps' longest
@@ -27,7 +32,7 @@ give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +42,16 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize, partitions
 
-BLOCK = "part int, at int, top double, ids binary, vectors binary, turned binary"
+BLOCK = "part int, at int, top double, ids binary, vectors binary"
 ASKED = "cutoff double, ids binary, vectors binary, floors binary"
-#: Steps of a round, and blocks of a step that share a join key.
-STEPS, LANE = 64, 8
+#: Steps of a round, and blocks of a step at most: a task holds them as doubles, some 2 MB each at 2048 rows of 64.
+STEPS, WIDTH = 64, 32
 #: Integers up to here are exact as doubles.
 EXACT = float(1 << 53)
+#: Up to here bounds are taken in single precision.
+SINGLE = 1e30
+#: Share of a pair's candidates that is scored without a look at further coordinates.
+FEW = 0.01
 
 
 def floored(x: Column) -> Column:
@@ -68,6 +77,18 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def narrow(m: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold them."""
+    most = np.abs(m).max(initial=0.0)
+    return m.astype(next((t for t in (np.int8, np.int16, np.int32) if most <= np.iinfo(t).max), np.float64)).tobytes()
+
+
+def widened(raw: bytes, n: int, dim: int) -> np.ndarray:
+    """n rows of ``dim`` doubles from what ``narrow`` left."""
+    kind = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.float64}[len(raw) // (n * dim)]
+    return np.frombuffer(raw, kind).reshape(n, dim).astype(np.float64)
+
+
 def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     """Right singular vectors of all rows, strongest first, from their Gram matrix summed by Spark."""
 
@@ -103,7 +124,7 @@ def packed(size: int, pack: Callable[[int, list[np.ndarray]], pa.RecordBatch], r
     return run
 
 
-def candidate_blocks(rows: DataFrame, dim: int, turn: np.ndarray, size: int, n: int) -> DataFrame:
+def candidate_blocks(rows: DataFrame, dim: int, size: int, n: int) -> DataFrame:
     """Blocks of up to ``size`` rows of (id, v, norm); all norms fall from block to block, by (part, at)."""
 
     def pack(at: int, columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -111,7 +132,7 @@ def candidate_blocks(rows: DataFrame, dim: int, turn: np.ndarray, size: int, n:
 
         ids, m = columns
         top = float(np.sqrt((m * m).sum(1)).max())
-        return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "at": pa.array([at], pa.int32()), "top": [top], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([m.tobytes()], pa.binary()), "turned": pa.array([(m @ turn).tobytes()], pa.binary())})
+        return pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "at": pa.array([at], pa.int32()), "top": [top], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([narrow(m)], pa.binary())})
 
     ordered = rows.repartitionByRange(n, F.col("norm").desc(), "id").sortWithinPartitions(F.col("norm").desc(), "id")
     return ordered.select("id", "v").mapInArrow(packed(size, pack, lambda b: [b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), dim)]), BLOCK)
@@ -122,7 +143,7 @@ def query_blocks(rows: DataFrame, dim: int, size: int, n: int) -> DataFrame:
 
     def pack(_: int, columns: list[np.ndarray]) -> pa.RecordBatch:
         ids, m, floors, cutoffs = columns
-        return pa.RecordBatch.from_pydict({"cutoff": [float(cutoffs.min())], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([m.tobytes()], pa.binary()), "floors": pa.array([floors.tobytes()], pa.binary())})
+        return pa.RecordBatch.from_pydict({"cutoff": [float(cutoffs.min())], "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([narrow(m)], pa.binary()), "floors": pa.array([floors.tobytes()], pa.binary())})
 
     ordered = rows.repartitionByRange(n, "cutoff", "id").sortWithinPartitions("cutoff", "id")
     plain = lambda c: c.to_numpy(zero_copy_only=False)
@@ -150,29 +171,58 @@ def exact_scores(m: np.ndarray, q: np.ndarray, bound: float) -> np.ndarray:
     return np.array(sums, np.int64)
 
 
-def pair_scores(pair: dict, dim: int, turn: np.ndarray, k: int, steps: tuple[int, ...]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(query ids, candidate ids, scores) of a block of queries in a block of candidates, up to k each."""
-    rows = lambda x: np.frombuffer(x, np.float64).reshape(-1, dim)
-    qi, qv, floor = np.frombuffer(pair["ids"], np.int64), rows(pair["vectors"]), np.frombuffer(pair["floors"])
-    ci, cv, cr = np.frombuffer(pair["c_ids"], np.int64), rows(pair["c_vectors"]), rows(pair["c_turned"])
-    bound = np.sqrt((qv * qv).sum(1)) * pair["c_top"]
-    floor = floor - 1e-9 * bound - 1e-9
-    alive = np.flatnonzero(bound >= floor)
-    qr = qv[alive] @ turn
-    partial, open_ = np.zeros((len(alive), len(ci))), np.ones((len(alive), len(ci)), bool)
-    lo = 0
-    for hi in (s for s in steps if s < dim and len(alive)):
-        partial += qr[:, lo:hi] @ cr[:, lo:hi].T
-        rest = np.sqrt((qr[:, hi:] ** 2).sum(1))[:, None] * np.sqrt((cr[:, hi:] ** 2).sum(1))[None, :]
-        open_ &= partial + rest >= floor[alive, None]
-        lo = hi
-    for row, a in enumerate(alive):
-        at = np.flatnonzero(open_[row] & (ci != qi[a]))
-        if len(at):
-            scores = exact_scores(cv[at], qv[a], bound[a])
+def heads(turned: np.ndarray, cuts: Sequence[int], kind: type) -> list[np.ndarray]:
+    """For every cut the coordinates before it and the length of those behind: two heads' product bounds the whole product."""
+    return [np.column_stack([turned[:, :c], np.sqrt((turned[:, c:] ** 2).sum(1))]).astype(kind) for c in cuts]
+
+
+class Held:
+    """A candidate block as a task holds it."""
+
+    def __init__(self, row: dict, dim: int, turn: np.ndarray, cuts: Sequence[int], kind: type):
+        self.ids, self.top = np.frombuffer(row["ids"], np.int64), row["top"]
+        self.rows = widened(row["vectors"], len(self.ids), dim)
+        self.heads = heads(self.rows @ turn, cuts, kind)
+
+
+def met(asked: dict, held: Sequence[Held], dim: int, turn: np.ndarray, k: int, cuts: Sequence[int], kind: type, count: Callable[[], None]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query ids, candidate ids, scores) of a block of queries in candidate blocks of falling norms, up to k for each query.
+
+    Bounds are taken as ``kind``, with what it may round off; the last cut is the whole vector.
+    """
+    ids, floors = np.frombuffer(asked["ids"], np.int64), np.frombuffer(asked["floors"]).copy()
+    rows = widened(asked["vectors"], len(ids), dim)
+    own, length = heads(rows @ turn, cuts, kind), np.sqrt((rows * rows).sum(1))
+    rounded = (dim + 16) * float(np.finfo(kind).eps) + 1e-9
+    found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for block in held:
+        bound = length * block.top
+        floor = floors - rounded * bound - 1e-9
+        alive = np.flatnonzero(bound >= floor)
+        if not len(alive):
+            continue
+        count()
+        least = floor[alive, None].astype(kind)
+        for mine, theirs in zip(own, block.heads, strict=True):
+            open_ = mine[alive] @ theirs.T >= least
+            if np.count_nonzero(open_) <= FEW * open_.size:
+                break
+        for row in np.flatnonzero(open_.any(1)):
+            a = alive[row]
+            at = np.flatnonzero(open_[row] & (block.ids != ids[a]))
+            scores = exact_scores(block.rows[at], rows[a], bound[a])
             keep = np.flatnonzero(scores >= floor[a])
-            top = keep[best(scores[keep], ci[at[keep]], k)]
-            yield np.full(len(top), qi[a]), ci[at[top]], scores[top]
+            if not len(keep):
+                continue
+            c, s = block.ids[at[keep]], scores[keep]
+            if a in found:
+                c, s = np.concatenate([found[a][0], c]), np.concatenate([found[a][1], s])
+            top = best(s, c, k)
+            found[a] = c[top], s[top]
+            if len(top) >= k:
+                floors[a] = max(floors[a], float(s[top[-1]]))
+    for a, (c, s) in found.items():
+        yield np.full(len(c), ids[a]), c, s
 
 
 def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding", block: int = 2048, query_block: int = 256, steps: tuple[int, ...] = (8, 24), pairs_read: Accumulator | None = None) -> DataFrame:
@@ -184,20 +234,33 @@ def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int, scale:
     dim = max((df.agg(F.max(F.size("v"))).first()[0] or 1) for df in (rows, asked))
     turn = rotation(rows, dim)
     ask = materialize(asked, "queries")
-    cand = materialize(candidate_blocks(rows, dim, turn, block, n), "candidate-blocks")
+    cand = materialize(candidate_blocks(rows, dim, block, n), "candidate-blocks")
     # Blocks are numbered over all partitions from a count for each of them.
     counts = {r["part"]: r["count"] for r in cand.groupBy("part").count().collect()}
     before = np.cumsum([0, *(counts.get(p, 0) for p in range(n))])
     base = F.element_at(F.lit([int(x) for x in before[:-1]] or [0]), F.col("part") + 1)
     cand = cand.withColumn("nth", base + F.col("at"))
     total, kind = int(before[-1]), "query_id long, vec_id long, score long"
+    cuts = [*(x for x in steps if x < dim), dim]
+    # Scores that single precision can bound are bounded in it.
+    longest = [df.agg(F.max("norm")).first()[0] or 0.0 for df in (ask, cand.select(F.col("top").alias("norm")))]
+    kind_of = np.float32 if max(*longest, longest[0] * longest[1]) < SINGLE else np.float64
+
+    def count() -> None:
+        if pairs_read is not None:
+            pairs_read.add(1)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for batch in batches:
-            for pair in batch.to_pylist():
-                if pairs_read is not None:
-                    pairs_read.add(1)
-                out = list(pair_scores(pair, dim, turn, k, steps))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                if row["cell"] != cell:
+                    cell, held = row["cell"], []
+                if row["floors"] is None:
+                    held.append(Held(row, dim, turn, cuts, kind_of))
+                    continue
+                out = list(met(row, held, dim, turn, k, cuts, kind_of, count))
                 if out:
                     q, c, s = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pa.RecordBatch.from_pydict({"query_id": q, "vec_id": c, "score": s})
@@ -206,7 +269,7 @@ def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int, scale:
     held = spark.createDataFrame([], kind)
     lo, hi = 0, min(2, total)
     while lo < hi:
-        width = -(-(hi - lo) // STEPS)  # blocks in a step
+        width = min(-(-(hi - lo) // STEPS), WIDTH)  # blocks in a step
         now = cand.filter((F.col("nth") >= lo) & (F.col("nth") < hi)).withColumn("step", F.floor((F.col("nth") - lo) / width))
         tops = [r["top"] for r in now.groupBy("step").agg(F.max("top").alias("top")).orderBy("step").collect()]
         floors = held.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count(F.lit(1)).alias("found")).filter(F.col("found") >= k)
@@ -217,11 +280,13 @@ def top_inner_products(queries: DataFrame, candidates: DataFrame, k: int, scale:
         if lo and blocks.isEmpty():
             break  # all later vectors are shorter
         reach = F.size(F.filter(F.lit(tops), lambda t: t >= F.col("cutoff")))
-        q_side = blocks.filter(reach > 0).withColumn("step", F.explode(F.sequence(F.lit(0), reach - 1)))
-        lanes = -(-width // LANE)
-        q_side = q_side.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select("step", "lane", "ids", "vectors", "floors")
-        c_side = now.select(F.col("step").cast("int").alias("step"), (F.col("nth") % lanes).cast("int").alias("lane"), F.col("top").alias("c_top"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"), F.col("turned").alias("c_turned"))
-        found = q_side.join(c_side, ["step", "lane"]).drop("step", "lane").mapInArrow(scan, kind)
+        lanes = max(1, n // len(tops))
+        lane = F.pmod(F.xxhash64("ids"), F.lit(lanes))
+        q_side = blocks.filter(reach > 0).withColumn("step", F.explode(F.sequence(F.lit(0), reach - 1))).select((F.col("step") * lanes + lane).cast("int").alias("cell"), F.lit(None).cast("double").alias("top"), "ids", "vectors", "floors")
+        c_side = now.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select((F.col("step") * lanes + F.col("lane")).cast("int").alias("cell"), "top", "ids", "vectors", F.lit(None).cast("binary").alias("floors"))
+        # A cell's candidates come first, by falling norms, then its queries.
+        dealt = c_side.unionByName(q_side).repartitionById(len(tops) * lanes, "cell").sortWithinPartitions("cell", F.col("top").desc_nulls_last())
+        found = dealt.mapInArrow(scan, kind)
         best_now = held.unionByName(found).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         last, held = held, materialize(best_now.select("query_id", "vec_id", "score"), "top-so-far")
         discard(last, blocks)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pulsefleet.llm import nearcopy, simhash
+from pulsefleet.llm import nearcopy, simhash, topk
 from pulsefleet.llm.components import connected_components
 from pulsefleet.llm.decontam import MASKS, contaminated, decontaminate
 from pulsefleet.llm.nearcopy import common_shingles, near_copies
@@ -236,6 +236,23 @@ def test_short_vectors_are_never_met(spark):
     assert 0 < read.value < all_pairs / 3
 
 
+def test_no_side_of_a_round_is_broadcast(spark, monkeypatch):
+    """Queries stand once for every step: sent to the driver they would grow with the square of the table. Steps stay small."""
+    plans, kept = [], topk.materialize
+    monkeypatch.setattr(topk, "materialize", lambda df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), kept(df, label))[1])
+    monkeypatch.setattr(topk, "WIDTH", 2)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-5, 6, 8) / 16]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_inner_products(df.filter("vec_id % 20 = 0"), df, 5, block=10, query_block=4, steps=(2,)).collect()}
+    rounds = [plan for label, plan in plans if label == "top-so-far"]
+    assert len(rounds) > 3 and not any("Broadcast" in plan for plan in rounds)
+    whole = {i: np.floor(64 * np.array(v)) for i, v in rows}
+    for q in [i for i in whole if i % 20 == 0]:
+        order = sorted((-int(whole[q] @ whole[c]), c) for c in whole if c != q)[:5]
+        assert [got[q, n + 1] for n in range(5)] == [(c, -s) for s, c in order]
+
+
 def test_large_components_are_summed_exactly(spark):
     big = float(1 << 24)
     rows = [(0, [big, big, 1.0]), (1, [big, big, 3.0]), (2, [big, big, 2.0]), (3, [big, big, 0.0]), (4, [-big, 0.0, 1 / 64])]
