@@ -318,6 +318,28 @@ def test_a_batch_reads_the_parts_it_touches(spark, tmp_path):
     assert len(rows.collect()) == 1 and len(rows.inputFiles()) == 1
 
 
+def test_a_batch_keeps_nothing_when_it_ends(spark, tmp_path):
+    """What a batch kept of its snapshots' texts stayed in the executors' memory for the rest of the session."""
+    spark.catalog.clearCache()
+    root = f"file://{tmp_path}/w"
+    for _ in range(2):  # new paths, then known ones
+        ingest_batch(raw(spark, *ALL[:5]), root)
+        assert spark._jsparkSession.sharedState().cacheManager().isEmpty()
+    ingest_batch(raw(spark, *ALL[:3]), root, force=True)
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty() and index(spark, root).count() == raw_of(spark, root).count()
+
+
+@pytest.mark.parametrize("table", ["activities", "daily_wellness", "sleep"])
+def test_columns_owned_together_fold_as_alone(spark, table):
+    item = {"activityId": 7, "activityName": "a", "duration": 60.0}
+    rows = raw(spark, *ALL, ("activities", [item, item | {"activityName": None, "duration": 90.0}], date(2026, 6, 3)), ("activity", item | {"activityName": "b", "startTimeLocal": None}), ("sleep", SLEEP, date(2026, 6, 3)), ("usersummary", {"totalSteps": 1}, date(2026, 6, 3)))
+    parts = rebuild.contributions(rows, [table])[table]
+    each, joint = merge.fold(parts, table), merge.fold(parts, table, rebuild.ALONE.get(table, []))
+    assert each.columns == joint.columns and each.count() and sorted(map(str, each.collect())) == sorted(map(str, joint.collect()))
+    plan = rebuild.rebuild(rows, [table])[table]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max_by(") <= 2  # not one place in time for each column
+
+
 def test_a_batch_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     """A batch that dies between tables leaves the old version readable; its replay publishes the new one."""
     root = str(tmp_path)
